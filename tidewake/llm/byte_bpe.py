@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 
 from tidewake.llm.common import small_batches
 
-WORD = 6  # 64 ranks to a word of the lower level
-#: Chunks and pre-tokens remembered by one Python worker.
-REMEMBERED = 300_000
+WORD = 8  # 256 ranks to a word of the lower level
+MASK = (1 << WORD) - 1
+#: Chunks, and pre-tokens, that one Python worker remembers; longer ones are not kept.
+REMEMBERED = 800_000
+LONG = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,63 +41,90 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
+    get = ranks.get
     n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair: list[int | None] = [None] * n  # rank of the pair that starts here, None: no pair or merged away
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    pair = list(map(get, [piece[at : at + 2] for at in range(n)]))  # rank of the pair that starts here; None: no pair, or merged away
+    pair[n - 1] = None
     buckets: dict[int, list[int]] = {}
     words: dict[int, int] = {}
     summary = 0
-    get = ranks.get
-
-    def offer(at: int) -> None:
-        nonlocal summary
-        right = after[at]
-        rank = get(piece[at : after[right]]) if right < n else None
-        pair[at] = rank
-        if rank is None:
-            return
-        held = buckets.get(rank)
-        if held:
-            heapq.heappush(held, at)
-            return
-        buckets[rank] = [at]
-        w = rank >> WORD
-        words[w] = words.get(w, 0) | 1 << (rank & 63)
-        summary |= 1 << w
-
-    for at in range(n - 1):
-        offer(at)
+    for at, rank in enumerate(pair):
+        if rank is not None:
+            if rank in buckets:
+                buckets[rank].append(at)
+            else:
+                buckets[rank] = [at]
+                w = rank >> WORD
+                words[w] = words.get(w, 0) | 1 << (rank & MASK)
+                summary |= 1 << w
+    push, pop = heapq.heappush, heapq.heappop
     while summary:
         w = (summary & -summary).bit_length() - 1
         bits = words[w]
         low = bits & -bits
         rank = (w << WORD) + low.bit_length() - 1
         held = buckets[rank]
-        at = heapq.heappop(held)
+        at = pop(held)
         if not held:
-            words[w] = bits ^ low
+            del buckets[rank]
             if bits == low:
+                del words[w]
                 summary ^= 1 << w
+            else:
+                words[w] = bits ^ low
         if pair[at] != rank:
             continue
         gone = after[at]
         pair[gone] = None
         right = after[at] = after[gone]
+        rank = None
         if right < n:
             before[right] = at
-        offer(at)
-        if before[at] >= 0:
-            offer(before[at])
+            rank = get(piece[at : after[right]])
+            if rank is not None:
+                if rank in buckets:
+                    push(buckets[rank], at)
+                else:
+                    buckets[rank] = [at]
+                    w = rank >> WORD
+                    words[w] = words.get(w, 0) | 1 << (rank & MASK)
+                    summary |= 1 << w
+        pair[at] = rank
+        at = before[at]
+        if at >= 0:
+            rank = pair[at] = get(piece[at:right])
+            if rank is not None:
+                if rank in buckets:
+                    push(buckets[rank], at)
+                else:
+                    buckets[rank] = [at]
+                    w = rank >> WORD
+                    words[w] = words.get(w, 0) | 1 << (rank & MASK)
+                    summary |= 1 << w
     out, at = [], 0
     while at < n:
-        out.append(ranks[piece[at : after[at]]])
-        at = after[at]
+        right = after[at]
+        out.append(ranks[piece[at:right]])
+        at = right
     return out
 
 
+class Remembered(dict):
+    """A dict that computes a missing value from its key and keeps a bounded number of them."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Codec:
     """encode and decode for one vocabulary file and pattern."""
 
@@ -101,55 +132,47 @@ class Codec:
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.of_rest, self.of_piece = Remembered(self._rest), Remembered(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        held = self.pieces.get(piece)
-        if held is None:
-            held = np.array(merge_ids(piece.encode(), self.ranks), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = held
-        return held
+        raw = piece.encode()
+        whole = self.ranks.get(raw)
+        ids = merge_ids(raw, self.ranks) if whole is None else (whole,)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        held = b"".join([self._piece(x) for x in self.pattern.findall(chunk)])
-        if len(chunk) <= 64:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            self.chunks[chunk] = held
-        return held
+        return b"".join([self.of_piece[x] for x in self.pattern.findall(chunk)])
+
+    def _rest(self, chunk: str) -> bytes:
+        """A chunk after its blank."""
+        return self._chunk(" " + chunk)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get, chunk = self.chunks.get, self._chunk
-        out = []
-        for x in cut(text):
-            held = get(x)
-            out.append(chunk(x) if held is None else held)
-        return b"".join(out)
+        first, *rest = cut(text)
+        return b"".join([self._chunk(first), *map(self.of_rest.__getitem__, rest)])
 
     def decode(self, ids: bytes) -> bytes:
         get = self.bytes_of.__getitem__
         return b"".join(map(get, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: A blank next to other white space or at an end of the text.
+LOOSE_BLANK = re.compile(r" (?=\s|$)|(?<=\s) |^ ")
+
+
 def cut(text: str) -> list[str]:
-    """The text in chunks; each but the first starts with a blank that has non-blanks on both sides."""
+    """The text in chunks, cut at single blanks with non-blanks on both sides, which are left out: no match of the pattern spans one, and the next match starts with it."""
     parts = text.split(" ")
-    first, rest = parts[0], [" " + x for x in parts[1:]]
-    # a chunk with white space at an end, or an empty one, belongs together with its neighbour
-    if all(len(x) > 1 and not x[1].isspace() and not x[-1].isspace() for x in rest) and first and not first[-1].isspace():
-        return [first, *rest]
-    out = [first]
-    for x in rest:
+    if LOOSE_BLANK.search(text) is None:
+        return parts
+    out = [parts[0]]
+    for x in parts[1:]:
         last = out[-1]
-        if len(x) > 1 and not x[1].isspace() and last and not last[-1].isspace():
+        if x and last and not x[0].isspace() and not last[-1].isspace():
             out.append(x)
         else:
-            out[-1] = last + x
+            out[-1] = f"{last} {x}"
     return out
 
 
