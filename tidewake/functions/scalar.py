@@ -33,7 +33,7 @@ def sol(lamports: Column) -> Column:
 
 def sol_text(lamports: Column) -> Column:
     """FN-4: SOL with nine decimals."""
-    return F.format_string("%.9f", (lamports.cast("decimal(38,9)") / F.lit(1_000_000_000)).cast("decimal(38,9)"))
+    return (lamports.cast("decimal(38,9)") / F.lit(1_000_000_000)).cast("decimal(38,9)").cast("string")
 
 
 def token_amount(x: Column) -> Column:

@@ -1,6 +1,6 @@
 """All queries over the given tables, by name, with their oracles."""
 
-from tidewake.plans import trade_queries, window_queries  # noqa: F401
+from tidewake.plans import lifecycle_queries, position_queries, trade_queries, window_queries  # noqa: F401
 from tidewake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
