@@ -193,3 +193,18 @@ def first_pool(pools: DataFrame, key: str = "token") -> DataFrame:
 def first_non_null(rows: DataFrame, keys: tuple[str, ...], value: str, order: str) -> DataFrame:
     """SRC-14: the first non-null value of each key in order."""
     return rows.groupBy(*keys).agg(F.min(F.when(F.col(value).isNotNull(), F.struct(order, value))).alias("_x")).select(*keys, F.col(f"_x.{value}").alias(value))
+
+
+def checked_trades(rows: DataFrame) -> DataFrame:
+    """SRC-12: trades given as text, typed, with error: what is missing or not a number, or an exit before the entry."""
+    entry, exit_, roi = F.col("entry").try_cast("long"), F.col("exit").try_cast("long"), F.col("roi").try_cast("double")
+    error = F.when(roi.isNull() | F.isnan(roi), "roi").when(entry.isNull() | exit_.isNull(), "missing time").when(exit_ < entry, "exit before entry")
+    return rows.select("token", entry.alias("entry"), exit_.alias("exit"), roi.alias("roi"), error.alias("error"))
+
+
+def side_tables(metadata: DataFrame, events: DataFrame) -> DataFrame:
+    """SRC-27: authority flags (any text counts) and liquidity added for each token."""
+    flag = lambda c: (F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "").cast("int")
+    added = events.where("action = 'add'").groupBy("token").agg(F.sum("amount").alias("added"))
+    x = metadata.select("token", flag("mint_authority").alias("mintable"), flag("freeze_authority").alias("freezable"), F.col("is_mutable").cast("int").alias("mutable"))
+    return x.join(added.hint("merge"), "token", "left").fillna(0, ["added"])
