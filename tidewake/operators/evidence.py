@@ -148,3 +148,50 @@ def transitions_v2(flows: DataFrame, back: int = 60, least: int = 3, end: int =
     y = x.groupBy("token", "episode").agg(pick(F.lit(True)).alias("a"), pick(F.col("_c")).alias("b"))
     first = y.select("token", "episode", F.lit("QUIET").alias("from_state"), F.lit("IGNITION").alias("to_state"), "a.bt", "a.seq")
     return first.unionAll(y.where("b IS NOT NULL AND b > a").select("token", "episode", F.lit("IGNITION"), F.lit("COORDINATION_SPIKE"), "b.bt", "b.seq"))
+
+
+def conflict(level: Column, dominant: Column, risk_on: Column, risk_high: Column) -> Column:
+    """FN-12: text where an alert and risk contradict; empty otherwise."""
+    way = F.when(dominant == "PUMP", "pump").otherwise("dump")
+    return F.when((level == "SHOUT") & risk_high, F.concat(F.lit("SHOUT: CONFLICT — engineered "), way, F.lit(" confirmed"))).when(level.isin("WARNING", "SHOUT") & risk_on, F.concat(F.lit("WARNING: CONFLICT — engineered "), way, F.lit(" conditions"))).otherwise("")
+
+
+def creator_transfers(transfers: DataFrame, creators_: DataFrame, buyers: DataFrame) -> DataFrame:
+    """JOIN-19: token transfers (token, src, dst, bt, signature) from a creator to early buyers (token, wallet); the last counts."""
+    x = transfers.join(creators_.hint("merge"), "token").where("src = creator")
+    x = x.join(buyers.select("token", F.col("wallet").alias("dst")).distinct().hint("merge"), ["token", "dst"])
+    return x.groupBy("token", "creator", "dst").agg(F.max(F.struct("bt", "signature"))["signature"].alias("signature"), F.count("*").alias("n"))
+
+
+def funded_buyers(buyers: DataFrame, paths: DataFrame) -> DataFrame:
+    """JOIN-20: early buyers (token, creator, wallet) with flags for direct and indirect funding by the creator. paths: (source, target, hops)."""
+    p = paths.groupBy(F.col("source").alias("creator"), F.col("target").alias("wallet")).agg(F.min("hops").alias("hops"))
+    x = buyers.join(p.hint("merge"), ["creator", "wallet"], "left")
+    return x.withColumn("direct", F.coalesce(F.col("hops") == 1, F.lit(False))).withColumn("indirect", F.coalesce(F.col("hops") > 1, F.lit(False)))
+
+
+def first_buy_programs(firsts: DataFrame, tx: DataFrame) -> DataFrame:
+    """JOIN-22: program path of the transaction of each first buy (signature, program_path text separated by |)."""
+    t = tx.groupBy("signature").agg(F.min("program_path").alias("program_path"))
+    x = firsts.join(t.hint("merge"), "signature", "left").withColumn("programs", F.split("program_path", "\\|"))
+    return x.withColumn("via_router", F.coalesce(F.exists("programs", lambda p: p.like("%jup%")), F.lit(False)))
+
+
+def retained_supply(holders: DataFrame, creators_: DataFrame) -> DataFrame:
+    """JOIN-23: share of a token's supply that its creator holds in its largest account (token, wallet, balance)."""
+    total = holders.groupBy("token").agg(F.sum(F.greatest("balance", F.lit(0))).alias("supply"))
+    own = holders.join(creators_.select("token", F.col("creator").alias("wallet")).hint("merge"), ["token", "wallet"]).groupBy("token").agg(F.max("balance").alias("held"))
+    x = total.join(own.hint("merge"), "token", "left")
+    return x.withColumn("retained", F.when(F.col("supply") > 0, F.coalesce(F.greatest("held", F.lit(0)), F.lit(0)) / F.col("supply")))
+
+
+def seed_verification(seeds: DataFrame, evidence: DataFrame) -> DataFrame:
+    """FN-24: status of each seed mint: VERIFIED with creation evidence, else UNVERIFIED."""
+    e = evidence.where("initialized").groupBy("token").agg(F.min("bt").alias("created_at"))
+    return seeds.join(e.hint("merge"), "token", "left").withColumn("status", F.when(F.col("created_at").isNotNull(), "VERIFIED").otherwise("UNVERIFIED"))
+
+
+def cleaned(wallet_rows: DataFrame, now: DataFrame, idle: int = 900) -> DataFrame:
+    """ST-15: wallets of a token whose last flow is not older than idle seconds at its time (token, at)."""
+    x = wallet_rows.join(now.hint("merge"), "token")
+    return x.where(F.col("at") - F.col("last_seen") <= idle)

@@ -208,3 +208,59 @@ def side_tables(metadata: DataFrame, events: DataFrame) -> DataFrame:
     added = events.where("action = 'add'").groupBy("token").agg(F.sum("amount").alias("added"))
     x = metadata.select("token", flag("mint_authority").alias("mintable"), flag("freeze_authority").alias("freezable"), F.col("is_mutable").cast("int").alias("mutable"))
     return x.join(added.hint("merge"), "token", "left").fillna(0, ["added"])
+
+
+def rpc_events(tx: DataFrame, dex_programs: dict[str, str]) -> DataFrame:
+    """SRC-5: one event for each instruction of parsed transactions (signature, slot, blockTime, instructions, accounts): SWAP for a known program, TRANSFER and MINT by parsed type, else OTHER with the first five accounts."""
+    name = F.create_map(*[x for k, v in dex_programs.items() for x in (F.lit(k), F.lit(v))])
+    x = tx.select("signature", "slot", "blockTime", "accounts", F.posexplode_outer("instructions").alias("index", "i"))
+    known, parsed = F.try_element_at(name, F.col("i.programId")), F.col("i.parsedType")
+    kind = F.when(known.isNotNull(), "SWAP").when(parsed.isin("transfer", "transferChecked"), "TRANSFER").when(parsed.isin("mintTo", "initializeMint"), "MINT").otherwise("OTHER")
+    actors = F.when(F.size("i.accounts") > 0, F.col("i.accounts")).otherwise(F.slice("accounts", 1, 5))
+    return x.select("signature", "slot", F.col("blockTime").alias("bt"), F.coalesce("index", F.lit(0)).alias("index"), kind.alias("event_type"), known.alias("dex"), actors.alias("actors"))
+
+
+def enriched(tx: DataFrame, wallet: str = "wallet") -> DataFrame:
+    """SRC-24: SOL before, after and change of a wallet in each transaction (arrays accountKeys, preBalances, postBalances), fee, and whether it failed; null where the wallet takes no part."""
+    at = F.array_position("accountKeys", F.col(wallet)).cast("int")
+    value = lambda c: F.when(at > 0, F.get(c, at - 1))
+    x = tx.withColumn("pre", value("preBalances")).withColumn("post", value("postBalances"))
+    return x.withColumn("sol_delta", (F.col("post") - F.col("pre")) / 1e9).withColumn("failed", F.coalesce(F.col("err") != "", F.lit(False)))
+
+
+def mint_account(accounts: DataFrame) -> DataFrame:
+    """SRC-25: authority flags, supply and decimals out of the binary data of a mint account (82 bytes, little-endian)."""
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), k + 1, 1)), 16, 10).cast("long")
+    supply = sum((byte(36 + k).cast("decimal(38,0)") * F.lit(256**k).cast("decimal(38,0)") for k in range(1, 8)), byte(36).cast("decimal(38,0)"))
+    ok = F.length("data") >= 82
+    return accounts.select("mint", F.when(ok, byte(0) == 1).alias("has_mint_authority"), F.when(ok, supply.cast("decimal(20,0)")).alias("supply_raw"), F.when(ok, byte(44)).alias("decimals"), F.when(ok, byte(46) == 1).alias("has_freeze_authority"))
+
+
+def side_class(n_in: Column, n_out: Column, sol_delta: Column) -> Column:
+    """PRJ-3: BUY, SELL or OTHER by token transfers in and out and the SOL change."""
+    return F.when((n_in > 0) & (sol_delta < 0), "BUY").when((n_out > 0) & (sol_delta > 0), "SELL").otherwise("OTHER")
+
+
+def in_range(df: DataFrame, since: int | None = None, until: int | None = None, last_hours: float | None = None, time: str = "bt") -> DataFrame:
+    """PRJ-9: rows within explicit bounds, or of the last hours before the latest row."""
+    if last_hours is not None:
+        end = df.groupBy().agg(F.max(time).alias("_end"))
+        df = df.join(F.broadcast(end)).where(F.col(time) >= F.col("_end") - int(last_hours * 3600)).drop("_end")  # one row
+    if since is not None:
+        df = df.where(F.col(time) >= since)
+    return df.where(F.col(time) <= until) if until is not None else df
+
+
+def pool_of(tx: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
+    """FN-20: the pool field where there is one, else the most frequent account of a signature's instructions, known ones excluded, ties by address."""
+    x = tx.where("pool IS NULL").select("signature", F.explode("accounts").alias("account")).where(~F.col("account").isin(*excluded))
+    n = x.groupBy("signature", "account").agg(F.count("*").alias("n"))
+    best = n.groupBy("signature").agg(F.min(F.struct((-F.col("n")).alias("k"), "account"))["account"].alias("_best"))
+    y = tx.join(best.hint("merge"), "signature", "left")
+    return y.select("signature", F.coalesce("pool", "_best").alias("pool"), F.when(F.col("pool").isNotNull(), "field").when(F.col("_best").isNotNull(), "accounts").alias("method"))
+
+
+def compute_budget(data: Column) -> Column:
+    """FN-19: units and price of compute budget instructions given as (kind, value) structs."""
+    first = lambda kind: F.get(F.filter(data, lambda d: d["kind"] == kind), F.lit(0))["value"]
+    return F.struct(first("limit").alias("unit_limit"), first("price").alias("unit_price"), (first("limit") * first("price") / 1e6).alias("priority_fee"))
