@@ -30,7 +30,7 @@ def test_session_replay_skips_malformed_lines(spark, tmp_path):
     p = tmp_path / "s.jsonl"
     p.write_text(json.dumps({"event_type": "SESSION_START", "timestamp": 1}) + "\n\nnot json\n" + json.dumps({"event_type": "WALLET_SIGNAL", "timestamp": 2, "signals": ["TIMING"]}) + "\n")
     good, bad = files.read_session(spark, str(p))
-    assert [r.event_type for r in good.orderBy("timestamp").collect()] == ["SESSION_START", "WALLET_SIGNAL"] and [r._corrupt for r in bad.collect()] == ["not json"]
+    assert [r.event_type for r in good.orderBy("timestamp").collect()] == ["SESSION_START", "WALLET_SIGNAL"] and [r.line for r in bad.collect()] == ["not json"]
 
 
 def test_names_and_seeds(spark, tmp_path):
@@ -50,7 +50,7 @@ def test_landed_swaps_with_faults(spark, tmp_path):
     moved = good | {"signature": "t", "accountData": [], "nativeTransfers": [{"fromUserAccount": "x", "toUserAccount": w, "amount": 7}]}
     (tmp_path / "a.json").write_text("\n".join([json.dumps(good), json.dumps(moved), json.dumps(good | {"type": "BURN"}), json.dumps(good | {"feePayer": "short"}), "{oops"]))
     raw = ingest.read_swaps(spark, str(tmp_path))
-    assert raw.where("_corrupt IS NOT NULL").count() == 1
+    assert raw.where("corrupt IS NOT NULL").count() == 1
     got = {(r.signature, r.direction, r.lamports) for r in ingest.parse_swaps(raw.withColumn("token", F.lit("T"))).collect()}
     assert got == {("s", "buy", 5), ("t", "sell", 7)}
 

@@ -37,13 +37,15 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] = TRANSITI
     return spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).option("sep", "\t").csv(path)
 
 
-SESSION_SCHEMA = "event_type string, timestamp long, wallet string, token_ca string, signals array<string>, from_state string, to_state string, trigger string, details string, _corrupt string"
+SESSION_SCHEMA = "event_type string, timestamp long, wallet string, token_ca string, signals array<string>, from_state string, to_state string, trigger string, details string"
 
 
 def read_session(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC-8: (rows, malformed lines) of a session log of JSON lines; blank lines are neither."""
-    x = spark.read.schema(SESSION_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return x.where("_corrupt IS NULL AND event_type IS NOT NULL").drop("_corrupt"), x.where("_corrupt IS NOT NULL").select("_corrupt")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    sound = F.try_parse_json("value").isNotNull()
+    rows = lines.where(sound).select(F.from_json("value", SESSION_SCHEMA).alias("r")).select("r.*").where("event_type IS NOT NULL")
+    return rows, lines.where(~sound).select(F.col("value").alias("line"))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:

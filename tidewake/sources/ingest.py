@@ -14,8 +14,10 @@ WRAPPED = "So11111111111111111111111111111111111111112"
 
 
 def read_swaps(spark: SparkSession, path: str) -> DataFrame:
-    """Landed swap transactions, one JSON object a line; malformed lines are kept in _corrupt."""
-    return spark.read.schema(SWAP_SCHEMA + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    """Landed swap transactions, one JSON object a line; of a malformed line only its text is kept, in corrupt."""
+    x = spark.read.text(path).where(F.trim("value") != "")
+    bad = F.try_parse_json("value").isNull()
+    return x.select(F.from_json(F.when(~bad, F.col("value")), SWAP_SCHEMA).alias("r"), F.when(bad, F.col("value")).alias("corrupt")).select("r.*", "corrupt")
 
 
 def parse_swaps(tx: DataFrame, token: str = "token") -> DataFrame:
