@@ -9,10 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IN, OUT = F.col("flow_direction") == "in", F.col("flow_direction") == "out"
 SOL = 1e9
 
 
+def is_in() -> Column:
+    return F.col("flow_direction") == "in"
+
+
+def is_out() -> Column:
+    return F.col("flow_direction") == "out"
+
+
 def index_percentile(sorted_values: Column, p: float) -> Column:
     """The value at index int(p * n) of a sorted array."""
     n = F.size(sorted_values)
@@ -38,8 +45,8 @@ def linear(value: str, p: float) -> Column:
 def token_pnl(trades: DataFrame) -> DataFrame:
     """AGG-1: spent, received, net, holding time and counts of each wallet in each token it bought."""
     x = trades.groupBy("wallet", "token").agg(
-        F.sum(F.when(IN, F.col("lamports")).otherwise(0)).alias("spent"), F.sum(F.when(OUT, F.col("lamports")).otherwise(0)).alias("received"),
-        (F.max("bt") - F.min("bt")).alias("hold"), F.count_if(IN).alias("n_buys"), F.count_if(OUT).alias("n_sells"),
+        F.sum(F.when(is_in(), F.col("lamports")).otherwise(0)).alias("spent"), F.sum(F.when(is_out(), F.col("lamports")).otherwise(0)).alias("received"),
+        (F.max("bt") - F.min("bt")).alias("hold"), F.count_if(is_in()).alias("n_buys"), F.count_if(is_out()).alias("n_sells"),
     )
     return x.where("n_buys > 0").withColumn("net", F.col("received") - F.col("spent"))
 
@@ -120,8 +127,8 @@ def breakdown(rows: DataFrame, key: str = "bucket", value: str = "dex") -> DataF
 def reconstruct(trades: DataFrame) -> DataFrame:
     """AGG-9: one trade per wallet and token: first buy, last sell, cost, proceeds, return (null at no cost), OPEN or CLOSED, sells before any buy."""
     x = trades.groupBy("wallet", "token").agg(
-        F.min(F.when(IN, F.col("bt"))).alias("entry"), F.max(F.when(OUT, F.col("bt"))).alias("exit"), F.sum(F.when(IN, F.col("lamports")).otherwise(0)).alias("cost"), F.sum(F.when(OUT, F.col("lamports")).otherwise(0)).alias("proceeds"),
-        F.count_if(IN).alias("n_buys"), F.count_if(OUT).alias("n_sells"), F.min(F.when(OUT, F.col("bt"))).alias("_first_sell"),
+        F.min(F.when(is_in(), F.col("bt"))).alias("entry"), F.max(F.when(is_out(), F.col("bt"))).alias("exit"), F.sum(F.when(is_in(), F.col("lamports")).otherwise(0)).alias("cost"), F.sum(F.when(is_out(), F.col("lamports")).otherwise(0)).alias("proceeds"),
+        F.count_if(is_in()).alias("n_buys"), F.count_if(is_out()).alias("n_sells"), F.min(F.when(is_out(), F.col("bt"))).alias("_first_sell"),
     )
     early = F.col("_first_sell").isNotNull() & (F.col("entry").isNull() | (F.col("_first_sell") < F.col("entry")))
     roi = F.when(F.col("cost") > 0, (F.col("proceeds") - F.col("cost")) / F.col("cost"))
@@ -148,7 +155,7 @@ def exits_by_hour(closed: DataFrame) -> DataFrame:
 
 def wallet_activity(trades: DataFrame) -> DataFrame:
     """AGG-11: first and last time and number of tokens entered of each wallet."""
-    return trades.groupBy("wallet").agg(F.min("bt").alias("first_bt"), F.max("bt").alias("last_bt"), F.countDistinct(F.when(IN, F.col("token"))).alias("n_tokens"), F.count("*").alias("n_flows"))
+    return trades.groupBy("wallet").agg(F.min("bt").alias("first_bt"), F.max("bt").alias("last_bt"), F.countDistinct(F.when(is_in(), F.col("token"))).alias("n_tokens"), F.count("*").alias("n_flows"))
 
 
 def panel_statistics(rows: DataFrame, panels: tuple[str, ...] = ("New Pairs", "Final Stretch", "Migrated", "Unknown")) -> DataFrame:
@@ -254,11 +261,11 @@ def duplicate_signals(signals: DataFrame) -> DataFrame:
 def discovery_features(trades: DataFrame) -> DataFrame:
     """AGG-30: per wallet and token: first buy and its signature, first sell at or after it, holding time, clips, partial exit, FAST_WIN or FAST_LOSS."""
     first = Window.partitionBy("wallet", "token")
-    x = trades.withColumn("first_buy", F.min(F.when(IN, F.col("bt"))).over(first))
-    after = OUT & (F.col("bt") >= F.col("first_buy"))
+    x = trades.withColumn("first_buy", F.min(F.when(is_in(), F.col("bt"))).over(first))
+    after = is_out() & (F.col("bt") >= F.col("first_buy"))
     y = x.where("first_buy IS NOT NULL").groupBy("wallet", "token", "first_buy").agg(
-        F.min(F.when(after, F.col("bt"))).alias("first_sell"), F.count_if(IN).alias("clips"), (F.count_if(after) > 1).alias("partial_exit"),
-        F.min(F.when(IN & (F.col("bt") == F.col("first_buy")), F.col("signature"))).alias("first_signature"), F.sum(F.when(OUT, F.col("lamports")).otherwise(-F.col("lamports"))).alias("net"),
+        F.min(F.when(after, F.col("bt"))).alias("first_sell"), F.count_if(is_in()).alias("clips"), (F.count_if(after) > 1).alias("partial_exit"),
+        F.min(F.when(is_in() & (F.col("bt") == F.col("first_buy")), F.col("signature"))).alias("first_signature"), F.sum(F.when(is_out(), F.col("lamports")).otherwise(-F.col("lamports"))).alias("net"),
     )
     y = y.withColumn("hold", F.col("first_sell") - F.col("first_buy"))
     fast = F.col("hold") <= 86_400 * 30

@@ -230,8 +230,8 @@ def fixed_silence(flows: DataFrame, at: DataFrame, after: int = 540, eligible: i
 
 def replacement(flows: DataFrame, early: DataFrame, at: DataFrame, back: int = 300) -> DataFrame:
     """WIN-24: whether a wallet that is not early was active in (at - back, at], per token."""
-    new = flows.join(early.select("token", "wallet").hint("merge"), KEY, "left_anti").groupBy("token", "bt").agg(F.count("*").alias("n"))
-    x = at.select("token", "at").join(new.hint("merge"), "token", "left").where("bt IS NULL OR bt <= at")
+    new = flows.join(early.select("token", "wallet").hint("merge"), KEY, "left_anti").select(F.col("token").alias("_t"), "bt").distinct()
+    x = at.select("token", "at").join(new.hint("merge"), (F.col("token") == F.col("_t")) & (F.col("bt") <= F.col("at")), "left")
     return x.groupBy("token", "at").agg(F.coalesce(F.max(F.col("bt") > F.col("at") - back), F.lit(False)).alias("replaced"))
 
 

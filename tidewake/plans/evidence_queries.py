@@ -186,9 +186,9 @@ def src27(t):
   SELECT v.token, sum(CASE WHEN flow_direction = 'in' THEN lamports ELSE 0 END) AS bought, sum(CASE WHEN flow_direction = 'out' THEN lamports ELSE 0 END) AS sold, any_value(coalesce(r.n, 0)) AS removed, any_value(m.mint_authority IS NOT NULL) AS mintable, any_value(m.freeze_authority IS NOT NULL) AS freezable
   FROM valid v LEFT JOIN mint_metadata m USING (token) LEFT JOIN (SELECT token, count(*) AS n FROM liquidity_events WHERE action = 'remove' AND token::INT % 4 = 0 GROUP BY token) r USING (token) GROUP BY v.token)""", "valid", "mint_metadata", "liquidity_events"))
 def fn10(t):
-    from tidewake.operators.aggregates import IN, OUT
+    from tidewake.operators.aggregates import is_in, is_out
 
-    x = t.valid.groupBy("token").agg(F.sum(F.when(IN, F.col("lamports")).otherwise(0)).alias("bought"), F.sum(F.when(OUT, F.col("lamports")).otherwise(0)).alias("sold"))
+    x = t.valid.groupBy("token").agg(F.sum(F.when(is_in(), F.col("lamports")).otherwise(0)).alias("bought"), F.sum(F.when(is_out(), F.col("lamports")).otherwise(0)).alias("sold"))
     r = t.liquidity_events.where("action = 'remove' AND cast(token as int) % 4 = 0").groupBy("token").agg(F.count("*").alias("removed"))
     x = x.join(t.mint_metadata.hint("merge"), "token", "left").join(r.hint("merge"), "token", "left")
     up, down, no = F.col("bought") > F.col("sold"), F.col("sold") > F.col("bought"), F.lit(False)

@@ -94,7 +94,7 @@ def agg5(t):
 @query("join5_deltas_by_signature", oracle("""SELECT w.wallet, w.token, sum(x.delta)::BIGINT AS delta, count(*) AS n_tx FROM (SELECT DISTINCT wallet, token, signature FROM valid) w JOIN (SELECT wallet, signature, CASE WHEN flow_direction = 'out' THEN lamports ELSE -lamports END AS delta FROM trades) x
   USING (wallet, signature) GROUP BY w.wallet, w.token""", "valid"))
 def join5(t):
-    tx = t.trades.select("wallet", "signature", F.when(A.OUT, F.col("lamports")).otherwise(-F.col("lamports")).alias("delta"))
+    tx = t.trades.select("wallet", "signature", F.when(A.is_out(), F.col("lamports")).otherwise(-F.col("lamports")).alias("delta"))
     return J.deltas_by_signature(t.valid.select("wallet", "token", "signature").distinct(), tx)
 
 
@@ -314,7 +314,7 @@ BAL = "SELECT token, wallet, sum(CASE WHEN flow_direction = 'in' THEN units ELSE
 
 
 def balances(t):
-    return t.valid.groupBy("token", "wallet").agg(F.sum(F.when(A.IN, F.col("units")).otherwise(-F.col("units"))).alias("balance"))
+    return t.valid.groupBy("token", "wallet").agg(F.sum(F.when(A.is_in(), F.col("units")).otherwise(-F.col("units"))).alias("balance"))
 
 
 @query("agg21_gini", oracle("SELECT token, count(*) AS n, round(2 * sum(i * balance) / (count(*) * sum(balance)) - (count(*) + 1) / count(*), 6) AS gini FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY balance, wallet) AS i FROM bal WHERE balance > 0) GROUP BY token", "valid", bal=BAL))
