@@ -10,18 +10,22 @@ rules (pairs of u4), lengths (u4 for each rule), symbols (u4, or u2 if width is
 
 Defined results: null and empty texts consist of the end id; null doc_ids come first; rows with equal ids are
 all kept, ordered by text; an empty table gives an empty file. The tokenizers library encodes each chunk between
-white space once and the ids of a chunk are remembered, which gives its ids for the whole text since that
-tokenizer drops white space and merges nothing across it. Special tokens' names in a text are ordinary text.
+white space once and the ids of a chunk are remembered (a bounded number), which gives its ids for the whole text
+since such a tokenizer drops white space and merges nothing across it; files of another make are refused. Special
+tokens' names in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +38,7 @@ BLOCK_IDS = 1 << 18
 LEAST_COUNT = 12  # a pair is frequent from here
 ROUNDS = 6
 RULES_A_ROUND = 256
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 LONG_CHUNK = 64  # longer chunks are not remembered
 BLOCKS = pa.schema([
     ("part", pa.int32()), ("block", pa.int32()), ("first_in_part", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("least_id", pa.int64()), ("width", pa.int32()),
@@ -46,8 +50,9 @@ BLOCKS_DDL = "part int, block int, first_in_part long, n_ids long, n_docs long,
 def compress(ids: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths) of Re-Pair over ids.
 
-    A round counts all neighbouring pairs, takes the most frequent ones and replaces them from the most frequent
-    down, each left to right; it ends when no pair is frequent any more.
+    A round counts all neighbouring pairs and goes through the frequent ones from the most frequent down. A pair is
+    taken if so far its first symbol is only first and its second only second in the pairs taken; such pairs never
+    overlap, so all their occurrences are replaced at once. Rounds end when no pair is frequent any more.
     """
     seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
@@ -56,75 +61,64 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES_A
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = seq[:-1] << 32 | seq[1:]
-        ordered = np.sort(key)
+        ordered = np.sort(seq[:-1] << 32 | seq[1:])
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(count >= least)
-        if not len(often):
-            break
         best = often[np.lexsort((ordered[edge[often]], -count[often]))[:rules_a_round]]
-        pairs = ordered[edge[best]]  # from the most frequent down
-        # a symbol's place in the round's order of pairs: rank of each position's pair
-        by_key = np.argsort(pairs)
-        left = np.zeros(int(seq.max()) + 1, bool)
-        left[pairs >> 32] = True
-        at = np.flatnonzero(left[seq[:-1]])
-        slot = np.searchsorted(pairs[by_key], key[at])
-        slot[slot == len(pairs)] = 0
-        hit = pairs[by_key][slot] == key[at]
-        at, rank = at[hit], by_key[slot[hit]]
-        taken = _disjoint(at, rank)
-        at, rank = at[taken], rank[taken]
-        used = np.bincount(rank, minlength=len(pairs))
-        worth = used >= 4
-        keep = worth[rank]
-        at, rank = at[keep], rank[keep]
-        if not len(at):
+        first: dict[int, int] = {}
+        second: dict[int, int] = {}
+        own: list[tuple[int, int]] = []
+        for pair in ordered[edge[best]].tolist():
+            x, y = pair >> 32, pair & 0xFFFFFFFF
+            if x != y and x not in second and y not in first:
+                first.setdefault(x, len(first) + 1)
+                second.setdefault(y, len(second) + 1)
+                own.append((x, y))
+        if not own:
             break
-        number = np.cumsum(worth) - 1
-        own = pairs[worth]
-        rules.append(np.stack([own >> 32, own & 0xFFFFFFFF], 1))
-        size_of = lambda s: np.where(s >= FIRST_RULE, lengths[np.maximum(s - FIRST_RULE, 0)] if len(lengths) else 1, 1)
-        lengths = np.concatenate([lengths, size_of(own >> 32) + size_of(own & 0xFFFFFFFF)])
-        seq[at] = FIRST_RULE + n_rules + number[rank]
+        # number of the rule for each combination of a first and a second symbol
+        top = int(seq.max()) + 1
+        one, two = np.zeros(top, np.int32), np.zeros(top, np.int32)
+        one[list(first)], two[list(second)] = list(first.values()), list(second.values())
+        width = len(second) + 1
+        rule = np.full((len(first) + 1) * width, -1, np.int64)
+        rule[[first[x] * width + second[y] for x, y in own]] = np.arange(len(own))
+        number = rule[one[seq[:-1]] * width + two[seq[1:]]]
+        at = np.flatnonzero(number >= 0)
+        seq[at] = FIRST_RULE + n_rules + number[at]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
+        pairs = np.array(own, np.int64)
+        size_of = lambda s: np.where(s >= FIRST_RULE, lengths[np.maximum(s - FIRST_RULE, 0)] if len(lengths) else 1, 1)
+        lengths = np.concatenate([lengths, size_of(pairs[:, 0]) + size_of(pairs[:, 1])])
+        rules.append(pairs)
         n_rules += len(own)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths
 
 
-def _disjoint(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which of the pairs starting at these ascending positions are replaced: within a run of overlapping pairs the most frequent pair first, then left to right."""
-    open_, taken = np.ones(len(at), bool), np.zeros(len(at), bool)
-    near = np.zeros(len(at) + 1, bool)
-    near[1:-1] = at[1:] == at[:-1] + 1  # near[i]: pair i overlaps pair i - 1
-    far = np.int64(1) << 40
-    order = rank.astype(np.int64) << 32 | np.arange(len(at))
-    while open_.any():
-        value = np.where(open_, order, far << 22)
-        before = np.where(near[:-1], np.concatenate([[far << 22], value[:-1]]), far << 22)
-        after = np.where(near[1:], np.concatenate([value[1:], [far << 22]]), far << 22)
-        won = open_ & (value < before) & (value < after)
-        taken |= won
-        open_ &= ~won
-        open_[1:] &= ~(won[:-1] & near[1:-1])
-        open_[:-1] &= ~(won[1:] & near[1:-1])
-    return taken
-
-
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """All ids of symbols; one vectorised pass for each level of the grammar."""
-    seq = symbols.astype(np.int64)
-    while len(seq) and (big := seq >= FIRST_RULE).any():
-        width = np.where(big, 2, 1)
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        out[at] = np.where(big, rules[np.maximum(seq - FIRST_RULE, 0), 0] if len(rules) else seq, seq)
-        out[at[big] + 1] = rules[seq[big] - FIRST_RULE, 1]
-        seq = out
-    return seq
+    """All ids of symbols: each rule is spelled out once, and every symbol copies its spelling."""
+    spelled: list[np.ndarray] = []
+    for x, y in rules.tolist():
+        parts = [spelled[s - FIRST_RULE] if s >= FIRST_RULE else np.array([s], np.uint32) for s in (x, y)]
+        spelled.append(np.concatenate(parts))
+    if not spelled:
+        return symbols.astype(np.uint32)
+    size = np.array([len(x) for x in spelled])
+    at = np.cumsum(size) - size
+    flat = np.concatenate(spelled)
+    big = symbols >= FIRST_RULE
+    rule = np.where(big, symbols - FIRST_RULE, 0)
+    width = np.where(big, size[rule], 1)
+    ends = np.cumsum(width)
+    out = np.repeat(np.where(big, 0, symbols).astype(np.uint32), width)
+    k = np.flatnonzero(big)
+    w = width[k]
+    step = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    out[np.repeat(ends[k] - w, w) + step] = flat[np.repeat(at[rule[k]], w) + step]
+    return out
 
 
 def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -145,41 +139,73 @@ def chunks(text: str) -> list[str]:
 CONTROLS, SPACES = re.compile("[\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
 
 
+class Remembered(dict):
+    """A dict that computes a missing value from its key; keys up to LONG_CHUNK characters are kept, REMEMBERED at most."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONG_CHUNK:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Whole texts to ids with a tokenizers file; the ids of chunks between white space are remembered."""
+    """Whole texts to ids with a tokenizers file.
+
+    Chunks of printable ASCII and Latin-1 are their own normal form but for letter case, so they are lower-cased, cut by
+    the file's pattern, and each new piece goes straight to the library's BPE model; all other chunks go through
+    the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [chunks(x) for x in texts]
-        new = list({w for x in words for w in x if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({w for x in words for w in x})
-        long_ones = []
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for w, e in zip(some, self.own.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-                if len(w) > LONG_CHUNK:
-                    long_ones.append(w)
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, x)), "<u4") for x in words]
-        for w in long_ones:
-            del self.known[w]
-        return out
+        parts = json.loads(self.own.to_str())
+        kinds = [x["type"] for x in parts["normalizer"]["normalizers"]], [x["type"] for x in parts["pre_tokenizer"]["pretokenizers"]]
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            raise ValueError(f"white space does not part the tokens of {path}: {kinds}")
+        self.cut = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.model = self.own.model
+        self.of_chunk, self.of_piece = Remembered(self._chunk), Remembered(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if SIMPLE.fullmatch(chunk) is None:
+            return np.array(self.own.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return self.of_piece[chunk]
+        return b"".join([self.of_piece[x] for x in self.cut(chunk)])
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.of_chunk.__getitem__, chunks(text))), "<u4")
+
+
+SIMPLE = re.compile("[!-~\u00a1-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
@@ -211,8 +237,8 @@ def _encode_part(path: str):
         number = first = held = 0
         docs: list[tuple[int | None, np.ndarray]] = []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for doc, x in zip(ids, own.encode(texts), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = own.encode(text.as_py() or "")
                 docs.append((doc, np.append(x, np.uint32(END_ID))))
                 held += len(x) + 1
                 if held >= BLOCK_IDS:
@@ -227,7 +253,7 @@ def _encode_part(path: str):
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, partitions: int | None = None) -> None:
     """Encode docs (doc_id long, text) in ascending doc_id order and write the blocks to path."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -274,13 +300,13 @@ def _based(blocks: DataFrame) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids (binary u4) of every document in the file."""
-    small_batches(spark, 8)
+    small_batches(spark)
     return _based(spark.read.schema(BLOCKS_DDL).parquet(path)).mapInArrow(_decode_blocks(False), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """As read_tokens() with the crc32 of the decoded ids in place of them."""
-    small_batches(spark, 8)
+    small_batches(spark)
     return _based(spark.read.schema(BLOCKS_DDL).parquet(path)).mapInArrow(_decode_blocks(True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -303,7 +329,7 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
                 out = [expand_range(symbols, rules, lengths, int(starts[k]), int(sizes[k])).astype("<u4").tobytes() for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    small_batches(spark, 8)
+    small_batches(spark)
     blocks = spark.read.schema(BLOCKS_DDL).parquet(path).where(F.col("least_id") <= max(wanted, default=least))
     return blocks.mapInArrow(run, "doc_id long, ids binary")
 
