@@ -246,10 +246,11 @@ def blocks_of(members: DataFrame, keys: list[str], block: int, member: str = "ke
     """members with bi, bj, own: each pair of blocks of a group is a unit of work, and a row goes to all pairs with its block.
 
     Groups of at most block rows have the one pair (0, 0). Block numbers come from a hash of the id, and a group's number
-    of blocks from its size, so no window gathers a group.
+    of blocks from its size, so no window gathers a group; sizes are stored first, so that AQE may split the join.
     """
     sizes = members.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    sizes = stored(sizes, "group-sizes")
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     x = members.join(sizes.hint("merge"), on).withColumn("own", F.pmod(F.xxhash64(F.col(member), F.lit(5)), F.col("_blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least("own", k).alias("bi"), F.greatest("own", k).alias("bj")))
@@ -329,7 +330,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     depth = needed_depth(threshold, target)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small_batches(spark, 500)
+    small_batches(spark)
     own = stored(rows.mapInArrow(_profile(depth), PROFILE_DDL), "ngram-profiles")
     known = own.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
@@ -339,7 +340,6 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     nodes = classes.select("key", F.posexplode("nodes").alias("tree", "node"))
     members = blocks_of(nodes, ["tree", "node"], 2 * BLOCK).join(classes.select("key", "sig").hint("merge"), "key")
     dealt = members.repartition(n, "tree", "node", "bi", "bj").sortWithinPartitions("tree", "node", "bi", "bj", "key")
-    small_batches(spark, 5000)
     clusters = components(stored(dealt.mapInArrow(_join_nodes(depth), "a long, b long"), "ngram-likely"))
 
     # exact verification within clusters
@@ -348,7 +348,6 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     work = placed.join(rows.where("text IS NOT NULL").hint("merge"), F.col("rep") == F.col("doc_id"))
     work = work.select("cluster", "bi", "bj", "own", "key", "copies", "text")
     work = work.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "key")
-    small_batches(spark, 200)
     seen = stored(work.mapInArrow(_verify(threshold), "key long, links long, b long"), "ngram-verified")
     links = seen.where("links IS NOT NULL").groupBy("key").agg(F.sum("links").alias("links"))
 
