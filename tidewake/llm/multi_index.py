@@ -30,7 +30,7 @@ from tidewake.llm.ngram_join import Forest, _stars, blocks_of, whole_groups
 
 THRESHOLD = 0.98
 TARGET_RECALL = 0.999
-SAMPLE = 20_000
+SAMPLE = 10_000
 BLOCK = 1024
 
 
@@ -228,7 +228,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, target: float
             some = picked[sizes == dim]
             ok, x = unit(list(some.vec))
             grid = fit(x, some.label.to_numpy()[ok], classes.count(), threshold, target)
-    small_batches(spark, 2000)
+    small_batches(spark)
     placed = stored(classes.select("key", "label", "vec", "copies").mapInArrow(_place(grid), PLACED_DDL), "vec-cells")
     lean = placed.select("key", "label", "dim", F.explode("visits").alias("cell"))
     cells = placed.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("home").alias("_h")).distinct()
