@@ -231,9 +231,10 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, target: float
     small_batches(spark)
     placed = stored(classes.select("key", "label", "vec", "copies").mapInArrow(_place(grid), PLACED_DDL), "vec-cells")
     lean = placed.select("key", "label", "dim", F.explode("visits").alias("cell"))
-    cells = placed.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("home").alias("_h")).distinct()
-    # visits to cells in which nothing lies end here
+    cells = stored(placed.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("home").alias("_h")).distinct(), "vec-homes")
+    # visits to cells in which nothing lies end here; both tables are stored, so AQE may split the joins of a hot cell
     lean = lean.join(cells.hint("merge"), (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")) & (F.col("cell") == F.col("_h")), "left_semi")
+    lean = stored(lean, "vec-visits")
     members = blocks_of(lean, ["label", "dim", "cell"], BLOCK).join(placed.select("key", "home", "vec", "copies", "visits").hint("merge"), "key")
     dealt = members.repartition(n, "label", "dim", "cell", "bi", "bj").sortWithinPartitions("label", "dim", "cell", "bi", "bj", "key")
     found = stored(dealt.mapInArrow(_link(threshold), "key long, links long, b long"), "vec-links")
