@@ -11,7 +11,9 @@ overlapping findings the one with the fewest edits counts (then the longest, the
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -72,25 +74,32 @@ def exact_places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 def fuzzy_spans(joined: bytes, notices: tuple = NOTICES) -> list[tuple[int, int, int, str]]:
-    """(start, end, edits, label) of all notices; overlapping findings are resolved."""
-    found: set[tuple[int, int, int, str]] = set()
-    for notice, label, k, seeds, pattern in compiled(notices):
-        windows = sorted({(max(0, at - off - k), at - off + len(notice) + k) for seed, off in seeds for at in _places(joined, seed)})
-        merged: list[list[int]] = []
-        for a, b in windows:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            while m := pattern.search(joined, a, min(b, len(joined))):
-                found.add((m.start(), m.end(), sum(m.fuzzy_counts), label))
-                a = max(m.end(), m.start() + 1)
-    kept: list[tuple[int, int, int, str]] = []
-    for x in sorted(found, key=lambda x: (x[2], x[0] - x[1], x[3], x[0])):
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+    """(start, end, edits, label) of all notices; overlapping findings are resolved.
+
+    Each candidate window gives its best match; where a better finding overlaps that match, what the window holds on
+    both sides of the finding is searched again, so a neighbour never hides an occurrence.
+    """
+    heap: list[tuple] = []
+
+    def look(n: int, a: int, b: int) -> None:
+        notice, label, k, _, pattern = compiled(notices)[n]
+        if b - a >= len(notice) - k and (m := pattern.search(joined, a, b)):
+            heappush(heap, (sum(m.fuzzy_counts), m.start() - m.end(), label, m.start(), n, a, b))
+
+    for n, (notice, _, k, seeds, _) in enumerate(compiled(notices)):
+        for a, b in {(max(0, at - off - k), min(len(joined), at - off + len(notice) + k)) for seed, off in seeds for at in _places(joined, seed)}:
+            look(n, a, b)
+    kept: list[tuple[int, int, int, str]] = []  # in order and disjoint
+    while heap:
+        edits, minus, label, start, n, a, b = heappop(heap)
+        at = bisect_left(kept, (start,))
+        over = next((x for x in kept[max(0, at - 1) : at + 1] if x[0] < start - minus and start < x[1]), None)
+        if over is None:
+            kept.insert(at, (start, start - minus, edits, label))
+        else:
+            look(n, a, over[0])
+            look(n, over[1], b)
+    return kept
 
 
 def scan_text(text: str | None, base: tuple = BASE, notices: tuple = NOTICES) -> dict:
