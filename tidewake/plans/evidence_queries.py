@@ -182,20 +182,25 @@ def src27(t):
     return I.side_tables(t.mint_metadata, t.liquidity_events)
 
 
-@query("fn10_archetypes", oracle("""SELECT token, CASE WHEN removed > 0 AND sold > bought THEN 'The Vampire' WHEN mintable AND freezable THEN 'The Time Bomb' WHEN bought > sold THEN 'The Accumulator' WHEN sold > bought THEN 'The Distributor' ELSE 'The Ghost' END AS archetype FROM (
-  SELECT v.token, sum(CASE WHEN flow_direction = 'in' THEN lamports ELSE 0 END) AS bought, sum(CASE WHEN flow_direction = 'out' THEN lamports ELSE 0 END) AS sold, any_value(coalesce(r.n, 0)) AS removed, any_value(m.mint_authority IS NOT NULL) AS mintable, any_value(m.freeze_authority IS NOT NULL) AS freezable
-  FROM valid v LEFT JOIN mint_metadata m USING (token) LEFT JOIN (SELECT token, count(*) AS n FROM liquidity_events WHERE action = 'remove' AND token::INT % 4 = 0 GROUP BY token) r USING (token) GROUP BY v.token)""", "valid", "mint_metadata", "liquidity_events"))
-def fn10(t):
+def archetypes(t, removals):
+    """Archetype of each token by its flows, mint and removals of liquidity."""
     from tidewake.operators.aggregates import is_in, is_out
 
     x = t.valid.groupBy("token").agg(F.sum(F.when(is_in(), F.col("lamports")).otherwise(0)).alias("bought"), F.sum(F.when(is_out(), F.col("lamports")).otherwise(0)).alias("sold"))
-    r = t.liquidity_events.where("action = 'remove' AND cast(token as int) % 4 = 0").groupBy("token").agg(F.count("*").alias("removed"))
+    r = removals.groupBy("token").agg(F.count("*").alias("removed"))
     x = x.join(t.mint_metadata.hint("merge"), "token", "left").join(r.hint("merge"), "token", "left")
     up, down, no = F.col("bought") > F.col("sold"), F.col("sold") > F.col("bought"), F.lit(False)
     x = x.withColumns({"vampire": (F.coalesce("removed", F.lit(0)) > 0) & down, "time_bomb": F.col("mint_authority").isNotNull() & F.col("freeze_authority").isNotNull(), "bot_farm": no, "phoenix": no, "ghost": no, "accumulator": up, "distributor": down})
     return x.select("token", S.archetype(F.lit("The Ghost"), F.lit(True)).alias("archetype"))
 
 
+@query("fn10_archetypes", oracle("""SELECT token, CASE WHEN removed > 0 AND sold > bought THEN 'The Vampire' WHEN mintable AND freezable THEN 'The Time Bomb' WHEN bought > sold THEN 'The Accumulator' WHEN sold > bought THEN 'The Distributor' ELSE 'The Ghost' END AS archetype FROM (
+  SELECT v.token, sum(CASE WHEN flow_direction = 'in' THEN lamports ELSE 0 END) AS bought, sum(CASE WHEN flow_direction = 'out' THEN lamports ELSE 0 END) AS sold, any_value(coalesce(r.n, 0)) AS removed, any_value(m.mint_authority IS NOT NULL) AS mintable, any_value(m.freeze_authority IS NOT NULL) AS freezable
+  FROM valid v LEFT JOIN mint_metadata m USING (token) LEFT JOIN (SELECT token, count(*) AS n FROM liquidity_events WHERE action = 'remove' AND token::INT % 4 = 0 GROUP BY token) r USING (token) GROUP BY v.token)""", "valid", "mint_metadata", "liquidity_events"))
+def fn10(t):
+    return archetypes(t, t.liquidity_events.where("action = 'remove' AND cast(token as int) % 4 = 0"))
+
+
 @query("fn15_severity_counts")
 def fn15(t):
     return L.M.transitions(t.flows).groupBy("to_state", "severity").agg(F.count("*").alias("n"))

@@ -99,12 +99,17 @@ def top7(t):
     return t.valid.orderBy(F.desc("lamports"), "bt", "signature", "wallet").limit(10).select("signature", "lamports", "bt", "line")
 
 
+def co_wallet_leaders(anchors, buys):
+    """The 20 wallets that bought the most tokens within six hours of an anchor's buy."""
+    a = anchors.select(F.col("wallet").alias("anchor"), "token", F.col("bt").alias("at"))
+    x = J.interval(a, buys.select("token", "wallet", "bt"), 21_600, 21_600).where("wallet <> anchor")
+    return x.groupBy("wallet").agg(F.countDistinct("token").alias("n_tokens")).orderBy(F.desc("n_tokens"), "wallet").limit(20)
+
+
 @query("top9_co_wallet_leaders", oracle("SELECT wallet, n_tokens FROM (SELECT b.wallet, count(DISTINCT a.token) AS n_tokens FROM (SELECT * FROM buys WHERE wallet::INT % 5 = 0) a JOIN buys b ON a.token = b.token AND b.wallet <> a.wallet AND b.bt BETWEEN a.bt - 21600 AND a.bt + 21600 GROUP BY b.wallet) ORDER BY n_tokens DESC, wallet LIMIT 20", "valid", buys=T.BUYS))
 def top9(t):
     buys = t.valid.where("flow_direction = 'in'")
-    a = buys.where(F.col("wallet").cast("int") % 5 == 0).select(F.col("wallet").alias("anchor"), "token", F.col("bt").alias("at"))
-    x = J.interval(a, buys.select("token", "wallet", "bt"), 21_600, 21_600).where("wallet <> anchor")
-    return x.groupBy("wallet").agg(F.countDistinct("token").alias("n_tokens")).orderBy(F.desc("n_tokens"), "wallet").limit(20)
+    return co_wallet_leaders(buys.where(F.col("wallet").cast("int") % 5 == 0), buys)
 
 
 @query("set1_seeds_and_neighbours", oracle("SELECT wallet FROM seeds UNION SELECT neighbour FROM both_ JOIN seeds USING (wallet)", "valid", "edges", both_=T.BOTH, seeds=T.SEEDS))
@@ -204,4 +209,4 @@ def fn17(t):
     """Composition of the network report; its parts have oracles of their own."""
     from tidewake.plans.network import network_report
 
-    return network_report(t.valid, t.edges, t.members, T.seeds(t))
+    return network_report(t.valid, t.edges, t.members, T.wallets(t))

@@ -180,6 +180,11 @@ def seeds(t):
     return t.valid.where(F.col("wallet").cast("int") % 5 == 0).select("wallet").distinct()
 
 
+def wallets(t):
+    """All wallets."""
+    return t.valid.select("wallet").distinct()
+
+
 @query("join11_token_overlap", oracle("""SELECT x.wallet AS a, y.wallet AS b, coalesce(s.shared, 0) AS shared, CASE WHEN least(coalesce(n1.n, 0), coalesce(n2.n, 0)) > 0 THEN coalesce(s.shared, 0) / least(n1.n, n2.n) ELSE 0 END AS overlap
   FROM seeds x JOIN seeds y ON x.wallet <= y.wallet LEFT JOIN (SELECT a.wallet AS a, b.wallet AS b, count(*) AS shared FROM fb a JOIN fb b ON a.token = b.token AND a.wallet <= b.wallet GROUP BY ALL) s ON s.a = x.wallet AND s.b = y.wallet
   LEFT JOIN (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) n1 ON n1.wallet = x.wallet LEFT JOIN (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) n2 ON n2.wallet = y.wallet""", "valid", fb=FB, seeds=SEEDS))
@@ -237,12 +242,17 @@ def join9(t):
 TRANSFERS = "SELECT DISTINCT wallet AS src, ((line * 13 + seq) % 100 + 1)::VARCHAR AS dst, bt FROM valid WHERE line = 1"
 
 
+def transfers(trades):
+    """Distinct transfers (src, dst, bt) of trades; dst is made from line and sequence number."""
+    return trades.select(F.col("wallet").alias("src"), ((F.col("line") * 13 + F.col("seq")) % 100 + 1).cast("string").alias("dst"), "bt").distinct()
+
+
 @query("join18_funding_paths", oracle("""SELECT source, w AS target, min(hops)::INT AS hops, arg_min(since, hops) AS arrival FROM (
     SELECT src AS source, dst AS w, 1 AS hops, min(bt) AS since FROM tr WHERE src::INT % 25 = 0 AND dst <> src GROUP BY ALL UNION ALL
     SELECT h.source, t.dst, 2, min(t.bt) FROM (SELECT src AS source, dst AS w, min(bt) AS since FROM tr WHERE src::INT % 25 = 0 AND dst <> src GROUP BY ALL) h JOIN tr t ON t.src = h.w AND t.bt >= h.since AND t.dst <> h.source GROUP BY h.source, t.dst)
   WHERE w::INT % 7 = 0 GROUP BY source, w""", "valid", tr=TRANSFERS))
 def join18(t):
-    tr = t.valid.where("line = 1").select(F.col("wallet").alias("src"), ((F.col("line") * 13 + F.col("seq")) % 100 + 1).cast("string").alias("dst"), "bt").distinct()
+    tr = transfers(t.valid.where("line = 1"))
     creators = tr.where("cast(src as int) % 25 = 0").select(F.col("src").alias("wallet")).distinct()
     return J.funding_paths(tr, creators, tr.where("cast(dst as int) % 7 = 0").select(F.col("dst").alias("wallet")))
 
