@@ -11,8 +11,8 @@ rules (pairs of u4), lengths (u4 for each rule), symbols (u4, or u2 if width is
 Defined results: null and empty texts consist of the end id; null doc_ids come first; rows with equal ids are
 all kept, ordered by text; an empty table gives an empty file. The tokenizers library encodes each chunk between
 white space once and the ids of a chunk are remembered (a bounded number), which gives its ids for the whole text
-since such a tokenizer drops white space and merges nothing across it; files of another make are refused. Special
-tokens' names in a text are ordinary text.
+since such a tokenizer drops white space and merges nothing across it; files of another make are refused. The name of
+an added token in a text becomes its id, as the library does unless told otherwise.
 """
 
 from __future__ import annotations
@@ -158,16 +158,20 @@ class Encoder:
     """Whole texts to ids with a tokenizers file.
 
     Chunks of printable ASCII and Latin-1 are their own normal form but for letter case, so they are lower-cased, cut by
-    the file's pattern, and each new piece goes straight to the library's BPE model; all other chunks go through
-    the whole library.
+    the file's pattern, and each new piece goes straight to the library's BPE model; all other chunks, and those that
+    hold the name of an added token, go through the whole library. names_as_text: such names are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, names_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        self.own.encode_special_tokens = names_as_text
         parts = json.loads(self.own.to_str())
+        names = [x["content"].lower() for x in parts["added_tokens"]]
+        if any(chunks(x) != [x] for x in names):
+            raise ValueError(f"white space parts the added tokens of {path}: {names}")
+        self.named = re.compile("|".join(map(re.escape, names)) or "(?!)").search
         kinds = [x["type"] for x in parts["normalizer"]["normalizers"]], [x["type"] for x in parts["pre_tokenizer"]["pretokenizers"]]
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError(f"white space does not part the tokens of {path}: {kinds}")
@@ -180,7 +184,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if SIMPLE.fullmatch(chunk) is None:
+        if SIMPLE.fullmatch(chunk) is None or self.named(chunk.lower()):
             return np.array(self.own.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         chunk = chunk.lower()
         if chunk.isalpha():
@@ -206,7 +210,7 @@ BYTE_LETTERS = _byte_letters()
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, names_as_text=False)
 
 
 def _block(part: int, number: int, first: int, docs: list[tuple[int | None, np.ndarray]]) -> dict:
