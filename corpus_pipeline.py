@@ -23,11 +23,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of shingle similarity join, the document with the smallest id stays."""
-    groups = ngram_join.ngram_join(docs.select("doc_id", "text"))
-    stay = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.select(*COLUMNS)
+    """Of each group that links of shingle similarity join, one row stays: that with the smallest id, nulls last.
+
+    Rows are compared by a number of their own, so rows that repeat an id or have none are told apart.
+    """
+    rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = ngram_join.ngram_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(groups.hint("merge"), "_row").groupBy("class_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first._row").hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
