@@ -26,6 +26,10 @@ BUCKETS = 1 << 16
 DIM = 16
 RUNS = (1, 2, 3, 4)
 UND = "und"
+SEGMENTS = 20
+# Bounds on what the driver holds: texts of all languages together, but LEAST of each language; characters of a text.
+TEXTS, LEAST = 80_000, 20
+LONG_TEXT = 20_000
 
 
 @lru_cache(maxsize=1)
@@ -82,18 +86,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, segment: int = 240, accuracy: float = 0.995, seed: int = 7) -> Model:
-    """SGD over segments of the texts; every fifth text is kept apart for the temperature and the rejection threshold."""
+    """SGD over at most SEGMENTS segments of each text, drawn evenly; every fifth text is kept apart for the temperature and the rejection threshold."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     of = {x: k for k, x in enumerate(names)}
     parts: tuple[list, list] = ([], [])
-    for k, (t, lang) in enumerate(zip(texts, langs, strict=True)):
+    for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
         x = points(t or "")
-        for a in range(0, max(len(x), 1), segment)[:20]:
+        starts = range(0, max(len(x), 1), segment)
+        if len(starts) > SEGMENTS:
+            starts = [k * (len(x) - segment) // (SEGMENTS - 1) for k in range(SEGMENTS)]
+        for a in starts:
             h = hashed(x[a : a + segment])
             if (x[a : a + segment] != 32).any():
-                parts[k % 5 == 4].append((h, of[lang]))
+                parts[i % 5 == 4].append((h, of[lang]))
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     W, b = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
@@ -132,21 +139,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int = 400, max_langs: int = 200) -> tuple[list[str], list[str]]:
-    """About per_lang texts of each of the max_langs most frequent languages (parameters bound what the driver holds).
+def spread(text: Column) -> Column:
+    """text, or SEGMENTS pieces at even distances over all of it, LONG_TEXT characters together."""
+    piece = LONG_TEXT // SEGMENTS
+    start = lambda k: F.floor(k * (F.length(text) - piece) / (SEGMENTS - 1)).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.substring(text, start(k), F.lit(piece)))
+    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(F.array_join(pieces, " "))
 
-    Rows are those whose hash of the id is below per_lang's share of the language's rows; held-out rows, null texts
-    and null languages are not read.
+
+def training_sample(docs: DataFrame, per_lang: int = 400) -> tuple[list[str], list[str]]:
+    """About per_lang texts of each language, and of very many languages TEXTS together, but LEAST of each.
+
+    Rows are those whose hash of id and text is below their share of the language's rows, at least the smallest hash of
+    each language; repeated rows count once. Held-out rows, null texts and null languages are not read.
     """
     own = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    own = own.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.coalesce(id_text(), F.lit("")), F.lit("lang"), "text"), 11) / float(1 << 53))
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     if not counts:
         return [], []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
-    h = F.pmod(F.xxhash64(F.coalesce(id_text(), F.lit("")), F.lit("lang")), F.lit(1_000_003)) / 1_000_003.0
-    # a few very long texts do not widen the bound: the driver gets the middle of each text, at most 20,000 characters
-    middle = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2 - 10_000).cast("int")), F.lit(20_000))
-    rows = own.where(h < F.try_element_at(share, F.col("lang"))).select(F.crc32(id_text().cast("binary")).alias("h"), "doc_id", middle.alias("text"), "lang").orderBy("h", "doc_id", "text", "lang").limit(2 * per_lang * len(counts)).collect()
+    per = max(min(per_lang, TEXTS // len(counts)), min(per_lang, LEAST))
+    # a row for each language, as many as the model has classes
+    shares = docs.sparkSession.createDataFrame([(r["lang"], max(per / r["n"], r["least"])) for r in counts], "lang string, share double")
+    rows = own.join(F.broadcast(shares), "lang").where("h <= share").groupBy("lang", "h").agg(F.min(F.struct("doc_id", spread(F.col("text")).alias("text"))).alias("x"))
+    rows = rows.select("lang", "h", "x.text").orderBy("h", "lang").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
