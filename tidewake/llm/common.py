@@ -46,6 +46,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, if no column of df has it (in any case of letters); an operator never overwrites or doubles a column of its input."""
+    if any(c.lower() == name.lower() for c in df.columns):
+        raise ValueError(f"the input has a column {name}, the name of this operator's result; rename it first")
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,10 +9,11 @@ A file is a Parquet table with a row for each block, in the shared store. Its bi
 rules (pairs of u4), lengths (u4 for each rule), symbols (u4, or u2 if width is 2), doc_ids (i8), doc_tokens (u4).
 
 Defined results: null and empty texts consist of the end id; null doc_ids come first; rows with equal ids are
-all kept, ordered by text; an empty table gives an empty file. The tokenizers library encodes each chunk between
-white space once and the ids of a chunk are remembered (a bounded number), which gives its ids for the whole text
-since such a tokenizer drops white space and merges nothing across it; files of another make are refused. The name of
-an added token in a text becomes its id, as the library does unless told otherwise.
+all kept, ordered by a hash of the text; an empty table gives an empty file; columns other than doc_id and text are
+not read, and a doc_id that is no whole number becomes null. The tokenizers library encodes each piece once and its ids
+are remembered (a bounded number), which gives its ids for the whole text since such a tokenizer drops white space and
+merges nothing across it; with files of another make it encodes whole texts. The name of an added token in a text
+becomes its id, as the library does unless told otherwise.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,6 @@ END_ID = 1
 FIRST_RULE = 1 << 17  # above all vocabulary ids
 BLOCK_IDS = 1 << 18
 LEAST_COUNT = 12  # a pair is frequent from here
-ROUNDS = 6
-RULES_A_ROUND = 256
 REMEMBERED = 800_000
 LONG_CHUNK = 64  # longer chunks are not remembered
 BLOCKS = pa.schema([
@@ -47,57 +46,83 @@ BLOCKS = pa.schema([
 BLOCKS_DDL = "part int, block int, first_in_part long, n_ids long, n_docs long, least_id long, width int, rules binary, lengths binary, symbols binary, doc_ids binary, no_id long, doc_tokens binary"
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths) of Re-Pair over ids.
+def compress(ids: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths) of Re-Pair over ids, which goes on until no pair occurs least times any more.
 
-    A round counts all neighbouring pairs and goes through the frequent ones from the most frequent down. A pair is
+    A round counts the neighbouring pairs and goes through the frequent ones from the most frequent down. A pair is
     taken if so far its first symbol is only first and its second only second in the pairs taken; such pairs never
-    overlap, so all their occurrences are replaced at once. Rounds end when no pair is frequent any more.
+    overlap, so all their occurrences are replaced at once. A pair of equal symbols is taken alone with its symbol, and
+    a run of them is paired off from its left end. A pair that was rare stays rare unless a new symbol is in it, so
+    a round looks only at places that were frequent before or touch a symbol of the round before.
     """
     seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        ordered = np.sort(seq[:-1] << 32 | seq[1:])
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(edge, len(ordered)))
+    at = np.arange(max(len(seq) - 1, 0))
+    while len(at):
+        pair, place = _by_pair(seq, at, FIRST_RULE + n_rules)
+        edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        count = np.diff(np.append(edge, len(pair)))
         often = np.flatnonzero(count >= least)
-        best = often[np.lexsort((ordered[edge[often]], -count[often]))[:rules_a_round]]
-        first: dict[int, int] = {}
-        second: dict[int, int] = {}
-        own: list[tuple[int, int]] = []
-        for pair in ordered[edge[best]].tolist():
-            x, y = pair >> 32, pair & 0xFFFFFFFF
-            if x != y and x not in second and y not in first:
-                first.setdefault(x, len(first) + 1)
-                second.setdefault(y, len(second) + 1)
-                own.append((x, y))
-        if not own:
+        if not len(often):
             break
-        # number of the rule for each combination of a first and a second symbol
-        top = int(seq.max()) + 1
-        one, two = np.zeros(top, np.int32), np.zeros(top, np.int32)
-        one[list(first)], two[list(second)] = list(first.values()), list(second.values())
-        width = len(second) + 1
-        rule = np.full((len(first) + 1) * width, -1, np.int64)
-        rule[[first[x] * width + second[y] for x, y in own]] = np.arange(len(own))
-        number = rule[one[seq[:-1]] * width + two[seq[1:]]]
-        at = np.flatnonzero(number >= 0)
-        seq[at] = FIRST_RULE + n_rules + number[at]
+        pairs, count = pair[edge[often]], count[often]
+        frequent = np.zeros(len(edge), bool)
+        frequent[often] = True
+        at, which = place[np.repeat(frequent, np.diff(np.append(edge, len(pair))))], np.repeat(np.arange(len(pairs)), count)
+        first: set[int] = set()
+        second: set[int] = set()
+        rule = np.full(len(pairs), -1, np.int64)
+        own: list[int] = []
+        best = np.lexsort((pairs, -count))
+        for k, pair in zip(best.tolist(), pairs[best].tolist(), strict=True):
+            x, y = pair >> 32, pair & 0xFFFFFFFF
+            if x not in second and y not in first and (x != y or (x not in first and y not in second)):
+                first.add(x)
+                second.add(y)
+                rule[k] = len(own)
+                own.append(pair)
+        number = rule[which]
+        put, number = at[number >= 0], number[number >= 0]
+        # places are in order within a pair; a run of twins lies within one
+        twins = seq[put] == seq[put + 1]
+        if twins.any():
+            # in a run of equal symbols every second place, from its left end
+            place = put[twins]
+            start = np.maximum.accumulate(np.where(np.diff(place, prepend=-2) == 1, 0, np.arange(len(place))))
+            keep = ~twins
+            keep[np.flatnonzero(twins)] = (np.arange(len(place)) - start) % 2 == 0
+            put, number = put[keep], number[keep]
+        seq[put] = FIRST_RULE + n_rules + number
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
+        stay[put + 1] = False
+        look = np.zeros(len(seq), bool)
+        look[at] = look[put] = look[np.maximum(put - 1, 0)] = True
         seq = seq[stay]
-        pairs = np.array(own, np.int64)
+        at = np.flatnonzero(look[stay][:-1])
+        new = np.array(own, np.int64)
+        new = np.stack([new >> 32, new & 0xFFFFFFFF], 1)
         size_of = lambda s: np.where(s >= FIRST_RULE, lengths[np.maximum(s - FIRST_RULE, 0)] if len(lengths) else 1, 1)
-        lengths = np.concatenate([lengths, size_of(pairs[:, 0]) + size_of(pairs[:, 1])])
-        rules.append(pairs)
+        lengths = np.concatenate([lengths, size_of(new[:, 0]) + size_of(new[:, 1])])
+        rules.append(new)
         n_rules += len(own)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths
 
 
+def _by_pair(seq: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, places) of the neighbours at each place, ordered by pair and then place."""
+    pair = seq[at] << 32 | seq[at + 1]
+    bits, low = top.bit_length(), len(seq).bit_length()
+    if 2 * bits + low > 63:
+        order = np.argsort(pair, kind="stable")
+        return pair[order], at[order]
+    # pair and place fit one number, and numbers sort faster than their order
+    both = np.sort((seq[at] << bits | seq[at + 1]) << low | at)
+    pair = both >> low
+    return (pair >> bits) << 32 | (pair & ((1 << bits) - 1)), both & ((1 << low) - 1)
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """All ids of symbols: each rule is spelled out once, and every symbol copies its spelling."""
     spelled: list[np.ndarray] = []
@@ -157,9 +182,10 @@ class Remembered(dict):
 class Encoder:
     """Whole texts to ids with a tokenizers file.
 
-    Chunks of printable ASCII and Latin-1 are their own normal form but for letter case, so they are lower-cased, cut by
-    the file's pattern, and each new piece goes straight to the library's BPE model; all other chunks, and those that
-    hold the name of an added token, go through the whole library. names_as_text: such names are ordinary text.
+    If the file's tokenizer parts tokens at white space, a text is cut there. Texts and chunks of printable ASCII and
+    Latin-1 are their own normal form but for letter case, so they are lower-cased, cut by the file's pattern, and each
+    new piece goes straight to the library's BPE model; all other chunks, those that hold the name of an added token, and
+    the whole texts of other tokenizers go through the whole library. names_as_text: such names are ordinary text.
     """
 
     def __init__(self, path: str, names_as_text: bool = True):
@@ -168,34 +194,56 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = names_as_text
         parts = json.loads(self.own.to_str())
-        names = [x["content"].lower() for x in parts["added_tokens"]]
-        if any(chunks(x) != [x] for x in names):
-            raise ValueError(f"white space parts the added tokens of {path}: {names}")
-        self.named = re.compile("|".join(map(re.escape, names)) or "(?!)").search
-        kinds = [x["type"] for x in parts["normalizer"]["normalizers"]], [x["type"] for x in parts["pre_tokenizer"]["pretokenizers"]]
-        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
-            raise ValueError(f"white space does not part the tokens of {path}: {kinds}")
-        self.cut = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.model = self.own.model
-        self.of_chunk, self.of_piece = Remembered(self._chunk), Remembered(self._piece)
+        self.names = [x["content"].lower() for x in parts["added_tokens"]]
+        self.parted = _parts_at_white_space(parts) and all(chunks(x) == [x] for x in self.names)
+        if self.parted:
+            self.cut = re.compile(LATIN_PIECES).findall
+            self.model = self.own.model
+            self.of_chunk, self.of_piece = Remembered(self._chunk), Remembered(self._piece)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return PACKS[len(ids)](*ids) if len(ids) < len(PACKS) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _simple(self, text: str) -> bytes | None:
+        """Ids of a text of simple characters and without names of added tokens, else None."""
+        if SIMPLE.fullmatch(text) is None:
+            return None
+        low = text.lower()
+        return None if any(x in low for x in self.names) else b"".join(map(self.of_piece.__getitem__, self.cut(low)))
 
     def _chunk(self, chunk: str) -> bytes:
-        if SIMPLE.fullmatch(chunk) is None or self.named(chunk.lower()):
-            return np.array(self.own.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        chunk = chunk.lower()
-        if chunk.isalpha():
-            return self.of_piece[chunk]
-        return b"".join([self.of_piece[x] for x in self.cut(chunk)])
+        ids = self._simple(chunk)
+        return self._library(chunk) if ids is None else ids
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.of_chunk.__getitem__, chunks(text))), "<u4")
+        ids = self._simple(text) if self.parted else self._library(text)
+        if ids is None:
+            ids = b"".join(map(self.of_chunk.__getitem__, chunks(text)))
+        return np.frombuffer(ids, "<u4")
+
+
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+#: The pattern of pieces that LATIN_PIECES restates for simple characters, as the file has it.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIMPLE = re.compile("[\t-\r -~\u00a1-\u00ff]*")
+
+
+def _of_category(letter: str) -> str:
+    """The simple characters of a general category, as the body of a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(33, 256)) if unicodedata.category(c)[0] == letter)
+
+
+LATIN_PIECES = PIECES.replace(r"\p{L}", _of_category("L")).replace(r"\p{N}", _of_category("N"))
 
 
-SIMPLE = re.compile("[!-~\u00a1-\u00ff]+")
+def _parts_at_white_space(parts: dict) -> bool:
+    """Whether a tokenizer drops white space and merges nothing across it, by its normaliser and its pattern."""
+    kinds = [[x["type"] for x in (parts.get(k) or {}).get(inner, [])] for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    return kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and parts["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == PIECES
 
 
 def _byte_letters() -> dict[int, int]:
@@ -259,8 +307,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, partitions: int | N
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first(), "h", F.col("text").asc_nulls_first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    # the hash keeps rows that share an id, or have none, from falling to one task
+    rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(_encode_part(tokenizer), BLOCKS_DDL).write.parquet(path)
 
 
