@@ -5,8 +5,10 @@ pieces; by the pigeonhole principle each occurrence with at most k edits holds o
 searches for the pieces locate all candidates. Only the window round a candidate is given to the regex
 library, whose bounded-error matching verifies the edits and reports the span.
 
-Defined results: null and empty texts have no words and no labels; repeated rows get equal results; of
-overlapping findings the one with the fewest edits counts (then the longest, then the first by label).
+Edits never change a version: the first number in a finding, or else the word after it, is the notice's number or no
+number at all. Defined results: null and empty texts have no words and no labels; repeated rows get equal results; of
+overlapping findings the one with the fewest edits counts (then the longest, then the first by label); a column
+_license of the input is refused.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from bisect import bisect_left
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import small_batches
+from tidewake.llm.common import free_name, small_batches
 
 # The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -73,6 +76,19 @@ def exact_places(joined: bytes, phrase: bytes) -> list[int]:
     return [at + 1 for at in _places(joined, b" " + phrase + b" ")]
 
 
+def same_version(joined: bytes, start: int, end: int, notice: bytes) -> bool:
+    """Whether the first number in the words of a finding, and the word after it, is the one that ends the notice; notices without a number, and findings without one, pass."""
+    version = notice.split()[-1]
+    if not version.isdigit():
+        return True
+    a = joined.rfind(b" ", 0, start + 1) + 1 if joined[start : start + 1] != b" " else start
+    stop = joined.find(b" ", end)
+    inside = joined[a : stop if stop >= 0 else len(joined)].split()
+    after = joined[stop + 1 : stop + 32].split()[:1] if stop >= 0 else []
+    numbers = [x for x in inside + after if x.isdigit()]
+    return not numbers or numbers[0] == version
+
+
 def fuzzy_spans(joined: bytes, notices: tuple = NOTICES) -> list[tuple[int, int, int, str]]:
     """(start, end, edits, label) of all notices; overlapping findings are resolved.
 
@@ -83,8 +99,11 @@ def fuzzy_spans(joined: bytes, notices: tuple = NOTICES) -> list[tuple[int, int,
 
     def look(n: int, a: int, b: int) -> None:
         notice, label, k, _, pattern = compiled(notices)[n]
-        if b - a >= len(notice) - k and (m := pattern.search(joined, a, b)):
-            heappush(heap, (sum(m.fuzzy_counts), m.start() - m.end(), label, m.start(), n, a, b))
+        while b - a >= len(notice) - k and (m := pattern.search(joined, a, b)):
+            if same_version(joined, m.start(), m.end(), notice):
+                heappush(heap, (sum(m.fuzzy_counts), m.start() - m.end(), label, m.start(), n, a, b))
+                return
+            a = m.start() + 1
 
     for n, (notice, _, k, seeds, _) in enumerate(compiled(notices)):
         for a, b in {(max(0, at - off - k), min(len(joined), at - off + len(notice) + k)) for seed, off in seeds for at in _places(joined, seed)}:
@@ -105,9 +124,15 @@ def fuzzy_spans(joined: bytes, notices: tuple = NOTICES) -> list[tuple[int, int,
 def scan_text(text: str | None, base: tuple = BASE, notices: tuple = NOTICES) -> dict:
     words = words_of(text)
     joined = b" " + b" ".join(words) + b" "
-    word_at = lambda at: joined.count(b" ", 0, at) - 1 if joined[at : at + 1] != b" " else joined.count(b" ", 0, at)
-    exact = [(word_at(at), label) for phrase, label in base for at in exact_places(joined, phrase.encode())]
+    places = [(at, label) for phrase, label in base for at in exact_places(joined, phrase.encode())]
     fuzzy = fuzzy_spans(joined, notices)
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) if places or fuzzy else np.zeros(0, np.int64)
+
+    def word_at(at: int) -> int:
+        """The word at an offset, or the one after a blank there."""
+        return int(np.searchsorted(blanks, at)) - (joined[at : at + 1] != b" ")
+
+    exact = [(word_at(at), label) for at, label in places]
     spans = [{"label": label, "first_word": min(word_at(a), max(len(words) - 1, 0)), "n_words": len(joined[a:b].split()), "edits": e, "text": joined[a:b].decode("utf-8", "replace")} for a, b, e, label in fuzzy]
     starts, own = [w for w, _ in exact], {label for _, label in exact}
     score = max([1.0] * bool(own) + [1 - e / (b - a + e) for a, b, e, _ in fuzzy], default=0.0)
@@ -130,4 +155,4 @@ def _scan(texts: pa.Array) -> pa.Array:
 def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct column _license: counts, base and all labels, score, and the spans of all notices."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("_license", F.arrow_udf(_scan, RESULT)(F.col(f"`{text_col}`")))
+    return docs.withColumn(free_name(docs, "_license"), F.arrow_udf(_scan, RESULT)(F.col(f"`{text_col}`")))
