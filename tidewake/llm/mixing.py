@@ -1,14 +1,15 @@
 """Mixing sources to target weights with hash-threshold histograms, in DataFrame functions only.
 
-Each document has a hash of its id. Token sums by source and hash bucket give, by running sums, the bucket in
+Each document has a hash of its id and text. Token sums by source and hash bucket give, by running sums, the bucket in
 which a source's budget ends; only that bucket is refined, by its next hash bits, until the prefix is so long
 that it holds about one document. Everything below the threshold is taken: a filter, without a sort. A source
 whose target exceeds its size is taken in whole passes, and the threshold gives the rest, so thresholds for
 growing budgets are nested.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in order; rows with equal
-ids share a hash and are taken together; a null id has a hash of its own; an empty table gives an empty mix; a
-source of size 0 has target 0.
+Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that share an id, or
+have none, are told apart by their texts; rows equal in both are taken together; an empty table gives an empty mix; a
+source of size 0 has target 0; a column _mix of the input is refused. The order of the sources is found over one row for
+each source.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import WHITE, stored
+from tidewake.llm.common import WHITE, free_name, stored
 
 BITS, LEVELS = 10, 4
 #: Up to so many sources their thresholds are broadcast; beyond, they are joined by sort and merge.
@@ -29,9 +30,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id: Column, seed: str = "mix") -> Column:
-    """60 bits of a digest of seed and id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
+def hash_of(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """60 bits of a digest of seed, id and text."""
+    parts = F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("long")
 
 
 def bucket(h: Column, level: int) -> Column:
@@ -101,7 +103,8 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """docs (doc_id, text, source, others) with a struct column _mix: size, source_size, target, copies, taken."""
-    h = hash_of(F.col("doc_id"), seed)
+    free_name(docs, "_mix")
+    h = hash_of(F.col("doc_id"), F.col("text"), seed)
     sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), h.alias("h")), "mix-sizes")
     limits, n_sources = thresholds(sized, weights, cap)
     limits = limits.select(F.col("source").alias("_s"), "source_size", "target", "passes", "below")
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """As mix(), but only doc_id and source beside _mix: texts are read once."""
-    sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), seed).alias("h")), "mix-sizes")
+    sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text"), seed).alias("h")), "mix-sizes")
     limits, n_sources = thresholds(sized, weights, cap)
     limits = limits.select(F.col("source").alias("_s"), "source_size", "target", "passes", "below")
     x = sized.select(F.struct("doc_id", "source").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("h").alias("_h"))

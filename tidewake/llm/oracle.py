@@ -8,7 +8,7 @@ _W = mixing.WEIGHTS
 OP2 = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT >> {60 - mixing.BITS * mixing.LEVELS} AS p FROM documents),
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT >> {60 - mixing.BITS * mixing.LEVELS} AS p FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, source_size * {mixing.CAP} AS cap, sum(source_size) OVER () AS total,
         CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(_W)} {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(_W))} END AS weight FROM s),
