@@ -6,7 +6,8 @@ accepted rules become one ordered Spark conditional expression, which then runs
 
 Defined results: a null or empty text has no words, so all its counts are 0; repeated rows are treated
 alike; an empty table gives an empty result; without labels of both classes the list is empty and only the
-base rule rejects. Null labels and labels without a document are left out of the sample.
+base rule rejects. Null labels and labels without a document are left out of the sample, and an id counts once in it
+for each of its labels, however often it repeats; a column _quality of the input is refused.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import small_batches
+from tidewake.llm.common import free_name, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -154,7 +155,7 @@ def learn(sample: pd.DataFrame, max_rules: int = 12, max_tests: int = 4, min_pre
     """Sequential covering over labelled statistics (columns of STATS and quality 0/1; 0 is rejected).
 
     What the base rule rejects is left out. A rule is accepted when at least min_precision of what it covers, of the
-    rows left, is labelled 0 and these are min_covered rows and min_share of the sample, so that documents labelled
+    rows left and also of those of them that it was not grown on, is labelled 0 and these are min_covered rows and min_share of the sample, so that documents labelled
     good stay; what a rule covers that is not accepted is set aside, and covering goes on with the rest.
     """
     sample = sample[~((sample.n_words < 20) | (100 * sample.n_repeat_words > 30 * sample.n_words))] if len(sample) else sample
@@ -177,7 +178,9 @@ def learn(sample: pd.DataFrame, max_rules: int = 12, max_tests: int = 4, min_pre
         good, wrong = int((hit & bad).sum()), int((hit & ~bad).sum())
         if not hit.any():
             break
-        if good >= min_covered and good / (good + wrong) >= min_precision:
+        # as precise on the rows that it was not grown on
+        unseen, wrong_unseen = int((hit & prune & bad).sum()), int((hit & prune & ~bad).sum())
+        if good >= min_covered and good / (good + wrong) >= min_precision and unseen >= min_precision * (unseen + wrong_unseen):
             rules.append(Rule(tests, round(good / (good + wrong), 4), good))
         left &= ~hit
         turn = (turn + 1) % 3
@@ -207,12 +210,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_0
     )
     small_batches(docs.sparkSession)
     found = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(picked), "_id").select("_h", "_id", "quality", stats("_text").alias("s"))
+    # rows that repeat an id would take the sample beyond its bound
+    found = found.groupBy("_h", "_id", "quality").agg(F.min("s").alias("s"))
     return found.select("_h", "_id", "quality", "s.*").toPandas().sort_values(["_h", "_id", "quality"]).reset_index(drop=True)
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs with a struct column _quality: the statistics, base_failed, rule (number of the rule that rejects) and kept."""
     small_batches(docs.sparkSession)
+    free_name(docs, "_quality")
     seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), stats("text").alias("_s"))
     judged = seen.select("_doc", "_s.*").select("_doc", *[n for n, _ in STATS], base_failed().alias("base_failed"), verdict(rules).alias("rule"))
     judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
