@@ -17,6 +17,19 @@ def test_the_end_of_a_text_is_learned(spark):
     head = "lorem ipsum dolor " * 1000
     rows = [(i, head + (f"quick brown foxes jump {i} " if i % 2 else f"schnelle braune füchse springen {i} ") * 800, "en" if i % 2 else "de") for i in range(24)]
     texts, langs = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert texts and all(len(t) < 20_100 and ("foxes" in t) != ("braune" in t) for t in texts)
+    # nothing of a text is cut off: all of its segments are drawn while they are fewer than the bound
+    assert texts and all(len(t) > 30_000 and ("foxes" in t) != ("braune" in t) for t in texts)
+    few, _ = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), segments_per_lang=200)
+    assert 200 < sum(len(t) // 240 for t in few) < 700 and any("foxes" in t or "braune" in t for t in few) and any("lorem" in t for t in few)
     model = language_id.train([head[:6000] + t[-6000:] for t in texts], langs)
     assert model.predict("quick brown foxes jump")[0] == "en" and model.predict("schnelle braune füchse springen")[0] == "de"
+
+
+def test_scores_are_calibrated_on_whole_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    out, _ = language_id.identify(docs)
+    held = out.where(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select((F.col("lang") == F.col("_lang.lang_pred")).alias("right"), "_lang.score").toPandas()
+    assert abs(held.right.mean() - held.score.mean()) < 0.03
+    for low, high in ((0, 0.9), (0.9, 1.01)):
+        some = held[(held.score >= low) & (held.score < high)]
+        assert len(some) < 20 or abs(some.right.mean() - some.score.mean()) < 0.15

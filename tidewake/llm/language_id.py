@@ -3,11 +3,14 @@
 A text becomes its lower-cased letters with one blank between words; all runs of 1 to 4 characters are hashed
 into buckets. The embeddings of the buckets are averaged and fed to a linear softmax; both are trained by
 stochastic gradient descent in numpy on a bounded sample of labelled texts. A temperature fitted on texts kept
-apart calibrates the probabilities, and a threshold on them marks predictions to reject.
+apart calibrates the probabilities of whole texts, and a threshold on them marks predictions to reject.
 
-For prediction the product of embeddings and weights is taken once, so a text costs one table row for each run.
+The sample has two documented bounds: per_lang texts and segments_per_lang segments of SEGMENT characters for each
+language. Segments are drawn by a hash out of all segments of the texts, so no part of a text is left out, and all
+languages are learned. Predictions always read whole texts; the product of embeddings and weights is taken once, so a
+text costs one table row for each run.
 Defined results: null texts and texts without a letter are und with score 0; repeated rows get equal results;
-without any labelled row everything is und; ties go to the first language by name.
+without any labelled row everything is und; ties go to the first language by name; a column _lang of the input is refused.
 """
 
 from __future__ import annotations
@@ -20,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import id_text, small_batches
+from tidewake.llm.common import free_name, id_text, small_batches, stored
 
 BUCKETS = 1 << 16
 DIM = 16
 RUNS = (1, 2, 3, 4)
 UND = "und"
-SEGMENTS = 20
-# Bounds on what the driver holds: texts of all languages together, but LEAST of each language; characters of a text.
-TEXTS, LEAST = 80_000, 20
-LONG_TEXT = 20_000
+SEGMENT = 240
+# Bounds on what the driver holds: texts and segments of all languages together, but some of each language.
+TEXTS, LEAST_TEXTS = 80_000, 20
+SEGMENTS, LEAST_SEGMENTS = 100_000, 100
+STEP = 16  # segments in one update
 
 
 @lru_cache(maxsize=1)
@@ -85,44 +89,56 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, segment: int = 240, accuracy: float = 0.995, seed: int = 7) -> Model:
-    """SGD over at most SEGMENTS segments of each text, drawn evenly; every fifth text is kept apart for the temperature and the rejection threshold."""
+def _ends(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all buckets, where each bag starts, sizes)."""
+    sizes = np.array([len(h) for h in bags])
+    return np.concatenate(bags), np.cumsum(sizes) - sizes, sizes
+
+
+def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, segment: int = SEGMENT, accuracy: float = 0.995, seed: int = 7) -> Model:
+    """SGD over all segments of the texts, STEP of them in an update; every fifth text is kept apart, whole, for the temperature and the rejection threshold."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     of = {x: k for k, x in enumerate(names)}
-    parts: tuple[list, list] = ([], [])
+    bags: list[np.ndarray] = []
+    label: list[int] = []
+    apart: list[tuple[str, int]] = []
     for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
+        if i % 5 == 4:
+            apart.append((t, of[lang]))
+            continue
         x = points(t or "")
-        starts = range(0, max(len(x), 1), segment)
-        if len(starts) > SEGMENTS:
-            starts = [k * (len(x) - segment) // (SEGMENTS - 1) for k in range(SEGMENTS)]
-        for a in starts:
-            h = hashed(x[a : a + segment])
+        for a in range(0, len(x), segment):
             if (x[a : a + segment] != 32).any():
-                parts[i % 5 == 4].append((h, of[lang]))
+                bags.append(hashed(x[a : a + segment]))
+                label.append(of[lang])
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     W, b = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
-    steps = max(1, epochs * len(parts[0]))
-    done = 0
+    y = np.array(label, np.int64)
+    steps, done = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(parts[0])):
-            h, y = parts[0][k]
+        order = rng.permutation(len(bags))
+        for k in range(0, len(order), STEP):
+            some = order[k : k + STEP]
+            h, starts, sizes = _ends([bags[j] for j in some])
             lr = rate * (1 - done / steps)
-            done += 1
-            g = E[h].mean(0)
-            d = softmax(g @ W + b)
-            d[y] -= 1
-            back = W @ d
-            W -= lr * np.outer(g, d)
-            b -= lr * d
-            np.subtract.at(E, h, (lr * 10 / len(h)) * back)
+            done += len(some)
+            g = np.add.reduceat(E[h], starts) / sizes[:, None].astype(np.float32)
+            d = softmax(g @ W + b).astype(np.float32)
+            d[np.arange(len(some)), y[some]] -= 1
+            back = (d @ W.T) * (lr * 10 / sizes[:, None]).astype(np.float32)
+            W -= lr * g.T @ d
+            b -= lr * d.sum(0)
+            # gradients of equal buckets are added up before they are taken off
+            by = np.argsort(h, kind="stable")
+            edge = np.flatnonzero(np.diff(h[by].astype(np.int64), prepend=-1))
+            E[h[by][edge]] -= np.add.reduceat(np.repeat(back, sizes, 0)[by], edge)
     model = Model(names, (E @ W).astype(np.float32), b.astype(np.float64))
-    held = parts[1] or parts[0]
-    if held:
-        z = np.array([model.table[h].mean(0, dtype=np.float64) + model.bias for h, _ in held])
-        y = np.array([k for _, k in held])
+    seen = [(z, k) for z, k in ((model.logits(t or ""), k) for t, k in apart or list(zip(texts, map(of.get, langs), strict=True))) if z is not None]
+    if seen:
+        z, y = np.array([x for x, _ in seen]), np.array([k for _, k in seen])
         grid = np.geomspace(0.05, 5, 40)
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
@@ -139,30 +155,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def spread(text: Column) -> Column:
-    """text, or SEGMENTS pieces at even distances over all of it, LONG_TEXT characters together."""
-    piece = LONG_TEXT // SEGMENTS
-    start = lambda k: F.floor(k * (F.length(text) - piece) / (SEGMENTS - 1)).cast("int") + 1
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.substring(text, start(k), F.lit(piece)))
-    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(F.array_join(pieces, " "))
+def _uniform(*cols) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / float(1 << 53)
+
 
+def _shares(spark, counts: list, bound: int) -> DataFrame:
+    """lang, share: the part of each language's rows that keeps it at about bound, at least its smallest hash. A row for each language, as many as the model has classes."""
+    return spark.createDataFrame([(r["lang"], max(bound / r["n"], r["least"])) for r in counts], "lang string, share double")
 
-def training_sample(docs: DataFrame, per_lang: int = 400) -> tuple[list[str], list[str]]:
-    """About per_lang texts of each language, and of very many languages TEXTS together, but LEAST of each.
 
-    Rows are those whose hash of id and text is below their share of the language's rows, at least the smallest hash of
-    each language; repeated rows count once. Held-out rows, null texts and null languages are not read.
+def training_sample(docs: DataFrame, per_lang: int = 400, segments_per_lang: int = 4000) -> tuple[list[str], list[str]]:
+    """(texts, languages): of about per_lang texts of each language, about segments_per_lang segments, those of a text joined in order.
+
+    Of very many languages it is TEXTS and SEGMENTS together, but LEAST_TEXTS and LEAST_SEGMENTS of each. Texts are those
+    whose hash of id and text is below their share of the language's rows, segments likewise out of all segments of these
+    texts; repeated rows count once. Held-out rows, null texts and null languages are not read.
     """
+    spark = docs.sparkSession
     own = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    own = own.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.coalesce(id_text(), F.lit("")), F.lit("lang"), "text"), 11) / float(1 << 53))
-    counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    own = own.withColumn("h", _uniform(F.coalesce(id_text(), F.lit("")), F.lit("lang"), "text"))
+    by = lambda rows, h: rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("least")).collect()
+    counts = by(own, "h")
+    if not counts:
+        return [], []
+    texts = max(min(per_lang, TEXTS // len(counts)), min(per_lang, LEAST_TEXTS))
+    rows = own.join(F.broadcast(_shares(spark, counts, texts)), "lang").where("h <= share").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    cut = F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))).alias("at", "segment")
+    parts = stored(rows.select("lang", "h", cut).withColumn("g", _uniform("h", "at")), "language-segments")
+    segments = max(min(segments_per_lang, SEGMENTS // len(counts)), min(segments_per_lang, LEAST_SEGMENTS))
+    counts = by(parts, "g")
     if not counts:
         return [], []
-    per = max(min(per_lang, TEXTS // len(counts)), min(per_lang, LEAST))
-    # a row for each language, as many as the model has classes
-    shares = docs.sparkSession.createDataFrame([(r["lang"], max(per / r["n"], r["least"])) for r in counts], "lang string, share double")
-    rows = own.join(F.broadcast(shares), "lang").where("h <= share").groupBy("lang", "h").agg(F.min(F.struct("doc_id", spread(F.col("text")).alias("text"))).alias("x"))
-    rows = rows.select("lang", "h", "x.text").orderBy("h", "lang").collect()
+    parts = parts.join(F.broadcast(_shares(spark, counts, segments)), "lang").where("g <= share")
+    found = parts.groupBy("lang", "h").agg(F.array_sort(F.collect_list(F.struct("at", "segment"))).alias("x")).select("lang", "h", F.array_join("x.segment", " ").alias("text"))
+    rows = found.orderBy("h", "lang").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -177,8 +204,9 @@ def predict_udf(model: Model):
     return predict
 
 
-def identify(docs: DataFrame, per_lang: int = 400, **options) -> tuple[DataFrame, Model]:
+def identify(docs: DataFrame, per_lang: int = 400, segments_per_lang: int = 4000, **options) -> tuple[DataFrame, Model]:
     """docs with a struct column _lang: lang_pred, score, rejected. Only text is an input of a prediction."""
-    model = train(*training_sample(docs, per_lang), **options)
+    free_name(docs, "_lang")
+    model = train(*training_sample(docs, per_lang, segments_per_lang), **options)
     small_batches(docs.sparkSession)
     return docs.withColumn("_lang", predict_udf(model)(F.col("text"))), model
