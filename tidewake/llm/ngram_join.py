@@ -1,23 +1,28 @@
 """N-gram Jaccard join: a MinHash LSH forest followed by exact verification.
 
-Documents are sets of five-word shingles; copies (equal sets) are one class from the start. A class has a
-signature of TREES slices of DEPTH hashes. Each tree of the forest is the sorted list of its slices, a prefix trie.
-How far matched prefixes must be shortened follows from the target recall: at depth k a pair at the threshold t
-meets in some tree with probability 1 - (1 - t^k)^TREES, and the deepest k that reaches the target is where
-shortening ends. Within a trie node of that depth classes are joined from the longest common prefixes down to the
-shortest, and only pairs not joined yet are compared by their whole signatures.
+Documents are sets of five-word shingles; copies (equal sets, known by a SHA-256 of their hashes) are one class from the
+start. A class has a signature of TREES slices of DEPTH hashes. Each tree of the forest is the sorted list of its slices,
+a prefix trie. Matched prefixes are shortened, from DEPTH on, until the target recall is reached: the recall of each
+length is measured on QUERIES sample classes against all classes (forest_recall), and a length is good enough if the
+measurement shows the target, or, where the sample holds too few pairs for that, if the measurement does not speak
+against it and a pair at the threshold meets in some tree with the target's probability 1 - (1 - t^k)^TREES. Within a
+trie node of that depth classes are joined from the longest common prefixes down to the shortest, and only pairs not
+joined yet are compared by their whole signatures.
 
 What these comparisons join are clusters; within a cluster every pair of classes is verified exactly, in blocks of
-matrix products, so no list of pairs is ever written and no link between two classes of one cluster is lost. The
-result has a row for each document: its class (the smallest id that links reach) and its number of links.
+matrix products over their sets of shingle hashes, so no list of pairs is ever written, no text is read twice and no link
+between two classes of one cluster is lost. The result has a row for each document: its class (the smallest id that links
+reach) and its number of links.
 
 Defined results: words are runs of characters other than blank, tab and line ends; a text with 1 to 4 words has one
-shingle of them all; null texts and texts without a word link with nothing; rows with a null id are not compared;
-rows that repeat an id are documents of their own, each compared by its own text; an empty table gives an empty result.
+shingle of them all; null texts and texts without a word link with nothing; rows with a null id are not compared, and an id
+that is no whole number counts as null; rows that repeat an id are documents of their own, each compared by its own text;
+an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,8 @@ TARGET_RECALL = 0.9999
 #: Signatures that agree less than this are not compared further; at the threshold their share is binomial.
 LIKELY = 0.62
 BLOCK = 512
+#: Sample classes whose partners among all classes are looked up to measure the forest's recall.
+QUERIES = 256
 REMEMBERED = 400_000
 _words: dict[bytes, int] = {}
 
@@ -86,40 +93,103 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("nodes", pa.list_(pa.int64()))])
-PROFILE_DDL = "doc_id long, key long, n int, sig binary, nodes array<long>"
+PROFILE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("sig", pa.binary()), ("slices", pa.binary())])
+PROFILE_DDL = "doc_id long, h long, digest binary, n int, sig binary, slices binary"
 
 
-def key_of(some: np.ndarray) -> int:
-    """The class of a shingle set: 64 bits of a digest of its sorted hashes."""
-    return int(np.array(xxhash.xxh3_64_intdigest(some), np.uint64).view(np.int64))
+def digest_of(some: np.ndarray) -> bytes:
+    """The class of a shingle set: a digest of its sorted hashes."""
+    return hashlib.sha256(some.astype("<u8").tobytes()).digest()
 
 
-def _profile(depth: int):
-    """doc_id, text -> class key, set size, signature (the low byte of each hash), and its trie node at depth in each tree. One pass over the texts."""
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, h, text -> digest, set size, signature (a byte of each hash) and trie slices (two bytes of each hash). One pass over the texts."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            sets = [shingles(x.as_py()) for x in part.column(2)]
+            some = [k for k, x in enumerate(sets) if len(x)]
+            sigs: list[bytes | None] = [None] * len(sets)
+            slices: list[bytes | None] = [None] * len(sets)
+            if some:
+                sig = signatures([sets[k] for k in some])
+                low = ((sig ^ (sig >> np.uint32(11)) ^ (sig >> np.uint32(22))) & np.uint32(255)).astype(np.uint8)
+                two = ((sig ^ (sig >> np.uint32(16))) & np.uint32(0xFFFF)).astype("<u2")
+                for row, k in enumerate(some):
+                    sigs[k], slices[k] = low[row].tobytes(), two[row].tobytes()
+            digests = [digest_of(x) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.array(slices, pa.binary())], schema=PROFILE)
+
+
+def _slices(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), TREES, DEPTH)
+
+
+def _nodes(depth: int):
+    """key, slices -> a row for each tree: the trie node at depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = _slices(batch.column(1)).astype(np.uint64)
+            node = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(own), 1))
+            for d in range(depth):
+                node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + own[:, :, d])
+            key = np.repeat(batch.column(0).to_numpy(), TREES)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(own))), pa.array(node.ravel().view(np.int64))], names=["key", "tree", "node"])
+
+    return run
+
+
+def _partners(keys: np.ndarray, wanted: np.ndarray, threshold: float):
+    """key, slices -> (prefix, pairs): near pairs of these rows with the sample, by the longest prefix they share in a tree. A pair is near if its signatures say so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DEPTH + 1, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                sets = [shingles(x.as_py()) for x in part.column(1)]
-                some = [k for k, x in enumerate(sets) if len(x)]
-                sigs: list[bytes | None] = [None] * len(sets)
-                nodes: list[np.ndarray | None] = [None] * len(sets)
-                if some:
-                    sig = signatures([sets[k] for k in some])
-                    low = ((sig ^ (sig >> np.uint32(11)) ^ (sig >> np.uint32(22))) & np.uint32(255)).astype(np.uint8)
-                    key = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(some), 1))
-                    for d in range(depth):
-                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, d::DEPTH])
-                    for row, k in enumerate(some):
-                        sigs[k], nodes[k] = low[row].tobytes(), key[row].view(np.int64)
-                keys = [key_of(x) if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], schema=PROFILE)
+            own, key = _slices(batch.column(1)), batch.column(0).to_numpy()
+            for q, w in zip(keys, wanted, strict=True):
+                # the first slices tell most rows apart
+                some = np.flatnonzero((own[:, :4] == w[:4]).sum((1, 2)) >= 2 * DEPTH)
+                same = own[some] == w
+                near = (same.mean((1, 2)) >= threshold) & (key[some] != q)
+                total += np.bincount(np.cumprod(same[near], 2).sum(2).max(1), minlength=DEPTH + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DEPTH + 1)), pa.array(total)], names=["prefix", "pairs"])
 
     return run
 
 
+def forest_recall(classes: DataFrame, threshold: float = THRESHOLD, queries: int = QUERIES) -> tuple[int, list[float]]:
+    """(pairs, recall by prefix length 0 .. DEPTH): which part of the near pairs of sample classes, looked up among all classes, shares a prefix of that length in some tree.
+
+    classes: key, slices. The sample is the classes with the smallest hashes, at most queries of them.
+    """
+    sample = classes.select("key", "slices").orderBy(F.xxhash64("key", F.lit(9))).limit(queries).toArrow()
+    if not sample.num_rows:
+        return 0, [1.0] * (DEPTH + 1)
+    keys, wanted = sample.column("key").to_numpy(), _slices(sample.column("slices").combine_chunks())
+    rows = classes.select("key", "slices").mapInArrow(_partners(keys, wanted, threshold), "prefix long, pairs long").groupBy("prefix").agg(F.sum("pairs").alias("pairs")).collect()
+    pairs = np.zeros(DEPTH + 1, np.int64)
+    for r in rows:
+        pairs[r["prefix"]] = r["pairs"]
+    total = int(pairs.sum())
+    return total, [float(x) for x in np.cumsum(pairs[::-1])[::-1] / max(total, 1)] if total else [1.0] * (DEPTH + 1)
+
+
+def shortened_depth(pairs: int, recall: list[float], threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """The prefix length at which shortening ends, from the measured recall of each length.
+
+    The sample shows the target if it would with three more misses; it speaks against it with more than three misses beyond the target's.
+    """
+    sure = needed_depth(threshold, target)
+    for k in range(DEPTH, 1, -1):
+        missed = round((1 - recall[k]) * pairs)
+        if missed + 3 <= (1 - target) * pairs or k <= sure and missed <= 3 + (1 - target) * pairs:
+            return k
+    return 1
+
+
 class Forest:
     """Union-find over row numbers."""
 
@@ -292,6 +362,18 @@ def verify_block(docs: np.ndarray, weights: np.ndarray, sets: list[np.ndarray],
     return links, a, b
 
 
+SETS = pa.schema([("key", pa.int64()), ("shingles", pa.binary())])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, digest, text -> key, shingle hashes of the classes whose set the text has."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            rows = [(key, some.tobytes()) for key, digest, some in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), (shingles(x.as_py()) for x in part.column(2)), strict=True) if digest_of(some) == digest]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=SETS)
+
+
 VERIFIED = pa.schema([("key", pa.int64()), ("links", pa.int64()), ("b", pa.int64())])
 
 
@@ -299,19 +381,13 @@ def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, ["cluster", "bi", "bj"]):
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                g = t.slice(lo, hi - lo)
-                rows, keys = {}, g.column("key").to_pylist()
-                for k, (key, text) in enumerate(zip(keys, g.column("text").to_pylist(), strict=True)):
-                    # a repeated id brings other texts along; a class is verified by the text that has its key
-                    if key not in rows and key_of(some := shingles(text)) == key:
-                        rows[key] = (k, some)
-                if len(rows) < 2:
+                if hi - lo < 2:
                     continue
-                pick = [k for k, _ in rows.values()]
-                ids, weights = np.array(list(rows), np.int64), g.column("copies").to_numpy()[pick]
+                g = t.slice(lo, hi - lo)
+                ids, weights = g.column("key").to_numpy(), g.column("copies").to_numpy()
                 bi, bj = g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
-                first = None if bi == bj else g.column("own").to_numpy()[pick] == bi
-                links, a, b = verify_block(ids, weights, [x for _, x in rows.values()], first, threshold)
+                first = None if bi == bj else g.column("own").to_numpy() == bi
+                links, a, b = verify_block(ids, weights, [np.frombuffer(x.as_py(), np.uint64) for x in g.column("shingles")], first, threshold)
                 some = np.flatnonzero(links)
                 none = lambda n: pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), none(len(some))], schema=VERIFIED)
@@ -320,6 +396,17 @@ def _verify(threshold: float):
     return run
 
 
+def profiled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, profiles, classes) of docs (doc_id, text); h tells apart the texts of rows that share an id."""
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    small_batches(docs.sparkSession)
+    own = stored(rows.mapInArrow(_profile, PROFILE_DDL), "ngram-profiles")
+    known = own.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("slices").alias("slices"))
+    classes = classes.select("digest", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h"), "copies", "sig", "slices")
+    return rows, own, stored(classes.withColumn("key", F.monotonically_increasing_id()), "ngram-classes")
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, copy_id, class_id, n_links; a row for each row of docs.
 
@@ -327,38 +414,37 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     n_links: other rows linked directly, copies included.
     """
     spark = docs.sparkSession
-    depth = needed_depth(threshold, target)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small_batches(spark)
-    own = stored(rows.mapInArrow(_profile(depth), PROFILE_DDL), "ngram-profiles")
-    known = own.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
-    classes = stored(classes, "ngram-classes")
+    rows, own, classes = profiled(docs)
+    depth = shortened_depth(*forest_recall(classes, threshold), threshold, target)
 
     # trie nodes that hold two classes or more, and what their signatures join
-    nodes = classes.select("key", F.posexplode("nodes").alias("tree", "node"))
+    nodes = stored(classes.select("key", "slices").mapInArrow(_nodes(depth), "key long, tree int, node long"), "ngram-nodes")
     members = blocks_of(nodes, ["tree", "node"], 2 * BLOCK).join(classes.select("key", "sig").hint("merge"), "key")
     dealt = members.repartition(n, "tree", "node", "bi", "bj").sortWithinPartitions("tree", "node", "bi", "bj", "key")
     clusters = components(stored(dealt.mapInArrow(_join_nodes(depth), "a long, b long"), "ngram-likely"))
 
-    # exact verification within clusters
+    # the sets of clustered classes, each from one text, then exact verification within clusters
     clusters = clusters.select(F.col("id").alias("key"), F.col("component").alias("cluster"))
-    placed = stored(blocks_of(clusters.join(classes.select("key", "rep", "copies").hint("merge"), "key"), ["cluster"], BLOCK), "ngram-clusters")
-    work = placed.join(rows.where("text IS NOT NULL").hint("merge"), F.col("rep") == F.col("doc_id"))
-    work = work.select("cluster", "bi", "bj", "own", "key", "copies", "text")
+    within = stored(clusters.join(classes.select("key", "digest", "rep", "rep_h", "copies").hint("merge"), "key"), "ngram-clustered")
+    same = (F.col("doc_id") == F.col("rep")) & (F.col("h") == F.col("rep_h"))
+    texts = rows.where("text IS NOT NULL").join(within.select("rep", "rep_h").hint("merge"), same, "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    sets = texts.join(within.select("key", "digest", "rep", "rep_h").hint("merge"), same).select("key", "digest", "text")
+    sets = stored(sets.mapInArrow(_sets, "key long, shingles binary"), "ngram-sets")
+    placed = stored(blocks_of(within.select("key", "cluster", "copies"), ["cluster"], BLOCK), "ngram-clusters")
+    work = placed.join(sets.hint("merge"), "key").select("cluster", "bi", "bj", "own", "key", "copies", "shingles")
     work = work.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "key")
     seen = stored(work.mapInArrow(_verify(threshold), "key long, links long, b long"), "ngram-verified")
     links = seen.where("links IS NOT NULL").groupBy("key").agg(F.sum("links").alias("links"))
 
     # classes of linked documents by their smallest id
     groups = components(seen.where("b IS NOT NULL").select(F.col("key").alias("a"), "b")).select(F.col("id").alias("key"), "component")
-    named = classes.select("key", "rep", "copies").join(links.hint("merge"), "key", "left").join(groups.hint("merge"), "key", "left")
+    named = classes.select("key", "digest", "rep", "copies").join(links.hint("merge"), "key", "left").join(groups.hint("merge"), "key", "left")
     named = stored(named.withColumn("component", F.coalesce("component", "key")), "ngram-links")
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    found = named.join(least.hint("merge"), "component").select(F.col("key").alias("_key"), "rep", "copies", "links", "class_id")
+    found = named.join(least.hint("merge"), "component").select(F.col("digest").alias("_digest"), "rep", "copies", "links", "class_id")
     found = stored(found, "ngram-found")
-    out = own.join(found.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
+    out = own.select("doc_id", "n", "digest").join(found.hint("merge"), (F.col("digest") == F.col("_digest")) & F.col("doc_id").isNotNull(), "left")
     return out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
