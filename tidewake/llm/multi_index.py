@@ -1,16 +1,20 @@
 """Embedding near-duplicates with an inverted multi-index.
 
 Vectors are cut in halves and each half has a codebook of its own; the pairs of centroids are the cells of a
-product grid, held for each label. A vector lies in the cell of its nearest centroids. As a query it visits cells
-by multi-sequence traversal, nearest first, until it has passed the margin at which the target recall is reached;
-the margin is measured on vectors turned to exactly the threshold and on near pairs of the sample. What shares a
-visited cell is verified by cosine in double precision, in blocks of matrix products: only link counts and the
-edges of a spanning forest leave a task. A pair met in two cells is counted in one of them.
-
-The codebooks are fitted on a sample of at most SAMPLE rows; all rows are indexed. Equal vectors of a label are one
-class from the start. Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
-null labels, link with nothing; vectors of different lengths do not link; rows that repeat a vec_id are vectors of
-their own; an empty table gives an empty result.
+product grid, held for each label and vector length. A vector lies in the cell of its nearest centroids. As a query
+it visits cells by multi-sequence traversal, nearest first, until it has passed the margin at which the target recall
+is reached, and of these it keeps the cells numbered below its own: of two vectors the one in the higher cell visits
+the other, so a pair is met once. The margin is measured on vectors turned to exactly the threshold and on all near pairs
+of the sample. What shares a visited cell is verified by cosine in double precision, in blocks of matrix products:
+only link counts and the edges of a spanning forest leave a task.
+
+The codebooks of a length are fitted on a sample of its rows, SAMPLE or EACH rows for each centroid, whichever is more;
+their size goes with the root of the rows of the largest label, so cells stay small. All rows are indexed, of every
+length. Equal vectors of a label are one class from the start, known by a SHA-256 of their components.
+Defined results: vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with
+nothing; vectors of different lengths do not link; rows with a null vec_id are not compared, and those with an id that is no
+whole number count as such; rows that repeat a vec_id are vectors of their own; an empty table gives an empty result;
+columns other than vec_id, embedding and label are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from tidewake.llm.ngram_join import Forest, _stars, blocks_of, whole_groups
 
 THRESHOLD = 0.98
 TARGET_RECALL = 0.999
-SAMPLE = 10_000
+#: Rows of the sample at least, its rows for each centroid, rows of a label to a cell, and rows of the sample that are turned to the threshold.
+SAMPLE, EACH, CELL, TURNED = 10_000, 16, 64, 4000
 BLOCK = 1024
 
 
@@ -52,12 +57,17 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :], 0)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, in blocks."""
+    return np.concatenate([_squared(x[k : k + 2048], c).argmin(1) for k in range(0, len(x), 2048)])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, replace=False)].copy()
-    for _ in range(rounds):
-        own = _squared(x, c).argmin(1)
+    for _ in range(rounds if x.shape[1] else 0):
+        own = _nearest(x, c)
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         n = np.bincount(own, minlength=k)
@@ -83,42 +93,64 @@ def traverse(d1: np.ndarray, d2: np.ndarray, margin: float) -> list[int]:
     return out
 
 
-def _excess(grid: Grid, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How much margin is needed for x to visit the cell of y."""
+def _need(grid: Grid, x: np.ndarray, near: np.ndarray, ones: np.ndarray, twos: np.ndarray, own: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Margins that rows x, which lie in cells own, need to visit the cells of their near partners (a matrix of booleans) that lie lower."""
     d1, d2 = grid.distances(x)
-    e1, e2 = grid.distances(y)
-    at = np.arange(len(x))
-    return d1[at, e1.argmin(1)] + d2[at, e2.argmin(1)] - d1.min(1) - d2.min(1)
+    i, j = np.nonzero(near & (own[:, None] > cells[None, :]))
+    return d1[i, ones[j]] + d2[i, twos[j]] - (d1.min(1) + d2.min(1))[i]
+
+
+class Quantile:
+    """A quantile of numbers in [0, 16) from counts of narrow bins; the upper edge of its bin."""
+
+    def __init__(self, bins: int = 1 << 16):
+        self.counts, self.width = np.zeros(bins, np.int64), 16 / bins
+
+    def add(self, values: np.ndarray) -> None:
+        at = np.clip(values / self.width, 0, len(self.counts) - 1).astype(np.int64)
+        self.counts += np.bincount(at, minlength=len(self.counts))
+
+    def of(self, share: float) -> float:
+        upto = np.cumsum(self.counts)
+        return float((np.searchsorted(upto, share * upto[-1]) + 1) * self.width) if upto[-1] else 0.0
+
+
+def centroids(n_rows: int) -> int:
+    """Centroids of each half for a label of n_rows vectors: as many as put CELL vectors into a cell, 4 at least."""
+    return max(4, round(np.sqrt(n_rows / CELL)))
 
 
 def fit(sample: np.ndarray, labels: np.ndarray, n_rows: int, threshold: float = THRESHOLD, target: float = TARGET_RECALL, seed: int = 11) -> Grid:
     """Codebooks on unit vectors of a sample, with as many centroids as n_rows call for, and the margin for the target recall."""
     dim = sample.shape[1]
-    k = int(np.clip(np.sqrt(n_rows / 64), 4, 512))
-    h = dim // 2
-    grid = Grid(dim, k_means(sample[:, :h], k), k_means(sample[:, h:], k, seed=4))
+    k, h = centroids(n_rows), dim // 2
+    grid = Grid(dim, k_means(sample[:, :h], k if h else 1), k_means(sample[:, h:], k, seed=4))
+    width = len(grid.two)
+    place = lambda x: (_nearest(x[:, :h], grid.one), _nearest(x[:, h:], grid.two))
     rng = np.random.default_rng(seed)
-    x = sample[rng.choice(len(sample), min(len(sample), 4000), replace=False)]
+    x = sample[rng.choice(len(sample), min(len(sample), TURNED), replace=False)]
     u = rng.normal(size=x.shape)
     u -= (u * x).sum(1)[:, None] * x
     u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
-    need = [_both(grid, x, threshold * x + np.sqrt(1 - threshold**2) * u)]
+    # turned vectors, and all near pairs of the sample, must each reach the target
+    turned, pairs = Quantile(), Quantile()
+    y = threshold * x + np.sqrt(1 - threshold**2) * u
+    for one, two in ((x, y), (y, x)):
+        (a1, a2), (b1, b2) = place(one), place(two)
+        for lo in range(0, len(x), 512):
+            hi = min(lo + 512, len(x))
+            cells = b1[lo:hi] * width + b2[lo:hi]
+            turned.add(_need(grid, one[lo:hi], np.eye(hi - lo, dtype=bool), b1[lo:hi], b2[lo:hi], a1[lo:hi] * width + a2[lo:hi], cells))
     for lab in np.unique(labels):
-        own = sample[labels == lab][:2000]
-        i, j = np.nonzero(np.triu(own @ own.T >= threshold, 1))
-        some = slice(0, 20_000)
-        if len(i):
-            need.append(_both(grid, own[i[some]], own[j[some]]))
-    # the turned vectors and the pairs of the sample must each reach the target
-    grid.margin = max(float(np.quantile(q, target)) for q in (need[0], np.concatenate(need[1:]) if len(need) > 1 else need[0])) + 1e-9
+        own = sample[labels == lab]
+        c1, c2 = place(own)
+        cells = c1 * width + c2
+        for lo in range(0, len(own), 512):
+            pairs.add(_need(grid, own[lo : lo + 512], own[lo : lo + 512] @ own.T >= threshold, c1, c2, cells[lo : lo + 512], cells))
+    grid.margin = max(turned.of(target), pairs.of(target)) + 1e-9
     return grid
 
 
-def _both(grid: Grid, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A pair is met when either visits the other's cell."""
-    return np.minimum(_excess(grid, x, y), _excess(grid, y, x))
-
-
 def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     """(rows that are valid, their unit vectors in double precision) of vectors of equal length."""
     x = np.array(vectors, np.float64)
@@ -128,30 +160,40 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(ok), x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-CLASSES_DDL = "key long, label long, vec array<double>, rep long, copies long"
 PLACED = pa.schema([("key", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("home", pa.int64()), ("vec", pa.binary()), ("copies", pa.int64()), ("visits", pa.list_(pa.int64()))])
 PLACED_DDL = "key long, label long, dim int, home long, vec binary, copies long, visits array<long>"
 
 
-def _place(grid: Grid | None):
-    """key, label, vec, copies -> home cell and visited cells. Vectors of another length than the grid's share the cell -1 of their length."""
+def packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes, of four-byte numbers where these hold all of them exactly."""
+    small = x.astype(np.float32)
+    return [v.tobytes() for v in (small if (small == x).all() else x)]
+
+
+def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    return np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in rows], np.float64)
+
+
+def _place(grids: dict[int, Grid]):
+    """key, label, vec, copies -> home cell, and the cells to lie in: the home cell and those visited with lower numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = batch.column("vec").to_pylist()
-            home, visits, out = [-1] * len(vecs), [[-1]] * len(vecs), [b""] * len(vecs)
-            sizes = np.array([len(v) for v in vecs])
+            vecs = batch.column("vec")
+            flat, ends = vecs.flatten().to_numpy(zero_copy_only=False), np.cumsum(vecs.value_lengths().to_numpy(zero_copy_only=False))
+            sizes = np.diff(ends, prepend=0)
+            home, visits, out = np.zeros(len(vecs), np.int64), [[]] * len(vecs), [b""] * len(vecs)
             for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                _, x = unit([vecs[k] for k in rows])
-                for k, v in zip(rows, x, strict=True):
-                    out[k] = v.astype("<f8").tobytes()
-                if grid is not None and dim == grid.dim:
-                    d1, d2 = grid.distances(x)
-                    for k, p, q in zip(rows, d1, d2, strict=True):
+                rows, grid = np.flatnonzero(sizes == dim), grids[int(dim)]
+                raw = flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
+                for lo in range(0, len(rows), 1024):
+                    some = rows[lo : lo + 1024]
+                    d1, d2 = grid.distances(unit(raw[lo : lo + 1024])[1])
+                    for k, p, q, v in zip(some, d1, d2, packed(raw[lo : lo + 1024]), strict=True):
                         cells = traverse(p, q, grid.margin)
-                        home[k], visits[k] = cells[0], cells
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(sizes.astype(np.int32)), pa.array(home, pa.int64()), pa.array(out, pa.binary()), batch.column("copies"), pa.array(visits, pa.list_(pa.int64()))], schema=PLACED)
+                        home[k], out[k] = cells[0], v
+                        visits[k] = [c for c in cells if c <= cells[0]]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(sizes.astype(np.int32)), pa.array(home), pa.array(out, pa.binary()), batch.column("copies"), pa.array(visits, pa.list_(pa.int64()))], schema=PLACED)
 
     return run
 
@@ -159,11 +201,10 @@ def _place(grid: Grid | None):
 LINKS = pa.schema([("key", pa.int64()), ("links", pa.int64()), ("b", pa.int64())])
 
 
-def count_links(x: np.ndarray, cell: int, home: np.ndarray, visits: list, weights: np.ndarray, first: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(weighted links of each row, roots of the forest they span) among the pairs that this cell has to count."""
+def count_links(x: np.ndarray, here: np.ndarray, weights: np.ndarray, first: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted links of each row, roots of the forest they span) of the pairs of a cell: those at home here with each other and with visitors."""
     n = len(x)
     links, forest = np.zeros(n, np.int64), Forest(n)
-    here = home == cell
     for lo in range(0, n, 256):
         hi = min(lo + 256, n)
         near = x[lo:hi] @ x.T >= threshold
@@ -173,12 +214,6 @@ def count_links(x: np.ndarray, cell: int, home: np.ndarray, visits: list, weight
             near &= first[lo:hi, None] != first[None, :]
         i, j = np.nonzero(near)
         i += lo
-        apart = np.flatnonzero(home[i] != home[j])
-        # such a pair is met again in the visitor's own cell if the other one visits that; the smaller cell then counts it
-        drop = [k for k in apart if (v := i[k] if here[j[k]] else j[k], o := j[k] if here[j[k]] else i[k]) and home[v] < cell and home[v] in visits[o]]
-        keep = np.ones(len(i), bool)
-        keep[drop] = False
-        i, j = i[keep], j[keep]
         np.add.at(links, i, weights[j])
         np.add.at(links, j, weights[i])
         forest.join(i, j)
@@ -193,11 +228,10 @@ def _link(threshold: float):
                     continue
                 g = t.slice(lo, hi - lo)
                 ids = g.column("key").to_numpy()
-                x = np.frombuffer(b"".join(g.column("vec").to_pylist()), "<f8").reshape(len(ids), -1)
+                x = unit(unpacked(g.column("vec").to_pylist(), g.column("dim")[0].as_py()))[1]
                 bi, bj = g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
                 first = None if bi == bj else g.column("own").to_numpy() == bi
-                visits = [set(v) for v in g.column("visits").to_pylist()]
-                links, up = count_links(x, g.column("cell")[0].as_py(), g.column("home").to_numpy(), visits, g.column("copies").to_numpy(), first, threshold)
+                links, up = count_links(x, g.column("home").to_numpy() == g.column("cell")[0].as_py(), g.column("copies").to_numpy(), first, threshold)
                 some = np.flatnonzero(links)
                 if not len(some):
                     continue
@@ -209,41 +243,59 @@ def _link(threshold: float):
     return run
 
 
+def fitted(classes: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, sample: int = SAMPLE) -> dict[int, Grid]:
+    """The grid of each vector length in classes (key, label, vec).
+
+    The sample of a length has about sample or EACH rows for each of its centroids, whichever is more; many lengths share
+    what one has, but each gets 1 / 16 of it at least.
+    """
+    sizes = classes.groupBy(F.size("vec").alias("dim"), "label").agg(F.count("*").alias("n"), F.min(F.xxhash64("key")).alias("h"))
+    sizes = sizes.groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("h").alias("h")).collect()
+    bound = lambda r: max(sample // min(len(sizes), 16), EACH * centroids(r["most"]))
+    top = float(1 << 63)
+    # a row for each length of vectors
+    limits = [(r["dim"], max(r["h"], int(min((2 * bound(r) / r["n"] - 1) * top, top - 1024)))) for r in sizes]
+    if not limits:
+        return {}
+    limits = classes.sparkSession.createDataFrame(limits, "dim int, least long")
+    picked = classes.join(F.broadcast(limits), F.size("vec") == F.col("dim")).where(F.xxhash64("key") <= F.col("least"))
+    picked = picked.select("dim", "label", "vec", F.xxhash64("key").alias("h")).toPandas().sort_values("h")
+    most = {r["dim"]: r["most"] for r in sizes}
+    out = {}
+    for dim, some in picked.groupby("dim"):
+        ok, x = unit(list(some.vec))
+        out[int(dim)] = fit(x, some.label.to_numpy()[ok], most[dim], threshold, target)
+    return out
+
+
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, sample: int = SAMPLE) -> DataFrame:
     """rows (vec_id, embedding, label) -> vec_id, n_links, component_id, kept; a row for each row."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     vec = F.col("embedding").cast("array<double>")
     sound = F.col("label").isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False)) & F.coalesce(F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(vec, lambda v: v != 0), F.lit(False))
-    own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.when(sound, vec).alias("vec"))
-    own = own.withColumn("key", F.when(F.col("vec").isNotNull() & F.col("vec_id").isNotNull(), F.xxhash64("label", "vec")))
-    classes = own.where("key IS NOT NULL").groupBy("key").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stored(classes, "vec-classes")
-    picked = classes.select("label", "vec", F.xxhash64("key", F.lit(1)).alias("h")).orderBy("h").limit(sample).toPandas()
-    grid = None
-    if len(picked):
-        sizes = picked.vec.map(len)
-        dim = int(sizes.mode().min())
-        if dim > 1:
-            some = picked[sizes == dim]
-            ok, x = unit(list(some.vec))
-            grid = fit(x, some.label.to_numpy()[ok], classes.count(), threshold, target)
+    own = rows.select(F.col("vec_id").try_cast("long").alias("vec_id"), F.col("label").try_cast("long").alias("label"), F.when(sound, vec).alias("vec"))
+    digest = F.unhex(F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.col("vec").cast("string")), 256))
+    own = own.withColumn("digest", F.when(F.col("vec").isNotNull() & F.col("vec_id").isNotNull(), digest))
+    classes = own.where("digest IS NOT NULL").groupBy("digest").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("key", F.monotonically_increasing_id()), "vec-classes")
+    grids = fitted(classes, threshold, target, sample)
     small_batches(spark)
-    placed = stored(classes.select("key", "label", "vec", "copies").mapInArrow(_place(grid), PLACED_DDL), "vec-cells")
+    placed = stored(classes.select("key", "label", "vec", "copies").mapInArrow(_place(grids), PLACED_DDL), "vec-cells")
     lean = placed.select("key", "label", "dim", F.explode("visits").alias("cell"))
     cells = stored(placed.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("home").alias("_h")).distinct(), "vec-homes")
     # visits to cells in which nothing lies end here; both tables are stored, so AQE may split the joins of a hot cell
     lean = lean.join(cells.hint("merge"), (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")) & (F.col("cell") == F.col("_h")), "left_semi")
     lean = stored(lean, "vec-visits")
-    members = blocks_of(lean, ["label", "dim", "cell"], BLOCK).join(placed.select("key", "home", "vec", "copies", "visits").hint("merge"), "key")
+    members = blocks_of(lean, ["label", "dim", "cell"], BLOCK).join(placed.select("key", "home", "vec", "copies").hint("merge"), "key")
     dealt = members.repartition(n, "label", "dim", "cell", "bi", "bj").sortWithinPartitions("label", "dim", "cell", "bi", "bj", "key")
     found = stored(dealt.mapInArrow(_link(threshold), "key long, links long, b long"), "vec-links")
     links = found.where("links IS NOT NULL").groupBy("key").agg(F.sum("links").alias("links"))
     groups = components(found.where("b IS NOT NULL").select(F.col("key").alias("a"), "b")).select(F.col("id").alias("key"), "component")
-    named = classes.select("key", "rep", "copies").join(links.hint("merge"), "key", "left").join(groups.hint("merge"), "key", "left")
+    named = classes.select("key", "digest", "rep", "copies").join(links.hint("merge"), "key", "left").join(groups.hint("merge"), "key", "left")
     named = stored(named.withColumn("component", F.coalesce("component", "key")), "vec-named")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = stored(named.join(least.hint("merge"), "component").select(F.col("key").alias("_key"), "copies", "links", "least"), "vec-found")
-    out = own.select("vec_id", "key").join(named.hint("merge"), F.col("key") == F.col("_key"), "left").withColumn("component_id", F.coalesce("least", "vec_id"))
+    named = stored(named.join(least.hint("merge"), "component").select(F.col("digest").alias("_digest"), "copies", "links", "least"), "vec-found")
+    out = own.select("vec_id", "digest").join(named.hint("merge"), F.col("digest") == F.col("_digest"), "left").withColumn("component_id", F.coalesce("least", "vec_id"))
     count = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
     return out.select("vec_id", count.alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

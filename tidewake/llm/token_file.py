@@ -308,7 +308,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, partitions: int | N
     small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("doc_id").asc_nulls_first(), "h", F.col("text").asc_nulls_first()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     # the hash keeps rows that share an id, or have none, from falling to one task
     rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(_encode_part(tokenizer), BLOCKS_DDL).write.parquet(path)
