@@ -27,19 +27,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are compared by a number of their own, so rows that repeat an id or have none are told apart.
     """
-    rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    rows = stored(docs.select(*COLUMNS).withColumns({"_row": F.monotonically_increasing_id(), "_digest": F.xxhash64("text")}), "pipeline-rows")
     groups = ngram_join.ngram_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    first = rows.select("_row", "doc_id").join(groups.hint("merge"), "_row").groupBy("class_id").agg(F.min(order).alias("first"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest", "_row")
+    first = rows.select("_row", "doc_id", "_digest").join(groups.hint("merge"), "_row").groupBy("class_id").agg(F.min(order).alias("first"))
     return rows.join(first.select("first._row").hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans that hold a secret are replaced in the text; n_chars follows. All documents stay."""
     found = secret_scan.scan_versions(docs.select(*COLUMNS), secret_scan.new_ledger(spark))
-    text = secret_scan.redacted(F.col("text"), F.col("_spans"))
-    hit = F.size("_spans") > 0
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(hit, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    clean = secret_scan.redacted(F.col("text"), F.col("_spans"))
+    found = found.select("doc_id", clean.alias("_clean"), "lang", "source", "n_chars", (F.size("_spans") > 0).alias("_hit"))
+    return found.select("doc_id", F.col("_clean").alias("text"), "lang", "source", F.when(F.col("_hit"), F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
