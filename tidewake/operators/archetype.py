@@ -1,7 +1,13 @@
-"""Archetype scoring: step features of each token in windows, scores in columns, and the alert hysteresis as a fold (WIN-25, FN-8 to FN-12, ST-13, ST-14)."""
+"""Archetype scoring: step features of each token in windows, scores in columns, and alert levels and archetypes as a fold (WIN-25, FN-8 to FN-12, ST-13, ST-14).
+
+A step is a span of time from a token's first flow on. Features have a row for each step with flows, and with the side
+tables also for each step with a change of liquidity or concentration; all other steps are quiet, and what a quiet
+step scores follows from the row before it.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,15 +18,28 @@ from tidewake.functions import scalar as S
 from tidewake.workers import importable
 
 # Weights of the scores, steps of the alert levels by tempo, and thresholds of risk.
-PLUS = {"inflow": 1.4, "early_entries": 1.1, "new_wallets": 1.0}
-MINUS = {"outflow": 1.4, "early_exits": 1.1, "top_outflow": 1.0}
-FRAGILE = {"timing_cluster": 1.1, "repeated_size": 1.0, "density": 1.1}
+PLUS = {"inflow": 1.4, "early_entries": 1.1, "new_wallets": 1.0, "stability": 0.8}
+MINUS = {"outflow": 1.4, "early_exits": 1.1, "top_outflow": 1.0, "liquidity_mad": 0.9, "spike": 0.8}
+FRAGILE = {"timing_cluster": 1.1, "repeated_size": 1.0, "density": 1.1, "removals": 0.9, "thin": 1.2, "authorities": 1.0, "spike": 0.8}
 LEVELS = {"low": (3, 2, 6, 4), "mid": (2, 2, 4, 3), "high": (2, 1, 3, 2)}
 RISK_WARNING, RISK_SHOUT = 0.55, 0.75
+#: Seconds of quiet that make a silent gap, and quiet steps before a token turns to The Ghost.
+SILENT_GAP, GHOST_STEPS = 600, 5
+#: Side features that a table without side tables lacks.
+SIDES = ("removals", "liquidity_mad", "thin", "spike", "authorities", "mintable")
+
+
+def step_size(flows: DataFrame) -> DataFrame:
+    """(token, step): 20 seconds where two of at least three flows lie at most 20 seconds apart, at different times, else 60."""
+    from tidewake.operators.windows import _previous_in_token
+
+    gap = F.col("bt") - F.col("_before")
+    x = _previous_in_token(flows, 1920).groupBy("token").agg(F.count("*").alias("_n"), F.min(F.when(gap > 0, gap)).alias("_least"))
+    return x.select("token", F.when((F.col("_n") >= 3) & (F.col("_least") <= 20), 20).otherwise(60).alias("step"))
 
 
 def step_features(flows: DataFrame, step: int = 60, early: int = 600, k: int = 10) -> DataFrame:
-    """WIN-25: for each token and step with flows: inflow and outflow, entries and exits of early wallets, new wallets, outflow of the k largest wallets, mean deviations of pauses and sizes, and share of the k busiest wallets.
+    """WIN-25: for each token and step with flows: inflow and outflow, entries and exits of early wallets, new wallets, outflow of the k largest wallets, mean deviations of pauses and sizes, share of the k busiest wallets, quiet steps before, and how often the token came back from a silent gap.
 
     Steps are counted from the token's first flow. All parts are grouped by token, step and wallet first.
     """
@@ -43,18 +62,76 @@ def step_features(flows: DataFrame, step: int = 60, early: int = 600, k: int = 1
     )
     busy = x.groupBy("token", "step", "wallet").agg(F.count("*").alias("c")).withColumn("_r", F.row_number().over(Window.partitionBy("token", "step").orderBy(F.desc("c"), "wallet"))).where(F.col("_r") <= k)
     busy = busy.groupBy("token", "step").agg(F.sum("c").alias("_c"))
-    return flat.join(busy.hint("merge"), ["token", "step"]).withColumn("density", F.col("_c") / F.col("n")).drop("_c")
+    flat = flat.join(busy.hint("merge"), ["token", "step"]).withColumn("density", F.col("_c") / F.col("n")).drop("_c")
+    by = Window.partitionBy("token").orderBy("step")
+    flat = flat.withColumn("quiet_before", F.coalesce(F.col("step") - F.lag("step").over(by) - 1, F.lit(0)))
+    return flat.withColumn("resurrections", F.count_if(F.col("quiet_before") * step >= SILENT_GAP).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _spikes(holders: DataFrame, least: float = 0.08) -> DataFrame:
+    """(token, bt) of holder snapshots (token, bt, wallet, balance) whose Gini coefficient exceeds that of the snapshot before, or 0, by more than least."""
+    by = Window.partitionBy("token", "bt").orderBy("balance", "wallet")
+    x = holders.where("balance >= 0").withColumn("_i", F.row_number().over(by))
+    n, total = F.count("*"), F.sum("balance")
+    g = x.groupBy("token", "bt").agg(F.when(total > 0, 2 * F.sum(F.col("_i") * F.col("balance")) / (n * total) - (n + 1) / n).otherwise(0.0).alias("g"))
+    before = F.coalesce(F.lag("g").over(Window.partitionBy("token").orderBy("bt")), F.lit(0.0))
+    return g.withColumn("_b", before).where(F.col("g") - F.col("_b") > least).select("token", "bt")
+
+
+def with_sides(features: DataFrame, flows: DataFrame, step: int, liquidity: DataFrame, holders: DataFrame, metadata: DataFrame, window: int = 12, thin: float = 0.2) -> DataFrame:
+    """features with the side tables: rows for steps with liquidity events or concentration spikes as well, and n_steps of each token.
+
+    liquidity: token, bt, seq, action, amount (SOL); holders: token, bt, wallet, balance; metadata: token, mint_authority,
+    freeze_authority, is_mutable. liquidity_mad is that of the last window amounts of the steps so far, 0 for fewer than two;
+    thin marks a step whose smallest amount is at most the token's low percentile.
+    """
+    from tidewake.operators.aggregates import thin_threshold
+
+    span = flows.groupBy("token").agg(F.min("bt").alias("t0"), F.max("bt").alias("t1")).withColumn("n_steps", F.ceil((F.col("t1") - F.col("t0")) / step) + 1)
+    within = lambda x: x.join(span.hint("merge"), "token").withColumn("step", F.floor((F.col("bt") - F.col("t0")) / step)).where((F.col("step") >= 0) & (F.col("step") < F.col("n_steps")))
+    limit = thin_threshold(liquidity, ("token",), "amount", thin)
+    x = within(liquidity).join(limit.hint("merge"), "token")
+    recent = F.collect_list("amount").over(Window.partitionBy("token").orderBy("bt", "seq").rowsBetween(1 - window, 0))
+    x = x.withColumn("_w", F.transform(recent, lambda v: v.cast("double")))
+    mean = F.aggregate("_w", F.lit(0.0), lambda a, v: a + v) / F.size("_w")
+    x = x.withColumn("_m", mean).withColumn("_mad", F.when(F.size("_w") < 2, 0.0).otherwise(F.aggregate("_w", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("_m"))) / F.size("_w")))
+    x = x.groupBy("token", "step").agg(
+        F.count_if(F.lower("action").rlike("remove|withdraw")).alias("removals"), F.max_by("_mad", F.struct("bt", "seq")).alias("liquidity_mad"), F.max((F.col("amount") <= F.col("threshold")).cast("int")).alias("thin"),
+    )
+    spikes = within(_spikes(holders)).select("token", "step").distinct().withColumn("spike", F.lit(1))
+    have = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "0", "false") == F.lit(False)
+    meta = metadata.groupBy("token").agg(F.max((have("mint_authority") | have("freeze_authority")).cast("int")).alias("mintable"), F.max(have("mint_authority").cast("int") + have("freeze_authority").cast("int") + have("is_mutable").cast("int")).alias("authorities"))
+    y = features.join(x.hint("merge"), ["token", "step"], "full").join(spikes.hint("merge"), ["token", "step"], "full").join(meta.hint("merge"), "token", "left").join(span.select("token", "n_steps").hint("merge"), "token")
+    by = Window.partitionBy("token").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    y = y.withColumn("liquidity_mad", F.coalesce(F.last("liquidity_mad", True).over(by), F.lit(0.0))).withColumn("resurrections", F.coalesce(F.last("resurrections", True).over(by), F.lit(0)))
+    return y.fillna(0)
 
 
 def scores(features: DataFrame) -> DataFrame:
-    """FN-11: pressure up and down, fragility, risk, dominant direction (FN-9) and tempo (FN-7) of each step."""
-    x = features.withColumn("timing_cluster", 1 / (1 + F.col("pause_mad"))).withColumn("repeated_size", 1 / (1 + F.col("size_mad")))
+    """FN-11: pressure up and down, fragility, risk, dominant direction (FN-9) and tempo (FN-7) of each step, and direction and risk of the quiet steps after it.
+
+    Missing side features count as 0. A quiet step has no flows, removals, thin pool or spike; the deviation of the liquidity and the authorities stay.
+    """
+    x = features.withColumns({c: F.lit(0) for c in SIDES if c not in features.columns})
+    x = x.withColumn("stability", 1 / (1 + F.col("liquidity_mad"))).withColumn("timing_cluster", 1 / (1 + F.col("pause_mad"))).withColumn("repeated_size", 1 / (1 + F.col("size_mad")))
     weigh = lambda parts: sum((F.col(c) * w for c, w in parts.items()), F.lit(0.0))
     x = x.withColumn("p_plus", weigh(PLUS)).withColumn("p_minus", weigh(MINUS)).withColumn("fragility", weigh(FRAGILE))
     x = x.withColumn("risk", F.col("fragility") / (1 + F.abs(F.col("p_plus") - F.col("p_minus")) / (1 + F.col("n"))))
+    plus, minus = PLUS["stability"] * F.col("stability"), MINUS["liquidity_mad"] * F.col("liquidity_mad")
+    calm = FRAGILE["timing_cluster"] + FRAGILE["repeated_size"] + FRAGILE["authorities"] * F.col("authorities")
+    x = x.withColumn("quiet_dominant", S.dominance(plus, minus)).withColumn("quiet_risk", calm / (1 + F.abs(plus - minus)))
     return x.withColumn("dominant", S.dominance(F.col("p_plus"), F.col("p_minus"))).withColumn("tempo", S.tempo(F.col("n")))
 
 
+def signals(scored: DataFrame) -> DataFrame:
+    """FN-10: the boolean signals of a step that do not depend on the steps before it; ghost, accumulator and distributor follow from the fold."""
+    burst = (F.col("timing_cluster") > 0.7) & (F.col("repeated_size") > 0.7) & (F.col("density") > 0.75)
+    return scored.withColumns({
+        "vampire": (F.col("removals") > 0) & (F.col("outflow") > F.col("inflow")), "time_bomb": (F.col("mintable") > 0) & (F.col("spike") > 0), "bot_farm": burst,
+        "phoenix": (F.col("resurrections") > 0) & (F.col("inflow") > F.col("outflow")),
+    })
+
+
 def level(state: str, count: int, tempo: str) -> str:
     """ST-13: NONE, WARNING or SHOUT; leaving a level takes fewer steps than reaching it."""
     warn_on, warn_off, shout_on, shout_off = LEVELS[tempo]
@@ -63,31 +140,133 @@ def level(state: str, count: int, tempo: str) -> str:
     return "WARNING" if count >= (warn_off if state == "WARNING" else warn_on) else "NONE"
 
 
-TIMELINE = pa.schema([("token", pa.string()), ("step", pa.int64()), ("direction_level", pa.string()), ("risk_level", pa.string()), ("dominant", pa.string()), ("persistence", pa.int64())])
+def _confidence(aligned: int, contrary: int, persistence: int) -> int:
+    """FN-8 for one step."""
+    return round(max(35, min(95, 45 + aligned * 8 + min(20, persistence * 3) - contrary * 7)) / 5) * 5
+
+
+#: From this count on no level or confidence changes with it.
+SETTLED = 12
+REASONS = {name: text for name, _, text in S.ARCHETYPES}
+
 
+class Track:
+    """The fold of one token: counts, alert levels and archetype, step by step."""
+
+    def __init__(self, token: str, seconds: int):
+        self.token, self.seconds = token, seconds
+        self.at, self.quiet, self.d_count, self.r_count = -1, 0, 0, 0
+        self.d_level = self.r_level = "NONE"
+        self.archetype, self.counts, self.flips, self.seen = "The Ghost", Counter(), 0, None
+
+    def step(self, number: int, n: int, dominant: str, risk: float, tempo: str, found: tuple[bool, bool, bool, bool]) -> tuple:
+        """Take one step; (row of TIMELINE, changed, flipped)."""
+        self.at, self.quiet = number, 0 if n else self.quiet + 1
+        hot, high, moved = risk >= RISK_WARNING, risk >= RISK_SHOUT, dominant != "NEUTRAL"
+        self.d_count, self.r_count = max(0, self.d_count + (1 if moved else -1)), max(0, self.r_count + (1 if hot else -1))
+        self.d_level, self.r_level = level(self.d_level, self.d_count, tempo), level(self.r_level, self.r_count, tempo)
+        d_conf = _confidence(int(moved) + int(hot), int(not moved), self.d_count)
+        r_conf = _confidence(int(hot) + int(high), int(not hot), self.r_count)
+        ghost = self.quiet * self.seconds >= SILENT_GAP
+        lasting = self.d_count >= 2
+        held = (*found, ghost, dominant == "PUMP" and lasting, dominant == "DUMP" and lasting)
+        names = [name for (name, _, _), on in zip(S.ARCHETYPES, held, strict=True) if on]
+        may = (self.d_level == "SHOUT" or ghost) and not (ghost and self.quiet < GHOST_STEPS)
+        flipped = bool(may and names and names[0] != self.archetype)
+        if flipped:
+            self.archetype, self.flips = names[0], self.flips + 1
+        self.counts[self.archetype] += 1
+        changed, self.seen = (d_conf, r_conf) != self.seen, (d_conf, r_conf)
+        conflict = None
+        if hot and self.d_level != "NONE":
+            kind = "confirmed" if self.d_level == "SHOUT" and high else "conditions"
+            conflict = f"{'SHOUT' if kind == 'confirmed' else 'WARNING'}: CONFLICT — engineered {'pump' if dominant == 'PUMP' else 'dump'} {kind}"
+        reason = "; ".join([REASONS[x] for x in names][:2]) or "mixed low-signal state"
+        row = (self.token, number, n, self.archetype, self.d_level, dominant, d_conf, self.r_level, "HIGH" if high else "ELEVATED" if hot else "LOW", r_conf, conflict, self.d_count, changed, flipped, reason)
+        return row, changed, flipped
+
+    def pass_quiet(self, until: int, dominant: str, risk: float) -> Iterator[tuple]:
+        """Take the quiet steps before until; rows of those that change a confidence or the archetype. Where nothing can change, steps are passed at once."""
+        none = (False,) * 4
+        while self.at + 1 < until:
+            row, changed, flipped = self.step(self.at + 1, 0, dominant, risk, "low", none)
+            if changed or flipped:
+                yield row
+            rest = until - self.at - 1
+            ways = ((dominant != "NEUTRAL", self.d_count), (risk >= RISK_WARNING, self.r_count))
+            if rest > 0 and self.quiet * self.seconds >= SILENT_GAP and self.quiet >= GHOST_STEPS and all(c >= SETTLED or not up and c == 0 for up, c in ways):
+                jump = min([rest, *[c - SETTLED for up, c in ways if not up and c]])
+                if jump > 0:
+                    self.at, self.quiet = self.at + jump, self.quiet + jump
+                    self.d_count, self.r_count = (c + jump if up else max(0, c - jump) for up, c in ways)
+                    self.counts[self.archetype] += jump
+
+
+TIMELINE = pa.schema([
+    ("token", pa.string()), ("step", pa.int64()), ("n", pa.int64()), ("archetype", pa.string()), ("direction_level", pa.string()), ("dominant", pa.string()), ("direction_conf", pa.int64()), ("risk_level", pa.string()), ("risk", pa.string()),
+    ("risk_conf", pa.int64()), ("conflict", pa.string()), ("persistence", pa.int64()), ("changed", pa.bool_()), ("flipped", pa.bool_()), ("reason", pa.string()),
+])
+TIMELINE_DDL = "token string, step long, n long, archetype string, direction_level string, dominant string, direction_conf long, risk_level string, risk string, risk_conf long, conflict string, persistence long, changed boolean, flipped boolean, reason string"
+
+
+def _rows(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.RecordBatch]:
+    track, quiet, n_steps = None, ("NEUTRAL", 0.0), 0
+
+    def end() -> list[tuple]:
+        """The quiet steps after the last row of a token, and its summary: a row without a step."""
+        if track is None:
+            return []
+        rest = list(track.pass_quiet(n_steps, *quiet))
+        counts = ";".join(f"{k}:{v}" for k, v in sorted(track.counts.items()))
+        return [*rest, (track.token, None, sum(track.counts.values()), track.archetype, *[None] * 7, track.flips, False, False, counts)]
 
-def _timeline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, d_state, r_state, d_count, r_count, last = None, "NONE", "NONE", 0, 0, -1
     for batch in batches:
         out = []
-        for tok, step, dom, risk, tempo in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-            if tok != name:
-                name, d_state, r_state, d_count, r_count, last = tok, "NONE", "NONE", 0, 0, step - 1
-            for k in range(last + 1, step + 1):  # steps without flows count as neutral and calm
-                on, hot, pace = (dom != "NEUTRAL", risk >= RISK_WARNING, tempo) if k == step else (False, False, "low")
-                d_count, r_count = max(0, d_count + (1 if on else -1)), max(0, r_count + (1 if hot else -1))
-                d_state, r_state = level(d_state, d_count, pace), level(r_state, r_count, pace)
-                if k < step and not (d_count or r_count):
-                    break  # nothing changes until the next step with flows
-            last = step
-            out.append((tok, step, d_state, r_state, dom, d_count))
+        for tok, step, n, dom, risk, tempo, q_dom, q_risk, total, *found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if track is None or tok != track.token:
+                out += end()
+                track, quiet = Track(tok, seconds), ("NEUTRAL", 0.0)
+                track.at = min(step, 0) - 1
+            out += track.pass_quiet(step, *quiet)
+            out.append(track.step(step, n, dom, risk, tempo, tuple(found))[0])
+            quiet, n_steps = (q_dom, q_risk), total
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), TIMELINE, strict=True)], schema=TIMELINE)
+    if last := end():
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*last, strict=True), TIMELINE, strict=True)], schema=TIMELINE)
+
 
+def evaluated(scored: DataFrame, step: int = 60) -> DataFrame:
+    """ST-14: rows of every step of scored and of each quiet step that changes a confidence or the archetype, in time order, and one without a step for each token: its steps (n), last archetype, flips (persistence) and steps by archetype (reason).
 
-def timeline(scored: DataFrame) -> DataFrame:
-    """ST-14: alert levels of direction and risk at each step with flows, in time order."""
+    Columns that scored lacks: quiet steps are then neutral and calm, end with the last row, and no signal holds but those of the fold.
+    """
     importable(scored.sparkSession)
-    n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = scored.select("token", "step", "dominant", "risk", "tempo").repartition(n, "token").sortWithinPartitions("token", "step")
-    return x.mapInArrow(_timeline, "token string, step long, direction_level string, risk_level string, dominant string, persistence long")
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    default = {"n": F.lit(1), "quiet_dominant": F.lit("NEUTRAL"), "quiet_risk": F.lit(0.0), "n_steps": F.lit(0), **{c: F.lit(False) for c in ("vampire", "time_bomb", "bot_farm", "phoenix")}}
+    x = scored.withColumns({c: v for c, v in default.items() if c not in scored.columns})
+    x = x.select("token", "step", F.col("n").cast("long").alias("n"), "dominant", "risk", "tempo", "quiet_dominant", "quiet_risk", F.col("n_steps").cast("long").alias("n_steps"), "vampire", "time_bomb", "bot_farm", "phoenix")
+    x = x.repartition(parts, "token").sortWithinPartitions("token", "step")
+    return x.mapInArrow(lambda batches: _rows(batches, step), TIMELINE_DDL)
+
+
+def timeline(scored: DataFrame, step: int = 60) -> DataFrame:
+    """ST-13: alert levels of direction and risk at each step of scored, in time order."""
+    x = evaluated(scored, step).join(scored.select(F.col("token").alias("_t"), F.col("step").alias("_s")).hint("merge"), (F.col("token") == F.col("_t")) & (F.col("step") == F.col("_s")))
+    return x.select("token", "step", "direction_level", "risk_level", "dominant", "persistence")
+
+
+def changes(rows: DataFrame) -> DataFrame:
+    """ST-14: of evaluated(), the steps at which a confidence changes, with the alerts as text."""
+    alert = lambda lvl, kind: F.concat_ws(":", F.col(lvl), F.col(kind))
+    return rows.where("changed").select("token", "step", "archetype", alert("direction_level", "dominant").alias("direction_alert"), "direction_conf", alert("risk_level", "risk").alias("risk_alert"), "risk_conf", F.coalesce("conflict", F.lit("")).alias("conflict"))
+
+
+def exemplars(rows: DataFrame) -> DataFrame:
+    """ST-14: of evaluated(), the steps at which the archetype flips, with the reason."""
+    return rows.where("flipped").select("token", "step", "archetype", "reason")
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """ST-14: of evaluated(), one row for each token: steps, steps by archetype, flips."""
+    return rows.where("step IS NULL").select("token", F.col("n").alias("n_steps"), F.col("reason").alias("by_archetype"), F.col("persistence").alias("flips"), "archetype")
