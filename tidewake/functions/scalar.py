@@ -43,12 +43,14 @@ def token_amount(x: Column) -> Column:
     return F.coalesce(field("uiAmount"), field("uiAmountString"), raw, F.regexp_replace(x, '^"|"$', "").try_cast("double"))
 
 
-def liquidity_estimate(flows: DataFrame, rows: int = 20, share: float = 0.01, least: float = 5, most: float = 10_000) -> DataFrame:
-    """AGG-26: a token's pool size (SOL) from the mean size of its first flows."""
+def liquidity_estimate(flows: DataFrame, rows: int = 20, share: float = 0.01, least: float = 5, most: float = 10_000, sizes: tuple[float, float] = (0.01, 1000), default: float = 50.0) -> DataFrame:
+    """AGG-26: a token's pool size (SOL) from the mean size of its first flows, of those between the two sizes (SOL, both excluded); default where none is."""
     w = Window.partitionBy("token").orderBy("bt", "seq")
     x = flows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows)
-    mean = F.sum("lamports") / F.count("*") / F.lit(1e9) / F.lit(share)
-    return x.groupBy("token").agg(F.greatest(F.lit(float(least)), F.least(mean, F.lit(float(most)))).alias("pool"))
+    usual = F.when((F.col("lamports") > round(sizes[0] * LAMPORTS)) & (F.col("lamports") < round(sizes[1] * LAMPORTS)), F.col("lamports"))
+    mean = F.sum(usual) / F.count(usual) / F.lit(1e9) / F.lit(share)
+    pool = F.when(F.count(usual) > 0, F.greatest(F.lit(float(least)), F.least(mean, F.lit(float(most))))).otherwise(F.lit(default))
+    return x.groupBy("token").agg(pool.alias("pool"))
 
 
 # Share of the pool, least and most SOL of each threshold.

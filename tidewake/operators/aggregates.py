@@ -135,16 +135,24 @@ def reconstruct(trades: DataFrame) -> DataFrame:
     return x.withColumn("roi", roi).withColumn("status", F.when(F.col("n_sells") > 0, "CLOSED").otherwise("OPEN")).withColumn("sell_before_buy", early).drop("_first_sell")
 
 
+#: Percentiles of a distribution, and those of holding times and entries.
+TAILS, SPREAD = (1, 5, 10, 25, 50, 75, 90, 95, 99), (10, 25, 50, 75, 90, 95, 99)
+
+
 def distribution(closed: DataFrame) -> DataFrame:
-    """AGG-10: report over closed trades (net, roi, hold): win rate, profit factor, mean and median of wins and losses, expectancy, linear percentiles."""
-    win, loss = F.when(F.col("net") > 0, F.col("net")), F.when(F.col("net") <= 0, F.col("net"))
-    x = closed.groupBy().agg(
-        F.count("*").alias("n"), F.count(win).alias("n_wins"), F.round(F.avg(win) / SOL, 4).alias("mean_win"), F.round(F.avg(loss) / SOL, 4).alias("mean_loss"), F.round(F.median(win / SOL), 6).alias("median_win"),
-        F.round(F.median(loss / SOL), 6).alias("median_loss"), F.round(profit_factor(no_loss=float("inf")), 6).alias("profit_factor"), *[F.round(linear("roi", p / 100), 6).alias(f"roi_p{p}") for p in (10, 25, 50, 75, 90)],
-        *[F.round(linear("hold", p / 100), 2).alias(f"hold_p{p}") for p in (10, 50, 90)],
+    """AGG-10: report over closed trades (net, roi, hold, cost): win rate, profit factor (infinite without losses, null without either), mean and median of wins and losses, expectancy, linear percentiles.
+
+    A trade without a gain or loss is neither a win nor a loss.
+    """
+    win, loss = F.when(F.col("net") > 0, F.col("net")), F.when(F.col("net") < 0, F.col("net"))
+    factor = F.when(F.count(loss) > 0, F.sum(win) / -F.sum(loss)).when(F.count(win) > 0, F.lit(float("inf")))
+    factor = F.when((F.count(loss) > 0) & (F.count(win) == 0), F.lit(0.0)).otherwise(factor)
+    at = lambda c, ps, scale, digits: [F.round(linear(c, p / 100) / scale, digits).alias(f"{'entry' if c == 'cost' else c}_p{p}") for p in ps]
+    return closed.groupBy().agg(
+        F.count("*").alias("n"), F.count(win).alias("n_wins"), F.count(loss).alias("n_losses"), F.round(F.count(win) / F.count("*"), 6).alias("win_rate"), F.round(F.avg(win) / SOL, 4).alias("mean_win"),
+        F.round(F.avg(loss) / SOL, 4).alias("mean_loss"), F.round(F.median(win / SOL), 6).alias("median_win"), F.round(F.median(loss / SOL), 6).alias("median_loss"), F.round(F.sum("net") / F.count("*") / SOL, 4).alias("expectancy"),
+        F.round(factor, 6).alias("profit_factor"), *at("roi", TAILS, 1, 6), *at("net", TAILS, SOL, 7), *at("hold", SPREAD, 1, 2), *at("cost", SPREAD, SOL, 7),
     )
-    rate = F.col("n_wins") / F.col("n")
-    return x.withColumn("win_rate", F.round(rate, 6))
 
 
 def exits_by_hour(closed: DataFrame) -> DataFrame:
@@ -221,8 +229,12 @@ def mean_absolute_deviation(rows: DataFrame, keys: tuple[str, ...], value: str)
 
 
 def thin_threshold(rows: DataFrame, keys: tuple[str, ...], value: str, p: float = 0.2) -> DataFrame:
-    """AGG-23: the value at index int(p (n - 1)) of each group."""
-    return rows.groupBy(*keys).agg(low_index_percentile(F.array_sort(F.collect_list(value)), p).alias("threshold"))
+    """AGG-23: the value at index int(p (n - 1)) of each group, from counts of its distinct values."""
+    x = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    n = x.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_upto", F.sum("_c").over(upto)).join(n.hint("merge"), list(keys))
+    return x.where(F.col("_upto") > F.floor(F.lit(p) * (F.col("_n") - 1))).groupBy(*keys).agg(F.min(value).alias("threshold"))
 
 
 def token_totals(flows: DataFrame) -> DataFrame:
@@ -237,13 +249,24 @@ def wallet_primitives(flows: DataFrame) -> DataFrame:
     return flows.groupBy("token", "wallet").agg(F.count("*").alias("n"), F.min("bt").alias("first_seen"), F.max("bt").alias("last_seen"))
 
 
-def slot_timing(rows: DataFrame, delta: str = "delta") -> DataFrame:
-    """AGG-27: share of entries at most 2 slots after the first, and the median by integer halves."""
-    ordered = F.array_sort(F.collect_list(delta))
-    n = F.size("_o")
-    x = rows.where(F.col(delta).isNotNull()).groupBy().agg(F.count("*").alias("n"), F.round(F.count_if(F.col(delta) <= 2) / F.count("*"), 6).alias("within_2"), ordered.alias("_o"))
-    middle = F.when(n % 2 == 1, F.get("_o", F.floor(n / 2).cast("int"))).otherwise(F.floor((F.get("_o", (n / 2).cast("int") - 1) + F.get("_o", (n / 2).cast("int"))) / 2))
-    return x.select("n", "within_2", middle.cast("long").alias("median"))
+def slot_timing(rows: DataFrame, delta: str = "delta", tipped: str | None = None) -> DataFrame:
+    """AGG-27: share of entries at most 2 slots after the first, the median by integer halves, and the share of tipped entries where a boolean column says so.
+
+    Deltas are counted by value first, so the exact percentiles need no list of them.
+    """
+    x = rows.where(F.col(delta).isNotNull())
+    low, high = (F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {delta}{way})") for way in ("", " DESC"))
+    tip = [F.round(F.count_if(F.col(tipped)) / F.count("*"), 6).alias("tipped_share")] if tipped else []
+    y = x.groupBy().agg(F.count("*").alias("n"), F.round(F.count_if(F.col(delta) <= 2) / F.count("*"), 6).alias("within_2"), low.alias("_low"), high.alias("_high"), *tip)
+    return y.select("n", "within_2", F.floor((F.col("_low") + F.col("_high")) / 2).cast("long").alias("median"), *([] if not tipped else ["tipped_share"]))
+
+
+def delta_histogram(rows: DataFrame, delta: str = "delta", bounds: tuple[int, ...] = (0, 1, 2, 5, 10, 50)) -> DataFrame:
+    """AGG-27: entries by the smallest bound that their delta does not exceed; beyond the last it is null. All bounds are emitted."""
+    bound = F.coalesce(*[F.when(F.col(delta) <= b, F.lit(b)) for b in bounds])
+    x = rows.where(F.col(delta).isNotNull()).groupBy(bound.alias("_b")).agg(F.count("*").alias("n"))
+    listed_ = rows.sparkSession.createDataFrame([(b,) for b in (*bounds, None)], "up_to int")
+    return listed_.join(x.hint("merge"), F.col("up_to").eqNullSafe(F.col("_b")), "left").select("up_to", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def silence_summary(curve: DataFrame, share: float = 0.6) -> DataFrame:
@@ -258,18 +281,21 @@ def duplicate_signals(signals: DataFrame) -> DataFrame:
     return signals.groupBy(combo.alias("combination")).agg(F.count("*").alias("n"), F.countDistinct("wallet", "bt").alias("n_distinct"))
 
 
-def discovery_features(trades: DataFrame) -> DataFrame:
-    """AGG-30: per wallet and token: first buy and its signature, first sell at or after it, holding time, clips, partial exit, FAST_WIN or FAST_LOSS."""
+def discovery_features(trades: DataFrame, fast: int = 5, mid: int = 60) -> DataFrame:
+    """AGG-30: per wallet and token: first buy and its signature, first sell at or after it, holding time and its bucket, clips (sells from the first buy on), partial exit, and FAST_WIN or FAST_LOSS of the fast bucket."""
+    from tidewake.functions.scalar import entry_bucket
+
     first = Window.partitionBy("wallet", "token")
     x = trades.withColumn("first_buy", F.min(F.when(is_in(), F.col("bt"))).over(first))
     after = is_out() & (F.col("bt") >= F.col("first_buy"))
     y = x.where("first_buy IS NOT NULL").groupBy("wallet", "token", "first_buy").agg(
-        F.min(F.when(after, F.col("bt"))).alias("first_sell"), F.count_if(is_in()).alias("clips"), (F.count_if(after) > 1).alias("partial_exit"),
+        F.min(F.when(after, F.col("bt"))).alias("first_sell"), F.count_if(after).alias("clips"), (F.count_if(after) > 1).alias("partial_exit"),
         F.min(F.when(is_in() & (F.col("bt") == F.col("first_buy")), F.col("signature"))).alias("first_signature"), F.sum(F.when(is_out(), F.col("lamports")).otherwise(-F.col("lamports"))).alias("net"),
     )
     y = y.withColumn("hold", F.col("first_sell") - F.col("first_buy"))
-    fast = F.col("hold") <= 86_400 * 30
-    return y.withColumn("label", F.when(fast & (F.col("net") > 0), "FAST_WIN").when(fast, "FAST_LOSS"))
+    y = y.withColumn("bucket", entry_bucket(F.col("hold"), fast, mid))
+    is_fast = F.col("bucket") == "FAST"
+    return y.withColumn("label", F.when(is_fast & (F.col("net") > 0), "FAST_WIN").when(is_fast, "FAST_LOSS"))
 
 
 def flow_diagnostics(flows: DataFrame, threshold: float = 10) -> DataFrame:

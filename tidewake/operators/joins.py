@@ -99,8 +99,14 @@ def first_buys(trades: DataFrame) -> DataFrame:
     return trades.where("flow_direction = 'in'").groupBy("wallet", "token").agg(F.min("bt").alias("first_buy"))
 
 
-def pair_stats(firsts: DataFrame) -> DataFrame:
-    """JOIN-10, AGG-12: for wallets a < b with tokens in common: how many, how often a led, median and nearest-rank p90 of b's delay."""
+def pair_stats(firsts: DataFrame, wallets: DataFrame | None = None) -> DataFrame:
+    """JOIN-10, AGG-12: for wallets a < b with tokens in common: how many, how often a led, median and nearest-rank p90 of b's delay.
+
+    wallets: the wallets to compare with each other, a list of bounded size; all others are left out before the join. Without
+    it every pair of wallets that share a token is formed, so a token's pairs grow with the square of its buyers.
+    """
+    if wallets is not None:
+        firsts = firsts.join(wallets.select("wallet").distinct().hint("broadcast"), "wallet", "left_semi")
     a = firsts.select("token", F.col("wallet").alias("a"), F.col("first_buy").alias("ta"))
     b = firsts.select("token", F.col("wallet").alias("b"), F.col("first_buy").alias("tb"))
     x = a.join(b.hint("merge"), "token").where("a < b").withColumn("delta", F.col("tb") - F.col("ta"))
@@ -108,7 +114,7 @@ def pair_stats(firsts: DataFrame) -> DataFrame:
     return x.groupBy("a", "b").agg(F.count("*").alias("shared"), (F.count_if(F.col("delta") > 0) / F.count("*")).alias("lead_rate"), F.median("delta").alias("median_delta"), p90.alias("p90_delta"))
 
 
-def token_overlap(pairs: DataFrame, wallets: DataFrame) -> DataFrame:
+def token_overlap(pairs: DataFrame, wallets: DataFrame, buckets: int = 32) -> DataFrame:
     """JOIN-11: shared tokens of all wallets a <= b of a seed list, as a share of the smaller one's number; 0 where none.
 
     pairs: distinct (wallet, token). wallets: the seeds; their pairs are asked for, so each row of the result is wanted.
@@ -117,10 +123,10 @@ def token_overlap(pairs: DataFrame, wallets: DataFrame) -> DataFrame:
     sizes = wallets.select("wallet").join(own.groupBy("wallet").agg(F.count("*").alias("n")).hint("merge"), "wallet", "left").fillna(0, ["n"])
     a, b = own.select(F.col("wallet").alias("a"), "token"), own.select(F.col("wallet").alias("b"), "token")
     shared = a.join(b.hint("merge"), "token").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    # the seeds listed after each seed, by a running list instead of a product
-    w = Window.partitionBy(F.lit(0)).orderBy("wallet").rowsBetween(0, Window.unboundedFollowing)
-    later = sizes.withColumn("o", F.collect_list(F.struct(F.col("wallet").alias("b"), F.col("n").alias("nb"))).over(w))
-    grid = later.select(F.col("wallet").alias("a"), F.col("n").alias("na"), F.explode("o").alias("o")).select("a", "na", "o.b", "o.nb")
+    # every seed meets the seeds of each bucket, so that the wanted pairs are made in many tasks
+    one = sizes.select(F.col("wallet").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_k"))
+    two = sizes.select(F.col("wallet").alias("b"), F.col("n").alias("nb"), F.pmod(F.hash("wallet"), F.lit(buckets)).alias("_k"))
+    grid = one.join(two.hint("merge"), "_k").where("a <= b").drop("_k")
     x = grid.join(shared.hint("merge"), ["a", "b"], "left").fillna(0, ["shared"])
     least = F.least("na", "nb")
     return x.select("a", "b", "shared", F.when(least > 0, F.col("shared") / least).otherwise(0.0).alias("overlap"))

@@ -189,19 +189,58 @@ def silence_curve(flows: DataFrame, gaps: tuple[int, ...] = (60, 120, 180), step
     return y.select("token", F.col("g").alias("gap"), (F.col("t0") + F.col("k") * step).alias("at"), F.sum("seen").over(run).alias("n_seen"), F.sum("silent").over(run).alias("n_silent"))
 
 
+def _running_in_chunks(rows: DataFrame, chunk: int, sums: dict[str, str]) -> DataFrame:
+    """rows (token, bt) with the sum of each column over all rows of the token up to bt: within chunks of time, on totals of the chunks before."""
+    x = rows.withColumn("_chunk", F.floor(F.col("bt") / chunk))
+    totals = x.groupBy("token", "_chunk").agg(*[F.sum(c).alias(f"_n_{c}") for c in sums])
+    before = Window.partitionBy("token").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("token").alias("_t"), F.col("_chunk").alias("_c"), *[F.coalesce(F.sum(f"_n_{c}").over(before), F.lit(0)).alias(f"_earlier_{c}") for c in sums])
+    x = x.join(totals.hint("merge"), (F.col("token") == F.col("_t")) & (F.col("_chunk") == F.col("_c")))
+    inside = Window.partitionBy("token", "_chunk").orderBy("bt").rangeBetween(Window.unboundedPreceding, 0)
+    x = x.select("*", *[(F.col(f"_earlier_{c}") + F.sum(c).over(inside)).alias(name) for c, name in sums.items()])
+    return x.drop("_chunk", "_t", "_c", *[f"_earlier_{c}" for c in sums])
+
+
+def _previous_in_token(flows: DataFrame, chunk: int) -> DataFrame:
+    """flows with _before: the time of the token's flow before, from the chunk or the last one before it."""
+    x = flows.withColumn("_chunk", F.floor(F.col("bt") / chunk))
+    last = x.groupBy("token", "_chunk").agg(F.max("bt").alias("_last"))
+    earlier = Window.partitionBy("token").orderBy("_chunk")
+    last = last.select(F.col("token").alias("_t"), F.col("_chunk").alias("_c"), F.lag("_last").over(earlier).alias("_last"))
+    x = x.join(last.hint("merge"), (F.col("token") == F.col("_t")) & (F.col("_chunk") == F.col("_c")))
+    within = Window.partitionBy("token", "_chunk").orderBy("bt", "seq")
+    return x.withColumn("_before", F.coalesce(F.lag("bt").over(within), "_last")).drop("_chunk", "_t", "_c", "_last")
+
+
+def silence_carried(flows: DataFrame, back: int = 120) -> DataFrame:
+    """flows with carried: a sell by a wallet that is silent, which leaves it silent.
+
+    A wallet turns silent once its token is active more than back seconds after its last flow; a buy ends that.
+    """
+    own = Window.partitionBy(*KEY).orderBy("bt", "seq")
+    x = _previous_in_token(flows, 16 * back)
+    turned = (F.col("direction") == "sell") & F.coalesce(F.col("_before") > F.lag("bt").over(own) + back, F.lit(False))
+    x = x.withColumn("_turned", turned).withColumn("_island", F.count_if(F.col("direction") == "buy").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    island = Window.partitionBy(*KEY, "_island").orderBy("bt", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("carried", (F.col("direction") == "sell") & F.max("_turned").over(island)).drop("_before", "_turned", "_island")
+
+
 def cohort_silence(flows: DataFrame, back: int = 120) -> DataFrame:
-    """WIN-20, counting form: at each flow, wallets of the token seen so far and those active in [t - back, t]; the rest is silent."""
+    """WIN-20, counting form: at each flow, wallets of the token seen so far, those active in [t - back, t], and the silent ones.
+
+    Silent are wallets that are not active, and active ones that a sell left silent (silence_carried). The latter count from
+    their sell to their next flow, or until they are not active any more.
+    """
     first = Window.partitionBy(*KEY).orderBy("bt", "seq")
     x = flows.withColumn("_first", (F.row_number().over(first) == 1).cast("long"))
-    chunk = 16 * back
-    y = distinct_in_range(x, back, "n_recent").withColumn("_chunk", F.floor(F.col("bt") / chunk))
-    totals = y.groupBy("token", "_chunk").agg(F.sum("_first").alias("_n"))
-    before = Window.partitionBy("token").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("token").alias("_t"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
-    y = y.join(totals.hint("merge"), (F.col("token") == F.col("_t")) & (F.col("_chunk") == F.col("_c")))
-    inside = Window.partitionBy("token", "_chunk").orderBy("bt").rangeBetween(Window.unboundedPreceding, 0)
-    seen = F.col("_earlier") + F.sum("_first").over(inside)
-    return y.withColumn("n_seen", seen).withColumn("n_silent", F.col("n_seen") - F.col("n_recent")).drop("_first", "_chunk", "_t", "_c", "_earlier")
+    marked = silence_carried(flows, back).withColumn("_next", F.lead("bt").over(first))
+    end = F.least(F.coalesce(F.col("_next"), F.col("bt") + back + 1), F.col("bt") + back + 1)
+    spans = marked.where("carried").select("token", F.col("bt").alias("_a"), end.alias("_b")).where("_b > _a")
+    spans = spans.select("token", F.explode(F.array(F.struct(F.col("_a").alias("bt"), F.lit(1).cast("long").alias("_held")), F.struct(F.col("_b").alias("bt"), F.lit(-1).cast("long").alias("_held")))).alias("x")).select("token", "x.*")
+    y = distinct_in_range(x, back, "n_recent").withColumn("_held", F.lit(0).cast("long")).withColumn("_own", F.lit(True))
+    y = y.unionByName(spans.withColumn("_own", F.lit(False)).withColumn("_first", F.lit(0).cast("long")), allowMissingColumns=True)
+    y = _running_in_chunks(y, 16 * back, {"_first": "n_seen", "_held": "_n_held"}).where("_own")
+    return y.withColumn("n_silent", F.col("n_seen") - F.col("n_recent") + F.col("_n_held")).drop("_first", "_held", "_n_held", "_own")
 
 
 def stopped_before(flows: DataFrame, transitions: DataFrame, back: int = 120) -> DataFrame:

@@ -19,8 +19,7 @@ from tidewake.sources.canonical import oracle
 
 def transactions(t):
     """Transactions with signers, instructions, programs, native transfers and fees, built from trades."""
-    l = t.valid.where("line <= 3")  # noqa: E741
-    return l.groupBy("signature").agg(F.min(F.struct("bt", "wallet", "token", "lamports", "units", "seq", "line", "dex", "flow_direction")).alias("x")).select("signature", "x.*").select(
+    return t.valid.groupBy("signature").agg(F.min(F.struct("bt", "wallet", "token", "lamports", "units", "seq", "line", "dex", "flow_direction")).alias("x")).select("signature", "x.*").select(
         "*", F.array("wallet").alias("signers"), F.col("wallet").alias("feePayer"), (5000 + F.col("seq") % 7 * 100).alias("fee"), F.array(F.concat(F.lit("p"), F.col("dex")), F.lit("budget")).alias("programs"),
         F.when(F.col("seq") % 4 == 0, F.array(F.lit("jupiter"), F.lit("budget"))).alias("declared"),
         F.when(F.col("seq") % 9 == 0, F.array(F.lit("initializeMint"), F.lit("createAccount"))).when(F.col("seq") % 9 == 1, F.array(F.lit("createAccount"))).otherwise(F.array(F.lit("swap"))).alias("kinds"),
@@ -28,7 +27,7 @@ def transactions(t):
     )
 
 
-TX = """SELECT signature, x.bt AS bt, x.wallet AS wallet, x.token AS token, x.lamports AS lamports, x.units AS units, x.seq AS seq, x.line AS line, x.dex AS dex FROM (SELECT signature, min({'bt': bt, 'wallet': wallet, 'token': token, 'lamports': lamports, 'units': units, 'seq': seq, 'line': line, 'dex': dex}) AS x FROM valid WHERE line <= 3 GROUP BY signature)"""
+TX = """SELECT signature, x.bt AS bt, x.wallet AS wallet, x.token AS token, x.lamports AS lamports, x.units AS units, x.seq AS seq, x.line AS line, x.dex AS dex FROM (SELECT signature, min({'bt': bt, 'wallet': wallet, 'token': token, 'lamports': lamports, 'units': units, 'seq': seq, 'line': line, 'dex': dex}) AS x FROM valid GROUP BY signature)"""
 
 
 @query("fn23_creation_evidence", oracle("SELECT signature, seq % 9 = 0 AS initialized, seq % 9 <= 1 AS created, CASE WHEN seq % 9 = 0 THEN 'CONFIRMED' WHEN seq % 9 = 1 THEN 'PARTIAL' ELSE 'NONE' END AS status FROM tx", "valid", tx=TX))
@@ -140,11 +139,15 @@ def st5(t):
 
 @query("st17_replay_matches")
 def st17(t):
-    """Two runs of the fold over the same flows, in other partitions, differ in no row."""
+    """Transitions of each token in two runs of the fold over the same flows, in other partitions, and rows in which the runs differ (0)."""
     from tidewake.operators.joins import diff
 
     cols = ["token", "bt", "seq", "from_state", "to_state"]
-    return diff(M.transitions(t.flows).select(*cols), M.transitions(t.flows, 3).select(*cols))
+    one, two = M.transitions(t.flows).select(*cols), M.transitions(t.flows, 3).select(*cols)
+    odd = diff(one, two).groupBy("token").agg(F.sum("n").alias("n_different"))
+    count = lambda x, name: x.groupBy("token").agg(F.count("*").alias(name))
+    x = count(one, "n_first").join(count(two, "n_second").hint("merge"), "token", "full").join(odd.hint("merge"), "token", "left")
+    return x.fillna(0, ["n_first", "n_second", "n_different"])
 
 
 @query("st11_verdict_record", oracle("""SELECT token, arg_max(CASE WHEN vol > 0 AND abs(net) / vol >= 0.15 THEN sign(net)::INT * 2 ELSE sign(net)::INT END, token) AS capital, any_value(silent) AS silent_share, CASE WHEN any_value(silent) >= 0.85 THEN 'CRITICAL' WHEN any_value(silent) >= 0.70 THEN 'SEVERE' WHEN any_value(silent) >= 0.50 THEN 'SIGNIFICANT' WHEN any_value(silent) >= 0.30 THEN 'EARLY' ELSE 'NONE' END AS exhaustion
@@ -182,23 +185,41 @@ def src27(t):
     return I.side_tables(t.mint_metadata, t.liquidity_events)
 
 
-def archetypes(t, removals):
-    """Archetype of each token by its flows, mint and removals of liquidity."""
-    from tidewake.operators.aggregates import is_in, is_out
+_DAY = 86_400
+_SIGNS = f"""SELECT token, removed > 0 AND sold > bought AS vampire, (mintable OR freezable) AND gini > 0.08::DOUBLE AS time_bomb, density > 0.2::DOUBLE AND 1 / (1 + mad / mean) > 0.6::DOUBLE AS bot_farm, gap >= {30 * _DAY} AND bought > sold AS phoenix, last < (SELECT max(bt) FROM valid) - {20 * _DAY} AS ghost, bought > sold AS accumulator, sold > bought AS distributor
+  FROM (SELECT token, sum(CASE WHEN flow_direction = 'in' THEN lamports ELSE 0 END) AS bought, sum(CASE WHEN flow_direction = 'out' THEN lamports ELSE 0 END) AS sold, max(bt) AS last, sum(lamports) / count(*) AS mean FROM valid GROUP BY token)
+  JOIN (SELECT token, avg(abs(v.lamports - m.mean)) AS mad FROM valid v JOIN (SELECT token, sum(lamports) / count(*) AS mean FROM valid GROUP BY token) m USING (token) GROUP BY token) USING (token)
+  JOIN (SELECT token, coalesce(max(bt - prev), 0) AS gap FROM (SELECT token, bt, lag(bt) OVER (PARTITION BY token ORDER BY bt) AS prev FROM valid) GROUP BY token) USING (token)
+  JOIN (SELECT token, sum(c) FILTER (r <= 10) / sum(c) AS density FROM (SELECT token, wallet, count(*) AS c, row_number() OVER (PARTITION BY token ORDER BY count(*) DESC, wallet) AS r FROM valid GROUP BY token, wallet) GROUP BY token) USING (token)
+  LEFT JOIN (SELECT token, round(2 * sum(i * b) / (count(*) * sum(b)) - (count(*) + 1) / count(*), 6) AS gini FROM (SELECT token, b, row_number() OVER (PARTITION BY token ORDER BY b, wallet) AS i FROM (SELECT token, wallet, sum(CASE WHEN flow_direction = 'in' THEN units ELSE -units END) AS b FROM valid GROUP BY token, wallet) WHERE b > 0) GROUP BY token) USING (token)
+  LEFT JOIN (SELECT token, count(*) AS removed FROM liquidity_events WHERE action = 'remove' GROUP BY token) USING (token) LEFT JOIN (SELECT token, mint_authority IS NOT NULL AS mintable, freeze_authority IS NOT NULL AS freezable FROM mint_metadata) USING (token)"""
+_NAMES = "[" + ", ".join(f"CASE WHEN {key} THEN '{name}' END" for name, key, _ in S.ARCHETYPES) + "]"
+_REASONS = "[" + ", ".join(f"CASE WHEN {key} THEN '{text}' END" for _, key, text in S.ARCHETYPES) + "]"
 
-    x = t.valid.groupBy("token").agg(F.sum(F.when(is_in(), F.col("lamports")).otherwise(0)).alias("bought"), F.sum(F.when(is_out(), F.col("lamports")).otherwise(0)).alias("sold"))
-    r = removals.groupBy("token").agg(F.count("*").alias("removed"))
-    x = x.join(t.mint_metadata.hint("merge"), "token", "left").join(r.hint("merge"), "token", "left")
-    up, down, no = F.col("bought") > F.col("sold"), F.col("sold") > F.col("bought"), F.lit(False)
-    x = x.withColumns({"vampire": (F.coalesce("removed", F.lit(0)) > 0) & down, "time_bomb": F.col("mint_authority").isNotNull() & F.col("freeze_authority").isNotNull(), "bot_farm": no, "phoenix": no, "ghost": no, "accumulator": up, "distributor": down})
-    return x.select("token", S.archetype(F.lit("The Ghost"), F.lit(True)).alias("archetype"))
 
-
-@query("fn10_archetypes", oracle("""SELECT token, CASE WHEN removed > 0 AND sold > bought THEN 'The Vampire' WHEN mintable AND freezable THEN 'The Time Bomb' WHEN bought > sold THEN 'The Accumulator' WHEN sold > bought THEN 'The Distributor' ELSE 'The Ghost' END AS archetype FROM (
-  SELECT v.token, sum(CASE WHEN flow_direction = 'in' THEN lamports ELSE 0 END) AS bought, sum(CASE WHEN flow_direction = 'out' THEN lamports ELSE 0 END) AS sold, any_value(coalesce(r.n, 0)) AS removed, any_value(m.mint_authority IS NOT NULL) AS mintable, any_value(m.freeze_authority IS NOT NULL) AS freezable
-  FROM valid v LEFT JOIN mint_metadata m USING (token) LEFT JOIN (SELECT token, count(*) AS n FROM liquidity_events WHERE action = 'remove' AND token::INT % 4 = 0 GROUP BY token) r USING (token) GROUP BY v.token)""", "valid", "mint_metadata", "liquidity_events"))
+@query("fn10_archetypes", oracle(f"""SELECT token, coalesce(list_filter({_NAMES}, lambda x: x IS NOT NULL)[1], 'The Ghost') AS archetype, CASE WHEN len(list_filter({_REASONS}, lambda x: x IS NOT NULL)) = 0 THEN 'mixed low-signal state' ELSE array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL)[1:2], '; ') END AS reason FROM signs""", "valid", "mint_metadata", "liquidity_events", signs=_SIGNS), also=("fn10_archetypes_all",))
 def fn10(t):
-    return archetypes(t, t.liquidity_events.where("action = 'remove' AND cast(token as int) % 4 = 0"))
+    """Archetype of each traded token over its whole life, from all seven signals."""
+    from pyspark.sql import Window
+
+    from tidewake.operators import aggregates as A
+
+    v = t.valid
+    x = v.groupBy("token").agg(F.sum(F.when(A.is_in(), F.col("lamports")).otherwise(0)).alias("bought"), F.sum(F.when(A.is_out(), F.col("lamports")).otherwise(0)).alias("sold"), F.max("bt").alias("last"), (F.sum("lamports") / F.count("*")).alias("mean"))
+    gaps = v.withColumn("_gap", F.col("bt") - F.lag("bt").over(Window.partitionBy("token").orderBy("bt"))).groupBy("token").agg(F.coalesce(F.max("_gap"), F.lit(0)).alias("gap"))
+    per = v.groupBy("token", "wallet").agg(F.count("*").alias("c"), F.sum(F.when(A.is_in(), F.col("units")).otherwise(-F.col("units"))).alias("balance"))
+    busy = per.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("c"), "wallet"))).groupBy("token").agg((F.sum(F.when(F.col("_r") <= 10, F.col("c"))) / F.sum("c")).alias("density"))
+    removed = t.liquidity_events.where("action = 'remove'").groupBy("token").agg(F.count("*").alias("removed"))
+    parts = (A.mean_absolute_deviation(v, ("token",), "lamports"), gaps, busy, A.gini(per, ("token",)).select("token", "gini"), removed, t.mint_metadata, x.groupBy().agg(F.max("last").alias("end")))
+    for y in parts[:-1]:
+        x = x.join(y.hint("merge"), "token", "left")
+    x = x.join(F.broadcast(parts[-1]))  # one row
+    up, down = F.col("bought") > F.col("sold"), F.col("sold") > F.col("bought")
+    x = x.withColumns({
+        "vampire": (F.col("removed") > 0) & down, "time_bomb": (F.col("mint_authority").isNotNull() | F.col("freeze_authority").isNotNull()) & (F.col("gini") > 0.08), "bot_farm": (F.col("density") > 0.2) & (1 / (1 + F.col("mad") / F.col("mean")) > 0.6),
+        "phoenix": (F.col("gap") >= 30 * _DAY) & up, "ghost": F.col("last") < F.col("end") - 20 * _DAY, "accumulator": up, "distributor": down,
+    })
+    return x.select("token", S.archetype(F.lit("The Ghost"), F.lit(True)).alias("archetype"), S.archetype_reason().alias("reason"))
 
 
 @query("fn15_severity_counts")
@@ -206,6 +227,19 @@ def fn15(t):
     return L.M.transitions(t.flows).groupBy("to_state", "severity").agg(F.count("*").alias("n"))
 
 
-@query("fn27_phases", oracle("SELECT DISTINCT event_type AS token, 'Dead' AS first_phase, chr(65) AS letter FROM events WHERE value > 0"))
+@query("fn27_phases")
 def fn27(t):
-    return t.flows.select("token").distinct().select("token", S.phase(F.lit("QUIET")).alias("first_phase"), S.cluster_letter(F.lit(1)).alias("letter"))
+    """The phase of each token's transitions, and the letter of its episode's cluster, over the life cycle."""
+    x = M.transitions(t.flows)
+    return x.groupBy("token", "episode", S.phase(F.col("to_state")).alias("phase"), S.cluster_letter(F.col("episode")).alias("letter")).agg(F.count("*").alias("n"))
+
+
+@query("fn27_wave_phases", oracle("""SELECT token, wave, CASE (wave - w0) % 10 WHEN 0 THEN 'Dead' WHEN 1 THEN 'Igniting' WHEN 2 THEN 'Coordinating' WHEN 3 THEN 'Early Entry' WHEN 4 THEN 'Building' WHEN 5 THEN 'Expanding' WHEN 6 THEN 'Peak Pressure' WHEN 7 THEN 'Exhausting' WHEN 8 THEN 'Dying' ELSE 'UNKNOWN' END AS phase, chr((65 + (wave - w0) % 26)::INT) AS letter
+  FROM (SELECT DISTINCT token, bt // 7200 AS wave, min(bt // 7200) OVER (PARTITION BY token) AS w0 FROM flows)""", "flows"))
+def fn27_waves(t):
+    """Phases and letters by the number of each token's wave, all states and the alphabet's turn included."""
+    from pyspark.sql import Window
+
+    x = t.flows.select("token", F.floor(F.col("bt") / 7200).alias("wave")).distinct().withColumn("k", F.col("wave") - F.min("wave").over(Window.partitionBy("token")))
+    states = F.array(*[F.lit(s) for s in (*S.PHASES, "OTHER")])
+    return x.select("token", "wave", S.phase(F.get(states, (F.col("k") % 10).cast("int"))).alias("phase"), S.cluster_letter(F.col("k") + 1).alias("letter"))

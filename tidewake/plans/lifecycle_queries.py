@@ -54,11 +54,13 @@ _STEPS = """SELECT f.*, (bt - t0) // 600 AS step, first_bt <= t0 + 600 AS early,
   JOIN (SELECT token, wallet, min(bt) AS first_bt, row_number() OVER (PARTITION BY token ORDER BY sum(lamports) DESC, wallet) <= 10 AS top FROM flows GROUP BY token, wallet) USING (token, wallet)"""
 
 
-@query("win25_step_features", oracle("""SELECT token, step, count(*) AS n, sum(CASE WHEN o THEN 0 ELSE lamports END) / 1e9 AS inflow, sum(CASE WHEN o THEN lamports ELSE 0 END) / 1e9 AS outflow, count(DISTINCT wallet) FILTER (early AND new) AS early_entries, count(*) FILTER (early AND o) AS early_exits,
+@query("win25_step_features", oracle("""SELECT x.* EXCLUDE (prev), round(pause_mad, 4) AS pause_mad, round(size_mad, 4) AS size_mad, coalesce(step - prev - 1, 0) AS quiet_before, count(*) FILTER (step - prev - 1 >= 1) OVER (PARTITION BY token ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS resurrections FROM (SELECT *, lag(step) OVER (PARTITION BY token ORDER BY step) AS prev FROM (
+  SELECT token, step, count(*) AS n, sum(CASE WHEN o THEN 0 ELSE lamports END) / 1e9 AS inflow, sum(CASE WHEN o THEN lamports ELSE 0 END) / 1e9 AS outflow, count(DISTINCT wallet) FILTER (early AND new) AS early_entries, count(*) FILTER (early AND o) AS early_exits,
   count(DISTINCT wallet) FILTER (new) AS new_wallets, sum(CASE WHEN top AND o THEN lamports ELSE 0 END) / 1e9 AS top_outflow, any_value(d.density) AS density FROM s JOIN (SELECT token, step, sum(c) FILTER (r <= 10) / sum(c) AS density FROM (
-    SELECT token, step, count(*) AS c, row_number() OVER (PARTITION BY token, step ORDER BY count(*) DESC, wallet) AS r FROM s GROUP BY token, step, wallet) GROUP BY token, step) d USING (token, step) GROUP BY token, step""", "flows", s=_STEPS))
+    SELECT token, step, count(*) AS c, row_number() OVER (PARTITION BY token, step ORDER BY count(*) DESC, wallet) AS r FROM s GROUP BY token, step, wallet) GROUP BY token, step) d USING (token, step) GROUP BY token, step)) x
+  JOIN (SELECT token, step, coalesce(avg(abs(pause - mp)), 0) AS pause_mad, avg(abs(lamports - ml)) / 1e9 AS size_mad FROM (SELECT *, avg(pause) OVER (PARTITION BY token, step) AS mp, avg(lamports) OVER (PARTITION BY token, step) AS ml FROM (SELECT *, bt - lag(bt) OVER (PARTITION BY token, step ORDER BY bt, seq) AS pause FROM s)) GROUP BY token, step) m USING (token, step)""", "flows", s=_STEPS))
 def win25(t):
-    return R.step_features(t.flows, 600).drop("pause_mad", "size_mad")
+    return R.step_features(t.flows, 600).withColumns({c: F.round(c, 4) for c in ("pause_mad", "size_mad")})
 
 
 @query("fn11_scores")
@@ -68,7 +70,40 @@ def fn11(t):
 
 @query("st14_archetype_timeline")
 def st14(t):
-    return R.timeline(R.scores(R.step_features(t.flows, 600)))
+    return R.timeline(R.scores(R.step_features(t.flows, 600)), 600)
+
+
+def trade_scores(t, step: int = 60):
+    """Steps of the traded tokens scored with liquidity, holders and authorities."""
+    flows = t.valid.select("wallet", "token", "bt", F.when(F.col("flow_direction") == "out", "sell").otherwise("buy").alias("direction"), "lamports", "signature", (F.col("seq") * 8 + F.col("line")).alias("seq"))
+    pool = t.liquidity_events.withColumn("amount", F.col("amount") / 1e4)
+    x = R.with_sides(R.step_features(flows, step), flows, step, pool, t.holders, t.mint_metadata)
+    return R.signals(R.scores(x))
+
+
+@query("fn11_side_scores")
+def fn11_sides(t):
+    return trade_scores(t).select("token", "step", "n", "removals", "thin", "spike", "authorities", *[F.round(c, 6).alias(c) for c in ("liquidity_mad", "p_plus", "p_minus", "risk")], "dominant", "vampire", "time_bomb", "bot_farm", "phoenix")
+
+
+@query("st14_archetype_changes")
+def st14_changes(t):
+    return R.changes(R.evaluated(trade_scores(t)))
+
+
+@query("st14_archetype_flips")
+def st14_flips(t):
+    return R.exemplars(R.evaluated(trade_scores(t)))
+
+
+@query("st14_archetype_summary")
+def st14_summary(t):
+    return R.summary(R.evaluated(trade_scores(t)))
+
+
+@query("win25_step_size", oracle("SELECT token, CASE WHEN n >= 3 AND least <= 20 THEN 20 ELSE 60 END AS step FROM (SELECT token, count(*) AS n, min(bt - prev) FILTER (bt > prev) AS least FROM (SELECT *, lag(bt) OVER (PARTITION BY token ORDER BY bt, seq) AS prev FROM flows) GROUP BY token)", "flows"))
+def win25_size(t):
+    return R.step_size(t.flows)
 
 
 RAW = """SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'short' ELSE lpad((user_id % 40)::VARCHAR, 44, 'W') END AS wallet, 1704067200 + event_id AS timestamp, CASE WHEN event_id % 37 = 0 THEN 'hold' WHEN json_extract_string(props, '$.k')::INT < 60 THEN 'BUY' ELSE 'sell' END AS direction, value AS amount,
@@ -129,9 +164,9 @@ def prj7(t):
     return I.mint_parties(landed_swaps(t)).groupBy("token").agg(F.count("*").alias("n"), F.sum(F.size("sellers")).alias("n_sellers"))
 
 
-@query("join17_balance_changes", oracle("SELECT signature, 0 AS index, token AS mint, wallet AS owner, sum(CASE WHEN flow_direction = 'in' THEN units ELSE -units END)::DOUBLE AS delta FROM (SELECT DISTINCT signature, wallet, token, flow_direction, units, line, seq, lamports FROM valid WHERE line = 2) GROUP BY ALL HAVING sum(CASE WHEN flow_direction = 'in' THEN units ELSE -units END) <> 0", "valid"))
+@query("join17_balance_changes", oracle("SELECT signature, 0 AS index, token AS mint, wallet AS owner, sum(CASE WHEN flow_direction = 'in' THEN units ELSE -units END)::DOUBLE AS delta FROM (SELECT DISTINCT signature, wallet, token, flow_direction, units, line, seq, lamports FROM valid) GROUP BY ALL HAVING sum(CASE WHEN flow_direction = 'in' THEN units ELSE -units END) <> 0", "valid"))
 def join17(t):
-    x = t.valid.where("line = 2").select("signature", "wallet", "token", "flow_direction", "units", "line", "seq", "lamports").distinct()
+    x = t.valid.select("signature", "wallet", "token", "flow_direction", "units", "line", "seq", "lamports").distinct()
     item = lambda amount: F.array(F.struct(F.lit(0).alias("index"), F.col("token").alias("mint"), F.col("wallet").alias("owner"), amount.cast("string").alias("amount")))
     buy = F.col("flow_direction") == "in"
     tx = x.select("signature", item(F.when(buy, 100).otherwise(100 + F.col("units"))).alias("pre"), item(F.when(buy, 100 + F.col("units")).otherwise(100)).alias("post"))

@@ -106,19 +106,27 @@ def co_wallet_leaders(anchors, buys):
     return x.groupBy("wallet").agg(F.countDistinct("token").alias("n_tokens")).orderBy(F.desc("n_tokens"), "wallet").limit(20)
 
 
-@query("top9_co_wallet_leaders", oracle("SELECT wallet, n_tokens FROM (SELECT b.wallet, count(DISTINCT a.token) AS n_tokens FROM (SELECT * FROM buys WHERE wallet::INT % 5 = 0) a JOIN buys b ON a.token = b.token AND b.wallet <> a.wallet AND b.bt BETWEEN a.bt - 21600 AND a.bt + 21600 GROUP BY b.wallet) ORDER BY n_tokens DESC, wallet LIMIT 20", "valid", buys=T.BUYS))
+@query("top9_co_wallet_leaders", oracle("SELECT wallet, n_tokens FROM (SELECT b.wallet, count(DISTINCT a.token) AS n_tokens FROM buys a JOIN buys b ON a.token = b.token AND b.wallet <> a.wallet AND b.bt BETWEEN a.bt - 21600 AND a.bt + 21600 GROUP BY b.wallet) ORDER BY n_tokens DESC, wallet LIMIT 20", "valid", buys=T.BUYS), also=("top9_co_wallet_leaders_all",))
 def top9(t):
     buys = t.valid.where("flow_direction = 'in'")
-    return co_wallet_leaders(buys.where(F.col("wallet").cast("int") % 5 == 0), buys)
+    return co_wallet_leaders(buys, buys)
 
 
-@query("set1_seeds_and_neighbours", oracle("SELECT wallet FROM seeds UNION SELECT neighbour FROM both_ JOIN seeds USING (wallet)", "valid", "edges", both_=T.BOTH, seeds=T.SEEDS))
+@query("set1_seeds_and_neighbours", oracle("SELECT wallet FROM seeds UNION SELECT neighbour FROM both_ JOIN seeds USING (wallet)", "valid", "edges", both_=T.BOTH, seeds=T.SEEDS), also=("set1_seeds_and_neighbours_all",))
 def set1(t):
-    return T.seeds(t).union(J.neighbours(t.edges, T.seeds(t)).select("neighbour")).distinct()
+    return T.wallets(t).union(J.neighbours(t.edges, T.wallets(t)).select("neighbour")).distinct()
 
 
-@query("set2_token_intersection", oracle("SELECT a.wallet AS a, b.wallet AS b, count(*) AS n FROM fb a JOIN fb b ON a.token = b.token AND a.wallet < b.wallet GROUP BY ALL", "valid", fb=T.FB))
+_SHARED = "SELECT a.wallet AS a, b.wallet AS b, count(*) AS n FROM fb a JOIN fb b ON a.token = b.token AND a.wallet < b.wallet GROUP BY ALL"
+
+
+@query("set2_token_intersection", oracle(_SHARED, "valid", fb0=T.FB, leaders=T.LEADERS.replace("fb", "fb0"), fb="SELECT * FROM fb0 WHERE wallet IN (SELECT wallet FROM leaders)"))
 def set2(t):
+    return R.intersection_size(J.first_buys(t.valid).join(F.broadcast(T.leaders(t)), "wallet", "left_semi"))
+
+
+@query("set2_token_intersection_all", oracle(_SHARED, "valid", fb=T.FB))
+def set2_all(t):
     return R.intersection_size(J.first_buys(t.valid))
 
 
@@ -196,12 +204,12 @@ def top6(t):
     return R.whale_ranking(last, S.verdict_priority(F.col("verdict"))).select("token", "wallet", "verdict", "rank")
 
 
-@query("agg13_seed_metrics", oracle("""SELECT s.wallet, median(e.n) AS attempts_median, quantile_disc(e.n, 0.9) AS attempts_p90, count(*) AS n_episodes FROM (SELECT DISTINCT wallet FROM flows WHERE wallet::INT % 5 = 0) s JOIN (SELECT wallet, token, direction, episode, count(*) AS n FROM (
+@query("agg13_seed_metrics", oracle("""SELECT s.wallet, median(e.n) AS attempts_median, quantile_disc(e.n, 0.9) AS attempts_p90, count(*) AS n_episodes FROM (SELECT DISTINCT wallet FROM flows) s JOIN (SELECT wallet, token, direction, episode, count(*) AS n FROM (
   SELECT *, sum(CASE WHEN prev IS NULL OR bt - prev > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY wallet, token, direction ORDER BY bt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM (SELECT *, lag(bt) OVER (PARTITION BY wallet, token, direction ORDER BY bt, seq) AS prev FROM flows)) GROUP BY ALL) e USING (wallet) GROUP BY s.wallet""", "flows"))
 def agg13(t):
     from tidewake.plans.network import episode_metrics
 
-    return episode_metrics(t.flows.where(F.col("wallet").cast("int") % 5 == 0))
+    return episode_metrics(t.flows)
 
 
 @query("fn17_seed_verdicts")

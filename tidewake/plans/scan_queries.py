@@ -64,11 +64,11 @@ def prj3(t):
     return t.valid.groupBy(I.side_class(buy, 1 - buy, delta).alias("side")).agg(F.count("*").alias("n"))
 
 
-@query("prj5_probable_mints", oracle("SELECT signature, lpad(wallet, 40, 'M') AS mint FROM valid WHERE line = 1 AND seq % 3 > 0", "valid"))
+@query("prj5_probable_mints", oracle("SELECT signature, lpad(wallet, 40, 'M') AS mint FROM valid WHERE seq % 3 > 0", "valid"))
 def prj5(t):
     item = lambda m: F.struct(m.alias("mint"))
     odd = F.when(F.col("seq") % 3 == 0, F.lit(I.WRAPPED)).otherwise(F.lpad("wallet", 40, "M"))
-    tx = t.valid.where("line = 1").select("signature", F.array(item(odd), item(F.lit("short")), item(odd)).alias("tokenTransfers"))
+    tx = t.valid.select("signature", F.array(item(odd), item(F.lit("short")), item(odd)).alias("tokenTransfers"))
     return I.created_mints(tx)
 
 
@@ -86,7 +86,7 @@ def join19(t):
 @query("join20_funded_buyers", oracle("""SELECT b.token, b.creator, b.wallet, coalesce(bool_or(h.hops = 1), false) AS direct, coalesce(min(h.hops) = 2, false) AS indirect FROM (SELECT token, creator, wallet FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY first_buy, wallet) AS n FROM fb JOIN cr USING (token) WHERE wallet <> creator) WHERE n <= 20) b LEFT JOIN (
     SELECT src AS source, dst AS target, 1 AS hops FROM tr WHERE dst <> src UNION SELECT h.src, t.dst, 2 FROM (SELECT src, dst, min(bt) AS bt FROM tr WHERE dst <> src GROUP BY ALL) h JOIN tr t ON t.src = h.dst AND t.bt >= h.bt AND t.dst <> h.src) h ON h.source = b.creator AND h.target = b.wallet GROUP BY ALL""", "valid", cr=CREATORS, fb=T.FB, tr=T.TRANSFERS))
 def join20(t):
-    tr = t.valid.where("line = 1").select(F.col("wallet").alias("src"), ((F.col("line") * 13 + F.col("seq")) % 100 + 1).cast("string").alias("dst"), "bt").distinct()
+    tr = t.valid.select(F.col("wallet").alias("src"), ((F.col("line") * 13 + F.col("seq")) % 100 + 1).cast("string").alias("dst"), "bt").distinct()
     cr = V.creators(t.valid)
     x = J.first_buys(t.valid).join(cr.hint("merge"), "token").where("wallet <> creator")
     buyers = R.top(x, ("token",), [F.asc("first_buy"), F.asc("wallet")], 20).select("token", "creator", "wallet")
@@ -106,9 +106,9 @@ def join23(t):
     return V.retained_supply(T.balances(t), V.creators(t.valid)).select("token", "supply", "retained")
 
 
-@query("fn24_seed_verification", oracle("SELECT s.token, CASE WHEN count(t.token) > 0 THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status FROM (SELECT DISTINCT token FROM valid WHERE token::INT < 50) s LEFT JOIN (SELECT * FROM tx WHERE seq % 9 = 0) t USING (token) GROUP BY s.token", "valid", tx=E.TX))
+@query("fn24_seed_verification", oracle("SELECT s.token, CASE WHEN count(t.token) > 0 THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status FROM (SELECT DISTINCT token FROM valid) s LEFT JOIN (SELECT * FROM tx WHERE seq % 9 = 0) t USING (token) GROUP BY s.token", "valid", tx=E.TX), also=("fn24_seed_verification_all",))
 def fn24(t):
-    s = t.valid.where("cast(token as int) < 50").select("token").distinct()
+    s = t.valid.select("token").distinct()
     return V.seed_verification(s, V.creation_evidence(E.transactions(t))).select("token", "status")
 
 
@@ -144,7 +144,7 @@ def fn12(t):
     from tidewake.operators import archetype as R_
 
     scored = R_.scores(R_.step_features(t.flows, 600))
-    x = R_.timeline(scored).join(scored.select("token", "step", "risk").hint("merge"), ["token", "step"])
+    x = R_.timeline(scored, 600).join(scored.select("token", "step", "risk").hint("merge"), ["token", "step"])
     return x.select("token", "step", V.conflict(F.col("direction_level"), F.col("dominant"), F.col("risk") >= R_.RISK_WARNING, F.col("risk") >= R_.RISK_SHOUT).alias("conflict"))
 
 

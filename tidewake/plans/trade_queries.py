@@ -143,12 +143,15 @@ def agg9(t):
     return A.reconstruct(t.valid)
 
 
-_ROI = ", ".join(f"round(quantile_cont(roi, {p / 100}), 6) AS roi_p{p}" for p in (10, 25, 50, 75, 90))
-_HOLD = ", ".join(f"round(quantile_cont(hold, {p / 100}), 2) AS hold_p{p}" for p in (10, 50, 90))
+def _at(c: str, name: str, ps: tuple[int, ...], scale: str, digits: int) -> str:
+    return ", ".join(f"round(quantile_cont({c}, {p / 100}){scale}, {digits}) AS {name}_p{p}" for p in ps)
 
 
-@query("agg10_distribution", oracle(f"""SELECT count(*) AS n, count(*) FILTER (net > 0) AS n_wins, round(avg(net) FILTER (net > 0) / 1e9, 4) AS mean_win, round(avg(net) FILTER (net <= 0) / 1e9, 4) AS mean_loss, round(median(net / 1e9) FILTER (net > 0), 6) AS median_win,
-  round(median(net / 1e9) FILTER (net <= 0), 6) AS median_loss, round(CASE WHEN sum(least(net, 0)) < 0 THEN sum(greatest(net, 0)) / -sum(least(net, 0)) ELSE 'inf'::DOUBLE END, 6) AS profit_factor, {_ROI}, {_HOLD}, round(count(*) FILTER (net > 0) / count(*), 6) AS win_rate FROM closed""", "valid", recon=RECON, closed=CLOSED))
+_TAILS = ", ".join((_at("roi", "roi", A.TAILS, "", 6), _at("net", "net", A.TAILS, " / 1e9", 7), _at("hold", "hold", A.SPREAD, "", 2), _at("cost", "entry", A.SPREAD, " / 1e9", 7)))
+
+
+@query("agg10_distribution", oracle(f"""SELECT count(*) AS n, count(*) FILTER (net > 0) AS n_wins, count(*) FILTER (net < 0) AS n_losses, round(avg(net) FILTER (net > 0) / 1e9, 4) AS mean_win, round(avg(net) FILTER (net < 0) / 1e9, 4) AS mean_loss, round(median(net / 1e9) FILTER (net > 0), 6) AS median_win,
+  round(median(net / 1e9) FILTER (net < 0), 6) AS median_loss, round(sum(net) / count(*) / 1e9, 4) AS expectancy, round(CASE WHEN count(*) FILTER (net < 0) > 0 THEN sum(greatest(net, 0)) / -sum(least(net, 0)) WHEN count(*) FILTER (net > 0) > 0 THEN 'inf'::DOUBLE END, 6) AS profit_factor, {_TAILS}, round(count(*) FILTER (net > 0) / count(*), 6) AS win_rate FROM closed""", "valid", recon=RECON, closed=CLOSED))
 def agg10(t):
     return A.distribution(closed(t))
 
@@ -167,17 +170,25 @@ FB = "SELECT wallet, token, min(bt) AS first_buy FROM valid WHERE flow_direction
 LEAD = "SELECT a.wallet AS a, b.wallet AS b, count(*) AS shared, count(*) FILTER (b.first_buy > a.first_buy) / count(*) AS lead_rate, median(b.first_buy - a.first_buy) AS median_delta, quantile_disc(b.first_buy - a.first_buy, 0.9) AS p90_delta FROM fb a JOIN fb b ON a.token = b.token AND a.wallet < b.wallet GROUP BY ALL"
 
 
-@query("join10_lead_follow", oracle(LEAD, "valid", fb=FB))
+#: The wallets that a report compares: the 40 that entered the most tokens.
+LEADERS = "SELECT wallet FROM (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) ORDER BY n DESC, wallet LIMIT 40"
+
+
+def leaders(t, k: int = 40):
+    return J.first_buys(t.valid).groupBy("wallet").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "wallet").limit(k).select("wallet")
+
+
+@query("join10_lead_follow", oracle(LEAD, "valid", fb0=FB, leaders=LEADERS.replace("fb", "fb0"), fb="SELECT * FROM fb0 WHERE wallet IN (SELECT wallet FROM leaders)"))
 def join10(t):
-    return J.pair_stats(J.first_buys(t.valid))
+    return J.pair_stats(J.first_buys(t.valid), leaders(t))
 
 
-SEEDS = "SELECT DISTINCT wallet FROM valid WHERE wallet::INT % 5 = 0"
+@query("join10_lead_follow_all", oracle(LEAD, "valid", fb=FB))
+def join10_all(t):
+    return J.pair_stats(J.first_buys(t.valid))
 
 
-def seeds(t):
-    """The wallets of a report: a stated list, here those of a fifth of the suppliers."""
-    return t.valid.where(F.col("wallet").cast("int") % 5 == 0).select("wallet").distinct()
+SEEDS = "SELECT DISTINCT wallet FROM valid"
 
 
 def wallets(t):
@@ -187,27 +198,27 @@ def wallets(t):
 
 @query("join11_token_overlap", oracle("""SELECT x.wallet AS a, y.wallet AS b, coalesce(s.shared, 0) AS shared, CASE WHEN least(coalesce(n1.n, 0), coalesce(n2.n, 0)) > 0 THEN coalesce(s.shared, 0) / least(n1.n, n2.n) ELSE 0 END AS overlap
   FROM seeds x JOIN seeds y ON x.wallet <= y.wallet LEFT JOIN (SELECT a.wallet AS a, b.wallet AS b, count(*) AS shared FROM fb a JOIN fb b ON a.token = b.token AND a.wallet <= b.wallet GROUP BY ALL) s ON s.a = x.wallet AND s.b = y.wallet
-  LEFT JOIN (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) n1 ON n1.wallet = x.wallet LEFT JOIN (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) n2 ON n2.wallet = y.wallet""", "valid", fb=FB, seeds=SEEDS))
+  LEFT JOIN (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) n1 ON n1.wallet = x.wallet LEFT JOIN (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) n2 ON n2.wallet = y.wallet""", "valid", fb=FB, seeds=SEEDS), also=("join11_token_overlap_all",))
 def join11(t):
-    return J.token_overlap(J.first_buys(t.valid).select("wallet", "token"), seeds(t))
+    return J.token_overlap(J.first_buys(t.valid).select("wallet", "token"), wallets(t))
 
 
 BOTH = "SELECT wallet_a AS wallet, wallet_b AS neighbour, weight FROM edges UNION ALL SELECT wallet_b, wallet_a, weight FROM edges WHERE wallet_a <> wallet_b"
 
 
-@query("join12_top_neighbours", oracle("SELECT wallet, neighbour, weight FROM (SELECT wallet, neighbour, sum(weight)::BIGINT AS weight, row_number() OVER (PARTITION BY wallet ORDER BY sum(weight) DESC, neighbour) AS n FROM both_ JOIN seeds USING (wallet) GROUP BY wallet, neighbour) WHERE n <= 5", "valid", "edges", both_=BOTH, seeds=SEEDS))
+@query("join12_top_neighbours", oracle("SELECT wallet, neighbour, weight FROM (SELECT wallet, neighbour, sum(weight)::BIGINT AS weight, row_number() OVER (PARTITION BY wallet ORDER BY sum(weight) DESC, neighbour) AS n FROM both_ JOIN seeds USING (wallet) GROUP BY wallet, neighbour) WHERE n <= 5", "valid", "edges", both_=BOTH, seeds=SEEDS), also=("join12_top_neighbours_all",))
 def join12(t):
-    return J.neighbours(t.edges, seeds(t), 5)
+    return J.neighbours(t.edges, wallets(t), 5)
 
 
-@query("join13_degrees", oracle("SELECT s.wallet, count(e.w) AS degree FROM seeds s LEFT JOIN (SELECT wallet_a AS w FROM edges UNION ALL SELECT wallet_b FROM edges) e ON e.w = s.wallet GROUP BY s.wallet", "valid", "edges", seeds=SEEDS))
+@query("join13_degrees", oracle("SELECT s.wallet, count(e.w) AS degree FROM seeds s LEFT JOIN (SELECT wallet_a AS w FROM edges UNION ALL SELECT wallet_b FROM edges) e ON e.w = s.wallet GROUP BY s.wallet", "valid", "edges", seeds=SEEDS), also=("join13_degrees_all",))
 def join13(t):
-    return J.degrees(t.edges, seeds(t))
+    return J.degrees(t.edges, wallets(t))
 
 
-@query("join14_shared_groups", oracle("SELECT s.wallet, count(DISTINCT b.wallet) AS n_shared FROM seeds s LEFT JOIN members a ON a.wallet = s.wallet LEFT JOIN (SELECT * FROM members WHERE wallet IN (SELECT wallet FROM seeds)) b ON a.group_id = b.group_id AND b.wallet <> a.wallet GROUP BY s.wallet", "valid", "members", seeds=SEEDS))
+@query("join14_shared_groups", oracle("SELECT s.wallet, count(DISTINCT b.wallet) AS n_shared FROM seeds s LEFT JOIN members a ON a.wallet = s.wallet LEFT JOIN (SELECT * FROM members WHERE wallet IN (SELECT wallet FROM seeds)) b ON a.group_id = b.group_id AND b.wallet <> a.wallet GROUP BY s.wallet", "valid", "members", seeds=SEEDS), also=("join14_shared_groups_all",))
 def join14(t):
-    return J.shared_groups(t.members, seeds(t))
+    return J.shared_groups(t.members, wallets(t))
 
 
 @query("join6_nearest_mcap", oracle("""SELECT wallet, token, first_buy, mcap, mcap_time FROM (SELECT f.*, m.mcap, m.mcap_time, row_number() OVER (PARTITION BY f.wallet, f.token ORDER BY abs(f.first_buy - m.mcap_time), m.mcap_time DESC, m.mcap DESC) AS n
@@ -216,14 +227,14 @@ def join6(t):
     return J.nearest(J.first_buys(t.valid), t.mcap, 43_200, time="first_buy")
 
 
-ANCHORS = "SELECT wallet AS anchor, token, bt AS at FROM buys WHERE wallet::INT % 5 = 0"
+ANCHORS = "SELECT wallet AS anchor, token, bt AS at FROM buys"
 BUYS = "SELECT * FROM valid WHERE flow_direction = 'in'"
 
 
-@query("join7_co_wallets", oracle("SELECT anchor, wallet, count(DISTINCT a.token) AS n_tokens, count(*) AS n_pairs FROM anchors a JOIN buys b ON a.token = b.token AND b.bt BETWEEN a.at - 21600 AND a.at + 21600 AND b.wallet <> a.anchor GROUP BY anchor, wallet", "valid", buys=BUYS, anchors=ANCHORS))
+@query("join7_co_wallets", oracle("SELECT anchor, wallet, count(DISTINCT a.token) AS n_tokens, count(*) AS n_pairs FROM anchors a JOIN buys b ON a.token = b.token AND b.bt BETWEEN a.at - 21600 AND a.at + 21600 AND b.wallet <> a.anchor GROUP BY anchor, wallet", "valid", buys=BUYS, anchors=ANCHORS), also=("join7_co_wallets_all",))
 def join7(t):
     buys = t.valid.where("flow_direction = 'in'")
-    return J.co_wallets(buys.where(F.col("wallet").cast("int") % 5 == 0), buys, 21_600)
+    return J.co_wallets(buys, buys, 21_600)
 
 
 @query("join8_pre_entry", oracle("""SELECT e.signature AS entry, e.token, e.bt AS at, count(DISTINCT f.wallet) FILTER (f.bt BETWEEN e.bt - 10 AND e.bt - 1 AND f.direction = 'buy') AS buyers_before, count(*) FILTER (f.direction = 'buy') AS n_buys, count(*) FILTER (f.direction = 'sell') AS n_sells,
@@ -239,7 +250,7 @@ def join9(t):
     return J.trade_windows(x, t.valid)
 
 
-TRANSFERS = "SELECT DISTINCT wallet AS src, ((line * 13 + seq) % 100 + 1)::VARCHAR AS dst, bt FROM valid WHERE line = 1"
+TRANSFERS = "SELECT DISTINCT wallet AS src, ((line * 13 + seq) % 100 + 1)::VARCHAR AS dst, bt FROM valid"
 
 
 def transfers(trades):
@@ -248,13 +259,12 @@ def transfers(trades):
 
 
 @query("join18_funding_paths", oracle("""SELECT source, w AS target, min(hops)::INT AS hops, arg_min(since, hops) AS arrival FROM (
-    SELECT src AS source, dst AS w, 1 AS hops, min(bt) AS since FROM tr WHERE src::INT % 25 = 0 AND dst <> src GROUP BY ALL UNION ALL
-    SELECT h.source, t.dst, 2, min(t.bt) FROM (SELECT src AS source, dst AS w, min(bt) AS since FROM tr WHERE src::INT % 25 = 0 AND dst <> src GROUP BY ALL) h JOIN tr t ON t.src = h.w AND t.bt >= h.since AND t.dst <> h.source GROUP BY h.source, t.dst)
-  WHERE w::INT % 7 = 0 GROUP BY source, w""", "valid", tr=TRANSFERS))
+    SELECT src AS source, dst AS w, 1 AS hops, min(bt) AS since FROM tr WHERE dst <> src GROUP BY ALL UNION ALL
+    SELECT h.source, t.dst, 2, min(t.bt) FROM (SELECT src AS source, dst AS w, min(bt) AS since FROM tr WHERE dst <> src GROUP BY ALL) h JOIN tr t ON t.src = h.w AND t.bt >= h.since AND t.dst <> h.source GROUP BY h.source, t.dst)
+  GROUP BY source, w""", "valid", tr=TRANSFERS), also=("join18_funding_paths_all",))
 def join18(t):
-    tr = transfers(t.valid.where("line = 1"))
-    creators = tr.where("cast(src as int) % 25 = 0").select(F.col("src").alias("wallet")).distinct()
-    return J.funding_paths(tr, creators, tr.where("cast(dst as int) % 7 = 0").select(F.col("dst").alias("wallet")))
+    tr = transfers(t.valid)
+    return J.funding_paths(tr, tr.select(F.col("src").alias("wallet")).distinct(), tr.select(F.col("dst").alias("wallet")))
 
 
 @query("join21_deployer_history", oracle("SELECT deployer, count(*) AS n_tokens, avg((net > 0)::INT) AS fast_win_rate FROM (SELECT token, arg_min(wallet, (bt, signature, wallet)) AS deployer FROM valid GROUP BY token) JOIN (SELECT token, sum(net) AS net FROM pnl GROUP BY token) USING (token) GROUP BY deployer", "valid", pnl=PNL))
@@ -358,6 +368,11 @@ def agg27(t):
     return A.slot_timing(J.entry_delta(t.valid).withColumn("delta", F.floor(F.col("delta") / 86_400)))
 
 
+@query("agg27_delta_histogram", oracle("SELECT b.up_to, count(d.d) AS n FROM (SELECT unnest([0, 1, 2, 5, 10, 50, NULL]) AS up_to) b LEFT JOIN (SELECT delta // 86400 AS d FROM entry) d ON b.up_to IS NOT DISTINCT FROM CASE WHEN d <= 0 THEN 0 WHEN d <= 1 THEN 1 WHEN d <= 2 THEN 2 WHEN d <= 5 THEN 5 WHEN d <= 10 THEN 10 WHEN d <= 50 THEN 50 END AND d.d IS NOT NULL GROUP BY b.up_to", "valid", entry=ENTRY))
+def agg27_histogram(t):
+    return A.delta_histogram(J.entry_delta(t.valid).withColumn("delta", F.floor(F.col("delta") / 86_400)))
+
+
 @query("agg28_silence_summary", oracle("""SELECT token, gap, min("at") FILTER (n_silent / n_seen >= 0.6) AS first_quiet, round(max(n_silent / n_seen), 6) AS most FROM (SELECT g.token, x.gap, g.at, count(*) AS n_seen, count(*) FILTER (last < g.at - x.gap) AS n_silent FROM (
     SELECT s.token, s.at, f.wallet, max(f.bt) AS last FROM (SELECT token, unnest(range(t0, t1 + 1, 600)) AS at FROM (SELECT token, min(bt) AS t0, max(bt) AS t1 FROM flows GROUP BY token)) s
     JOIN flows f ON f.token = s.token AND f.bt <= s.at GROUP BY ALL) g CROSS JOIN (SELECT unnest([60, 600]) AS gap) x GROUP BY ALL) GROUP BY token, gap""", "flows"))
@@ -365,7 +380,7 @@ def agg28(t):
     return A.silence_summary(W.silence_curve(t.flows, (60, 600), 600))
 
 
-@query("agg30_discovery_features", oracle("""SELECT *, CASE WHEN hold <= 2592000 AND net > 0 THEN 'FAST_WIN' WHEN hold <= 2592000 THEN 'FAST_LOSS' END AS label FROM (SELECT wallet, token, fb AS first_buy, min(bt) FILTER (flow_direction = 'out' AND bt >= fb) AS first_sell, count(*) FILTER (flow_direction = 'in') AS clips,
+@query("agg30_discovery_features", oracle("""SELECT *, CASE WHEN hold <= 5 THEN 'FAST' WHEN hold <= 60 THEN 'MID' WHEN hold IS NOT NULL THEN 'SLOW' END AS bucket, CASE WHEN hold <= 5 AND net > 0 THEN 'FAST_WIN' WHEN hold <= 5 THEN 'FAST_LOSS' END AS label FROM (SELECT wallet, token, fb AS first_buy, min(bt) FILTER (flow_direction = 'out' AND bt >= fb) AS first_sell, count(*) FILTER (flow_direction = 'out' AND bt >= fb) AS clips,
   count(*) FILTER (flow_direction = 'out' AND bt >= fb) > 1 AS partial_exit, min(signature) FILTER (flow_direction = 'in' AND bt = fb) AS first_signature, sum(CASE WHEN flow_direction = 'out' THEN lamports ELSE -lamports END)::BIGINT AS net, min(bt) FILTER (flow_direction = 'out' AND bt >= fb) - fb AS hold
   FROM (SELECT *, min(bt) FILTER (flow_direction = 'in') OVER (PARTITION BY wallet, token) AS fb FROM valid) WHERE fb IS NOT NULL GROUP BY wallet, token, fb)""", "valid"))
 def agg30(t):

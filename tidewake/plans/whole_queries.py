@@ -1,17 +1,7 @@
-"""The queries that other modules hold against SQL on a list of ids, here over all wallets, transfers, removals and mints.
-
-They have no SQL of their own; tests hold them against the SQL of the listed queries without its lists, on the smallest tables.
-"""
+"""Seed metrics of every wallet over its trades, in full: those of agg13_seed_metrics are over flows."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tidewake.operators import evidence as V
-from tidewake.operators import joins as J
-from tidewake.plans import evidence_queries as D
-from tidewake.plans import position_queries as P
-from tidewake.plans import trade_queries as T
 from tidewake.plans.network import seed_metrics
 from tidewake.plans.registry import query
 
@@ -19,56 +9,3 @@ from tidewake.plans.registry import query
 @query("agg13_seed_metrics_all")
 def agg13(t):
     return seed_metrics(t.valid)
-
-
-@query("join7_co_wallets_all")
-def join7(t):
-    buys = t.valid.where("flow_direction = 'in'")
-    return J.co_wallets(buys, buys, 21_600)
-
-
-@query("join11_token_overlap_all")
-def join11(t):
-    return J.token_overlap(J.first_buys(t.valid).select("wallet", "token"), T.wallets(t))
-
-
-@query("join12_top_neighbours_all")
-def join12(t):
-    return J.neighbours(t.edges, T.wallets(t), 5)
-
-
-@query("join13_degrees_all")
-def join13(t):
-    return J.degrees(t.edges, T.wallets(t))
-
-
-@query("join14_shared_groups_all")
-def join14(t):
-    return J.shared_groups(t.members, T.wallets(t))
-
-
-@query("join18_funding_paths_all")
-def join18(t):
-    tr = T.transfers(t.valid)
-    return J.funding_paths(tr, tr.select(F.col("src").alias("wallet")).distinct(), tr.select(F.col("dst").alias("wallet")))
-
-
-@query("set1_seeds_and_neighbours_all")
-def set1(t):
-    return T.wallets(t).union(J.neighbours(t.edges, T.wallets(t)).select("neighbour")).distinct()
-
-
-@query("top9_co_wallet_leaders_all")
-def top9(t):
-    buys = t.valid.where("flow_direction = 'in'")
-    return P.co_wallet_leaders(buys, buys)
-
-
-@query("fn24_seed_verification_all")
-def fn24(t):
-    return V.seed_verification(t.valid.select("token").distinct(), V.creation_evidence(D.transactions(t))).select("token", "status")
-
-
-@query("fn10_archetypes_all")
-def fn10(t):
-    return D.archetypes(t, t.liquidity_events.where("action = 'remove'"))

@@ -31,7 +31,7 @@ def whale_crossings(t):
 
 
 DYNAMIC = """SELECT token, greatest(0.1, least(pool * 0.005, 100.0)) AS whale_tx, greatest(0.5, least(pool * 0.01, 250.0)) AS whale_5m, greatest(1.0, least(pool * 0.02, 500.0)) AS whale_15m
-  FROM (SELECT token, greatest(5.0, least(sum(lamports) / count(*) / 1e9 / 0.01, 10000.0)) AS pool FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY bt, seq) AS n FROM flows) WHERE n <= 20 GROUP BY token)"""
+  FROM (SELECT token, CASE WHEN count(u) > 0 THEN greatest(5.0, least(sum(u) / count(u) / 1e9 / 0.01, 10000.0)) ELSE 50.0 END AS pool FROM (SELECT *, CASE WHEN lamports > 10000000 AND lamports < 1000000000000 THEN lamports END AS u, row_number() OVER (PARTITION BY token ORDER BY bt, seq) AS n FROM flows) WHERE n <= 20 GROUP BY token)"""
 
 
 @query("fn6_dynamic_thresholds", oracle("SELECT * FROM dynamic", "flows", dynamic=DYNAMIC))
@@ -152,7 +152,14 @@ def win19(t):
     return W.silence_curve(t.flows, (60, 120, 900), 600)
 
 
-@query("win20_cohort_silence", oracle(f"SELECT signature, token, n_recent, n_seen, n_seen - n_recent AS n_silent FROM (SELECT *, count(DISTINCT wallet) OVER ({_D.format(120)}) AS n_recent, count(DISTINCT wallet) OVER (PARTITION BY token ORDER BY bt RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_seen FROM flows)", "flows"))
+# a wallet turns silent once the token is active more than 120 s after its last flow; only a buy makes it active again
+_MARKED = """SELECT *, lead(bt) OVER (PARTITION BY token, wallet ORDER BY bt, seq) AS next_bt, direction = 'sell' AND max(turned) OVER (PARTITION BY token, wallet, island ORDER BY bt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM (
+  SELECT *, direction = 'sell' AND coalesce(before > own + 120, false) AS turned, count(*) FILTER (direction = 'buy') OVER (PARTITION BY token, wallet ORDER BY bt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (
+  SELECT *, lag(bt) OVER (PARTITION BY token ORDER BY bt, seq) AS before, lag(bt) OVER (PARTITION BY token, wallet ORDER BY bt, seq) AS own FROM flows))"""
+
+
+@query("win20_cohort_silence", oracle("""SELECT f.signature, f.token, n_recent, n_seen, n_silent FROM flows f JOIN (SELECT t.token, t.bt, count(*) FILTER (m.bt >= t.bt - 120) AS n_recent, count(*) AS n_seen, count(*) FILTER (m.bt < t.bt - 120 OR m.carried) AS n_silent
+  FROM (SELECT DISTINCT token, bt FROM flows) t JOIN marked m ON m.token = t.token AND m.bt <= t.bt AND (m.next_bt IS NULL OR m.next_bt > t.bt) GROUP BY t.token, t.bt) x USING (token, bt)""", "flows", marked=_MARKED))
 def win20(t):
     return W.cohort_silence(t.flows).select("signature", "token", "n_recent", "n_seen", "n_silent")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LAMPORTS = 1_000_000_000
@@ -55,12 +55,12 @@ class Tables:
 
     @cached_property
     def mint_liquidity(self) -> DataFrame:
-        p = self.raw("part").where("p_partkey < 200")
+        p = self.raw("part")
         return p.select(F.col("p_partkey").cast("string").alias("token"), F.round(F.col("p_retailprice") * 100).cast("long").alias("liquidity"), (F.col("p_size") % 2).cast("int").alias("lp_lock_flag"), F.col("p_brand").alias("primary_pool"))
 
     @cached_property
     def mint_metadata(self) -> DataFrame:
-        p = self.raw("part").where("p_partkey < 200")
+        p = self.raw("part")
         flag = lambda n: F.when(F.col("p_size") % n == 0, F.concat(F.lit("auth"), F.col("p_size")))
         return p.select(F.col("p_partkey").cast("string").alias("token"), flag(3).alias("mint_authority"), flag(5).alias("freeze_authority"), (F.col("p_size") % 7 == 0).alias("is_mutable"))
 
@@ -88,6 +88,15 @@ class Tables:
         return o.select((F.col("o_custkey") % 200).cast("string").alias("token"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).cast("long").alias("bt"), F.when(F.col("o_orderstatus") == "F", "remove").otherwise("add").alias("action"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount"), F.col("o_orderkey").alias("seq"))
 
 
+    @cached_property
+    def holders(self) -> DataFrame:
+        """Snapshots at the end of each year: balance of the wallets that traded in it."""
+        units = F.sum(F.when(F.col("flow_direction") == "in", F.col("units")).otherwise(-F.col("units")))
+        x = self.valid.groupBy("token", "wallet", F.year(F.timestamp_seconds("bt")).alias("year")).agg(units.alias("units"))
+        upto = Window.partitionBy("token", "wallet").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+        return x.select("token", "wallet", F.unix_timestamp(F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)).cast("timestamp")).alias("bt"), F.sum("units").over(upto).alias("balance"))
+
+
 #: The same views for DuckDB, each in terms of the registered tables or of views before it.
 SQL = {
     "flows": f"""SELECT (user_id % 40)::VARCHAR AS wallet, event_type AS token, ({T0} + floor((epoch(ts) - {T0}) / 120))::BIGINT AS bt,
@@ -98,8 +107,8 @@ SQL = {
       round(l_extendedprice * 100)::BIGINT * 10000 AS lamports, ['raydium', 'orca', 'pump'][l_partkey % 3 + 1] AS dex, CASE WHEN l_linenumber = 7 THEN 'Err' END AS err,
       l_quantity::BIGINT AS units, l_orderkey AS seq, l_linenumber::BIGINT AS line FROM lineitem""",
     "valid": "SELECT * FROM trades WHERE err IS NULL OR err = ''",
-    "mint_liquidity": "SELECT p_partkey::VARCHAR AS token, round(p_retailprice * 100)::BIGINT AS liquidity, (p_size % 2)::INT AS lp_lock_flag, p_brand AS primary_pool FROM part WHERE p_partkey < 200",
-    "mint_metadata": "SELECT p_partkey::VARCHAR AS token, CASE WHEN p_size % 3 = 0 THEN 'auth' || p_size END AS mint_authority, CASE WHEN p_size % 5 = 0 THEN 'auth' || p_size END AS freeze_authority, p_size % 7 = 0 AS is_mutable FROM part WHERE p_partkey < 200",
+    "mint_liquidity": "SELECT p_partkey::VARCHAR AS token, round(p_retailprice * 100)::BIGINT AS liquidity, (p_size % 2)::INT AS lp_lock_flag, p_brand AS primary_pool FROM part",
+    "mint_metadata": "SELECT p_partkey::VARCHAR AS token, CASE WHEN p_size % 3 = 0 THEN 'auth' || p_size END AS mint_authority, CASE WHEN p_size % 5 = 0 THEN 'auth' || p_size END AS freeze_authority, p_size % 7 = 0 AS is_mutable FROM part",
     "edges": """SELECT a.w AS wallet_a, b.w AS wallet_b, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_suppkey::VARCHAR AS w FROM lineitem) a
       JOIN (SELECT DISTINCT l_orderkey, l_suppkey::VARCHAR AS w FROM lineitem) b USING (l_orderkey) WHERE a.w < b.w GROUP BY a.w, b.w""",
     "members": "SELECT s_suppkey::VARCHAR AS wallet, s_nationkey::BIGINT AS group_id FROM supplier",
