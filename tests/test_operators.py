@@ -1,6 +1,7 @@
 """Edge cases and folds against plain Python."""
 
 import json
+import os
 import random
 
 import pytest
@@ -147,6 +148,7 @@ def test_stream_equals_batch(spark, tmp_path):
     lines = [r.asDict() for r in x.orderBy("seq").collect()]
     for k in range(0, len(lines), 60):
         (land / f"{k:04}.json").write_text("\n".join(map(json.dumps, lines[k : k + 60] + lines[k : k + 5])))
+        os.utime(land / f"{k:04}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken in order of their times
     stream = pipeline.transitions(pipeline.landed(spark, str(land), files_a_batch=1))
     q = stream.writeStream.format("memory").queryName("moves").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)

@@ -224,6 +224,49 @@ def capped_text(x: Column, most: int = 320) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
 
 
+def platform(source: Column, mint: Column, accounts: Column) -> Column:
+    """PRJ-8: the source as given, else by the mint's ending or an account's name; empty if unknown."""
+    return F.when(F.coalesce(source, F.lit("")) != "", source).when(mint.endswith("pump"), "PUMP_FUN").when(F.exists(F.coalesce(accounts, F.array()), lambda a: F.lower(a).contains("pump")), "PUMP_FUN_RELATED_ACCOUNT").otherwise("")
+
+
+# Programs of known venues, in the order in which they name a route.
+VENUES = {
+    "6EF8rrecthR5Dkzon8Nwu78hRvfCKubJ14M5uBEwF6P": "Pump.fun",
+    "675kPX9MHTjS2zt1qfr1NYHuzeLXfQM9H24wFSUt1Mp8": "Raydium",
+    "CAMMCzo5YL8w4VFF8KVHrK22GGUQYQ5eR2Q3z9wKQfK": "Raydium",
+    "CPMMoo8L3F4NbTegBCKVNqj8fJ8oPt7Q2Nm2nY6KQfK": "Raydium",
+    "routeUGWgWzqBWFcrCfv8tritsqukccJPu3q5GPP3xS": "Raydium",
+}
+
+
+def route_of(programs: Column, venues: dict[str, str] | None = None) -> Column:
+    """PRJ-8: the venue of the programs of a transaction: the first that one of its programs belongs to, else Other."""
+    venues = VENUES if venues is None else venues
+    out = F.when(F.lit(False), "")
+    for name in dict.fromkeys(venues.values()):
+        out = out.when(F.arrays_overlap(programs, F.array(*[F.lit(p) for p, v in venues.items() if v == name])), name)
+    return out.otherwise("Other")
+
+
+# Names of the native token, and the alphabet of base 58.
+SOL_NAMES = ("sol", "wsol", "wrapped sol", "wrapped_sol", "native sol", "so11111111111111111111111111111111111111112")
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def base58(data: Column) -> Column:
+    """Bytes as base-58 text."""
+    import pyarrow as pa
+
+    def text(raw: bytes) -> str:
+        number, out = int.from_bytes(raw, "big"), ""
+        while number:
+            number, k = divmod(number, 58)
+            out = BASE58[k] + out
+        return "1" * (len(raw) - len(raw.lstrip(b"\0"))) + out
+
+    return F.arrow_udf(lambda x: pa.array([None if v is None else text(v) for v in x.to_pylist()], pa.string()), "string")(data)
+
+
 def or_null_token(x: Column, token: str = "NULL") -> Column:
     """FN-26: a null as a word."""
     return F.coalesce(x.cast("string"), F.lit(token))

@@ -179,6 +179,21 @@ def session_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy().agg(F.count("*").alias("n"), F.round(F.count("*") / minutes, 6).alias("per_minute"), F.count(buys).alias("n_buys"), (F.count("*") - F.count(buys)).alias("n_sells"), (F.sum(buys) / SOL).alias("bought"), F.round(F.median(buys / SOL), 6).alias("median_buy"), F.round(F.percentile(buys / SOL, F.lit(0.9)), 6).alias("p90_buy"))
 
 
+def fee_report(tx: DataFrame) -> DataFrame:
+    """AGG-15: one row over recorded transactions (fee, err, side, unit_limit, unit_price): errors, fees and their median and p90, rows of each class, and share with a compute budget."""
+    failed, sides = F.coalesce(F.col("err") != "", F.lit(False)), ("BUY", "SELL", "OTHER")
+    budget = F.col("unit_limit").isNotNull() | F.col("unit_price").isNotNull()
+    return tx.groupBy().agg(
+        F.count("*").alias("n"), F.count_if(failed).alias("n_errors"), F.round(F.count_if(failed) / F.count("*"), 6).alias("error_rate"), F.sum("fee").alias("fees"), F.median("fee").alias("median_fee"), F.percentile("fee", F.lit(0.9)).alias("p90_fee"),
+        *[F.count_if(F.col("side") == s).alias(f"n_{s.lower()}") for s in sides], F.round(F.count_if(budget) / F.count("*"), 6).alias("budget_share"), F.median("unit_limit").alias("median_limit"), F.median("unit_price").alias("median_price"),
+    )
+
+
+def price_histogram(tx: DataFrame, price: str = "unit_price") -> DataFrame:
+    """AGG-27: rows by compute-unit price; those without one count as null."""
+    return tx.groupBy(F.col(price).alias("price")).agg(F.count("*").alias("n"))
+
+
 def size_buckets(buys: DataFrame, k: int = 5) -> DataFrame:
     """AGG-16: the k most frequent sizes (SOL to three decimals) of each wallet's buys, ties by size."""
     x = buys.groupBy("wallet", F.round(F.col("lamports") / SOL + 1e-12, 3).alias("size")).agg(F.count("*").alias("n"))
@@ -275,6 +290,15 @@ def silence_summary(curve: DataFrame, share: float = 0.6) -> DataFrame:
     return curve.where("n_seen > 0").groupBy("token", "gap").agg(F.min(F.when(quiet, F.col("at"))).alias("first_quiet"), F.round(F.max(F.col("n_silent") / F.col("n_seen")), 6).alias("most"))
 
 
+def silence_lead(curve: DataFrame, exhaustion: DataFrame, flows: DataFrame, share: float = 0.6) -> DataFrame:
+    """AGG-28: silence_summary() of every token and gap with its exhaustion (token, exhausted_at, may lack tokens): seconds from the first quiet time to it, whether quiet was hit, and the wallets active after it (null without one)."""
+    x = silence_summary(curve, share).join(exhaustion.select("token", "exhausted_at").hint("merge"), "token", "left")
+    after = flows.join(exhaustion.select("token", "exhausted_at").hint("merge"), "token").where("bt > exhausted_at").groupBy("token").agg(F.countDistinct("wallet").alias("_n"))
+    x = x.join(after.hint("merge"), "token", "left")
+    active = F.when(F.col("exhausted_at").isNotNull(), F.coalesce("_n", F.lit(0)))
+    return x.withColumn("lead_time", F.col("exhausted_at") - F.col("first_quiet")).withColumn("hit", F.col("first_quiet").isNotNull()).withColumn("active_after", active).drop("_n")
+
+
 def duplicate_signals(signals: DataFrame) -> DataFrame:
     """AGG-29: signals against distinct (wallet, bt) by combination of kinds (array signals)."""
     combo = F.array_join(F.array_sort("signals"), "+")

@@ -74,6 +74,19 @@ def creator_summary(trades: DataFrame, creators_: DataFrame) -> DataFrame:
     return x.groupBy("creator").agg(F.count("*").alias("n_tokens"), F.count("first_sell").alias("n_sold"), F.median(F.col("first_sell") - F.col("t0")).alias("median_delay"))
 
 
+def repeated_wallets(funded: DataFrame, most: int = 10) -> DataFrame:
+    """AGG-20: of early buyers (token, creator, wallet, direct, indirect), the wallets that a creator funded or that bought in several of its tokens: tokens of each, the most frequent ones of each creator."""
+    x = funded.groupBy("creator", "wallet").agg(F.countDistinct("token").alias("n_tokens"), F.max("direct").alias("direct"), F.max("indirect").alias("indirect")).where("n_tokens > 1 OR direct OR indirect")
+    w = Window.partitionBy("creator").orderBy(F.desc("n_tokens"), "wallet")
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def funding_summary(funded: DataFrame) -> DataFrame:
+    """AGG-20: for each creator, its tokens with early buyers and those among them with directly and indirectly funded ones."""
+    x = funded.groupBy("creator", "token").agg(F.max("direct").alias("direct"), F.max("indirect").alias("indirect"))
+    return x.groupBy("creator").agg(F.count("*").alias("n_tokens"), F.count_if("direct").alias("n_direct"), F.count_if("indirect").alias("n_indirect"))
+
+
 def creator_flows(trades: DataFrame, creators_: DataFrame, before: int, after: int, is_transfer: Column) -> DataFrame:
     """FN-25: a creator's flows in its token around the launch, typed BUY, SELL or TRANSFER_OUT."""
     start = trades.groupBy("token").agg(F.min("bt").alias("_t0"))
@@ -136,6 +149,18 @@ def verdict_record(flows: DataFrame, silent: int = 120) -> DataFrame:
     return x.select("token", (sign * strong).alias("capital"), "silent_share", S.exhaustion_label(F.col("silent_share")).alias("exhaustion"))
 
 
+def full_verdicts(flows: DataFrame, changes: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """ST-11 in full: verdict_record() with the token's last wave (trend, cliff, ghost), and its last entry signal: buyers and time of the last peak of pressure that no exhaustion or end has followed."""
+    from tidewake.operators import machine as M
+
+    last = lambda df, order, cols: df.groupBy("token").agg(F.max(F.struct(*order, *cols)).alias("_x")).select("token", *[F.col(f"_x.{c}").alias(c) for c in cols])
+    trend = last(M.wave_trend(cohorts), ("wave",), ("trend", "cliff", "ghost", "peak"))
+    now = changes.groupBy("token").agg(F.max(F.struct("bt", "seq", "to_state", "n")).alias("_x"))
+    entry = now.select("token", (F.col("_x.to_state") == "PRESSURE_PEAKING").alias("entry"), F.when(F.col("_x.to_state") == "PRESSURE_PEAKING", F.col("_x.n")).alias("entry_buyers"))
+    x = verdict_record(flows).join(trend.hint("merge"), "token", "left").join(entry.hint("merge"), "token", "left")
+    return x.withColumn("entry", F.coalesce("entry", F.lit(False))).withColumn("cliff", F.coalesce("cliff", F.lit(False))).withColumn("ghost", F.coalesce("ghost", F.lit(False))).withColumn("trend", F.coalesce("trend", F.lit("INSUFFICIENT_DATA")))
+
+
 def transitions_v2(flows: DataFrame, back: int = 60, least: int = 3, end: int = 600) -> DataFrame:
     """ST-5: the second generation's rules as windows: per episode of whale flows, ignition at the first and coordination at the first flow with so many distinct whales in back seconds."""
     from tidewake.operators.episodes import token_episodes

@@ -4,7 +4,9 @@ Everything that does not depend on the state (whale crossings) is a column compu
 time, so its memory is the token's wallets, not its rows. The same fold runs in batch over sorted partitions and in a stream
 with keyed state. One transition at most for each flow.
 
-A token ignites only on a whale in the flow at hand, and an episode ends 600 seconds after the whale before it.
+A token ignites only on a whale in the flow at hand, and an episode ends 600 seconds after the whale before it. With
+strict=False a token ignites on any flow once it has seen a whale, the boundary goes by the whale before the last one, and
+whales leave the density window only when a new one comes. TokenV2 has the second generation's rules (ST-5).
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ DDL = "token string, bt long, seq long, episode long, wave long, from_state stri
 
 
 class Token:
-    """State of one token. Wallets: first seen, last seen, last minute, minutes, timing checked, silent flag."""
+    """State of one token. Wallets, in order of their last flow: first seen, last seen, last minute, minutes, timing checked, silent flag."""
 
-    def __init__(self, saved: str | None = None):
+    def __init__(self, saved: str | None = None, strict: bool = True):
+        self.strict, self.whale_before = strict, None
         self.state, self.since, self.episode, self.wave, self.wave_start = "QUIET", None, 0, 1, None
         self.last_bt, self.last_whale, self.max_density, self.persistent = None, None, 0, 0
         self.wallets: dict[str, list] = {}
@@ -51,6 +54,7 @@ class Token:
         if w is None:
             w = self.wallets[wallet] = [t, t, t // 60, 1, False, False]
         else:
+            self.wallets[wallet] = self.wallets.pop(wallet)  # to the end
             w[5] = (w[5] or (self.last_bt is not None and self.last_bt - w[1] > SILENT)) and not buy
             if t // 60 != w[2]:
                 w[2], w[3] = t // 60, w[3] + 1
@@ -68,8 +72,11 @@ class Token:
                     if wallet not in self.cohort:
                         self.cohort.append(wallet)
             self.whales.append([t, wallet, buy])
-            self.last_whale = t
-        self.whales = [x for x in self.whales if x[0] >= t - PEAK_WINDOW]
+            self.whale_before, self.last_whale = self.last_whale, t
+        if whale or self.strict:
+            self.whales = [x for x in self.whales if x[0] >= t - PEAK_WINDOW]
+        if not self.strict:
+            previous = self.whale_before if self.whale_before is not None else self.last_whale
         change = self._next(t, whale, previous)
         self.last_bt = t
         if change is None:
@@ -84,9 +91,9 @@ class Token:
         if s != "QUIET" and previous is not None and t - previous >= EPISODE_END:
             return "QUIET", "episode_end", 0, 0.0
         if s == "QUIET":
-            if not whale:
+            if not (whale if self.strict else self.last_whale is not None):
                 return None
-            new = previous is None or t - previous >= EPISODE_END
+            new = self.episode == 0 or previous is None or t - previous >= EPISODE_END
             if new:
                 self.episode += 1
                 self.wave, self.wave_start, self.cohort, self.max_density = 1, t, [x for x in self.cohort if self.wallets[x][0] >= t], 0
@@ -120,8 +127,84 @@ class Token:
         return None
 
     def _active(self, t: int, within: int, without: list[str]) -> int:
-        out = set(without)
-        return sum(1 for a, w in self.wallets.items() if a not in out and t - w[1] < within)
+        """Wallets active within so many seconds; they stand at the end, so only these are looked at."""
+        out, n = set(without), 0
+        for a, w in reversed(self.wallets.items()):
+            if t - w[1] >= within:
+                break
+            n += a not in out
+        return n
+
+    def forget(self, t: int, idle: int) -> None:
+        """ST-15: drop wallets without a flow in idle seconds, but for those of the cohort."""
+        kept = set(self.cohort) | set(self.early)
+        old = [a for a, w in self.wallets.items() if t - w[1] > idle and a not in kept]
+        for a in old:
+            self.persistent -= self.wallets.pop(a)[3] >= 2
+
+
+class TokenV2:
+    """ST-5, the second generation: coordination by distinct whales of a minute, exhaustion without replacement, no way back from exhaustion."""
+
+    def __init__(self):
+        self.state, self.since, self.episode, self.wave, self.t0 = "QUIET", None, 0, 1, None
+        self.last_whale, self.most, self.persistent = None, 0, set()
+        self.wallets: dict[str, list] = {}  # last seen, minutes of the last five minutes
+        self.early: set[str] = set()
+        self.whales: list[tuple[int, str]] = []
+
+    def recent(self, t: int, within: int) -> set[str]:
+        return {w for at, w in self.whales if at >= t - within}
+
+    def step(self, wallet: str, t: int, buy: bool, whale: bool) -> tuple | None:
+        self.t0 = t if self.t0 is None else self.t0
+        last, minutes = self.wallets.get(wallet, (None, []))
+        if last is None and t - self.t0 <= EARLY:
+            self.early.add(wallet)
+        minutes = sorted({*(m for m in minutes if m >= (t - 300) // 60), t // 60})
+        if len(minutes) >= 2:
+            self.persistent.add(wallet)
+        self.wallets[wallet] = [t, minutes]
+        new = False
+        if whale:
+            new = self.last_whale is None or t - self.last_whale >= EPISODE_END
+            if new:
+                self.episode, self.most = self.episode + 1, 0
+            self.last_whale = t
+            self.whales.append((t, wallet))
+        self.whales = [x for x in self.whales if x[0] >= t - 300]
+        change = self._next(t, whale, new)
+        if change is None:
+            return None
+        old, seconds = self.state, t - self.since if self.since is not None else 0
+        self.state, self.since = change[0], t
+        return (old, *change, seconds)
+
+    def _next(self, t: int, whale: bool, new: bool) -> tuple | None:
+        s = self.state
+        if whale and s in ("QUIET", "DISSIPATION"):
+            return "IGNITION", "new_episode" if new else "reignition", 1, 0.0
+        if s != "QUIET" and self.last_whale is not None and t - self.last_whale >= EPISODE_END:
+            return "QUIET", "episode_end", 0, 0.0
+        if s == "IGNITION" and (n := len(self.recent(t, BURST))) >= 3:
+            return "COORDINATION_SPIKE", "whales_of_a_minute", n, 0.0
+        if s == "COORDINATION_SPIKE" and t - self.since >= 120:
+            return "EARLY_PHASE", "sustained", len(self.early), 0.0
+        if s == "EARLY_PHASE" and len(self.persistent) >= 2:
+            return "PERSISTENCE_CONFIRMED", "persistent_wallets", len(self.persistent), 0.0
+        fresh = len(self.recent(t, RECENT) - self.early)
+        if s == "PERSISTENCE_CONFIRMED" and fresh:
+            return "PARTICIPATION_EXPANSION", "new_whales", fresh, 0.0
+        if s == "PARTICIPATION_EXPANSION":
+            n = sum(at >= t - PEAK_WINDOW for at, _ in self.whales)
+            best, self.most = n > self.most, max(n, self.most)
+            return ("PRESSURE_PEAKING", "density_maximum", n, 0.0) if n >= 5 and best else None
+        if s == "PRESSURE_PEAKING" and self.early:
+            share = sum(t - self.wallets[w][0] > 180 for w in self.early) / len(self.early)
+            return ("EXHAUSTION_DETECTED", "early_gone_without_replacement", len(self.early), share) if share >= 0.6 and not fresh else None
+        if s == "EXHAUSTION_DETECTED" and not self.recent(t, RECENT):
+            return "DISSIPATION", "no_whales", 0, 0.0
+        return None
 
 
 def fold(rows: Iterator[tuple], token: Token) -> Iterator[tuple]:
@@ -133,32 +216,35 @@ def fold(rows: Iterator[tuple], token: Token) -> Iterator[tuple]:
             yield bt, seq, token.episode, token.wave, old, new, trigger, n, share, len(token.early), seconds
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, token = None, Token()
+def _run(batches: Iterator[pa.RecordBatch], make=Token) -> Iterator[pa.RecordBatch]:
+    name, token = None, make()
     for batch in batches:
         cols = [batch.column(k).to_pylist() for k in range(6)]
         out = []
         for tok, *row in zip(*cols, strict=True):
             if tok != name:
-                name, token = tok, Token()
+                name, token = tok, make()
             out += [(tok, *x) for x in fold(iter([tuple(row)]), token)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), TRANSITIONS, strict=True)], schema=TRANSITIONS)
 
 
-def with_whales(flows: DataFrame) -> DataFrame:
-    """Flows with whale: the flow crosses a threshold for the first time."""
-    hits = whale_crossings(flows).select("token", "seq").distinct().withColumn("whale", F.lit(True))
+def with_whales(flows: DataFrame, quiet: int | None = None) -> DataFrame:
+    """Flows with whale: the flow crosses a threshold for the first time, with quiet for the first time since its token's last pause of more than so many seconds."""
+    from tidewake.operators.episodes import token_episodes
+
+    hits = (whale_crossings(flows) if quiet is None else whale_crossings(token_episodes(flows, quiet), scope=("episode",))).select("token", "seq").distinct().withColumn("whale", F.lit(True))
     x = flows.join(hits.hint("merge"), ["token", "seq"], "left")
     return x.select("token", "bt", "seq", "wallet", (F.col("direction") == "buy").alias("buy"), F.coalesce("whale", F.lit(False)).alias("whale"))
 
 
-def transitions(flows: DataFrame, partitions: int | None = None) -> DataFrame:
-    """ST-4: all state transitions, with severity (FN-15)."""
+def transitions(flows: DataFrame, partitions: int | None = None, strict: bool = True, second: bool = False) -> DataFrame:
+    """ST-4: all state transitions, with severity (FN-15). strict: see above; second: by the second generation's rules (ST-5), whose whales count anew after 600 quiet seconds."""
     importable(flows.sparkSession)
     n = partitions or int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_whales(flows.where("token IS NOT NULL AND wallet IS NOT NULL AND bt IS NOT NULL"))
-    return graded(rows.repartition(n, "token").sortWithinPartitions("token", "bt", "seq").mapInArrow(_run, DDL))
+    rows = with_whales(flows.where("token IS NOT NULL AND wallet IS NOT NULL AND bt IS NOT NULL"), EPISODE_END if second else None)
+    make = TokenV2 if second else (lambda: Token(strict=strict))
+    return graded(rows.repartition(n, "token").sortWithinPartitions("token", "bt", "seq").mapInArrow(lambda batches: _run(batches, make), DDL))
 
 
 def graded(changes: DataFrame) -> DataFrame:

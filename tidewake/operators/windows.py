@@ -121,13 +121,14 @@ def coordination(events: DataFrame, back: int = 60, least: int = 3) -> DataFrame
 def persistence(flows: DataFrame, least: int = 2, gap: int = 300, bucket: int = 60, mode: str = "gap") -> DataFrame:
     """WIN-10: wallets active in at least so many distinct minutes of a token.
 
-    mode gap: at most gap seconds between consecutive minutes; span: at most gap seconds from first to last.
+    mode gap: at most gap seconds between consecutive minutes; span: at most gap seconds from first to last; expiry: minutes
+    count for gap seconds only, so two of them at most so far apart are enough.
     """
     minutes = flows.select(*KEY, (F.floor(F.col("bt") / bucket) * bucket).alias("minute")).distinct()
     w = Window.partitionBy(*KEY).orderBy("minute")
     x = minutes.withColumn("_gap", F.col("minute") - F.lag("minute").over(w))
-    x = x.groupBy(*KEY).agg(F.count("*").alias("n_minutes"), F.max("_gap").alias("max_gap"), (F.max("minute") - F.min("minute")).alias("span"))
-    return x.where((F.col("n_minutes") >= least) & (F.col("max_gap" if mode == "gap" else "span") <= gap))
+    x = x.groupBy(*KEY).agg(F.count("*").alias("n_minutes"), F.max("_gap").alias("max_gap"), F.min("_gap").alias("min_gap"), (F.max("minute") - F.min("minute")).alias("span"))
+    return x.where((F.col("n_minutes") >= least) & (F.col({"gap": "max_gap", "span": "span", "expiry": "min_gap"}[mode]) <= gap)).drop("min_gap")
 
 
 def episodes(flows: DataFrame, gap: int = 90, keys: tuple[str, ...] = ("wallet", "token", "direction")) -> DataFrame:

@@ -95,6 +95,16 @@ def balance_changes(tx: DataFrame) -> DataFrame:
     return x.groupBy("signature", "index", "mint", "owner").agg(F.sum("x").alias("delta")).where("delta <> 0")
 
 
+def sol_mints(swaps: DataFrame) -> DataFrame:
+    """FN-21: mints (mint, n) that stand for SOL in swaps (in_mint, out_mint): those with a known name, else all that contain sol."""
+    from tidewake.functions.scalar import SOL_NAMES
+
+    x = swaps.select(F.explode(F.array("in_mint", "out_mint")).alias("mint")).where(F.lower("mint").contains("sol") | F.lower("mint").isin(*SOL_NAMES)).groupBy("mint").agg(F.count("*").alias("n"))
+    sure = F.lower("mint").isin(*SOL_NAMES)
+    any_sure = x.groupBy().agg(F.coalesce(F.max(sure), F.lit(False)).alias("_any"))
+    return x.join(F.broadcast(any_sure)).where(sure | ~F.col("_any")).drop("_any")  # one row
+
+
 def swap_legs(swaps: DataFrame, natives: tuple[str, ...] = (WRAPPED, "SOL", "sol")) -> DataFrame:
     """FN-21, FN-22: legs (in_mint, in_amount, out_mint, out_amount) as mint, token_delta, sol_delta; rows with SOL on both or no side go."""
     sol = lambda c: F.col(c).isin(*natives)
@@ -139,6 +149,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str, updated: str = "updated") -
     return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
+def finished_run(runs: DataFrame | None, run_id: str, kind: str, started: int, ended: int, done: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SRC-21: (run row, error rows) of a run: how many keys were done and failed, and each failure (key, error) with its run. runs: a table to append to, or None."""
+    count = lambda df, name: df.groupBy().agg(F.count("*").alias(name))
+    row = count(done, "n_done").join(F.broadcast(count(failed, "n_failed"))).select(F.lit(run_id).alias("run_id"), F.lit(kind).alias("kind"), F.lit(started).cast("long").alias("started"), F.lit(ended).cast("long").alias("ended"), "n_done", "n_failed", F.when(F.col("n_failed") > 0, "errors").otherwise("done").alias("status"))
+    return (row if runs is None else runs.unionByName(row)), failed.select(F.lit(run_id).alias("run_id"), "key", "error")
+
+
+def resumable(runs: DataFrame, kind: str) -> DataFrame:
+    """SRC-21: the last run of a kind that has no end."""
+    return runs.where((F.col("kind") == kind) & F.col("ended").isNull()).orderBy(F.desc("started"), F.desc("run_id")).limit(1)
+
+
 def unprocessed(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """SRC-21: what a resumed run has left."""
     return todo.join(done.select(key).hint("merge"), key, "left_anti")
@@ -172,6 +194,58 @@ def capped(items: Column, most: int = 5) -> Column:
     return F.slice(items, 1, most)
 
 
+def capped_details(details: Column, items: int = 5, characters: int = 320) -> Column:
+    """SRC-11: JSON text with all lists cut to so many items and all texts to so many characters and an ellipsis, at any depth; text that is no JSON stays."""
+    import json
+
+    import pyarrow as pa
+
+    def cap(x):
+        if isinstance(x, dict):
+            return {k: cap(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [cap(v) for v in x[:items]]
+        return x[:characters] + "..." if isinstance(x, str) and len(x) > characters else x
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(cap(json.loads(x)), ensure_ascii=False)
+        except ValueError:
+            return x
+
+    return F.arrow_udf(lambda column: pa.array([one(x) for x in column.to_pylist()], pa.string()), "string")(details)
+
+
+_LOG_FIELDS = "type string, event_type string, wallet string, wallet_address string, from_state string, to_state string, state_from string, state_to string, event_time string, eventTime string, time string, timestamp string"
+LOG_SCHEMA = f"{_LOG_FIELDS}, details struct<{_LOG_FIELDS.replace(' string', ': string')}, timing: struct<is_early: boolean>>"
+
+
+def _first_of(*names: str) -> Column:
+    return F.coalesce(*[F.nullif(F.col(f"r.{n}"), F.lit("")) for n in names])
+
+
+def _parsed_log(log: DataFrame) -> DataFrame:
+    """log (value, JSON text) as r; bt from the first of the names of the time that holds a number, at the top and then in details."""
+    times = [F.col(f"r.{p}{n}").try_cast("double").cast("long") for p in ("", "details.") for n in ("event_time", "eventTime", "time", "timestamp")]
+    return log.select(F.from_json("value", LOG_SCHEMA).alias("r")).withColumn("bt", F.coalesce(*times))
+
+
+def early_signals(log: DataFrame) -> DataFrame:
+    """PRJ-10: (wallet, bt) of the wallet signals of a log (value, JSON text) that mark an early wallet; fields may stand at the top or in details, under several names."""
+    x = _parsed_log(log).where(F.upper(_first_of("type", "event_type")).contains("WALLET_SIGNAL") & F.col("r.details.timing.is_early"))
+    return x.select(_first_of("details.wallet", "details.wallet_address", "wallet", "wallet_address").alias("wallet"), "bt").where("wallet IS NOT NULL")
+
+
+def log_transitions(log: DataFrame) -> DataFrame:
+    """PRJ-10: (from_state, to_state, bt) of the rows of a log that name both states."""
+    x = _parsed_log(log)
+    for k, (a, b) in enumerate((("from_state", "to_state"), ("state_from", "state_to"))):
+        x = x.withColumn(f"_a{k}", _first_of(a, f"details.{a}")).withColumn(f"_b{k}", _first_of(b, f"details.{b}"))
+    first = F.col("_a0").isNotNull() & F.col("_b0").isNotNull()
+    y = x.select(F.when(first, F.col("_a0")).otherwise(F.col("_a1")).alias("from_state"), F.when(first, F.col("_b0")).otherwise(F.col("_b1")).alias("to_state"), "bt")
+    return y.where("from_state IS NOT NULL AND to_state IS NOT NULL")
+
+
 def ordering_audit(events: DataFrame, order: str = "seq") -> DataFrame:
     """PRJ-12: rows in ingestion order whose slot falls behind the one before, or that repeat its slot and signature."""
     w = Window.partitionBy("token").orderBy(order)
@@ -204,6 +278,18 @@ def checked_trades(rows: DataFrame) -> DataFrame:
     return rows.select("token", entry.alias("entry"), exit_.alias("exit"), roi.alias("roi"), error.alias("error"))
 
 
+def liquidity_values(events: DataFrame) -> DataFrame:
+    """SRC-27: liquidity events with value: the liquidity, else the amount, else 0; action in lower case."""
+    number = lambda c: F.col(c).try_cast("double") if c in events.columns else F.lit(None).cast("double")
+    return events.withColumn("value", F.coalesce(number("liquidity"), number("amount"), F.lit(0.0))).withColumn("action", F.lower(F.coalesce("action", F.lit("")))).where("token IS NOT NULL AND token <> '' AND bt IS NOT NULL")
+
+
+def holder_snapshots(holders: DataFrame) -> DataFrame:
+    """SRC-27: of holder rows (token, bt, wallet, balance), for each token and snapshot: holders, positive ones, sum and largest balance; a missing balance is 0."""
+    b = F.coalesce(F.col("balance").try_cast("double"), F.lit(0.0))
+    return holders.where("token IS NOT NULL AND token <> '' AND bt IS NOT NULL").groupBy("token", "bt").agg(F.count("*").alias("n"), F.count_if(b > 0).alias("n_positive"), F.sum(b).alias("total"), F.max(b).alias("largest"))
+
+
 def side_tables(metadata: DataFrame, events: DataFrame) -> DataFrame:
     """SRC-27: authority flags (any text counts) and liquidity added for each token."""
     flag = lambda c: (F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "").cast("int")
@@ -230,6 +316,33 @@ def enriched(tx: DataFrame, wallet: str = "wallet") -> DataFrame:
     return x.withColumn("sol_delta", (F.col("post") - F.col("pre")) / 1e9).withColumn("failed", F.coalesce(F.col("err") != "", F.lit(False)))
 
 
+def program_ids(tx: DataFrame) -> DataFrame:
+    """FN-19, SRC-24: tx with programs_top and programs_inner: sorted distinct programs of instructions and of inner instructions (arrays of structs with programId)."""
+    ids = lambda x: F.array_sort(F.array_distinct(F.filter(F.transform(x, lambda i: i["programId"]), lambda p: p.isNotNull() & (p != ""))))
+    inner = F.flatten(F.transform(F.coalesce("innerInstructions", F.array()), lambda g: g["instructions"]))
+    return tx.withColumn("programs_top", ids(F.coalesce("instructions", F.array()))).withColumn("programs_inner", ids(inner))
+
+
+def token_moves(tx: DataFrame, wallet: str = "wallet") -> DataFrame:
+    """SRC-24: tx with spl_in and spl_out: its token transfers to and from the wallet, as (mint, amount)."""
+    of = lambda field: F.transform(F.filter(F.coalesce("tokenTransfers", F.array()), lambda t: t[field] == F.col(wallet)), lambda t: F.struct(t["mint"].alias("mint"), t["tokenAmount"].alias("amount")))
+    return tx.withColumn("spl_in", of("toUserAccount")).withColumn("spl_out", of("fromUserAccount"))
+
+
+# The programs of tokens with extensions.
+TOKEN_2022 = ("TokenzQdBNbLqP5VEhdkAS6EPFLC1PHnBqCXEpPxuEb", "TokenzQdBNo95A8A7n8C9y7SWr2zJxdyx3Y3G5M8b6")
+
+
+def mint_security(accounts: DataFrame) -> DataFrame:
+    """SRC-25: mint_account() with both authorities as base-58 text and the token program (owner), tagged where it is that of tokens with extensions."""
+    from tidewake.functions.scalar import base58
+
+    key = lambda flag, at: base58(F.when((F.length("data") >= 82) & (F.col(flag)), F.substring("data", at, 32)))
+    x = mint_account(accounts).join(accounts.select("mint", "data", "owner").hint("merge"), "mint")
+    program = F.when(F.col("owner").isin(*TOKEN_2022), F.concat("owner", F.lit(":token-2022"))).otherwise(F.col("owner"))
+    return x.select("mint", program.alias("token_program"), key("has_mint_authority", 5).alias("mint_authority"), key("has_freeze_authority", 51).alias("freeze_authority"), "decimals", "supply_raw")
+
+
 def mint_account(accounts: DataFrame) -> DataFrame:
     """SRC-25: authority flags, supply and decimals out of the binary data of a mint account (82 bytes, little-endian)."""
     byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), k + 1, 1)), 16, 10).cast("long")

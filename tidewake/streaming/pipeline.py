@@ -1,7 +1,8 @@
-"""Flows as a stream: dedupe within the watermark, keyed state per token, gap sessions, and the session log as a sink."""
+"""Flows as a stream: dedupe within the watermark, keyed state per token with a time to live, gap sessions, the session log as a sink, and audit counters."""
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 
@@ -44,6 +45,13 @@ class Crossings:
         self.recent = {w: deque(map(tuple, x)) for w, x in (saved or {}).get("recent", {}).items()}
         self.crossed = {w: set(x) for w, x in (saved or {}).get("crossed", {}).items()}
 
+    def forget(self, t: int, idle: int) -> None:
+        """Drop what wallets idle for so long have left; what they crossed counts anew."""
+        old = [w for w, held in self.recent.items() if t - held[-1][0] > idle]
+        for w in old:
+            del self.recent[w]
+            self.crossed.pop(w, None)
+
     def saved(self) -> dict:
         return {"recent": {w: list(x) for w, x in self.recent.items()}, "crossed": {w: sorted(x) for w, x in self.crossed.items()}}
 
@@ -60,27 +68,73 @@ class Crossings:
         return new
 
 
-def _per_token(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import json
-
-    saved, crossings = state.get if state.exists else (None, None)
-    token, whales = Token(saved), Crossings(json.loads(crossings) if crossings else None)
-    rows = pd.concat(list(frames)).sort_values(["bt", "seq"])
-
-    def one_by_one():
-        for r in rows.itertuples():
-            yield int(r.bt), int(r.seq), r.wallet, r.direction == "buy", whales.step(r.wallet, int(r.bt), int(r.lamports))
-
-    out = [(key[0], *x) for x in fold(one_by_one(), token)]
-    state.update((token.saved(), json.dumps(whales.saved())))
-    if out:
-        yield pd.DataFrame(out, columns=TRANSITIONS.names)
-
-
-def transitions(flows: DataFrame) -> DataFrame:
-    """ST-2, ST-4: state transitions of each token, with keyed state that survives restarts. Rows of a micro-batch are taken in time order."""
+#: Seconds of event time after which a token without flows, or a wallet of a token, is dropped from the state.
+IDLE = 30 * 86_400
+
+
+def _per_token(idle: int, ordered: bool):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        saved, crossings, waiting = state.get if state.exists else (None, None, "[]")
+        if state.hasTimedOut and not json.loads(waiting):
+            state.remove()
+            return
+        token, whales = Token(saved), Crossings(json.loads(crossings) if crossings else None)
+        rows = [tuple(r) for r in json.loads(waiting)]
+        for frame in frames:
+            rows += [(int(r.bt), int(r.seq), r.wallet, r.direction, int(r.lamports)) for r in frame.itertuples()]
+        rows.sort(key=lambda r: r[:2])
+        mark = state.getCurrentWatermarkMs() // 1000
+        ready = [r for r in rows if r[0] <= mark] if ordered else rows
+        rest = rows[len(ready) :]
+
+        out: list[tuple] = []
+        for row in ready:
+            if token.last_bt is not None and row[0] - token.last_bt > idle:  # the token begins anew, however rows fall into batches
+                token, whales = Token(), Crossings()
+            bt, seq, wallet, direction, lamports = row
+            out += [(key[0], *x) for x in fold(iter([(bt, seq, wallet, direction == "buy", whales.step(wallet, bt, lamports))]), token)]
+        last = max((r[0] for r in rows), default=token.last_bt or mark)
+        if token.last_bt is not None:
+            token.forget(token.last_bt, idle)
+            whales.forget(token.last_bt, idle)
+        state.update((token.saved(), json.dumps(whales.saved()), json.dumps(rest)))
+        # waiting rows come up when the watermark has passed the first of them; without any, the state ends after the idle time
+        state.setTimeoutTimestamp(max((rest[0][0] + 1 if rest else last + idle) * 1000, state.getCurrentWatermarkMs() + 1000))
+        if out:
+            yield pd.DataFrame(out, columns=TRANSITIONS.names)
+
+    return run
+
+
+def transitions(flows: DataFrame, ordered: bool = False, idle: int = IDLE) -> DataFrame:
+    """ST-2, ST-4, ST-15: state transitions of each token, with keyed state that survives restarts.
+
+    Rows of a micro-batch are taken in time order. ordered: a row waits until the watermark has passed it, so that time runs
+    forward across micro-batches as well; the rows of the last delay come out when later ones move the watermark. idle: after
+    so many seconds without flows a token's state ends, and a wallet leaves its token's state, but for early and cohort wallets.
+    """
     importable(flows.sparkSession)
-    return flows.groupBy("token").applyInPandasWithState(_per_token, DDL, "machine string, crossings string", "append", GroupStateTimeout.NoTimeout)
+    return flows.groupBy("token").applyInPandasWithState(_per_token(idle, ordered), DDL, "machine string, crossings string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def audited(flows: DataFrame, name: str = "session") -> DataFrame:
+    """ST-18: flows with counters of each micro-batch: rows, rows without a wallet or signature, buys, and the time they span. Read them with audit()."""
+    blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    return flows.observe(name, F.count("*").alias("rows"), F.count_if(blank("wallet")).alias("no_wallet"), F.count_if(blank("signature")).alias("no_signature"), F.count_if(F.col("direction") == "buy").alias("buys"), F.min("bt").alias("first_bt"), F.max("bt").alias("last_bt"))
+
+
+def audit(query, name: str = "session") -> dict[str, int]:
+    """ST-18: counters of a streaming query over the progress it keeps: those of audited(), rows read, rows later than the watermark that were set aside, and rows of state."""
+    out = {"batches": 0, "read": 0, "late": 0, "state_rows": 0}
+    for p in query.recentProgress:
+        out["batches"] += 1
+        out["read"] += p["numInputRows"]
+        out["late"] += sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+        out["state_rows"] = sum(s["numRowsTotal"] for s in p["stateOperators"])
+        for k, v in (dict(p["observedMetrics"][name].asDict()) if name in (p.get("observedMetrics") or {}) else {}).items():
+            if v is not None:
+                out[k] = min(out.get(k, v), v) if k == "first_bt" else max(out.get(k, v), v) if k == "last_bt" else out.get(k, 0) + v
+    return out
 
 
 def log_sink(events: DataFrame, path: str, checkpoint: str):
