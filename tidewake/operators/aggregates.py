@@ -20,18 +20,6 @@ def is_out() -> Column:
     return F.col("flow_direction") == "out"
 
 
-def index_percentile(sorted_values: Column, p: float) -> Column:
-    """The value at index int(p * n) of a sorted array."""
-    n = F.size(sorted_values)
-    return F.when(n > 0, F.get(sorted_values, F.least((F.floor(n * p)).cast("int"), n - 1)))
-
-
-def low_index_percentile(sorted_values: Column, p: float) -> Column:
-    """The value at index int(p * (n - 1))."""
-    n = F.size(sorted_values)
-    return F.when(n > 0, F.get(sorted_values, F.floor((n - 1) * p).cast("int")))
-
-
 def nearest_rank(value: str, p: float) -> Column:
     """The ceil(p * n)-th smallest value, as an aggregate."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
@@ -70,11 +58,26 @@ def wallet_summary(pnl: DataFrame) -> DataFrame:
     )
 
 
+def at_index(rows: DataFrame, keys: tuple[str, ...], value: str, index) -> DataFrame:
+    """keys and _at: the value at index(n), from 0, of the n values of each group in order. Values are counted first, so no list of them is gathered; nulls are left out."""
+    x = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    return x.where(F.col("_upto") > F.least(index(F.col("_n")), F.col("_n") - 1)).groupBy(*keys).agg(F.min(value).alias("_at"))
+
+
+def _beside(x: DataFrame, y: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """x with the other columns of y for the same keys, null keys included."""
+    y = y.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in y.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return x.join(y.hint("merge"), on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def delta_summary(deltas: DataFrame, keys: tuple[str, ...], value: str = "delta") -> DataFrame:
     """AGG-3: median, mean, p90 by index, extremes and shares within 10 to 300 seconds (four decimals)."""
-    ordered = F.array_sort(F.collect_list(value))
     share = lambda s: F.round(F.count_if(F.col(value) <= s) / F.count("*"), 4).alias(f"within_{s}")
-    return deltas.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.round(F.sum(value) / F.count("*"), 3).alias("mean"), index_percentile(ordered, 0.9).alias("p90"), F.min(value).alias("least"), F.max(value).alias("most"), *[share(s) for s in (10, 30, 60, 120, 300)])
+    x = deltas.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.round(F.sum(value) / F.count("*"), 3).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *[share(s) for s in (10, 30, 60, 120, 300)])
+    return _beside(x, at_index(deltas, keys, value, lambda n: F.floor(n * 0.9)).withColumnRenamed("_at", "p90"), keys)
 
 
 def linear_summary(deltas: DataFrame, keys: tuple[str, ...], value: str = "delta", listed: int = 10) -> DataFrame:
@@ -82,16 +85,19 @@ def linear_summary(deltas: DataFrame, keys: tuple[str, ...], value: str = "delta
     x = deltas.groupBy(*keys).agg(
         F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), *[F.round(linear(value, p / 100), 4).alias(f"p{p}") for p in (10, 25, 50, 75, 90)],
         *[F.round(F.count_if(F.col(value) <= s) / F.count(value), 6).alias(f"within_{s}") for s in (10, 30, 60, 120)], F.count_if(F.col(value) < 0).alias("negatives"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col(value) < 0, F.col("token")))), 1, listed).alias("_first"),
     )
-    return x.withColumn("first_negative", F.array_join("_first", ",")).drop("_first")
+    below = deltas.where(F.col(value) < 0).select(*keys, "token").distinct()
+    below = below.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("token"))).where(F.col("_n") <= listed)
+    first = below.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("token")), ",").alias("first_negative"))
+    return _beside(x, first, keys).withColumn("first_negative", F.coalesce("first_negative", F.lit("")))
 
 
 def share_summary(shares: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """AGG-5: median, p90 by index and largest share of liquidity, and how many exceed 1, 3 and 5 %."""
-    ordered = F.array_sort(F.collect_list("share"))
     above = lambda p: (F.count_if(F.col("share") > p / 100) / F.count("*")).alias(f"above_{p}pct")
-    return shares.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.median("share"), 6).alias("median"), F.round(index_percentile(ordered, 0.9), 6).alias("p90"), F.round(F.max("share"), 6).alias("most"), *[above(p) for p in (1, 3, 5)])
+    p90 = at_index(shares, keys, "share", lambda n: F.floor(n * 0.9)).select(*keys, F.round("_at", 6).alias("p90"))
+    x = shares.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.median("share"), 6).alias("median"), F.round(F.max("share"), 6).alias("most"), *[above(p) for p in (1, 3, 5)])
+    return _beside(x, p90, keys)
 
 
 def listed(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
@@ -244,12 +250,8 @@ def mean_absolute_deviation(rows: DataFrame, keys: tuple[str, ...], value: str)
 
 
 def thin_threshold(rows: DataFrame, keys: tuple[str, ...], value: str, p: float = 0.2) -> DataFrame:
-    """AGG-23: the value at index int(p (n - 1)) of each group, from counts of its distinct values."""
-    x = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    n = x.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_upto", F.sum("_c").over(upto)).join(n.hint("merge"), list(keys))
-    return x.where(F.col("_upto") > F.floor(F.lit(p) * (F.col("_n") - 1))).groupBy(*keys).agg(F.min(value).alias("threshold"))
+    """AGG-23: the value at index int(p (n - 1)) of each group."""
+    return at_index(rows, keys, value, lambda n: F.floor(F.lit(p) * (n - 1))).withColumnRenamed("_at", "threshold")
 
 
 def token_totals(flows: DataFrame) -> DataFrame:

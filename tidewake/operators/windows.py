@@ -284,6 +284,5 @@ def verdict_flips(verdicts: DataFrame) -> DataFrame:
 
 def quiet_markers(events: DataFrame, least: int = 60) -> DataFrame:
     """WIN-29: whole minutes of quiet before an event of a token that follows the one before by more than least seconds."""
-    w = Window.partitionBy("token").orderBy("bt", "seq")
-    x = events.withColumn("gap", F.col("bt") - F.lag("bt").over(w)).where(F.col("gap") > least)
-    return x.withColumn("quiet_minutes", F.floor(F.col("gap") / 60).cast("long"))
+    x = _previous_in_token(events, 3600).withColumn("gap", F.col("bt") - F.col("_before")).where(F.col("gap") > least)
+    return x.drop("_before").withColumn("quiet_minutes", F.floor(F.col("gap") / 60).cast("long"))
