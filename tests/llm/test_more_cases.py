@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.test_llm import DOCS, PROSE, naive_links, near_copies, odd, vectors
 from tidewake.llm import byte_bpe, language_id, license_scan, mixing, multi_index, ngram_join, quality_rules, secret_scan, token_file, warc
-from tidewake.llm.common import scratch, table
+from tidewake.llm.common import drop_scratch, scratch, stored, table
 from tidewake.llm.queries import bpe_parameters, tokenizer_path
 
 BODY = "\n".join(["MIIEowIBAAKCAQEA" + "aB3+/x" * 8] * 5)
@@ -162,6 +162,20 @@ def test_equal_ids_of_other_texts_are_mixed_apart(spark):
     assert ((by.taken - by.target).abs() <= 12).all()
 
 
+def test_many_sources_are_joined_by_merge(spark, monkeypatch):
+    x = spark.createDataFrame([(i, "w " * (i % 30), "en", f"s{i % 7}" if i % 9 else None, 0) for i in range(900)], DOCS)
+    key = lambda: sorted((r.doc_id, r.taken) for r in mixing.mix(x).select("doc_id", "_mix.taken").collect())
+    few = key()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert key() == few
+
+
+def test_stored_tables_can_be_dropped(spark):
+    x = stored(spark.range(5), "test-drop")
+    assert x.count() == 5 and drop_scratch(spark) >= 1
+    assert not secret_scan._exists(spark, x.inputFiles()[0].rsplit("/", 1)[0])
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark, sf_dir):
     import corpus_pipeline as C
 

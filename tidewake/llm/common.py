@@ -26,9 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that operators of this driver have stored so far, once results that read them are written; how many there were."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += at.getFileSystem(conf).delete(at, True)
+    return n
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -294,7 +294,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, target: float
     groups = components(found.where("b IS NOT NULL").select(F.col("key").alias("a"), "b")).select(F.col("id").alias("key"), "component")
     named = classes.select("key", "digest", "rep", "copies").join(links.hint("merge"), "key", "left").join(groups.hint("merge"), "key", "left")
     named = stored(named.withColumn("component", F.coalesce("component", "key")), "vec-named")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    least = stored(named.groupBy("component").agg(F.min("rep").alias("least")), "vec-least")  # stored, so that AQE may split a large component
     named = stored(named.join(least.hint("merge"), "component").select(F.col("digest").alias("_digest"), "copies", "links", "least"), "vec-found")
     out = own.select("vec_id", "digest").join(named.hint("merge"), F.col("digest") == F.col("_digest"), "left").withColumn("component_id", F.coalesce("least", "vec_id"))
     count = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
