@@ -117,6 +117,10 @@ ARCHETYPES = (
 )
 
 
+# Texts where an alert and risk contradict, of a sure and of a possible case.
+CONFLICTS = ("SHOUT: CONFLICT — engineered {} confirmed", "WARNING: CONFLICT — engineered {} conditions")
+
+
 def archetype(current: Column, can_flip: Column) -> Column:
     """FN-10: the first archetype whose boolean column is true, if a flip is allowed; else the current one."""
     first = F.coalesce(*[F.when(F.col(key), F.lit(name)) for name, key, _ in ARCHETYPES], current)

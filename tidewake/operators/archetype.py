@@ -179,8 +179,7 @@ class Track:
         changed, self.seen = (d_conf, r_conf) != self.seen, (d_conf, r_conf)
         conflict = None
         if hot and self.d_level != "NONE":
-            kind = "confirmed" if self.d_level == "SHOUT" and high else "conditions"
-            conflict = f"{'SHOUT' if kind == 'confirmed' else 'WARNING'}: CONFLICT — engineered {'pump' if dominant == 'PUMP' else 'dump'} {kind}"
+            conflict = S.CONFLICTS[0 if self.d_level == "SHOUT" and high else 1].format("pump" if dominant == "PUMP" else "dump")
         reason = "; ".join([REASONS[x] for x in names][:2]) or "mixed low-signal state"
         row = (self.token, number, n, self.archetype, self.d_level, dominant, d_conf, self.r_level, "HIGH" if high else "ELEVATED" if hot else "LOW", r_conf, conflict, self.d_count, changed, flipped, reason)
         return row, changed, flipped

@@ -177,8 +177,8 @@ def transitions_v2(flows: DataFrame, back: int = 60, least: int = 3, end: int =
 
 def conflict(level: Column, dominant: Column, risk_on: Column, risk_high: Column) -> Column:
     """FN-12: text where an alert and risk contradict; empty otherwise."""
-    way = F.when(dominant == "PUMP", "pump").otherwise("dump")
-    return F.when((level == "SHOUT") & risk_high, F.concat(F.lit("SHOUT: CONFLICT — engineered "), way, F.lit(" confirmed"))).when(level.isin("WARNING", "SHOUT") & risk_on, F.concat(F.lit("WARNING: CONFLICT — engineered "), way, F.lit(" conditions"))).otherwise("")
+    text = lambda k: F.when(dominant == "PUMP", S.CONFLICTS[k].format("pump")).otherwise(S.CONFLICTS[k].format("dump"))
+    return F.when((level == "SHOUT") & risk_high, text(0)).when(level.isin("WARNING", "SHOUT") & risk_on, text(1)).otherwise("")
 
 
 def creator_transfers(transfers: DataFrame, creators_: DataFrame, buyers: DataFrame) -> DataFrame:

@@ -189,6 +189,30 @@ def fn16(t):
     return verdicts(t).select("signature", "verdict", "tier")
 
 
+_FINAL = """SELECT token, wallet, CASE WHEN last < mid AND now - last > 120 THEN 'GONE' WHEN carried THEN 'GONE' WHEN now - last > 120 THEN 'INACTIVE' WHEN bought > 0 AND sold >= bought * 0.30::DOUBLE AND lean > 0 AND k >= 2 AND net < 0 THEN 'FLIPPING' WHEN sold > bought THEN 'DISTRIBUTING'
+  WHEN bought > sold AND net > 0 THEN 'ACCUMULATING' WHEN bought > sold THEN 'BUILDING' ELSE 'INACTIVE' END AS verdict FROM (SELECT m.token, m.wallet, now, mid, max(m.bt) AS last, arg_max(carried, (m.bt, m.seq)) AS carried, sum(CASE WHEN direction = 'buy' THEN lamports ELSE 0 END) / 1e9 AS bought, sum(CASE WHEN direction = 'buy' THEN 0 ELSE lamports END) / 1e9 AS sold,
+    coalesce(sum(CASE WHEN direction = 'buy' THEN lamports ELSE -lamports END) FILTER (m.bt >= now - 120), 0) AS net, sum(CASE WHEN direction = 'sell' THEN lamports ELSE -lamports END) FILTER (r <= 3) AS lean, count(*) AS k
+    FROM (SELECT *, row_number() OVER (PARTITION BY token, wallet ORDER BY bt DESC, seq DESC) AS r FROM marked) m JOIN (SELECT token, max(bt) AS now, (min(bt) + max(bt)) // 2 AS mid FROM flows GROUP BY token) USING (token) GROUP BY ALL)"""
+
+
+@query("fn16_final_verdicts", oracle(_FINAL, "flows", marked=Q._MARKED))
+def fn16_final(t):
+    """What every wallet of a token is doing at the token's last flow; a wave began in the middle of its time."""
+    from pyspark.sql import Window
+
+    last = Window.partitionBy("token", "wallet").orderBy(F.desc("bt"), F.desc("seq"))
+    span = t.flows.groupBy("token").agg(F.max("bt").alias("now"), F.floor((F.min("bt") + F.max("bt")) / 2).alias("mid"))
+    x = W.silence_carried(t.flows).withColumn("_r", F.row_number().over(last)).join(span.hint("merge"), "token")
+    signed = F.when(F.col("direction") == "buy", F.col("lamports")).otherwise(-F.col("lamports"))
+    side = lambda d: W.sol(F.sum(F.when(F.col("direction") == d, F.col("lamports")).otherwise(0)))
+    x = x.groupBy("token", "wallet", "now", "mid").agg(
+        F.max("bt").alias("last"), F.max_by("carried", F.struct("bt", "seq")).alias("carried"), side("buy").alias("bought"), side("sell").alias("sold"), F.sum(F.when(F.col("bt") >= F.col("now") - 120, signed).otherwise(0)).alias("net"),
+        (-F.sum(F.when(F.col("_r") <= 3, signed))).alias("lean"), F.count("*").alias("k"),
+    )
+    verdict = S.whale_verdict(F.col("last"), F.col("now"), F.col("mid"), F.col("carried"), F.col("bought"), F.col("sold"), (F.col("lean") > 0) & (F.col("k") >= 2), F.col("net"))
+    return x.select("token", "wallet", verdict.alias("verdict"))
+
+
 @query("win28_verdict_flips", oracle("SELECT signature, token, wallet, previous FROM (SELECT *, lag(verdict) OVER (PARTITION BY token, wallet ORDER BY bt, seq) AS previous FROM verdicts) WHERE previous IN ('ACCUMULATING', 'BUILDING') AND verdict = 'FLIPPING'", "flows", **_V))
 def win28(t):
     return W.verdict_flips(verdicts(t)).select("signature", "token", "wallet", "previous")
