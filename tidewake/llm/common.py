@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,23 +30,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_scopes = threading.local()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in (_made, *getattr(_scopes, "open", [])):
+        made.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the tables that operators of this driver have stored so far, once results that read them are written; how many there were."""
-    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    n = 0
     while _made:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        n += at.getFileSystem(conf).delete(at, True)
+        n += _delete(spark, _made.pop())
     return n
 
 
+@contextmanager
+def passing(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Within it, tables are stored as ever; at its end those whose names are not in kept are deleted, so what is returned may read only the kept ones."""
+    made: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), made]
+    try:
+        yield
+    finally:
+        _scopes.open = _scopes.open[:-1]
+    for path in made:
+        if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in kept:
+            _delete(spark, path)
+            _made.remove(path)
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession

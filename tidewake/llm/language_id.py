@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import free_name, id_text, small_batches, stored
+from tidewake.llm.common import free_name, id_text, passing, small_batches, stored
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -207,6 +207,8 @@ def predict_udf(model: Model):
 def identify(docs: DataFrame, per_lang: int = 400, segments_per_lang: int = 4000, **options) -> tuple[DataFrame, Model]:
     """docs with a struct column _lang: lang_pred, score, rejected. Only text is an input of a prediction."""
     free_name(docs, "_lang")
-    model = train(*training_sample(docs, per_lang, segments_per_lang), **options)
+    with passing(docs.sparkSession):
+        sample = training_sample(docs, per_lang, segments_per_lang)
+    model = train(*sample, **options)
     small_batches(docs.sparkSession)
     return docs.withColumn("_lang", predict_udf(model)(F.col("text"))), model

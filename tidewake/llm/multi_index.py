@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import small_batches, stored
+from tidewake.llm.common import passing, small_batches, stored
 from tidewake.llm.components import components
 from tidewake.llm.ngram_join import Forest, _stars, blocks_of, whole_groups
 
@@ -268,15 +268,10 @@ def fitted(classes: DataFrame, threshold: float = THRESHOLD, target: float = TAR
     return out
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, sample: int = SAMPLE) -> DataFrame:
-    """rows (vec_id, embedding, label) -> vec_id, n_links, component_id, kept; a row for each row."""
-    spark = rows.sparkSession
+def _linked(own: DataFrame, threshold: float, target: float, sample: int) -> DataFrame:
+    """Classes by digest with their copies, links and least ids, stored."""
+    spark = own.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vec = F.col("embedding").cast("array<double>")
-    sound = F.col("label").isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False)) & F.coalesce(F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(vec, lambda v: v != 0), F.lit(False))
-    own = rows.select(F.col("vec_id").try_cast("long").alias("vec_id"), F.col("label").try_cast("long").alias("label"), F.when(sound, vec).alias("vec"))
-    digest = F.unhex(F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.col("vec").cast("string")), 256))
-    own = own.withColumn("digest", F.when(F.col("vec").isNotNull() & F.col("vec_id").isNotNull(), digest))
     classes = own.where("digest IS NOT NULL").groupBy("digest").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("key", F.monotonically_increasing_id()), "vec-classes")
     grids = fitted(classes, threshold, target, sample)
@@ -296,6 +291,19 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, target: float
     named = stored(named.withColumn("component", F.coalesce("component", "key")), "vec-named")
     least = stored(named.groupBy("component").agg(F.min("rep").alias("least")), "vec-least")  # stored, so that AQE may split a large component
     named = stored(named.join(least.hint("merge"), "component").select(F.col("digest").alias("_digest"), "copies", "links", "least"), "vec-found")
+    return named
+
+
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, sample: int = SAMPLE) -> DataFrame:
+    """rows (vec_id, embedding, label) -> vec_id, n_links, component_id, kept; a row for each row."""
+    spark = rows.sparkSession
+    vec = F.col("embedding").cast("array<double>")
+    sound = F.col("label").isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False)) & F.coalesce(F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(vec, lambda v: v != 0), F.lit(False))
+    own = rows.select(F.col("vec_id").try_cast("long").alias("vec_id"), F.col("label").try_cast("long").alias("label"), F.when(sound, vec).alias("vec"))
+    digest = F.unhex(F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.col("vec").cast("string")), 256))
+    own = own.withColumn("digest", F.when(F.col("vec").isNotNull() & F.col("vec_id").isNotNull(), digest))
+    with passing(spark, "vec-found"):
+        named = _linked(own, threshold, target, sample)
     out = own.select("vec_id", "digest").join(named.hint("merge"), F.col("digest") == F.col("_digest"), "left").withColumn("component_id", F.coalesce("least", "vec_id"))
     count = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
     return out.select("vec_id", count.alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

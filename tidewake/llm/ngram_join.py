@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import small_batches, stored
+from tidewake.llm.common import passing, small_batches, stored
 from tidewake.llm.components import components
 
 N_WORDS = 5
@@ -407,12 +407,8 @@ def profiled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, own, stored(classes.withColumn("key", F.monotonically_increasing_id()), "ngram-classes")
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, copy_id, class_id, n_links; a row for each row of docs.
-
-    copy_id: the smallest id with the same shingles. class_id: the smallest id that links (Jaccard >= threshold) reach.
-    n_links: other rows linked directly, copies included.
-    """
+def _linked(docs: DataFrame, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
+    """(profiles of all rows, classes with their links and least ids), both stored."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, own, classes = profiled(docs)
@@ -444,6 +440,17 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     found = named.join(least.hint("merge"), "component").select(F.col("digest").alias("_digest"), "rep", "copies", "links", "class_id")
     found = stored(found, "ngram-found")
+    return own, found
+
+
+def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, copy_id, class_id, n_links; a row for each row of docs.
+
+    copy_id: the smallest id with the same shingles. class_id: the smallest id that links (Jaccard >= threshold) reach.
+    n_links: other rows linked directly, copies included.
+    """
+    with passing(docs.sparkSession, "ngram-profiles", "ngram-found"):
+        own, found = _linked(docs, threshold, target)
     out = own.select("doc_id", "n", "digest").join(found.hint("merge"), (F.col("digest") == F.col("_digest")) & F.col("doc_id").isNotNull(), "left")
     return out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
