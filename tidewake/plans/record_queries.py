@@ -80,7 +80,7 @@ def src25_security(t):
     return I.mint_security(t.raw("part").select(k.cast("string").alias("mint"), data.alias("data"), owner.alias("owner")))
 
 
-@query("fn21_sol_mints", oracle("SELECT 'wSOL' AS mint, count(*) AS n FROM valid WHERE line = 2 UNION ALL SELECT 'So11111111111111111111111111111111111111112', count(*) FROM valid WHERE line NOT IN (2, 3)", "valid"))
+@query("fn21_sol_mints", oracle("SELECT mint, count(*) AS n FROM (SELECT CASE line WHEN 2 THEN 'wSOL' WHEN 3 THEN NULL ELSE 'So11111111111111111111111111111111111111112' END AS mint FROM valid) WHERE mint IS NOT NULL GROUP BY mint", "valid"))
 def fn21(t):
     sol = F.when(F.col("line") == 2, "wSOL").when(F.col("line") == 3, "solana-cat").otherwise(I.WRAPPED)
     return I.sol_mints(t.valid.select(sol.alias("in_mint"), F.col("token").alias("out_mint")))
