@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -23,20 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidewake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        # the setting can't be made in a running session, so the folder of each application is kept here
+        base = _folders.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="tidewake-")
+        if _folders.setdefault(spark.sparkContext.applicationId, base) == base and spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-_made: list[str] = []
+_folders: dict[str, str] = {}
+#: What each session has stored, by its id.
+_made: dict[str, list[str]] = {}
 _scopes = threading.local()
 
 
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in (_made, *getattr(_scopes, "open", [])):
+    for made in (_made.setdefault(_session(spark), []), *getattr(_scopes, "open", [])):
         made.append(path)
     return path
 
@@ -47,11 +54,9 @@ def _delete(spark: SparkSession, path: str) -> bool:
 
 
 def drop_scratch(spark: SparkSession) -> int:
-    """Delete the tables that operators of this driver have stored so far, once results that read them are written; how many there were."""
-    n = 0
-    while _made:
-        n += _delete(spark, _made.pop())
-    return n
+    """Delete the tables that operators of this session have stored so far, once results that read them are written; how many there were."""
+    made = _made.pop(_session(spark), [])
+    return sum(_delete(spark, path) for path in made)
 
 
 @contextmanager
@@ -66,7 +71,9 @@ def passing(spark: SparkSession, *kept: str) -> Iterator[None]:
     for path in made:
         if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in kept:
             _delete(spark, path)
-            _made.remove(path)
+            own = _made.get(_session(spark), [])
+            if path in own:
+                own.remove(path)
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -93,6 +100,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """An id as a long; null where it is no whole number, so that no two ids become one."""
+    col, kind = F.col(f"`{name}`"), dict(df.dtypes)[name]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return col.cast("long")
+    if kind == "string":
+        return F.when(col.rlike(r"^\s*[+-]?[0-9]+\s*$"), col.try_cast("long"))
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return F.when(col == F.floor(col), col.try_cast("long"))
+    return F.lit(None).cast("long")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

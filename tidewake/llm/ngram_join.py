@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import passing, small_batches, stored
+from tidewake.llm.common import passing, small_batches, stored, whole_id
 from tidewake.llm.components import components
 
 N_WORDS = 5
@@ -398,7 +398,7 @@ def _verify(threshold: float):
 
 def profiled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, profiles, classes) of docs (doc_id, text); h tells apart the texts of rows that share an id."""
-    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    rows = docs.select(whole_id(docs, "doc_id").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     small_batches(docs.sparkSession)
     own = stored(rows.mapInArrow(_profile, PROFILE_DDL), "ngram-profiles")
     known = own.where("digest IS NOT NULL AND doc_id IS NOT NULL")
