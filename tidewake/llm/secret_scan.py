@@ -10,7 +10,8 @@ regexp_extract_all() the matches, so running lengths give code point positions.
 are taken in chunks (running()), so a text with very many of them costs no square of their number.
 
 Defined results: null content counts as empty and has no spans; null and repeated paths keep their rows; a blob that two
-runs appended at the same time counts once; an empty table gives an empty result; columns _spans and _blob of the
+runs appended at the same time counts once; a key block has at most 16 header lines and its body any number of lines, an
+END line or none; an empty table gives an empty result; columns _spans and _blob of the
 input are refused, others may have any name. Copies are scanned once.
 """
 
@@ -43,14 +44,14 @@ class Rule:
 
 ASSIGN = "(" + _either("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (Rule("assign", ASSIGN, 12, 2), Rule("access", "AKIA[A-Z0-9]+", 18, 0, "AKIA"), Rule("hex", "[0-9a-f]{16,}", 16))
+#: A key block: header lines, then all up to the END line, or, without one, all lines of nothing but the base-64 alphabet.
 KEY = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[\t\n\r ]*(?:Proc-Type|DEK-Info):[^\n]*\n){0,4}[A-Za-z0-9+/=\\\t\n\r ]*-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:[\n\r]+[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=]*){0,60})"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[\t\n\r ]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n]*\n){0,16}"
+    r"(?:[A-Za-z0-9+/=\\\t\n\r ]*-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\\\n\r]*(?:[\\\n\r]|\z)|)"
 )
 #: What the method adds to the base kinds.
 MORE = (
-    # through the END line; of a key without one, the lines of its body
-    Rule("private_key", KEY, 0, 0, "PRIVATE KEY-----"),
+    Rule("private_key", KEY, 0, 0, "PRIVATE KEY"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0, "eyJ"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, "xox"),
     Rule("google", "AIza[0-9A-Za-z_-]{35}", 0, 0, "AIza"),
