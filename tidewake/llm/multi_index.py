@@ -13,22 +13,23 @@ their size goes with the root of the rows of the largest label, so cells stay sm
 length. Equal vectors of a label are one class from the start, known by a SHA-256 of their components.
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with
 nothing; vectors of different lengths do not link; rows with a null vec_id are not compared, and those with an id that is no
-whole number count as such; rows that repeat a vec_id are vectors of their own; an empty table gives an empty result;
+whole number count as such; labels of any type are compared as they are; rows that repeat a vec_id are vectors of their own; an empty table gives an empty result;
 columns other than vec_id, embedding and label are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import passing, small_batches, stored
+from tidewake.llm.common import passing, small_batches, stored, whole_id
 from tidewake.llm.components import components
 from tidewake.llm.ngram_join import Forest, _stars, blocks_of, whole_groups
 
@@ -160,8 +161,8 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(ok), x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-PLACED = pa.schema([("key", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("home", pa.int64()), ("vec", pa.binary()), ("copies", pa.int64()), ("visits", pa.list_(pa.int64()))])
-PLACED_DDL = "key long, label long, dim int, home long, vec binary, copies long, visits array<long>"
+PLACED = pa.schema([("key", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("home", pa.int64()), ("vec", pa.binary()), ("copies", pa.int64()), ("visits", pa.list_(pa.int64()))])
+PLACED_DDL = "key long, label string, dim int, home long, vec binary, copies long, visits array<long>"
 
 
 def packed(x: np.ndarray) -> list[bytes]:
@@ -294,13 +295,23 @@ def _linked(own: DataFrame, threshold: float, target: float, sample: int) -> Dat
     return named
 
 
+def label_text(rows: DataFrame) -> Column:
+    """The label as a text that is equal for equal labels only, of whatever type."""
+    label, kind = F.col("label"), dict(rows.dtypes)["label"]
+    if kind in ("float", "double"):
+        return (label + F.lit(0.0).cast(kind)).cast("string")  # a negative zero equals zero
+    if kind == "binary":
+        return F.hex(label)
+    return F.when(label.isNotNull(), F.to_json(F.struct(label))) if re.match("array|map|struct|variant", kind) else label.cast("string")
+
+
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, sample: int = SAMPLE) -> DataFrame:
     """rows (vec_id, embedding, label) -> vec_id, n_links, component_id, kept; a row for each row."""
     spark = rows.sparkSession
     vec = F.col("embedding").cast("array<double>")
     sound = F.col("label").isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False)) & F.coalesce(F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(vec, lambda v: v != 0), F.lit(False))
-    own = rows.select(F.col("vec_id").try_cast("long").alias("vec_id"), F.col("label").try_cast("long").alias("label"), F.when(sound, vec).alias("vec"))
-    digest = F.unhex(F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.col("vec").cast("string")), 256))
+    own = rows.select(whole_id(rows, "vec_id").alias("vec_id"), label_text(rows).alias("label"), F.when(sound, vec).alias("vec"))
+    digest = F.unhex(F.sha2(F.concat_ws("|", F.hex(F.col("label").cast("binary")), F.col("vec").cast("string")), 256))
     own = own.withColumn("digest", F.when(F.col("vec").isNotNull() & F.col("vec_id").isNotNull(), digest))
     with passing(spark, "vec-found"):
         named = _linked(own, threshold, target, sample)
