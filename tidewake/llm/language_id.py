@@ -5,12 +5,12 @@ into buckets. The embeddings of the buckets are averaged and fed to a linear sof
 stochastic gradient descent in numpy on a bounded sample of labelled texts. A temperature fitted on texts kept
 apart calibrates the probabilities of whole texts, and a threshold on them marks predictions to reject.
 
-The sample has two documented bounds: per_lang texts and segments_per_lang segments of SEGMENT characters for each
-language. Segments are drawn by a hash out of all segments of the texts, so no part of a text is left out, and all
-languages are learned. Predictions always read whole texts; the product of embeddings and weights is taken once, so a
+The sample is bounded in rows by two parameters: per_lang texts of each language, and max_texts of all languages together
+(but LEAST_TEXTS of each). Every sampled text is read whole, all of its segments of SEGMENT characters are
+learned from, and all languages are. Predictions read whole texts too; the product of embeddings and weights is taken once, so a
 text costs one table row for each run.
 Defined results: null texts and texts without a letter are und with score 0; repeated rows get equal results;
-without any labelled row everything is und; ties go to the first language by name; a column _lang of the input is refused.
+without any labelled row everything is und; a null doc_id counts as not held out; ties go to the first language by name; a column _lang of the input is refused.
 """
 
 from __future__ import annotations
@@ -23,16 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import free_name, id_text, passing, small_batches, stored
+from tidewake.llm.common import free_name, id_text, small_batches
 
 BUCKETS = 1 << 16
 DIM = 16
 RUNS = (1, 2, 3, 4)
 UND = "und"
 SEGMENT = 240
-# Bounds on what the driver holds: texts and segments of all languages together, but some of each language.
-TEXTS, LEAST_TEXTS = 80_000, 20
-SEGMENTS, LEAST_SEGMENTS = 100_000, 100
+LEAST_TEXTS = 20
 STEP = 16  # segments in one update
 
 
@@ -165,31 +163,21 @@ def _shares(spark, counts: list, bound: int) -> DataFrame:
     return spark.createDataFrame([(r["lang"], max(bound / r["n"], r["least"])) for r in counts], "lang string, share double")
 
 
-def training_sample(docs: DataFrame, per_lang: int = 400, segments_per_lang: int = 4000) -> tuple[list[str], list[str]]:
-    """(texts, languages): of about per_lang texts of each language, about segments_per_lang segments, those of a text joined in order.
+def training_sample(docs: DataFrame, per_lang: int = 400, max_texts: int = 20_000) -> tuple[list[str], list[str]]:
+    """(texts, languages): about per_lang whole texts of each language, max_texts of all together but LEAST_TEXTS of each.
 
-    Of very many languages it is TEXTS and SEGMENTS together, but LEAST_TEXTS and LEAST_SEGMENTS of each. Texts are those
-    whose hash of id and text is below their share of the language's rows, segments likewise out of all segments of these
-    texts; repeated rows count once. Held-out rows, null texts and null languages are not read.
+    Texts are those whose hash of id and text is below their share of the language's rows; repeated rows count once.
+    Held-out rows, null texts and null languages are not read.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.withColumn("h", _uniform(F.coalesce(id_text(), F.lit("")), F.lit("lang"), "text"))
-    by = lambda rows, h: rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("least")).collect()
-    counts = by(own, "h")
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     if not counts:
         return [], []
-    texts = max(min(per_lang, TEXTS // len(counts)), min(per_lang, LEAST_TEXTS))
-    rows = own.join(F.broadcast(_shares(spark, counts, texts)), "lang").where("h <= share").groupBy("lang", "h").agg(F.min("text").alias("text"))
-    cut = F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))).alias("at", "segment")
-    parts = stored(rows.select("lang", "h", cut).withColumn("g", _uniform("h", "at")), "language-segments")
-    segments = max(min(segments_per_lang, SEGMENTS // len(counts)), min(segments_per_lang, LEAST_SEGMENTS))
-    counts = by(parts, "g")
-    if not counts:
-        return [], []
-    parts = parts.join(F.broadcast(_shares(spark, counts, segments)), "lang").where("g <= share")
-    found = parts.groupBy("lang", "h").agg(F.array_sort(F.collect_list(F.struct("at", "segment"))).alias("x")).select("lang", "h", F.array_join("x.segment", " ").alias("text"))
-    rows = found.orderBy("h", "lang").collect()
+    bound = max(min(per_lang, max_texts // len(counts)), min(per_lang, LEAST_TEXTS))
+    rows = own.join(F.broadcast(_shares(spark, counts, bound)), "lang").where("h <= share").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = rows.orderBy("h", "lang").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -204,11 +192,9 @@ def predict_udf(model: Model):
     return predict
 
 
-def identify(docs: DataFrame, per_lang: int = 400, segments_per_lang: int = 4000, **options) -> tuple[DataFrame, Model]:
+def identify(docs: DataFrame, per_lang: int = 400, max_texts: int = 20_000, **options) -> tuple[DataFrame, Model]:
     """docs with a struct column _lang: lang_pred, score, rejected. Only text is an input of a prediction."""
     free_name(docs, "_lang")
-    with passing(docs.sparkSession):
-        sample = training_sample(docs, per_lang, segments_per_lang)
-    model = train(*sample, **options)
+    model = train(*training_sample(docs, per_lang, max_texts), **options)
     small_batches(docs.sparkSession)
     return docs.withColumn("_lang", predict_udf(model)(F.col("text"))), model
