@@ -9,7 +9,7 @@ A file is a Parquet table with a row for each block, in the shared store. Its bi
 rules (pairs of u4), lengths (u4 for each rule), symbols (u4, or u2 if width is 2), doc_ids (i8), doc_tokens (u4).
 
 Defined results: null and empty texts consist of the end id; null doc_ids come first; rows with equal ids are
-all kept, ordered by a hash of the text; an empty table gives an empty file; columns other than doc_id and text are
+all kept, ordered by a hash of the text, equal rows in any order; an empty table gives an empty file; columns other than doc_id and text are
 not read, and a doc_id that is no whole number becomes null. The tokenizers library encodes each piece once and its ids
 are remembered (a bounded number), which gives its ids for the whole text since such a tokenizer drops white space and
 merges nothing across it; with files of another make it encodes whole texts. The name of an added token in a text
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import scratch, small_batches
+from tidewake.llm.common import scratch, small_batches, whole_id
 
 END_ID = 1
 FIRST_RULE = 1 << 17  # above all vocabulary ids
@@ -147,13 +147,28 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
 
 
 def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, n: int) -> np.ndarray:
-    """Ids start .. start + n - 1 of a block: the expansion lengths locate the symbols that hold them."""
+    """Ids start .. start + n - 1 of a block: the expansion lengths locate the symbols that hold them and, within their rules, the halves that do, so no other rule is looked at."""
+    if n <= 0:
+        return np.zeros(0, np.uint32)
     size = np.where(symbols >= FIRST_RULE, lengths[np.maximum(symbols - FIRST_RULE, 0)] if len(lengths) else 1, 1)
     ends = np.cumsum(size)
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + n, "left")
-    part = expand(symbols[a : b + 1], rules)
-    skip = start - (int(ends[a - 1]) if a else 0)
-    return part[skip : skip + n]
+    lo, hi = start - (int(ends[a - 1]) if a else 0), start + n - (int(ends[b - 1]) if b else 0)
+    # symbols still to spell, the next one last, with the ids of their expansion that are wanted
+    todo = [(int(s), lo if k == a else 0, hi if k == b else int(size[k])) for k, s in zip(range(b, a - 1, -1), symbols[a : b + 1][::-1])]
+    out: list[int] = []
+    while todo:
+        s, lo, hi = todo.pop()
+        if lo >= hi:
+            continue
+        if s < FIRST_RULE:
+            out.append(s)
+            continue
+        x, y = rules[s - FIRST_RULE].tolist()
+        left = int(lengths[x - FIRST_RULE]) if x >= FIRST_RULE else 1
+        todo.append((y, max(lo - left, 0), hi - left))
+        todo.append((x, lo, min(hi, left)))
+    return np.array(out, np.uint32)
 
 
 def chunks(text: str) -> list[str]:
@@ -307,10 +322,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, partitions: int | N
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.col("doc_id").asc_nulls_first(), "h", F.col("text").asc_nulls_first()
-    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    # the hash keeps rows that share an id, or have none, from falling to one task
-    rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
+    order = F.col("doc_id").asc_nulls_first(), "h", "row"
+    rows = docs.select(whole_id(docs, "doc_id").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    # the hash and the number keep rows that share an id, or have none, and rows that are equal from falling to one task
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(_encode_part(tokenizer), BLOCKS_DDL).write.parquet(path)
 
 
