@@ -44,10 +44,10 @@ class Rule:
 
 ASSIGN = "(" + _either("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (Rule("assign", ASSIGN, 12, 2), Rule("access", "AKIA[A-Z0-9]+", 18, 0, "AKIA"), Rule("hex", "[0-9a-f]{16,}", 16))
-#: A key block: header lines, then all up to the END line, or, without one, all lines of nothing but the base-64 alphabet.
+#: A key block: header lines, then all up to the END line, or, without one, the lines of nothing but the base-64 alphabet.
 KEY = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[\t\n\r ]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n]*\n){0,16}"
-    r"(?:[A-Za-z0-9+/=\\\t\n\r ]*-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\\\n\r]*(?:[\\\n\r]|\z)|)"
+    r"(?:[A-Za-z0-9+/=\\\t\n\r ]*-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\\\n\r]*(?:[A-Za-z0-9+/=](?m:$)|\\[nr])|)"
 )
 #: What the method adds to the base kinds.
 MORE = (
