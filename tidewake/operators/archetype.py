@@ -38,18 +38,41 @@ def step_size(flows: DataFrame) -> DataFrame:
     return x.select("token", F.when((F.col("_n") >= 3) & (F.col("_least") <= 20), 20).otherwise(60).alias("step"))
 
 
-def step_features(flows: DataFrame, step: int = 60, early: int = 600, k: int = 10) -> DataFrame:
-    """WIN-25: for each token and step with flows: inflow and outflow, entries and exits of early wallets, new wallets, outflow of the k largest wallets, mean deviations of pauses and sizes, share of the k busiest wallets, quiet steps before, and how often the token came back from a silent gap.
+def spans(flows: DataFrame, step: int | None) -> DataFrame:
+    """(token, t0, t1, seconds, n_steps): first and last flow, and how long and how many the steps are; without a step, step_size() of each token."""
+    x = flows.groupBy("token").agg(F.min("bt").alias("t0"), F.max("bt").alias("t1"))
+    if step is None:
+        x = x.join(step_size(flows).select("token", F.col("step").alias("seconds")).hint("merge"), "token")
+    else:
+        x = x.withColumn("seconds", F.lit(step))
+    return x.withColumn("n_steps", F.ceil((F.col("t1") - F.col("t0")) / F.col("seconds")) + 1)
 
-    Steps are counted from the token's first flow. All parts are grouped by token, step and wallet first.
+
+#: Parts of the rows of a key that are ranked on their own before the best of all parts are.
+PARTS = 64
+
+
+def best(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
+    """The k rows of each key with the largest order, ties by wallet. Parts of a key are ranked first, so no task sees all wallets of a key."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(F.desc(order), "wallet"))
+    x = rows.withColumn("_part", F.pmod(F.xxhash64("wallet"), F.lit(PARTS))).withColumn("_r", rank("_part")).where(F.col("_r") <= k)
+    return x.withColumn("_r", rank()).where(F.col("_r") <= k).drop("_part", "_r")
+
+
+def step_features(flows: DataFrame, step: int | None = 60, early: int = 600, k: int = 10) -> DataFrame:
+    """WIN-25: for each token and step with flows: inflow and outflow, entries and exits of early wallets, new wallets, outflow of the k largest wallets, mean deviations of pauses and sizes, share of the k busiest wallets, quiet steps before, how often the token came back from a silent gap, and the seconds of a step.
+
+    Steps are counted from the token's first flow and take step seconds or, where it is None, what step_size() gives the
+    token. All parts are grouped by token, step and wallet first.
     """
-    start = flows.groupBy("token").agg(F.min("bt").alias("t0"))
+    start = spans(flows, step).select("token", "t0", "seconds")
     total = flows.groupBy("token", "wallet").agg(F.sum("lamports").alias("_v"), F.min("bt").alias("first_bt"))
-    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("_v"), "wallet"))
-    wallets = total.withColumn("is_top", rank <= k).drop("_v")
+    top = best(total, ["token"], "_v", k).select("token", "wallet", F.lit(True).alias("_top"))
+    wallets = total.join(top.hint("merge"), ["token", "wallet"], "left").select("token", "wallet", "first_bt", F.col("_top").isNotNull().alias("is_top"))
     x = flows.join(start.hint("merge"), "token").join(wallets.hint("merge"), ["token", "wallet"])
-    x = x.withColumn("step", F.floor((F.col("bt") - F.col("t0")) / step)).withColumn("_out", F.col("direction") == "sell")
-    x = x.withColumn("_early", F.col("first_bt") <= F.col("t0") + early).withColumn("_new", F.floor((F.col("first_bt") - F.col("t0")) / step) == F.col("step"))
+    number = lambda t: F.floor((F.col(t) - F.col("t0")) / F.col("seconds"))
+    x = x.withColumn("step", number("bt")).withColumn("_out", F.col("direction") == "sell")
+    x = x.withColumn("_early", F.col("first_bt") <= F.col("t0") + early).withColumn("_new", number("first_bt") == F.col("step"))
     w = Window.partitionBy("token", "step").orderBy("bt", "seq")
     x = x.withColumn("_pause", F.col("bt") - F.lag("bt").over(w))
     whole = Window.partitionBy("token", "step")
@@ -58,14 +81,14 @@ def step_features(flows: DataFrame, step: int = 60, early: int = 600, k: int = 1
     flat = x.groupBy("token", "step").agg(
         F.count("*").alias("n"), sol(~F.col("_out")).alias("inflow"), sol(F.col("_out")).alias("outflow"), F.countDistinct(F.when(F.col("_early") & F.col("_new"), F.col("wallet"))).alias("early_entries"),
         F.count_if(F.col("_early") & F.col("_out")).alias("early_exits"), F.countDistinct(F.when(F.col("_new"), F.col("wallet"))).alias("new_wallets"), sol(F.col("is_top") & F.col("_out")).alias("top_outflow"),
-        F.coalesce(F.avg("_dp"), F.lit(0.0)).alias("pause_mad"), F.avg("_ds").alias("size_mad"),
+        F.coalesce(F.avg("_dp"), F.lit(0.0)).alias("pause_mad"), F.avg("_ds").alias("size_mad"), F.first("seconds").alias("seconds"),
     )
-    busy = x.groupBy("token", "step", "wallet").agg(F.count("*").alias("c")).withColumn("_r", F.row_number().over(Window.partitionBy("token", "step").orderBy(F.desc("c"), "wallet"))).where(F.col("_r") <= k)
-    busy = busy.groupBy("token", "step").agg(F.sum("c").alias("_c"))
+    busy = best(x.groupBy("token", "step", "wallet").agg(F.count("*").alias("c")), ["token", "step"], "c", k).groupBy("token", "step").agg(F.sum("c").alias("_c"))
     flat = flat.join(busy.hint("merge"), ["token", "step"]).withColumn("density", F.col("_c") / F.col("n")).drop("_c")
+    # a row for each step: their number follows a token's lifetime, not its flows
     by = Window.partitionBy("token").orderBy("step")
     flat = flat.withColumn("quiet_before", F.coalesce(F.col("step") - F.lag("step").over(by) - 1, F.lit(0)))
-    return flat.withColumn("resurrections", F.count_if(F.col("quiet_before") * step >= SILENT_GAP).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return flat.withColumn("resurrections", F.count_if(F.col("quiet_before") * F.col("seconds") >= SILENT_GAP).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _spikes(holders: DataFrame, least: float = 0.08) -> DataFrame:
@@ -78,30 +101,58 @@ def _spikes(holders: DataFrame, least: float = 0.08) -> DataFrame:
     return g.withColumn("_b", before).where(F.col("g") - F.col("_b") > least).select("token", "bt")
 
 
-def with_sides(features: DataFrame, flows: DataFrame, step: int, liquidity: DataFrame, holders: DataFrame, metadata: DataFrame, window: int = 12, thin: float = 0.2) -> DataFrame:
+#: Seconds of a chunk in which rows of a key are numbered, and rows of a block in which recent rows are looked up.
+NUMBER_CHUNK, ROW_BLOCK = 86_400, 4096
+
+
+def numbered(rows: DataFrame, key: str, time: str, seq: str, chunk: int = NUMBER_CHUNK) -> DataFrame:
+    """rows with _row: their number from 0 within the key by time and seq. Chunks of time are counted first and rows numbered within them, so a hot key spreads over its chunks."""
+    x = rows.withColumn("_chunk", F.floor(F.col(time) / chunk))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy(key, "_chunk").agg(F.count("*").alias("_c")).select(F.col(key).alias("_k"), F.col("_chunk").alias("_h"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    x = x.join(base.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_h")))
+    within = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(time, seq))
+    return x.withColumn("_row", F.col("_base") + within - 1).drop("_chunk", "_k", "_h", "_base")
+
+
+def recent_mad(rows: DataFrame, key: str = "token", time: str = "bt", seq: str = "seq", value: str = "amount", window: int = 12, block: int = ROW_BLOCK, chunk: int = NUMBER_CHUNK) -> DataFrame:
+    """rows with _mad: the mean absolute deviation of value over the last window rows of the key, 0 for fewer than two.
+
+    Rows go to blocks of block numbers, and the last window - 1 of a block to the next one as well.
+    """
+    x = numbered(rows, key, time, seq, chunk).withColumn("_at", F.floor(F.col("_row") / block))
+    late = F.col("_row") % block >= block - (window - 1)
+    x = x.withColumn("_block", F.explode(F.when(late, F.array(F.col("_at"), F.col("_at") + 1)).otherwise(F.array("_at"))))
+    recent = F.collect_list(value).over(Window.partitionBy(key, "_block").orderBy("_row").rowsBetween(1 - window, 0))
+    x = x.withColumn("_w", F.transform(recent, lambda v: v.cast("double"))).where(F.col("_block") == F.col("_at"))
+    x = x.withColumn("_m", F.aggregate("_w", F.lit(0.0), lambda a, v: a + v) / F.size("_w"))
+    mad = F.aggregate("_w", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("_m"))) / F.size("_w")
+    return x.withColumn("_mad", F.when(F.size("_w") < 2, 0.0).otherwise(mad)).drop("_row", "_at", "_block", "_w", "_m")
+
+
+def with_sides(features: DataFrame, flows: DataFrame, step: int | None, liquidity: DataFrame, holders: DataFrame, metadata: DataFrame, window: int = 12, thin: float = 0.2) -> DataFrame:
     """features with the side tables: rows for steps with liquidity events or concentration spikes as well, and n_steps of each token.
 
     liquidity: token, bt, seq, action, amount (SOL); holders: token, bt, wallet, balance; metadata: token, mint_authority,
-    freeze_authority, is_mutable. liquidity_mad is that of the last window amounts of the steps so far, 0 for fewer than two;
-    thin marks a step whose smallest amount is at most the token's low percentile.
+    freeze_authority, is_mutable; step as in step_features(). liquidity_mad is that of the last window amounts of the steps so
+    far, 0 for fewer than two; thin marks a step whose smallest amount is at most the token's low percentile.
     """
     from tidewake.operators.aggregates import thin_threshold
 
-    span = flows.groupBy("token").agg(F.min("bt").alias("t0"), F.max("bt").alias("t1")).withColumn("n_steps", F.ceil((F.col("t1") - F.col("t0")) / step) + 1)
-    within = lambda x: x.join(span.hint("merge"), "token").withColumn("step", F.floor((F.col("bt") - F.col("t0")) / step)).where((F.col("step") >= 0) & (F.col("step") < F.col("n_steps")))
+    span = spans(flows, step)
+    number = F.floor((F.col("bt") - F.col("t0")) / F.col("seconds"))
+    within = lambda x: x.join(span.hint("merge"), "token").withColumn("step", number).where((F.col("step") >= 0) & (F.col("step") < F.col("n_steps")))
     limit = thin_threshold(liquidity, ("token",), "amount", thin)
-    x = within(liquidity).join(limit.hint("merge"), "token")
-    recent = F.collect_list("amount").over(Window.partitionBy("token").orderBy("bt", "seq").rowsBetween(1 - window, 0))
-    x = x.withColumn("_w", F.transform(recent, lambda v: v.cast("double")))
-    mean = F.aggregate("_w", F.lit(0.0), lambda a, v: a + v) / F.size("_w")
-    x = x.withColumn("_m", mean).withColumn("_mad", F.when(F.size("_w") < 2, 0.0).otherwise(F.aggregate("_w", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("_m"))) / F.size("_w")))
+    x = recent_mad(within(liquidity).join(limit.hint("merge"), "token"), window=window)
     x = x.groupBy("token", "step").agg(
         F.count_if(F.lower("action").rlike("remove|withdraw")).alias("removals"), F.max_by("_mad", F.struct("bt", "seq")).alias("liquidity_mad"), F.max((F.col("amount") <= F.col("threshold")).cast("int")).alias("thin"),
     )
     spikes = within(_spikes(holders)).select("token", "step").distinct().withColumn("spike", F.lit(1))
     have = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "0", "false") == F.lit(False)
-    meta = metadata.groupBy("token").agg(F.max((have("mint_authority") | have("freeze_authority")).cast("int")).alias("mintable"), F.max(have("mint_authority").cast("int") + have("freeze_authority").cast("int") + have("is_mutable").cast("int")).alias("authorities"))
-    y = features.join(x.hint("merge"), ["token", "step"], "full").join(spikes.hint("merge"), ["token", "step"], "full").join(meta.hint("merge"), "token", "left").join(span.select("token", "n_steps").hint("merge"), "token")
+    flags = [have(c) for c in ("mint_authority", "freeze_authority", "is_mutable")]
+    meta = metadata.groupBy("token").agg(F.max((flags[0] | flags[1]).cast("int")).alias("mintable"), F.max(sum((f.cast("int") for f in flags), F.lit(0))).alias("authorities"))
+    y = features.drop("seconds").join(x.hint("merge"), ["token", "step"], "full").join(spikes.hint("merge"), ["token", "step"], "full")
+    y = y.join(meta.hint("merge"), "token", "left").join(span.select("token", "seconds", "n_steps").hint("merge"), "token")
     by = Window.partitionBy("token").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     y = y.withColumn("liquidity_mad", F.coalesce(F.last("liquidity_mad", True).over(by), F.lit(0.0))).withColumn("resurrections", F.coalesce(F.last("resurrections", True).over(by), F.lit(0)))
     return y.fillna(0)
@@ -208,7 +259,7 @@ TIMELINE = pa.schema([
 TIMELINE_DDL = "token string, step long, n long, archetype string, direction_level string, dominant string, direction_conf long, risk_level string, risk string, risk_conf long, conflict string, persistence long, changed boolean, flipped boolean, reason string"
 
 
-def _rows(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     track, quiet, n_steps = None, ("NEUTRAL", 0.0), 0
 
     def end() -> list[tuple]:
@@ -221,7 +272,7 @@ def _rows(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.Record
 
     for batch in batches:
         out = []
-        for tok, step, n, dom, risk, tempo, q_dom, q_risk, total, *found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for tok, step, n, dom, risk, tempo, q_dom, q_risk, total, seconds, *found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if track is None or tok != track.token:
                 out += end()
                 track, quiet = Track(tok, seconds), ("NEUTRAL", 0.0)
@@ -235,21 +286,25 @@ def _rows(batches: Iterator[pa.RecordBatch], seconds: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*last, strict=True), TIMELINE, strict=True)], schema=TIMELINE)
 
 
-def evaluated(scored: DataFrame, step: int = 60) -> DataFrame:
+def evaluated(scored: DataFrame, step: int | None = None) -> DataFrame:
     """ST-14: rows of every step of scored and of each quiet step that changes a confidence or the archetype, in time order, and one without a step for each token: its steps (n), last archetype, flips (persistence) and steps by archetype (reason).
 
-    Columns that scored lacks: quiet steps are then neutral and calm, end with the last row, and no signal holds but those of the fold.
+    A step takes step seconds, or without it those in the column seconds of scored, or 60. Columns that scored lacks: quiet steps are then neutral and calm, end with the last row, and no signal holds but those of the fold.
     """
     importable(scored.sparkSession)
     parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     default = {"n": F.lit(1), "quiet_dominant": F.lit("NEUTRAL"), "quiet_risk": F.lit(0.0), "n_steps": F.lit(0), **{c: F.lit(False) for c in ("vampire", "time_bomb", "bot_farm", "phoenix")}}
+    default["seconds"] = F.lit(60)
     x = scored.withColumns({c: v for c, v in default.items() if c not in scored.columns})
-    x = x.select("token", "step", F.col("n").cast("long").alias("n"), "dominant", "risk", "tempo", "quiet_dominant", "quiet_risk", F.col("n_steps").cast("long").alias("n_steps"), "vampire", "time_bomb", "bot_farm", "phoenix")
+    if step is not None:
+        x = x.withColumn("seconds", F.lit(step))
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    x = x.select("token", "step", whole("n"), "dominant", "risk", "tempo", "quiet_dominant", "quiet_risk", whole("n_steps"), whole("seconds"), "vampire", "time_bomb", "bot_farm", "phoenix")
     x = x.repartition(parts, "token").sortWithinPartitions("token", "step")
-    return x.mapInArrow(lambda batches: _rows(batches, step), TIMELINE_DDL)
+    return x.mapInArrow(_rows, TIMELINE_DDL)
 
 
-def timeline(scored: DataFrame, step: int = 60) -> DataFrame:
+def timeline(scored: DataFrame, step: int | None = None) -> DataFrame:
     """ST-13: alert levels of direction and risk at each step of scored, in time order."""
     x = evaluated(scored, step).join(scored.select(F.col("token").alias("_t"), F.col("step").alias("_s")).hint("merge"), (F.col("token") == F.col("_t")) & (F.col("step") == F.col("_s")))
     return x.select("token", "step", "direction_level", "risk_level", "dominant", "persistence")

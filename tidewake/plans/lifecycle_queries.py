@@ -60,7 +60,7 @@ _STEPS = """SELECT f.*, (bt - t0) // 600 AS step, first_bt <= t0 + 600 AS early,
     SELECT token, step, count(*) AS c, row_number() OVER (PARTITION BY token, step ORDER BY count(*) DESC, wallet) AS r FROM s GROUP BY token, step, wallet) GROUP BY token, step) d USING (token, step) GROUP BY token, step)) x
   JOIN (SELECT token, step, coalesce(avg(abs(pause - mp)), 0) AS pause_mad, avg(abs(lamports - ml)) / 1e9 AS size_mad FROM (SELECT *, avg(pause) OVER (PARTITION BY token, step) AS mp, avg(lamports) OVER (PARTITION BY token, step) AS ml FROM (SELECT *, bt - lag(bt) OVER (PARTITION BY token, step ORDER BY bt, seq) AS pause FROM s)) GROUP BY token, step) m USING (token, step)""", "flows", s=_STEPS))
 def win25(t):
-    return R.step_features(t.flows, 600).withColumns({c: F.round(c, 4) for c in ("pause_mad", "size_mad")})
+    return R.step_features(t.flows, 600).withColumns({c: F.round(c, 4) for c in ("pause_mad", "size_mad")}).drop("seconds")
 
 
 @query("fn11_scores")
@@ -73,9 +73,27 @@ def st14(t):
     return R.timeline(R.scores(R.step_features(t.flows, 600)), 600)
 
 
-def trade_scores(t, step: int = 60):
-    """Steps of the traded tokens scored with liquidity, holders and authorities."""
-    flows = t.valid.select("wallet", "token", "bt", F.when(F.col("flow_direction") == "out", "sell").otherwise("buy").alias("direction"), "lamports", "signature", (F.col("seq") * 8 + F.col("line")).alias("seq"))
+def trade_flows(t):
+    """Valid trades as flows."""
+    return t.valid.select("wallet", "token", "bt", F.when(F.col("flow_direction") == "out", "sell").otherwise("buy").alias("direction"), "lamports", "signature", (F.col("seq") * 8 + F.col("line")).alias("seq"))
+
+
+_WIDTHS = """SELECT token, t0, CASE WHEN n >= 3 AND least <= 20 THEN 20 ELSE 60 END AS seconds FROM (SELECT token, min(bt) AS t0, count(*) AS n, min(bt - prev) FILTER (bt > prev) AS least
+  FROM (SELECT *, lag(bt) OVER (PARTITION BY token ORDER BY bt, seq, line) AS prev FROM valid) GROUP BY token)"""
+_TOKEN_STEPS = """SELECT f.*, seconds, (bt - t0) // seconds AS step, first_bt <= t0 + 600 AS early, (first_bt - t0) // seconds = (bt - t0) // seconds AS new, flow_direction = 'out' AS o, top FROM valid f JOIN widths USING (token)
+  JOIN (SELECT token, wallet, min(bt) AS first_bt, row_number() OVER (PARTITION BY token ORDER BY sum(lamports) DESC, wallet) <= 10 AS top FROM valid GROUP BY token, wallet) USING (token, wallet)"""
+
+
+@query("win25_steps_by_token", oracle("""SELECT x.* EXCLUDE (prev), coalesce(step - prev - 1, 0) AS quiet_before, count(*) FILTER ((step - prev - 1) * seconds >= 600) OVER (PARTITION BY token ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS resurrections FROM (SELECT *, lag(step) OVER (PARTITION BY token ORDER BY step) AS prev FROM (
+  SELECT token, step, any_value(seconds) AS seconds, count(*) AS n, sum(CASE WHEN o THEN 0 ELSE lamports END) / 1e9 AS inflow, sum(CASE WHEN o THEN lamports ELSE 0 END) / 1e9 AS outflow, count(DISTINCT wallet) FILTER (early AND new) AS early_entries, count(*) FILTER (early AND o) AS early_exits,
+  count(DISTINCT wallet) FILTER (new) AS new_wallets, sum(CASE WHEN top AND o THEN lamports ELSE 0 END) / 1e9 AS top_outflow FROM s GROUP BY token, step)) x""", "valid", widths=_WIDTHS, s=_TOKEN_STEPS))
+def win25_by_token(t):
+    return R.step_features(trade_flows(t), None).drop("pause_mad", "size_mad", "density")
+
+
+def trade_scores(t, step: int | None = None):
+    """Steps of the traded tokens, as long as each token's step size, scored with liquidity, holders and authorities."""
+    flows = trade_flows(t)
     pool = t.liquidity_events.withColumn("amount", F.col("amount") / 1e4)
     x = R.with_sides(R.step_features(flows, step), flows, step, pool, t.holders, t.mint_metadata)
     return R.signals(R.scores(x))
