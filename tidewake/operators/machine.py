@@ -27,52 +27,94 @@ TRANSITIONS = pa.schema([("token", pa.string()), ("bt", pa.int64()), ("seq", pa.
 DDL = "token string, bt long, seq long, episode long, wave long, from_state string, to_state string, trigger string, n long, share double, n_early long, seconds long"
 
 
+class Wallet:
+    """A wallet of a token: first and last seen, its last minute and how many; the epoch it was checked in and found silent in (0: not), whether it came early, and the cohort it is of."""
+
+    __slots__ = FIELDS = ("first", "last", "minute", "minutes", "checked", "silent", "early", "cohort")
+
+    def __init__(self, first: int, last: int, minute: int, minutes: int = 1, checked: int = 0, silent: int = 0, early: bool = False, cohort: int = 0):
+        self.first, self.last, self.minute, self.minutes = first, last, minute, minutes
+        self.checked, self.silent, self.early, self.cohort = checked, silent, early, cohort
+
+
+class Wallets(dict):
+    """The wallets of a token in memory, in order of their last flow. A stream keeps them elsewhere, behind the same four methods."""
+
+    def touch(self, name: str, w: Wallet, new_minute: bool) -> None:
+        """name has had a flow."""
+        self[name] = self.pop(name, w)
+
+    def active(self, t: int, within: int) -> Iterator[Wallet]:
+        """Those with a flow in the last so many seconds; they stand at the end, so only these are looked at."""
+        for w in reversed(self.values()):
+            if t - w.last >= within:
+                return
+            yield w
+
+
 class Token:
-    """State of one token. Wallets, in order of their last flow: first seen, last seen, last minute, minutes, timing checked, silent flag."""
+    """State of one token: where it stands, and its wallets. cohort: the names of the wave's early whales."""
+
+    #: What is kept besides wallets and cohort.
+    HEAD = ("strict", "whale_before", "state", "since", "episode", "wave", "wave_start", "last_bt", "last_whale", "max_density", "persistent", "whales", "n_early", "epoch", "generation")
 
-    def __init__(self, saved: str | None = None, strict: bool = True):
+    def __init__(self, saved: str | None = None, strict: bool = True, wallets: Wallets | None = None, cohort: list[str] | None = None):
         self.strict, self.whale_before = strict, None
         self.state, self.since, self.episode, self.wave, self.wave_start = "QUIET", None, 0, 1, None
         self.last_bt, self.last_whale, self.max_density, self.persistent = None, None, 0, 0
-        self.wallets: dict[str, list] = {}
-        self.early: list[str] = []
-        self.cohort: list[str] = []
+        self.wallets = Wallets() if wallets is None else wallets
+        self.cohort = [] if cohort is None else cohort
         self.whales: list[list] = []
+        self.n_early, self.epoch, self.generation = 0, 1, 1
         if saved:
-            self.__dict__.update(json.loads(saved))
+            x = json.loads(saved)
+            self.cohort[:] = x.pop("cohort")
+            self.wallets.update((a, Wallet(*w)) for a, w in x.pop("wallets").items())
+            self.__dict__.update(x)
+
+    def head(self) -> dict:
+        return {k: getattr(self, k) for k in self.HEAD}
 
     def saved(self) -> str:
-        return json.dumps(self.__dict__)
+        """All of it as text, wallets in their order."""
+        return json.dumps(self.head() | {"cohort": list(self.cohort), "wallets": {a: [getattr(w, f) for f in Wallet.FIELDS] for a, w in self.wallets.items()}})
+
+    @property
+    def early(self) -> list[str]:
+        return [a for a, w in self.wallets.items() if w.early]
 
     def silent_share(self, t: int) -> float:
-        quiet = sum(1 for w in self.cohort if self.wallets[w][5] or t - self.wallets[w][1] > SILENT)
-        return quiet / len(self.cohort) if self.cohort else 0.0
+        own = [self.wallets[a] for a in self.cohort]
+        return sum(w.silent == self.epoch or t - w.last > SILENT for w in own) / len(own) if own else 0.0
 
     def step(self, wallet: str, t: int, buy: bool, whale: bool) -> tuple | None:
         """Take one flow; (from, to, trigger, count, share, seconds in the old state) if the state changes."""
-        w = self.wallets.get(wallet)
+        w, minute = self.wallets.get(wallet), t // 60
+        new_minute = w is None or minute != w.minute
         if w is None:
-            w = self.wallets[wallet] = [t, t, t // 60, 1, False, False]
+            w = Wallet(t, t, minute)
         else:
-            self.wallets[wallet] = self.wallets.pop(wallet)  # to the end
-            w[5] = (w[5] or (self.last_bt is not None and self.last_bt - w[1] > SILENT)) and not buy
-            if t // 60 != w[2]:
-                w[2], w[3] = t // 60, w[3] + 1
-                self.persistent += w[3] == 2
-            w[1] = t
+            silent = (w.silent == self.epoch or (self.last_bt is not None and self.last_bt - w.last > SILENT)) and not buy
+            w.silent = self.epoch if silent else 0
+            if new_minute:
+                w.minute, w.minutes = minute, w.minutes + 1
+                self.persistent += w.minutes == 2
+            w.last = t
         if self.wave_start is None:
             self.wave_start = t
         previous = self.last_whale
         if whale:
-            if not w[4]:
-                w[4] = True
-                if 0 <= w[0] - self.wave_start <= EARLY:
-                    if wallet not in self.early:
-                        self.early.append(wallet)
-                    if wallet not in self.cohort:
+            if w.checked != self.epoch:
+                w.checked = self.epoch
+                if 0 <= w.first - self.wave_start <= EARLY:
+                    self.n_early += not w.early
+                    w.early = True
+                    if w.cohort != self.generation:
+                        w.cohort = self.generation
                         self.cohort.append(wallet)
             self.whales.append([t, wallet, buy])
             self.whale_before, self.last_whale = self.last_whale, t
+        self.wallets.touch(wallet, w, new_minute)
         if whale or self.strict:
             self.whales = [x for x in self.whales if x[0] >= t - PEAK_WINDOW]
         if not self.strict:
@@ -85,6 +127,15 @@ class Token:
         self.state, self.since = change[0], t
         return (old, *change, seconds)
 
+    def _begin(self, names: list[str]) -> None:
+        """A new cohort of these wallets."""
+        self.generation += 1
+        self.cohort[:] = names
+        for a in names:
+            w = self.wallets[a]
+            w.cohort = self.generation
+            self.wallets.touch(a, w, False)
+
     def _next(self, t: int, whale: bool, previous: int | None) -> tuple | None:
         """(to, trigger, count, share) or None."""
         s = self.state
@@ -96,16 +147,17 @@ class Token:
             new = self.episode == 0 or previous is None or t - previous >= EPISODE_END
             if new:
                 self.episode += 1
-                self.wave, self.wave_start, self.cohort, self.max_density = 1, t, [x for x in self.cohort if self.wallets[x][0] >= t], 0
+                self.wave, self.wave_start, self.max_density = 1, t, 0
+                self._begin([x for x in self.cohort if self.wallets[x].first >= t])
             return "IGNITION", "new_episode" if new else "reignition", 1, 0.0
-        if s == "IGNITION" and len(self.early) >= 3:
-            return "COORDINATION_SPIKE", "early_wallets", len(self.early), 0.0
+        if s == "IGNITION" and self.n_early >= 3:
+            return "COORDINATION_SPIKE", "early_wallets", self.n_early, 0.0
         if s == "COORDINATION_SPIKE" and t - self.since >= 120:
-            return "EARLY_PHASE", "sustained", len(self.early), 0.0
+            return "EARLY_PHASE", "sustained", self.n_early, 0.0
         if s == "EARLY_PHASE" and self.persistent >= 2:
             return "PERSISTENCE_CONFIRMED", "persistent_wallets", self.persistent, 0.0
         if s == "PERSISTENCE_CONFIRMED":
-            n = self._active(t, RECENT, self.early)
+            n = sum(not w.early for w in self.wallets.active(t, RECENT))
             return ("PARTICIPATION_EXPANSION", "new_wallets", n, 0.0) if n else None
         if s == "PARTICIPATION_EXPANSION":
             n, density = sum(x[2] for x in self.whales), len({x[1] for x in self.whales})
@@ -115,32 +167,25 @@ class Token:
             share = self.silent_share(t)
             return ("EXHAUSTION_DETECTED", "cohort_silent", len(self.cohort), share) if share >= 0.6 else None
         if s == "EXHAUSTION_DETECTED":
-            n = self._active(t, BURST, self.cohort)
+            n = sum(w.cohort != self.generation for w in self.wallets.active(t, BURST))
             if n >= 3:
-                self.wave, self.wave_start, self.cohort, self.max_density = self.wave + 1, t, [], 0
-                for w in self.wallets.values():
-                    w[4] = w[5] = False
+                self.wave, self.wave_start, self.max_density = self.wave + 1, t, 0
+                self.epoch += 1  # nobody is checked or silent any more
+                self._begin([])
                 return "PARTICIPATION_EXPANSION", "new_whale_burst_reversal", n, 0.0
-            return ("DISSIPATION", "no_activity", 0, 0.0) if not self._active(t, RECENT, []) else None
-        if s == "DISSIPATION" and (n := self._active(t, BURST, [])):
+            return ("DISSIPATION", "no_activity", 0, 0.0) if not any(True for _ in self.wallets.active(t, RECENT)) else None
+        if s == "DISSIPATION" and (n := sum(1 for _ in self.wallets.active(t, BURST))):
             return "IGNITION", "revival", n, 0.0
         return None
 
-    def _active(self, t: int, within: int, without: list[str]) -> int:
-        """Wallets active within so many seconds; they stand at the end, so only these are looked at."""
-        out, n = set(without), 0
-        for a, w in reversed(self.wallets.items()):
-            if t - w[1] >= within:
-                break
-            n += a not in out
-        return n
+    def lasting(self, w: Wallet) -> bool:
+        """Early wallets and those of the cohort stay, however long they are idle."""
+        return w.early or w.cohort == self.generation
 
     def forget(self, t: int, idle: int) -> None:
-        """ST-15: drop wallets without a flow in idle seconds, but for those of the cohort."""
-        kept = set(self.cohort) | set(self.early)
-        old = [a for a, w in self.wallets.items() if t - w[1] > idle and a not in kept]
-        for a in old:
-            self.persistent -= self.wallets.pop(a)[3] >= 2
+        """ST-15: drop wallets without a flow in idle seconds, but for those that stay."""
+        for a in [a for a, w in self.wallets.items() if t - w.last > idle and not self.lasting(w)]:
+            self.persistent -= self.wallets.pop(a).minutes >= 2
 
 
 class TokenV2:
@@ -153,6 +198,10 @@ class TokenV2:
         self.early: set[str] = set()
         self.whales: list[tuple[int, str]] = []
 
+    @property
+    def n_early(self) -> int:
+        return len(self.early)
+
     def recent(self, t: int, within: int) -> set[str]:
         return {w for at, w in self.whales if at >= t - within}
 
@@ -213,7 +262,7 @@ def fold(rows: Iterator[tuple], token: Token) -> Iterator[tuple]:
         change = token.step(wallet, bt, buy, whale)
         if change:
             old, new, trigger, n, share, seconds = change
-            yield bt, seq, token.episode, token.wave, old, new, trigger, n, share, len(token.early), seconds
+            yield bt, seq, token.episode, token.wave, old, new, trigger, n, share, token.n_early, seconds
 
 
 def _run(batches: Iterator[pa.RecordBatch], make=Token) -> Iterator[pa.RecordBatch]:
