@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import scalar as S
+from tidewake.operators.windows import NUMBER_CHUNK, best, numbered
 from tidewake.workers import importable
 
 # Weights of the scores, steps of the alert levels by tempo, and thresholds of risk.
@@ -48,17 +49,6 @@ def spans(flows: DataFrame, step: int | None) -> DataFrame:
     return x.withColumn("n_steps", F.ceil((F.col("t1") - F.col("t0")) / F.col("seconds")) + 1)
 
 
-#: Parts of the rows of a key that are ranked on their own before the best of all parts are.
-PARTS = 64
-
-
-def best(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
-    """The k rows of each key with the largest order, ties by wallet. Parts of a key are ranked first, so no task sees all wallets of a key."""
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(F.desc(order), "wallet"))
-    x = rows.withColumn("_part", F.pmod(F.xxhash64("wallet"), F.lit(PARTS))).withColumn("_r", rank("_part")).where(F.col("_r") <= k)
-    return x.withColumn("_r", rank()).where(F.col("_r") <= k).drop("_part", "_r")
-
-
 def step_features(flows: DataFrame, step: int | None = 60, early: int = 600, k: int = 10) -> DataFrame:
     """WIN-25: for each token and step with flows: inflow and outflow, entries and exits of early wallets, new wallets, outflow of the k largest wallets, mean deviations of pauses and sizes, share of the k busiest wallets, quiet steps before, how often the token came back from a silent gap, and the seconds of a step.
 
@@ -101,18 +91,8 @@ def _spikes(holders: DataFrame, least: float = 0.08) -> DataFrame:
     return g.withColumn("_b", before).where(F.col("g") - F.col("_b") > least).select("token", "bt")
 
 
-#: Seconds of a chunk in which rows of a key are numbered, and rows of a block in which recent rows are looked up.
-NUMBER_CHUNK, ROW_BLOCK = 86_400, 4096
-
-
-def numbered(rows: DataFrame, key: str, time: str, seq: str, chunk: int = NUMBER_CHUNK) -> DataFrame:
-    """rows with _row: their number from 0 within the key by time and seq. Chunks of time are counted first and rows numbered within them, so a hot key spreads over its chunks."""
-    x = rows.withColumn("_chunk", F.floor(F.col(time) / chunk))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = x.groupBy(key, "_chunk").agg(F.count("*").alias("_c")).select(F.col(key).alias("_k"), F.col("_chunk").alias("_h"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
-    x = x.join(base.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_h")))
-    within = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(time, seq))
-    return x.withColumn("_row", F.col("_base") + within - 1).drop("_chunk", "_k", "_h", "_base")
+#: Rows of a block in which recent rows are looked up.
+ROW_BLOCK = 4096
 
 
 def recent_mad(rows: DataFrame, key: str = "token", time: str = "bt", seq: str = "seq", value: str = "amount", window: int = 12, block: int = ROW_BLOCK, chunk: int = NUMBER_CHUNK) -> DataFrame:

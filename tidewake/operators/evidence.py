@@ -87,6 +87,14 @@ def funding_summary(funded: DataFrame) -> DataFrame:
     return x.groupBy("creator").agg(F.count("*").alias("n_tokens"), F.count_if("direct").alias("n_direct"), F.count_if("indirect").alias("n_indirect"))
 
 
+def intermediaries(funded: DataFrame, most: int = 10) -> DataFrame:
+    """AGG-20: of funded_buyers() with path: the wallets through which a creator funded early buyers, with how many early buys and tokens; the most frequent ones of each creator, ties by name."""
+    x = funded.where("indirect").select("creator", "token", F.explode("path").alias("wallet"))
+    x = x.groupBy("creator", "wallet").agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_tokens"))
+    w = Window.partitionBy("creator").orderBy(F.desc("n"), "wallet")
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
 def creator_flows(trades: DataFrame, creators_: DataFrame, before: int, after: int, is_transfer: Column) -> DataFrame:
     """FN-25: a creator's flows in its token around the launch, typed BUY, SELL or TRANSFER_OUT."""
     start = trades.groupBy("token").agg(F.min("bt").alias("_t0"))
@@ -189,9 +197,10 @@ def creator_transfers(transfers: DataFrame, creators_: DataFrame, buyers: DataFr
 
 
 def funded_buyers(buyers: DataFrame, paths: DataFrame) -> DataFrame:
-    """JOIN-20: early buyers (token, creator, wallet) with flags for direct and indirect funding by the creator. paths: (source, target, hops)."""
-    p = paths.groupBy(F.col("source").alias("creator"), F.col("target").alias("wallet")).agg(F.min("hops").alias("hops"))
-    x = buyers.join(p.hint("merge"), ["creator", "wallet"], "left")
+    """JOIN-20: early buyers (token, creator, wallet) with flags for direct and indirect funding by the creator. paths: (source, target, hops), with path it stays."""
+    rest = [c for c in ("path",) if c in paths.columns]
+    p = paths.groupBy(F.col("source").alias("creator"), F.col("target").alias("wallet")).agg(F.min(F.struct("hops", *rest)).alias("p"))
+    x = buyers.join(p.select("creator", "wallet", "p.*").hint("merge"), ["creator", "wallet"], "left")
     return x.withColumn("direct", F.coalesce(F.col("hops") == 1, F.lit(False))).withColumn("indirect", F.coalesce(F.col("hops") > 1, F.lit(False)))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.operators import windows as W
+
 
 def valid_flows(flows: DataFrame, tx: DataFrame) -> DataFrame:
     """SRC-15, JOIN-1: flows whose transaction (signature, wallet) has no error; without a transaction they stay. Repeated transactions repeat flows."""
@@ -99,37 +101,107 @@ def first_buys(trades: DataFrame) -> DataFrame:
     return trades.where("flow_direction = 'in'").groupBy("wallet", "token").agg(F.min("bt").alias("first_buy"))
 
 
-def pair_stats(firsts: DataFrame, wallets: DataFrame | None = None) -> DataFrame:
-    """JOIN-10, AGG-12: for wallets a < b with tokens in common: how many, how often a led, median and nearest-rank p90 of b's delay.
+#: Rows of a key in one block where two large sides of it meet.
+PAIR_BLOCK = 512
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """Inner join on key (a text or number) where both sides may be hot: the rows of a key are dealt to blocks of about block rows, and each pair of blocks meets in a task of its own. Other columns have different names."""
+    blocks = lambda df, name: df.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(left, "_nl").join(blocks(right, "_nr").hint("merge"), "_k")
+    dealt = lambda df, own, n, over, m: (
+        df.join(sizes.hint("merge"), F.col(key) == F.col("_k")).withColumn(own, F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.col(n))).withColumn(over, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("_k", "_nl", "_nr")
+    )
+    a, b = dealt(left, "_bi", "_nl", "_bj", "_nr"), dealt(right, "_bj", "_nr", "_bi", "_nl")
+    return a.join(b.hint("merge"), [key, "_bi", "_bj"]).drop("_bi", "_bj")
+
+
+def _ranked(sets: DataFrame, key: str, item: str) -> DataFrame:
+    """Distinct (key, item) with _n, the items of the key, and _row, the item's number in it from the rarest on.
+
+    Items are ordered by the power of two of their frequency and a hash, the same for all keys; numbers come from chunks of that order.
+    """
+    often = sets.groupBy(F.col(item).alias("_i")).agg(F.floor(F.log2(F.count("*"))).cast("long").alias("_often"))
+    sizes = sets.groupBy(F.col(key).alias("_s")).agg(F.count("*").alias("_n"))
+    x = sets.join(often.hint("merge"), F.col(item) == F.col("_i")).join(sizes.hint("merge"), F.col(key) == F.col("_s")).drop("_i", "_s")
+    x = x.withColumn("_order", F.shiftleft("_often", 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(item), 8)))
+    return W.numbered(x, key, "_order", item, 1 << 51).drop("_order", "_often")
+
+
+def _shared(candidates: DataFrame, sets: DataFrame, key: str, item: str) -> DataFrame:
+    """(a, b, item) of the items that the keys of each candidate pair (a, b, with _n of a the smaller) have in common."""
+    own = sets.select(F.col(key).alias("a"), item)
+    other = sets.select(F.col(key).alias("b"), item)
+    return candidates.join(own.hint("merge"), "a").join(other.hint("merge"), ["b", item])
+
+
+def sharing_pairs(sets: DataFrame, least: int, key: str = "wallet", item: str = "token") -> DataFrame:
+    """(a, b, shared), a < b: pairs of keys that share at least so many items of distinct sets (key, item).
 
-    wallets: the wallets to compare with each other, a list of bounded size; all others are left out before the join. Without
-    it every pair of wallets that share a token is formed, so a token's pairs grow with the square of its buyers.
+    Two sets that share so many items share one beside the least - 1 most frequent items of each, so only pairs that meet in
+    such a prefix are counted; keys with fewer items are left out first. A frequent item's holders meet in blocks.
     """
+    sets = sets.select(key, item)
+    x = sets if least <= 1 else _ranked(sets, key, item).where(F.col("_n") >= least).where(F.col("_row") < F.col("_n") - (least - 1)).select(key, item, "_n")
+    n = F.lit(0) if least <= 1 else F.col("_n")
+    a, b = x.select(F.col(key).alias("a"), item, n.alias("na")), x.select(F.col(key).alias("b"), item, n.alias("nb"))
+    met = dealt_join(a, b, item).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    if least <= 1:
+        return met.select("a", "b", "shared")
+    # the smaller set of a pair is looked up in the larger one
+    turned = met.select(F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    counts = _shared(turned, sets, key, item).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return counts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
+
+
+def overlap_join(sets: DataFrame, least: float = 0.5, key: str = "wallet", item: str = "token") -> DataFrame:
+    """JOIN-11 as a set-similarity join: pairs a < b whose shared items are at least that share of the smaller set, with shared and overlap.
+
+    Of the smaller set only a prefix is looked up, rarest items first: without one of its n - ceil(least n) + 1 rarest items a
+    pair cannot reach the bound. Candidates are counted exactly. Pairs that share nothing are no rows.
+    """
+    sets = sets.select(key, item)
+    ranked = _ranked(sets, key, item)
+    prefix = ranked.where(F.col("_row") < F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9) + 1).select(F.col(key).alias("a"), item, F.col("_n").alias("na"))
+    whole = ranked.select(F.col(key).alias("b"), item, F.col("_n").alias("nb"))
+    met = dealt_join(prefix, whole, item).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).select("a", "b", "na").distinct()
+    x = _shared(met, sets, key, item).groupBy("a", "b", "na").agg(F.count("*").alias("shared")).withColumn("overlap", F.col("shared") / F.col("na")).where(F.col("overlap") >= least)
+    return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "overlap")
+
+
+def pair_stats(firsts: DataFrame, wallets: DataFrame | None = None, least_shared: int = 1) -> DataFrame:
+    """JOIN-10, AGG-12: for wallets a < b with at least least_shared tokens in common: how many, how often a led, median and nearest-rank p90 of b's delay.
+
+    wallets: the wallets to compare with each other, a list of bounded size; all others are left out before the join. With a
+    least_shared above 1 the tokens that pairs share are counted first (sharing_pairs), and delays are gathered only for the
+    pairs that reach it; with 1 every pair that shares a token is wanted.
+    """
+    firsts = firsts.select("wallet", "token", "first_buy")
     if wallets is not None:
         firsts = firsts.join(wallets.select("wallet").distinct().hint("broadcast"), "wallet", "left_semi")
     a = firsts.select("token", F.col("wallet").alias("a"), F.col("first_buy").alias("ta"))
     b = firsts.select("token", F.col("wallet").alias("b"), F.col("first_buy").alias("tb"))
-    x = a.join(b.hint("merge"), "token").where("a < b").withColumn("delta", F.col("tb") - F.col("ta"))
+    if least_shared > 1:
+        pairs = sharing_pairs(firsts, least_shared).select("a", "b")
+        x = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), ["b", "token"])
+    else:
+        x = dealt_join(a, b, "token").where("a < b")
+    x = x.withColumn("delta", F.col("tb") - F.col("ta"))
     p90 = F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY delta)")
     return x.groupBy("a", "b").agg(F.count("*").alias("shared"), (F.count_if(F.col("delta") > 0) / F.count("*")).alias("lead_rate"), F.median("delta").alias("median_delta"), p90.alias("p90_delta"))
 
 
-def token_overlap(pairs: DataFrame, wallets: DataFrame, buckets: int = 32) -> DataFrame:
-    """JOIN-11: shared tokens of all wallets a <= b of a seed list, as a share of the smaller one's number; 0 where none.
+def token_overlap(pairs: DataFrame, wallets: DataFrame) -> DataFrame:
+    """JOIN-11: shared tokens of wallets a <= b of a seed list that share any, as a share of the smaller one's number. Pairs without a row share nothing.
 
-    pairs: distinct (wallet, token). wallets: the seeds; their pairs are asked for, so each row of the result is wanted.
+    pairs: distinct (wallet, token). wallets: the seeds.
     """
-    own = pairs.join(wallets.select("wallet").hint("merge"), "wallet", "left_semi")
-    sizes = wallets.select("wallet").join(own.groupBy("wallet").agg(F.count("*").alias("n")).hint("merge"), "wallet", "left").fillna(0, ["n"])
-    a, b = own.select(F.col("wallet").alias("a"), "token"), own.select(F.col("wallet").alias("b"), "token")
-    shared = a.join(b.hint("merge"), "token").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    # every seed meets the seeds of each bucket, so that the wanted pairs are made in many tasks
-    one = sizes.select(F.col("wallet").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_k"))
-    two = sizes.select(F.col("wallet").alias("b"), F.col("n").alias("nb"), F.pmod(F.hash("wallet"), F.lit(buckets)).alias("_k"))
-    grid = one.join(two.hint("merge"), "_k").where("a <= b").drop("_k")
-    x = grid.join(shared.hint("merge"), ["a", "b"], "left").fillna(0, ["shared"])
-    least = F.least("na", "nb")
-    return x.select("a", "b", "shared", F.when(least > 0, F.col("shared") / least).otherwise(0.0).alias("overlap"))
+    own = pairs.select("wallet", "token").join(wallets.select("wallet").hint("merge"), "wallet", "left_semi")
+    sizes = own.groupBy("wallet").agg(F.count("*").alias("n"))
+    itself = sizes.select(F.col("wallet").alias("a"), F.col("wallet").alias("b"), F.col("n").alias("shared"))
+    na, nb = sizes.select(F.col("wallet").alias("a"), F.col("n").alias("na")), sizes.select(F.col("wallet").alias("b"), F.col("n").alias("nb"))
+    x = sharing_pairs(own, 1).unionByName(itself).join(na.hint("merge"), "a").join(nb.hint("merge"), "b")
+    return x.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("overlap"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -162,20 +234,40 @@ def shared_groups(members: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.select("wallet").join(x.hint("merge"), "wallet", "left").fillna(0, ["n_shared"])
 
 
-def funding_paths(transfers: DataFrame, creators: DataFrame, targets: DataFrame, depth: int = 2) -> DataFrame:
-    """JOIN-18: shortest time-ordered paths (source, target, hops) of at most depth transfers from a creator to a target.
+#: Seconds of transfers of a pair of wallets that are held together.
+TRANSFER_CHUNK = 86_400
 
-    transfers: (src, dst, bt). One self join for each hop; of equal hops the path with the earliest arrival stays.
+
+def funding_routes(transfers: DataFrame, creators: DataFrame, targets: DataFrame, depth: int = 2, block: int = PAIR_BLOCK) -> DataFrame:
+    """JOIN-18: shortest time-ordered paths (source, target, hops, arrival, path) of at most depth transfers from a creator to a target.
+
+    transfers: (src, dst, bt). path: the wallets in between. Of equal hops the path with the earliest arrival stays, then the
+    first by name. The transfers of two wallets are a row for each day, of which at most one can hold the next transfer, so
+    a step of a wallet meets each receiver once; a hub's senders and receivers meet in blocks.
     """
-    t = transfers.select("src", "dst", F.col("bt").alias("_bt")).distinct()
-    reach = creators.select(F.col("wallet").alias("source"), F.col("wallet").alias("at"), F.lit(0).cast("long").alias("since"), F.lit(0).alias("hops"))
-    found, front = None, reach
+    day = F.floor(F.col("bt") / TRANSFER_CHUNK)
+    t = transfers.groupBy("src", "dst", day.alias("_day")).agg(F.collect_set("bt").alias("times"), F.max("bt").alias("_hi"))
+    t = t.withColumn("_lo", F.lag("_hi").over(Window.partitionBy("src", "dst").orderBy("_day"))).select("src", "dst", "times", "_lo", "_hi")
+    wanted = targets.select(F.col("wallet").alias("dst")).distinct()
+    front = creators.select(F.col("wallet").alias("source"), F.col("wallet").alias("src"), F.lit(-(1 << 62)).alias("since"), F.array().cast("array<string>").alias("path")).distinct()
+    found = None
     for hop in range(1, depth + 1):
-        step = front.join(t.hint("merge"), (F.col("at") == F.col("src")) & (F.col("_bt") >= F.col("since"))).where("dst <> source")
-        front = step.groupBy("source", F.col("dst").alias("at")).agg(F.min("_bt").alias("since")).withColumn("hops", F.lit(hop))
-        found = front if found is None else found.unionByName(front)
-    best = found.groupBy("source", "at").agg(F.min(F.struct("hops", "since")).alias("p"))
-    return best.join(targets.select(F.col("wallet").alias("at")).distinct().hint("merge"), "at").select("source", F.col("at").alias("target"), "p.hops", F.col("p.since").alias("arrival"))
+        # only the last step may leave out receivers that are no targets
+        sent = t if hop < depth else t.join(wanted.hint("merge"), "dst", "left_semi")
+        step = dealt_join(front, sent, "src", block).where((F.col("since") <= F.col("_hi")) & (F.col("_lo").isNull() | (F.col("since") > F.col("_lo"))) & (F.col("dst") != F.col("source")))
+        at = F.array_min(F.filter("times", lambda x: x >= F.col("since")))
+        way = F.col("path") if hop == 1 else F.concat("path", F.array("src"))
+        front = step.groupBy("source", F.col("dst").alias("src")).agg(F.min(F.struct(at.alias("since"), way.alias("path"))).alias("p")).select("source", "src", "p.since", "p.path")
+        reached = front.select("source", F.col("src").alias("target"), F.lit(hop).alias("hops"), "since", "path")
+        found = reached if found is None else found.unionByName(reached)
+    best = found.groupBy("source", "target").agg(F.min(F.struct("hops", "since", "path")).alias("p"))
+    best = best.join(wanted.select(F.col("dst").alias("target")).hint("merge"), "target", "left_semi")
+    return best.select("source", "target", "p.hops", F.col("p.since").alias("arrival"), "p.path")
+
+
+def funding_paths(transfers: DataFrame, creators: DataFrame, targets: DataFrame, depth: int = 2) -> DataFrame:
+    """JOIN-18: funding_routes() without the wallets in between."""
+    return funding_routes(transfers, creators, targets, depth).drop("path")
 
 
 def deployer_history(flows: DataFrame, wins: DataFrame) -> DataFrame:

@@ -286,3 +286,28 @@ def quiet_markers(events: DataFrame, least: int = 60) -> DataFrame:
     """WIN-29: whole minutes of quiet before an event of a token that follows the one before by more than least seconds."""
     x = _previous_in_token(events, 3600).withColumn("gap", F.col("bt") - F.col("_before")).where(F.col("gap") > least)
     return x.drop("_before").withColumn("quiet_minutes", F.floor(F.col("gap") / 60).cast("long"))
+
+
+#: Parts of the rows of a key that are ranked on their own before the best of all parts are.
+PARTS = 64
+
+
+def best(rows: DataFrame, keys: list[str], order: str, k: int, tie: str = "wallet") -> DataFrame:
+    """The k rows of each key with the largest order, ties by the column tie, which tells the rows of a key apart. Parts of a key are ranked first, so no task sees all wallets of a key."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(F.desc(order), tie))
+    x = rows.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(PARTS))).withColumn("_r", rank("_part")).where(F.col("_r") <= k)
+    return x.withColumn("_r", rank()).where(F.col("_r") <= k).drop("_part", "_r")
+
+
+#: Seconds of a chunk in which rows of a key are numbered.
+NUMBER_CHUNK = 86_400
+
+
+def numbered(rows: DataFrame, key: str, time: str, seq: str, chunk: int = NUMBER_CHUNK) -> DataFrame:
+    """rows with _row: their number from 0 within the key by time and seq. Chunks of time are counted first and rows numbered within them, so a hot key spreads over its chunks."""
+    x = rows.withColumn("_chunk", F.floor(F.col(time) / chunk))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy(key, "_chunk").agg(F.count("*").alias("_c")).select(F.col(key).alias("_k"), F.col("_chunk").alias("_h"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    x = x.join(base.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_h")))
+    within = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(time, seq))
+    return x.withColumn("_row", F.col("_base") + within - 1).drop("_chunk", "_k", "_h", "_base")

@@ -197,7 +197,7 @@ _NAMES = "[" + ", ".join(f"CASE WHEN {key} THEN '{name}' END" for name, key, _ i
 _REASONS = "[" + ", ".join(f"CASE WHEN {key} THEN '{text}' END" for _, key, text in S.ARCHETYPES) + "]"
 
 
-@query("fn10_archetypes", oracle(f"""SELECT token, coalesce(list_filter({_NAMES}, lambda x: x IS NOT NULL)[1], 'The Ghost') AS archetype, CASE WHEN len(list_filter({_REASONS}, lambda x: x IS NOT NULL)) = 0 THEN 'mixed low-signal state' ELSE array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL)[1:2], '; ') END AS reason FROM signs""", "valid", "mint_metadata", "liquidity_events", signs=_SIGNS), also=("fn10_archetypes_all",))
+@query("fn10_archetypes", oracle(f"""SELECT token, coalesce(list_filter({_NAMES}, lambda x: x IS NOT NULL)[1], 'The Ghost') AS archetype, CASE WHEN len(list_filter({_REASONS}, lambda x: x IS NOT NULL)) = 0 THEN 'mixed low-signal state' ELSE array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL)[1:2], '; ') END AS reason FROM signs""", "valid", "mint_metadata", "liquidity_events", signs=_SIGNS))
 def fn10(t):
     """Archetype of each traded token over its whole life, from all seven signals."""
     from pyspark.sql import Window

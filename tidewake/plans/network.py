@@ -63,7 +63,7 @@ def network_report(trades: DataFrame, edges: DataFrame, members: DataFrame, seed
     """
     around = seeds.union(J.neighbours(edges, seeds, k).select(F.col("neighbour").alias("wallet"))).distinct()
     firsts = J.first_buys(trades.join(around.hint("merge"), "wallet", "left_semi"))
-    stats = J.pair_stats(firsts)
+    stats = J.pair_stats(firsts, least_shared=least_shared)
     sizes = firsts.groupBy("wallet").agg(F.count("*").alias("n"))
     na, nb = sizes.select(F.col("wallet").alias("a"), F.col("n").alias("na")), sizes.select(F.col("wallet").alias("b"), F.col("n").alias("nb"))
     stats = stats.join(na.hint("merge"), "a").join(nb.hint("merge"), "b").withColumn("overlap", F.col("shared") / F.least("na", "nb"))

@@ -106,13 +106,13 @@ def co_wallet_leaders(anchors, buys):
     return x.groupBy("wallet").agg(F.countDistinct("token").alias("n_tokens")).orderBy(F.desc("n_tokens"), "wallet").limit(20)
 
 
-@query("top9_co_wallet_leaders", oracle("SELECT wallet, n_tokens FROM (SELECT b.wallet, count(DISTINCT a.token) AS n_tokens FROM buys a JOIN buys b ON a.token = b.token AND b.wallet <> a.wallet AND b.bt BETWEEN a.bt - 21600 AND a.bt + 21600 GROUP BY b.wallet) ORDER BY n_tokens DESC, wallet LIMIT 20", "valid", buys=T.BUYS), also=("top9_co_wallet_leaders_all",))
+@query("top9_co_wallet_leaders", oracle("SELECT wallet, n_tokens FROM (SELECT b.wallet, count(DISTINCT a.token) AS n_tokens FROM buys a JOIN buys b ON a.token = b.token AND b.wallet <> a.wallet AND b.bt BETWEEN a.bt - 21600 AND a.bt + 21600 GROUP BY b.wallet) ORDER BY n_tokens DESC, wallet LIMIT 20", "valid", buys=T.BUYS))
 def top9(t):
     buys = t.valid.where("flow_direction = 'in'")
     return co_wallet_leaders(buys, buys)
 
 
-@query("set1_seeds_and_neighbours", oracle("SELECT wallet FROM seeds UNION SELECT neighbour FROM both_ JOIN seeds USING (wallet)", "valid", "edges", both_=T.BOTH, seeds=T.SEEDS), also=("set1_seeds_and_neighbours_all",))
+@query("set1_seeds_and_neighbours", oracle("SELECT wallet FROM seeds UNION SELECT neighbour FROM both_ JOIN seeds USING (wallet)", "valid", "edges", both_=T.BOTH, seeds=T.SEEDS))
 def set1(t):
     return T.wallets(t).union(J.neighbours(t.edges, T.wallets(t)).select("neighbour")).distinct()
 

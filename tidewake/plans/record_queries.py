@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from tidewake.functions import scalar as S
 from tidewake.operators import aggregates as A
 from tidewake.operators import evidence as V
+from tidewake.operators import joins as J
 from tidewake.operators import machine as M
 from tidewake.operators import windows as W
 from tidewake.plans import scan_queries as X
 from tidewake.plans import trade_queries as T
 from tidewake.plans.registry import query
+from tidewake.sources import files, shared
 from tidewake.sources import ingest as I
 from tidewake.sources.canonical import oracle
 
@@ -130,21 +132,34 @@ def src21_run(t):
     return run
 
 
+#: The first 20 buyers of each token besides its creator, with the hops of the creator's funding and, of two hops, the wallet in between.
+FUNDED = """SELECT b.token, b.creator, b.wallet, coalesce(h.hops = 1, false) AS direct, coalesce(h.hops = 2, false) AS indirect, mid FROM (SELECT token, creator, wallet FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY first_buy, wallet) AS n FROM fb JOIN cr USING (token) WHERE wallet <> creator) WHERE n <= 20) b
+  LEFT JOIN (SELECT source, target, min(hops) AS hops, arg_min(mid, hops) AS mid FROM (SELECT src AS source, dst AS target, 1 AS hops, '' AS mid FROM tr WHERE dst <> src GROUP BY ALL
+    UNION ALL SELECT h.src, t.dst, 2, arg_min(h.dst, (t.bt, h.dst)) FROM (SELECT src, dst, min(bt) AS bt FROM tr WHERE dst <> src GROUP BY ALL) h JOIN tr t ON t.src = h.dst AND t.bt >= h.bt AND t.dst <> h.src GROUP BY h.src, t.dst) GROUP BY source, target) h ON h.source = b.creator AND h.target = b.wallet"""
+_FUNDED = {"cr": X.CREATORS, "fb": T.FB, "tr": T.TRANSFERS, "funded": FUNDED}
+
+
 def early_buyers(t):
-    """join20's rows: the first 20 buyers of each token besides its creator, with the funding flags."""
-    return X.join20(t)
+    """The first 20 buyers of each token besides its creator, with the funding flags and the wallets in between."""
+    return X.funded_rows(t)
 
 
-@query("agg20_repeated_wallets")
+@query("agg20_repeated_wallets", oracle("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY n_tokens DESC, wallet) AS rank FROM (SELECT creator, wallet, count(DISTINCT token) AS n_tokens, bool_or(direct) AS direct, bool_or(indirect) AS indirect FROM funded GROUP BY ALL) WHERE n_tokens > 1 OR direct OR indirect) WHERE rank <= 10", "valid", **_FUNDED))
 def agg20_repeated(t):
     return V.repeated_wallets(early_buyers(t))
 
 
-@query("agg20_funding_summary")
+@query("agg20_funding_summary", oracle("SELECT creator, count(*) AS n_tokens, count(*) FILTER (direct) AS n_direct, count(*) FILTER (indirect) AS n_indirect FROM (SELECT creator, token, bool_or(direct) AS direct, bool_or(indirect) AS indirect FROM funded GROUP BY ALL) GROUP BY creator", "valid", **_FUNDED))
 def agg20_funding(t):
     return V.funding_summary(early_buyers(t))
 
 
+@query("agg20_intermediaries", oracle("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY n DESC, wallet) AS rank FROM (SELECT creator, mid AS wallet, count(*) AS n, count(DISTINCT token) AS n_tokens FROM funded WHERE indirect GROUP BY ALL)) WHERE rank <= 10", "valid", **_FUNDED))
+def agg20_intermediaries(t):
+    """The wallets through which a creator funded early buyers, most frequent first."""
+    return V.intermediaries(early_buyers(t))
+
+
 @query("agg28_silence_lead")
 def agg28_lead(t):
     """Silence against the first exhaustion of each token in its life cycle."""
@@ -191,13 +206,87 @@ def st12_clusters(t):
     return V.alerts({"CLUSTER": W.coordination(t.flows), "INACTIVITY": quiet})
 
 
-@query("top8_report_orders", oracle("SELECT wallet, token, net, row_number() OVER (ORDER BY net DESC, wallet, token) AS by_net FROM pnl ORDER BY by_net LIMIT 100", "valid", pnl=T.PNL))
+def in_order(report, name: str, *order):
+    """TOP-8: a whole report, written in order and read back with the number of each row."""
+    path = shared.new_path(report.sparkSession, name)
+    files.write_ordered(report, list(order), path)
+    return files.read_ordered(report.sparkSession, path)
+
+
+@query("top8_report_orders", oracle("SELECT wallet, token, net, row_number() OVER (ORDER BY net DESC, wallet, token) AS row_no FROM pnl", "valid", pnl=T.PNL))
 def top8(t):
-    """TOP-8: the first 100 rows of the report of positions in its order, numbered."""
-    x = A.token_pnl(t.valid).orderBy(F.desc("net"), "wallet", "token").limit(100).select("wallet", "token", "net")
-    from pyspark.sql import Window
+    """Positions by net result."""
+    return in_order(A.token_pnl(t.valid).select("wallet", "token", "net"), "positions", F.desc("net"), F.asc("wallet"), F.asc("token"))
 
-    return x.withColumn("by_net", F.row_number().over(Window.orderBy(F.desc("net"), "wallet", "token")))  # 100 rows
+
+@query("top8_entry_order", oracle("SELECT wallet, token, delta, net, row_number() OVER (ORDER BY delta, net DESC, token, wallet) AS row_no FROM entry JOIN pnl USING (wallet, token)", "valid", entry=T.ENTRY, pnl=T.PNL))
+def top8_entries(t):
+    """Entries by their delay, then by net result."""
+    x = J.entry_delta(t.valid).select("wallet", "token", "delta").join(A.token_pnl(t.valid).select("wallet", "token", "net").hint("merge"), ["wallet", "token"])
+    return in_order(x, "entries", F.asc("delta"), F.desc("net"), F.asc("token"), F.asc("wallet"))
+
+
+@query("top8_lead_order", oracle(f"SELECT a, b, shared, lead_rate, median_delta, row_number() OVER (ORDER BY shared DESC, lead_rate DESC, median_delta, a, b) AS row_no FROM ({T.LEAD}) WHERE shared >= 20", "valid", fb=T.FB))
+def top8_leads(t):
+    """Pairs of wallets by shared tokens, lead and delay."""
+    x = J.pair_stats(J.first_buys(t.valid), least_shared=20).select("a", "b", "shared", "lead_rate", "median_delta")
+    return in_order(x, "leads", F.desc("shared"), F.desc("lead_rate"), F.asc("median_delta"), F.asc("a"), F.asc("b"))
+
+
+@query("src6_event_log", oracle("SELECT 'e' || event_id AS event_id, event_type, event_id // 10 AS slot, floor(epoch(ts))::BIGINT AS block_time, user_id::VARCHAR AS actor, 'a \"b\", c' AS second, round(value * 100)::BIGINT::VARCHAR AS amount FROM events"))
+def src6(t):
+    """The event log written as CSV with JSON columns and read back."""
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    x = t.raw("events").select(
+        F.concat(F.lit("e"), "event_id").alias("event_id"), "event_type", F.concat(F.lit("s"), "event_id").alias("signature"), F.floor(F.col("event_id") / 10).alias("slot"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("block_time"), text("program_id"), text("token_mint"), text("pool_id"),
+        F.array(F.col("user_id").cast("string"), F.lit('a "b", c')).alias("actors"), F.create_map(F.lit("z"), F.lit("1"), F.lit("amount"), F.round(F.col("value") * 100).cast("long").cast("string")).alias("amounts"), F.lit("rpc").alias("source"), F.lit("1").alias("version"),
+    )
+    path = shared.new_path(t.spark, "event-log")
+    files.write_events(x, path)
+    back = files.read_events(t.spark, path)
+    return back.select("event_id", "event_type", "slot", "block_time", F.col("actors")[0].alias("actor"), F.col("actors")[1].alias("second"), F.col("amounts")["amount"].alias("amount"))
+
+
+@query("src7_transition_log", oracle("SELECT 't' || seq AS transition_id, wallet AS entity_address, token AS token_mint, 'a b c' AS trigger, bt::VARCHAR AS block_time, signature FROM flows", "flows"))
+def src7(t):
+    """Transitions written as TSV, with tabs and line ends in a value, and read back."""
+    values = {"transition_id": F.concat(F.lit("t"), "seq"), "entity_type": F.lit("wallet"), "entity_address": F.col("wallet"), "token_mint": F.col("token"), "from_state": F.lit("QUIET"), "to_state": F.lit("IGNITION"), "trigger": F.lit("a\tb\nc"), "block_time": F.col("bt"), "signature": F.col("signature"), "version": F.lit("1")}
+    path = shared.new_path(t.spark, "transition-log")
+    files.write_tsv(t.flows.select(*[values[c].cast("string").alias(c) for c in files.TRANSITION_COLUMNS]), path)
+    return files.read_tsv(t.spark, path).select("transition_id", "entity_address", "token_mint", "trigger", "block_time", "signature")
+
+
+@query("src8_session_replay", oracle("SELECT kind, count(*) AS n, sum(CASE WHEN kind = 'malformed' THEN NULL ELSE bt END)::BIGINT AS times FROM (SELECT CASE WHEN seq % 17 = 0 THEN 'malformed' WHEN direction = 'buy' THEN 'FLOW' ELSE 'WALLET_SIGNAL' END AS kind, bt FROM flows WHERE seq % 19 <> 0 OR seq % 17 = 0) GROUP BY kind", "flows"))
+def src8(t):
+    """A session log of JSON lines with malformed and blank ones, written and replayed."""
+    line = F.to_json(F.struct(F.when(F.col("direction") == "buy", "FLOW").otherwise("WALLET_SIGNAL").alias("event_type"), F.col("bt").alias("timestamp"), "wallet", F.array(F.lit("TIMING")).alias("signals")))
+    path = shared.new_path(t.spark, "session-log")
+    t.flows.select(F.when(F.col("seq") % 17 == 0, F.concat(F.lit("{not json "), "seq")).when(F.col("seq") % 19 == 0, "  ").otherwise(line).alias("value")).write.text(path)
+    rows, bad = files.read_session(t.spark, path)
+    both = rows.select(F.col("event_type").alias("kind"), F.col("timestamp").alias("bt")).unionByName(bad.select(F.lit("malformed").alias("kind"), F.lit(None).cast("long").alias("bt")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.sum("bt").alias("times"))
+
+
+@query("src18_names", oracle("SELECT s_suppkey::VARCHAR AS address, s_name AS name FROM supplier WHERE s_suppkey % 7 <> 0"))
+def src18(t):
+    """Name maps, a JSON object for each nation's wallets with some names null or empty, written and read back."""
+    s = t.raw("supplier")
+    name = F.when(F.col("s_suppkey") % 14 == 0, F.lit("")).when(F.col("s_suppkey") % 7 != 0, F.col("s_name"))
+    entry = F.struct(F.col("s_suppkey").cast("string").alias("key"), name.alias("value"))
+    # a map of names is one file by its format; the wallets of a nation go to maps of about a hundred
+    part = F.concat_ws("-", "s_nationkey", F.floor(F.col("s_suppkey") / 2500).cast("string"))
+    maps = s.groupBy(part.alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry)), {"ignoreNullFields": "false"}).alias("value"))
+    path = shared.new_path(t.spark, "names")
+    maps.write.partitionBy("part").text(path)
+    return files.read_names(t.spark, path)
+
+
+@query("src22_report_tsv", oracle("SELECT wallet, token, net::VARCHAR AS net, n_buys::VARCHAR AS n_buys FROM pnl", "valid", pnl=T.PNL))
+def src22(t):
+    """A report written as TSV and read back as text."""
+    path = shared.new_path(t.spark, "report")
+    files.write_tsv(A.token_pnl(t.valid).select("wallet", "token", F.col("net").cast("string").alias("net"), F.col("n_buys").cast("string").alias("n_buys")), path)
+    return files.read_tsv(t.spark, path, ("wallet", "token", "net", "n_buys"))
 
 
 @query("src16_canonical_columns", oracle("SELECT signature, bt, token FROM trades", "trades"))

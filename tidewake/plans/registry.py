@@ -12,14 +12,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, also: tuple[str, ...] = ()):
-    """Register f(tables) -> DataFrame under name and the names in also; sql is its oracle."""
+def query(name: str, sql: str | None = None):
+    """Register f(tables) -> DataFrame under name; sql is its oracle."""
 
     def register(f: Callable[[Tables], DataFrame]):
-        for n in (name, *also):
-            QUERIES[n] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-            if sql is not None:
-                ORACLES[n] = sql
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = sql
         return f
 
     return register

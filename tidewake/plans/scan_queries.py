@@ -86,12 +86,16 @@ def join19(t):
 @query("join20_funded_buyers", oracle("""SELECT b.token, b.creator, b.wallet, coalesce(bool_or(h.hops = 1), false) AS direct, coalesce(min(h.hops) = 2, false) AS indirect FROM (SELECT token, creator, wallet FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY first_buy, wallet) AS n FROM fb JOIN cr USING (token) WHERE wallet <> creator) WHERE n <= 20) b LEFT JOIN (
     SELECT src AS source, dst AS target, 1 AS hops FROM tr WHERE dst <> src UNION SELECT h.src, t.dst, 2 FROM (SELECT src, dst, min(bt) AS bt FROM tr WHERE dst <> src GROUP BY ALL) h JOIN tr t ON t.src = h.dst AND t.bt >= h.bt AND t.dst <> h.src) h ON h.source = b.creator AND h.target = b.wallet GROUP BY ALL""", "valid", cr=CREATORS, fb=T.FB, tr=T.TRANSFERS))
 def join20(t):
+    return funded_rows(t).select("token", "creator", "wallet", "direct", "indirect")
+
+
+def funded_rows(t):
+    """The first 20 buyers of each token besides its creator, with funding flags and the wallets in between."""
     tr = t.valid.select(F.col("wallet").alias("src"), ((F.col("line") * 13 + F.col("seq")) % 100 + 1).cast("string").alias("dst"), "bt").distinct()
     cr = V.creators(t.valid)
     x = J.first_buys(t.valid).join(cr.hint("merge"), "token").where("wallet <> creator")
     buyers = R.top(x, ("token",), [F.asc("first_buy"), F.asc("wallet")], 20).select("token", "creator", "wallet")
-    paths = J.funding_paths(tr, cr.select(F.col("creator").alias("wallet")).distinct(), buyers.select("wallet"))
-    return V.funded_buyers(buyers, paths).select("token", "creator", "wallet", "direct", "indirect")
+    return V.funded_buyers(buyers, J.funding_routes(tr, cr.select(F.col("creator").alias("wallet")).distinct(), buyers.select("wallet")))
 
 
 @query("join22_first_buy_programs", oracle("SELECT d.wallet, d.token, d.s AS signature, t.seq % 4 = 0 AS via_router FROM (SELECT wallet, token, min(signature) AS s FROM (SELECT *, min(bt) OVER (PARTITION BY wallet, token) AS fb FROM valid WHERE flow_direction = 'in') WHERE bt = fb GROUP BY wallet, token) d JOIN (SELECT signature, min(seq) AS seq FROM valid GROUP BY signature) t ON t.signature = d.s", "valid"))
@@ -106,7 +110,7 @@ def join23(t):
     return V.retained_supply(T.balances(t), V.creators(t.valid)).select("token", "supply", "retained")
 
 
-@query("fn24_seed_verification", oracle("SELECT s.token, CASE WHEN count(t.token) > 0 THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status FROM (SELECT DISTINCT token FROM valid) s LEFT JOIN (SELECT * FROM tx WHERE seq % 9 = 0) t USING (token) GROUP BY s.token", "valid", tx=E.TX), also=("fn24_seed_verification_all",))
+@query("fn24_seed_verification", oracle("SELECT s.token, CASE WHEN count(t.token) > 0 THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status FROM (SELECT DISTINCT token FROM valid) s LEFT JOIN (SELECT * FROM tx WHERE seq % 9 = 0) t USING (token) GROUP BY s.token", "valid", tx=E.TX))
 def fn24(t):
     s = t.valid.select("token").distinct()
     return V.seed_verification(s, V.creation_evidence(E.transactions(t))).select("token", "status")

@@ -196,27 +196,41 @@ def wallets(t):
     return t.valid.select("wallet").distinct()
 
 
-@query("join11_token_overlap", oracle("""SELECT x.wallet AS a, y.wallet AS b, coalesce(s.shared, 0) AS shared, CASE WHEN least(coalesce(n1.n, 0), coalesce(n2.n, 0)) > 0 THEN coalesce(s.shared, 0) / least(n1.n, n2.n) ELSE 0 END AS overlap
-  FROM seeds x JOIN seeds y ON x.wallet <= y.wallet LEFT JOIN (SELECT a.wallet AS a, b.wallet AS b, count(*) AS shared FROM fb a JOIN fb b ON a.token = b.token AND a.wallet <= b.wallet GROUP BY ALL) s ON s.a = x.wallet AND s.b = y.wallet
-  LEFT JOIN (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) n1 ON n1.wallet = x.wallet LEFT JOIN (SELECT wallet, count(*) AS n FROM fb GROUP BY wallet) n2 ON n2.wallet = y.wallet""", "valid", fb=FB, seeds=SEEDS), also=("join11_token_overlap_all",))
+_OVERLAP = "SELECT a.wallet AS a, b.wallet AS b, count(*) AS shared, count(*) / least(any_value(n1.n), any_value(n2.n)) AS overlap FROM fb a JOIN fb b ON a.token = b.token AND a.wallet {} b.wallet JOIN n n1 ON n1.wallet = a.wallet JOIN n n2 ON n2.wallet = b.wallet GROUP BY ALL"
+_SIZES = "SELECT wallet, count(*) AS n FROM fb GROUP BY wallet"
+
+
+@query("join11_token_overlap", oracle(_OVERLAP.format("<="), "valid", fb=FB, n=_SIZES))
 def join11(t):
-    return J.token_overlap(J.first_buys(t.valid).select("wallet", "token"), wallets(t))
+    return J.token_overlap(J.first_buys(t.valid), wallets(t))
+
+
+@query("join11_overlap_join", oracle(f"SELECT * FROM ({_OVERLAP.format('<')}) WHERE overlap >= 0.85::DOUBLE", "valid", fb=FB, n=_SIZES))
+def join11_similar(t):
+    """All wallets whose shared tokens are 85 % or more of the smaller one's."""
+    return J.overlap_join(J.first_buys(t.valid), 0.85)
+
+
+@query("join10_lead_follow_least", oracle(f"SELECT * FROM ({LEAD}) WHERE shared >= 20", "valid", fb=FB))
+def join10_least(t):
+    """Lead and delay of every pair of wallets with at least 20 tokens in common."""
+    return J.pair_stats(J.first_buys(t.valid), least_shared=20)
 
 
 BOTH = "SELECT wallet_a AS wallet, wallet_b AS neighbour, weight FROM edges UNION ALL SELECT wallet_b, wallet_a, weight FROM edges WHERE wallet_a <> wallet_b"
 
 
-@query("join12_top_neighbours", oracle("SELECT wallet, neighbour, weight FROM (SELECT wallet, neighbour, sum(weight)::BIGINT AS weight, row_number() OVER (PARTITION BY wallet ORDER BY sum(weight) DESC, neighbour) AS n FROM both_ JOIN seeds USING (wallet) GROUP BY wallet, neighbour) WHERE n <= 5", "valid", "edges", both_=BOTH, seeds=SEEDS), also=("join12_top_neighbours_all",))
+@query("join12_top_neighbours", oracle("SELECT wallet, neighbour, weight FROM (SELECT wallet, neighbour, sum(weight)::BIGINT AS weight, row_number() OVER (PARTITION BY wallet ORDER BY sum(weight) DESC, neighbour) AS n FROM both_ JOIN seeds USING (wallet) GROUP BY wallet, neighbour) WHERE n <= 5", "valid", "edges", both_=BOTH, seeds=SEEDS))
 def join12(t):
     return J.neighbours(t.edges, wallets(t), 5)
 
 
-@query("join13_degrees", oracle("SELECT s.wallet, count(e.w) AS degree FROM seeds s LEFT JOIN (SELECT wallet_a AS w FROM edges UNION ALL SELECT wallet_b FROM edges) e ON e.w = s.wallet GROUP BY s.wallet", "valid", "edges", seeds=SEEDS), also=("join13_degrees_all",))
+@query("join13_degrees", oracle("SELECT s.wallet, count(e.w) AS degree FROM seeds s LEFT JOIN (SELECT wallet_a AS w FROM edges UNION ALL SELECT wallet_b FROM edges) e ON e.w = s.wallet GROUP BY s.wallet", "valid", "edges", seeds=SEEDS))
 def join13(t):
     return J.degrees(t.edges, wallets(t))
 
 
-@query("join14_shared_groups", oracle("SELECT s.wallet, count(DISTINCT b.wallet) AS n_shared FROM seeds s LEFT JOIN members a ON a.wallet = s.wallet LEFT JOIN (SELECT * FROM members WHERE wallet IN (SELECT wallet FROM seeds)) b ON a.group_id = b.group_id AND b.wallet <> a.wallet GROUP BY s.wallet", "valid", "members", seeds=SEEDS), also=("join14_shared_groups_all",))
+@query("join14_shared_groups", oracle("SELECT s.wallet, count(DISTINCT b.wallet) AS n_shared FROM seeds s LEFT JOIN members a ON a.wallet = s.wallet LEFT JOIN (SELECT * FROM members WHERE wallet IN (SELECT wallet FROM seeds)) b ON a.group_id = b.group_id AND b.wallet <> a.wallet GROUP BY s.wallet", "valid", "members", seeds=SEEDS))
 def join14(t):
     return J.shared_groups(t.members, wallets(t))
 
@@ -231,7 +245,7 @@ ANCHORS = "SELECT wallet AS anchor, token, bt AS at FROM buys"
 BUYS = "SELECT * FROM valid WHERE flow_direction = 'in'"
 
 
-@query("join7_co_wallets", oracle("SELECT anchor, wallet, count(DISTINCT a.token) AS n_tokens, count(*) AS n_pairs FROM anchors a JOIN buys b ON a.token = b.token AND b.bt BETWEEN a.at - 21600 AND a.at + 21600 AND b.wallet <> a.anchor GROUP BY anchor, wallet", "valid", buys=BUYS, anchors=ANCHORS), also=("join7_co_wallets_all",))
+@query("join7_co_wallets", oracle("SELECT anchor, wallet, count(DISTINCT a.token) AS n_tokens, count(*) AS n_pairs FROM anchors a JOIN buys b ON a.token = b.token AND b.bt BETWEEN a.at - 21600 AND a.at + 21600 AND b.wallet <> a.anchor GROUP BY anchor, wallet", "valid", buys=BUYS, anchors=ANCHORS))
 def join7(t):
     buys = t.valid.where("flow_direction = 'in'")
     return J.co_wallets(buys, buys, 21_600)
@@ -261,7 +275,7 @@ def transfers(trades):
 @query("join18_funding_paths", oracle("""SELECT source, w AS target, min(hops)::INT AS hops, arg_min(since, hops) AS arrival FROM (
     SELECT src AS source, dst AS w, 1 AS hops, min(bt) AS since FROM tr WHERE dst <> src GROUP BY ALL UNION ALL
     SELECT h.source, t.dst, 2, min(t.bt) FROM (SELECT src AS source, dst AS w, min(bt) AS since FROM tr WHERE dst <> src GROUP BY ALL) h JOIN tr t ON t.src = h.w AND t.bt >= h.since AND t.dst <> h.source GROUP BY h.source, t.dst)
-  GROUP BY source, w""", "valid", tr=TRANSFERS), also=("join18_funding_paths_all",))
+  GROUP BY source, w""", "valid", tr=TRANSFERS))
 def join18(t):
     tr = transfers(t.valid)
     return J.funding_paths(tr, tr.select(F.col("src").alias("wallet")).distinct(), tr.select(F.col("dst").alias("wallet")))
@@ -368,6 +382,14 @@ def agg27(t):
     return A.slot_timing(J.entry_delta(t.valid).withColumn("delta", F.floor(F.col("delta") / 86_400)))
 
 
+@query("agg27_tipped_share", oracle("SELECT n, within_2, CASE WHEN n % 2 = 1 THEN o[n // 2 + 1] ELSE floor((o[n // 2] + o[n // 2 + 1]) / 2)::BIGINT END AS median, tipped_share FROM (SELECT count(*) AS n, round(count(*) FILTER (d <= 2) / count(*), 6) AS within_2, list_sort(list(d)) AS o, round(count(*) FILTER (tipped) / count(*), 6) AS tipped_share FROM (SELECT delta // 86400 AS d, EXISTS (SELECT 1 FROM valid v WHERE v.wallet = e.wallet AND v.token = e.token AND v.bt = e.first_buy AND v.dex = 'orca') AS tipped FROM entry e))", "valid", entry=ENTRY))
+def agg27_tipped(t):
+    """Slot timing of all entries with the share of those whose first buy came with a tip, here: by way of one exchange."""
+    tips = t.valid.where("dex = 'orca'").select("wallet", "token", F.col("bt").alias("first_buy"), F.lit(True).alias("_tip")).distinct()
+    x = J.entry_delta(t.valid).withColumn("delta", F.floor(F.col("delta") / 86_400)).join(tips.hint("merge"), ["wallet", "token", "first_buy"], "left")
+    return A.slot_timing(x.withColumn("tipped", F.col("_tip").isNotNull()), tipped="tipped")
+
+
 @query("agg27_delta_histogram", oracle("SELECT b.up_to, count(d.d) AS n FROM (SELECT unnest([0, 1, 2, 5, 10, 50, NULL]) AS up_to) b LEFT JOIN (SELECT delta // 86400 AS d FROM entry) d ON b.up_to IS NOT DISTINCT FROM CASE WHEN d <= 0 THEN 0 WHEN d <= 1 THEN 1 WHEN d <= 2 THEN 2 WHEN d <= 5 THEN 5 WHEN d <= 10 THEN 10 WHEN d <= 50 THEN 50 END AND d.d IS NOT NULL GROUP BY b.up_to", "valid", entry=ENTRY))
 def agg27_histogram(t):
     return A.delta_histogram(J.entry_delta(t.valid).withColumn("delta", F.floor(F.col("delta") / 86_400)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.scalar import clean_text
@@ -37,6 +37,23 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] = TRANSITI
     return spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).option("sep", "\t").csv(path)
 
 
+def write_ordered(df: DataFrame, order: list[Column], path: str, partitions: int | None = None) -> None:
+    """TOP-8, SRC-22: a whole report in order: sorted range partitions, with _part and _at, the number of a row in its partition. No task sees more than its range."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    x.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")).write.parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, number: str = "row_no") -> DataFrame:
+    """The rows of write_ordered() with their number in the whole report, from 1: rows of the partitions before and the place in their own."""
+    x = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each partition, whose number the writer sets
+    parts = x.groupBy("_part").agg(F.count("*").alias("_c")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    x = x.join(F.broadcast(parts), F.col("_part") == F.col("_p"))
+    return x.withColumn(number, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_p", "_before")
+
+
 SESSION_SCHEMA = "event_type string, timestamp long, wallet string, token_ca string, signals array<string>, from_state string, to_state string, trigger string, details string"
 
 

@@ -347,17 +347,21 @@ def mint_security(accounts: DataFrame) -> DataFrame:
     from tidewake.functions.scalar import base58
 
     key = lambda flag, at: base58(F.when((F.length("data") >= 82) & (F.col(flag)), F.substring("data", at, 32)))
-    x = mint_account(accounts).join(accounts.select("mint", "data", "owner").hint("merge"), "mint")
+    x = accounts.select("*", *[c.alias(n) for n, c in _account_fields().items()])  # repeated mints keep their rows
     program = F.when(F.col("owner").isin(*TOKEN_2022), F.concat("owner", F.lit(":token-2022"))).otherwise(F.col("owner"))
     return x.select("mint", program.alias("token_program"), key("has_mint_authority", 5).alias("mint_authority"), key("has_freeze_authority", 51).alias("freeze_authority"), "decimals", "supply_raw")
 
 
 def mint_account(accounts: DataFrame) -> DataFrame:
     """SRC-25: authority flags, supply and decimals out of the binary data of a mint account (82 bytes, little-endian)."""
+    return accounts.select("mint", *[c.alias(n) for n, c in _account_fields().items()])
+
+
+def _account_fields() -> dict[str, Column]:
     byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), k + 1, 1)), 16, 10).cast("long")
     supply = sum((byte(36 + k).cast("decimal(38,0)") * F.lit(256**k).cast("decimal(38,0)") for k in range(1, 8)), byte(36).cast("decimal(38,0)"))
     ok = F.length("data") >= 82
-    return accounts.select("mint", F.when(ok, byte(0) == 1).alias("has_mint_authority"), F.when(ok, supply.cast("decimal(20,0)")).alias("supply_raw"), F.when(ok, byte(44)).alias("decimals"), F.when(ok, byte(46) == 1).alias("has_freeze_authority"))
+    return {"has_mint_authority": F.when(ok, byte(0) == 1), "supply_raw": F.when(ok, supply.cast("decimal(20,0)")), "decimals": F.when(ok, byte(44)), "has_freeze_authority": F.when(ok, byte(46) == 1)}
 
 
 def side_class(n_in: Column, n_out: Column, sol_delta: Column) -> Column:
