@@ -42,20 +42,24 @@ def test_set_similarity_joins(spark, monkeypatch, seed):
     sets = some_sets(random.Random(seed))
     x, want = frame(spark, sets), naive_pairs(sets)
     for least in (1, 2, 4, 9, 50):
-        got = {(r.a, r.b): r.shared for r in J.sharing_pairs(x, least).collect()}
-        assert got == {p: n for p, (n, _) in want.items() if n >= least}, least
+        for prefix in (True, False) if least > 1 else (None,):
+            got = {(r.a, r.b): r.shared for r in J.sharing_pairs(x, least, prefix=prefix).collect()}
+            assert got == {p: n for p, (n, _) in want.items() if n >= least}, (least, prefix)
     for share in (0.3, 0.5, 0.8, 1.0):
-        rows = J.overlap_join(x, share).collect()
-        assert len(rows) == len({(r.a, r.b) for r in rows})
-        assert {(r.a, r.b): (r.shared, round(r.overlap, 9)) for r in rows} == {p: (n, round(n / m, 9)) for p, (n, m) in want.items() if n and n / m >= share}, share
+        for prefix in (True, False):
+            rows = J.overlap_join(x, share, prefix=prefix).collect()
+            assert len(rows) == len({(r.a, r.b) for r in rows})
+            assert {(r.a, r.b): (r.shared, round(r.overlap, 9)) for r in rows} == {p: (n, round(n / m, 9)) for p, (n, m) in want.items() if n and n / m >= share}, share
     overlap = {(r.a, r.b): (r.shared, r.overlap) for r in J.token_overlap(x, x.select("wallet").distinct()).collect()}
     assert {p: v for p, v in overlap.items() if p[0] != p[1]} == {p: (n, n / m) for p, (n, m) in want.items() if n} and sum(a == b for a, b in overlap) == 60
 
 
-def test_delays_only_of_pairs_that_share_enough(spark):
+@pytest.mark.parametrize("pays", [True, False])
+def test_delays_only_of_pairs_that_share_enough(spark, monkeypatch, pays):
     sets = some_sets(random.Random(7))
     x, want = frame(spark, sets), naive_pairs(sets)
     whole = {(r.a, r.b): tuple(r) for r in J.pair_stats(x).collect()}
+    monkeypatch.setattr(J, "prefix_pays", lambda *x: pays)
     some = {(r.a, r.b): tuple(r) for r in J.pair_stats(x, least_shared=5).collect()}
     assert set(whole) == {p for p, (n, _) in want.items() if n} and some == {p: v for p, v in whole.items() if v[2] >= 5} and some
     assert J.pair_stats(x.limit(0), least_shared=5).count() == 0 and J.overlap_join(x.limit(0)).count() == 0
@@ -67,6 +71,7 @@ def test_prefixes_leave_out_the_common_item(spark):
     rows = spark.range(n * 4).select((F.col("id") % n).cast("string").alias("wallet"), F.when(F.col("id") < n, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 2).cast("string"))).alias("token"))
     ranked = J._ranked(rows, "wallet", "token").where(F.col("_row") < F.col("_n") - 1)
     assert ranked.where("token = 'hot'").count() == 0 and ranked.count() == 3 * n
+    assert J.prefix_pays(rows, 2) and not J.prefix_pays(spark.range(400).select((F.col("id") % 20).alias("wallet"), F.floor(F.col("id") / 20).alias("token")), 2)
     assert [tuple(r) for r in J.sharing_pairs(rows, 2).groupBy("shared").count().collect()] == [(4, n // 2)] and J.sharing_pairs(rows, 5).count() == 0
 
 

@@ -135,36 +135,64 @@ def _shared(candidates: DataFrame, sets: DataFrame, key: str, item: str) -> Data
     return candidates.join(own.hint("merge"), "a").join(other.hint("merge"), ["b", item])
 
 
-def sharing_pairs(sets: DataFrame, least: int, key: str = "wallet", item: str = "token") -> DataFrame:
+#: A prefix is looked up where its pairs are at most this share of all pairs with an item in common; else counting all of them is less work.
+PAYS = 0.25
+
+
+def _pairs_formed(left: DataFrame, right: DataFrame, item: str) -> float:
+    """How many pairs of rows of equal items there are."""
+    count = lambda df, name: df.groupBy(F.col(item).alias("_i")).agg(F.count("*").cast("double").alias(name))
+    return count(left, "_x").join(count(right, "_y").hint("merge"), "_i").agg(F.sum(F.col("_x") * F.col("_y"))).first()[0] or 0.0
+
+
+def _long_prefix(ranked: DataFrame, least: int) -> DataFrame:
+    """Of _ranked() rows, those without which no least items can be shared."""
+    return ranked.where(F.col("_n") >= least).where(F.col("_row") < F.col("_n") - (least - 1))
+
+
+def prefix_pays(sets: DataFrame, least: int, key: str = "wallet", item: str = "token") -> bool:
+    """Whether most of the pairs that share an item need not be formed to find those that share least items."""
+    some = _long_prefix(_ranked(sets.select(key, item), key, item), least)
+    return least > 1 and _pairs_formed(some, some, item) <= PAYS * _pairs_formed(sets, sets, item)
+
+
+def sharing_pairs(sets: DataFrame, least: int, key: str = "wallet", item: str = "token", prefix: bool | None = None) -> DataFrame:
     """(a, b, shared), a < b: pairs of keys that share at least so many items of distinct sets (key, item).
 
     Two sets that share so many items share one beside the least - 1 most frequent items of each, so only pairs that meet in
-    such a prefix are counted; keys with fewer items are left out first. A frequent item's holders meet in blocks.
+    such a prefix are counted; keys with fewer items are left out first. A frequent item's holders meet in blocks. prefix: whether to go
+    that way; if not given, the pairs that it forms decide (prefix_pays). The result is the same.
     """
     sets = sets.select(key, item)
-    x = sets if least <= 1 else _ranked(sets, key, item).where(F.col("_n") >= least).where(F.col("_row") < F.col("_n") - (least - 1)).select(key, item, "_n")
-    n = F.lit(0) if least <= 1 else F.col("_n")
-    a, b = x.select(F.col(key).alias("a"), item, n.alias("na")), x.select(F.col(key).alias("b"), item, n.alias("nb"))
-    met = dealt_join(a, b, item).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    if least <= 1:
-        return met.select("a", "b", "shared")
+    if not (prefix_pays(sets, least, key, item) if prefix is None else prefix and least > 1):
+        a, b = sets.withColumnRenamed(key, "a"), sets.withColumnRenamed(key, "b")
+        return dealt_join(a, b, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    x = _long_prefix(_ranked(sets, key, item), least)
+    a, b = x.select(F.col(key).alias("a"), item, F.col("_n").alias("na")), x.select(F.col(key).alias("b"), item, F.col("_n").alias("nb"))
+    met = dealt_join(a, b, item).where("a < b").select("a", "b", "na", "nb").distinct()
     # the smaller set of a pair is looked up in the larger one
     turned = met.select(F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("b"))
     counts = _shared(turned, sets, key, item).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     return counts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
 
 
-def overlap_join(sets: DataFrame, least: float = 0.5, key: str = "wallet", item: str = "token") -> DataFrame:
+def overlap_join(sets: DataFrame, least: float = 0.5, key: str = "wallet", item: str = "token", prefix: bool | None = None) -> DataFrame:
     """JOIN-11 as a set-similarity join: pairs a < b whose shared items are at least that share of the smaller set, with shared and overlap.
 
     Of the smaller set only a prefix is looked up, rarest items first: without one of its n - ceil(least n) + 1 rarest items a
-    pair cannot reach the bound. Candidates are counted exactly. Pairs that share nothing are no rows.
+    pair cannot reach the bound. Candidates are counted exactly. Pairs that share nothing are no rows. prefix as in sharing_pairs().
     """
     sets = sets.select(key, item)
     ranked = _ranked(sets, key, item)
-    prefix = ranked.where(F.col("_row") < F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9) + 1).select(F.col(key).alias("a"), item, F.col("_n").alias("na"))
-    whole = ranked.select(F.col(key).alias("b"), item, F.col("_n").alias("nb"))
-    met = dealt_join(prefix, whole, item).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).select("a", "b", "na").distinct()
+    rare = ranked.where(F.col("_row") < F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9) + 1)
+    if not (_pairs_formed(rare, sets, item) <= PAYS * _pairs_formed(sets, sets, item) if prefix is None else prefix):
+        sizes = sets.groupBy(F.col(key).alias("_s")).agg(F.count("*").alias("_m"))
+        x = sharing_pairs(sets, 1, key, item)
+        for end in ("a", "b"):
+            x = x.join(sizes.withColumnRenamed("_m", f"n{end}").hint("merge"), F.col(end) == F.col("_s")).drop("_s")
+        return x.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("overlap")).where(F.col("overlap") >= least)
+    rare, whole = rare.select(F.col(key).alias("a"), item, F.col("_n").alias("na")), ranked.select(F.col(key).alias("b"), item, F.col("_n").alias("nb"))
+    met = dealt_join(rare, whole, item).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).select("a", "b", "na").distinct()
     x = _shared(met, sets, key, item).groupBy("a", "b", "na").agg(F.count("*").alias("shared")).withColumn("overlap", F.col("shared") / F.col("na")).where(F.col("overlap") >= least)
     return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "overlap")
 
@@ -174,21 +202,22 @@ def pair_stats(firsts: DataFrame, wallets: DataFrame | None = None, least_shared
 
     wallets: the wallets to compare with each other, a list of bounded size; all others are left out before the join. With a
     least_shared above 1 the tokens that pairs share are counted first (sharing_pairs), and delays are gathered only for the
-    pairs that reach it; with 1 every pair that shares a token is wanted.
+    pairs that reach it; with 1, or where wallets share so many tokens that nearly all pairs must be formed, all are.
     """
     firsts = firsts.select("wallet", "token", "first_buy")
     if wallets is not None:
         firsts = firsts.join(wallets.select("wallet").distinct().hint("broadcast"), "wallet", "left_semi")
     a = firsts.select("token", F.col("wallet").alias("a"), F.col("first_buy").alias("ta"))
     b = firsts.select("token", F.col("wallet").alias("b"), F.col("first_buy").alias("tb"))
-    if least_shared > 1:
-        pairs = sharing_pairs(firsts, least_shared).select("a", "b")
+    if prefix_pays(firsts, least_shared):
+        pairs = sharing_pairs(firsts, least_shared, prefix=True).select("a", "b")
         x = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), ["b", "token"])
     else:
         x = dealt_join(a, b, "token").where("a < b")
     x = x.withColumn("delta", F.col("tb") - F.col("ta"))
     p90 = F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY delta)")
-    return x.groupBy("a", "b").agg(F.count("*").alias("shared"), (F.count_if(F.col("delta") > 0) / F.count("*")).alias("lead_rate"), F.median("delta").alias("median_delta"), p90.alias("p90_delta"))
+    x = x.groupBy("a", "b").agg(F.count("*").alias("shared"), (F.count_if(F.col("delta") > 0) / F.count("*")).alias("lead_rate"), F.median("delta").alias("median_delta"), p90.alias("p90_delta"))
+    return x.where(F.col("shared") >= least_shared)
 
 
 def token_overlap(pairs: DataFrame, wallets: DataFrame) -> DataFrame:
