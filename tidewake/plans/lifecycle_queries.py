@@ -99,9 +99,40 @@ def trade_scores(t, step: int | None = None):
     return R.signals(R.scores(x))
 
 
-@query("fn11_side_scores")
+_SPAN = """SELECT token, t0, seconds, ceil((t1 - t0) / seconds)::BIGINT + 1 AS n_steps FROM (SELECT token, min(bt) AS t0, max(bt) AS t1,
+  CASE WHEN count(*) >= 3 AND min(bt - prev) FILTER (bt > prev) <= 20 THEN 20 ELSE 60 END AS seconds FROM (SELECT *, lag(bt) OVER (PARTITION BY token ORDER BY bt, seq, line) AS prev FROM valid) GROUP BY token)"""
+_SCORE_VIEWS = {
+    "widths": _SPAN,
+    "s": _TOKEN_STEPS,
+    "mads": """SELECT token, step, coalesce(avg(abs(pause - mp)), 0) AS pause_mad, avg(abs(lamports - ml)) / 1e9 AS size_mad FROM (SELECT *, avg(pause) OVER (PARTITION BY token, step) AS mp, avg(lamports) OVER (PARTITION BY token, step) AS ml
+      FROM (SELECT *, bt - lag(bt) OVER (PARTITION BY token, step ORDER BY bt, seq, line) AS pause FROM s)) GROUP BY token, step""",
+    "busy": "SELECT token, step, sum(c) FILTER (r <= 10) / sum(c) AS density FROM (SELECT token, step, count(*) AS c, row_number() OVER (PARTITION BY token, step ORDER BY count(*) DESC, wallet) AS r FROM s GROUP BY token, step, wallet) GROUP BY token, step",
+    "f": """SELECT *, count(*) FILTER ((step - prev - 1) * seconds >= 600) OVER (PARTITION BY token ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back FROM (SELECT *, lag(step) OVER (PARTITION BY token ORDER BY step) AS prev FROM (SELECT token, step, any_value(seconds) AS seconds, count(*) AS n,
+      sum(CASE WHEN o THEN 0 ELSE lamports END) / 1e9 AS inflow, sum(CASE WHEN o THEN lamports ELSE 0 END) / 1e9 AS outflow, count(DISTINCT wallet) FILTER (early AND new) AS early_entries, count(*) FILTER (early AND o) AS early_exits, count(DISTINCT wallet) FILTER (new) AS new_wallets,
+      sum(CASE WHEN top AND o THEN lamports ELSE 0 END) / 1e9 AS top_outflow FROM s GROUP BY token, step) JOIN mads USING (token, step) JOIN busy USING (token, step))""",
+    "pool": """SELECT e.token, (bt - t0) // seconds AS step, bt, seq, action, amount / 1e4 AS amount, threshold FROM liquidity_events e JOIN widths w ON w.token = e.token
+      JOIN (SELECT token, o[floor(0.2::DOUBLE * (len(o) - 1))::BIGINT + 1] AS threshold FROM (SELECT token, list_sort(list(amount / 1e4)) AS o FROM liquidity_events GROUP BY token)) h ON h.token = e.token WHERE bt >= t0 AND (bt - t0) // seconds < n_steps""",
+    "l": """SELECT token, step, count(*) FILTER (action = 'remove') AS removals, max((amount <= threshold)::INT) AS thin, arg_max(CASE WHEN len(w) < 2 THEN 0 ELSE list_avg(list_transform(w, lambda v: abs(v - list_avg(w)))) END, (bt, seq)) AS mad
+      FROM (SELECT *, list(amount) OVER (PARTITION BY token ORDER BY bt, seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS w FROM pool) GROUP BY token, step""",
+    "held": """SELECT token, wallet, epoch(make_date(y + 1, 1, 1))::BIGINT AS bt, sum(u) OVER (PARTITION BY token, wallet ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance
+      FROM (SELECT token, wallet, year(make_timestamp(bt * 1000000)) AS y, sum(CASE WHEN flow_direction = 'in' THEN units ELSE -units END) AS u FROM valid GROUP BY ALL)""",
+    "gini": "SELECT token, bt, CASE WHEN sum(balance) > 0 THEN 2 * sum(i * balance) / (count(*) * sum(balance)) - (count(*) + 1) / count(*) ELSE 0 END AS g FROM (SELECT *, row_number() OVER (PARTITION BY token, bt ORDER BY balance, wallet) AS i FROM held WHERE balance >= 0) GROUP BY token, bt",
+    "jumps": "SELECT DISTINCT g.token, (bt - t0) // seconds AS step, 1 AS spike FROM (SELECT *, coalesce(lag(g) OVER (PARTITION BY token ORDER BY bt), 0) AS last FROM gini) g JOIN widths w ON w.token = g.token WHERE g - last > 0.08::DOUBLE AND bt >= t0 AND (bt - t0) // seconds < n_steps",
+    "y": """SELECT token, step, coalesce(n, 0) AS n, coalesce(inflow, 0) AS inflow, coalesce(outflow, 0) AS outflow, coalesce(early_entries, 0) AS early_entries, coalesce(early_exits, 0) AS early_exits, coalesce(new_wallets, 0) AS new_wallets, coalesce(top_outflow, 0) AS top_outflow,
+      1 / (1 + coalesce(pause_mad, 0)) AS timing, 1 / (1 + coalesce(size_mad, 0)) AS same, coalesce(density, 0) AS density, coalesce(removals, 0) AS removals, coalesce(thin, 0) AS thin, coalesce(spike, 0) AS spike,
+      coalesce(last_value(mad IGNORE NULLS) OVER u, 0) AS vol, coalesce(last_value(back IGNORE NULLS) OVER u, 0) AS back FROM f FULL JOIN l USING (token, step) FULL JOIN jumps USING (token, step) WINDOW u AS (PARTITION BY token ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "z": """SELECT y.*, (mint_authority IS NOT NULL)::INT + (freeze_authority IS NOT NULL)::INT + coalesce(is_mutable, false)::INT AS authorities, mint_authority IS NOT NULL OR freeze_authority IS NOT NULL AS mintable,
+      1.4::DOUBLE * inflow + 1.1::DOUBLE * early_entries + new_wallets + 0.8::DOUBLE / (1 + vol) AS p, 1.4::DOUBLE * outflow + 1.1::DOUBLE * early_exits + top_outflow + 0.9::DOUBLE * vol + 0.8::DOUBLE * spike AS m FROM y JOIN widths USING (token) LEFT JOIN mint_metadata USING (token)""",
+}
+
+
+@query("fn11_side_scores", oracle("""SELECT token, step, n, removals, thin, spike, authorities, round(vol + 3e-8::DOUBLE, 6) AS liquidity_mad, round(p + 3e-8::DOUBLE, 6) AS p_plus, round(m + 3e-8::DOUBLE, 6) AS p_minus,
+  round((1.1::DOUBLE * timing + same + 1.1::DOUBLE * density + 0.9::DOUBLE * removals + 1.2::DOUBLE * thin + authorities + 0.8::DOUBLE * spike) / (1 + abs(p - m) / (1 + n)) + 3e-8::DOUBLE, 6) AS risk,
+  CASE WHEN p <= 0 AND m <= 0 THEN 'NEUTRAL' WHEN p > m * 1.12::DOUBLE THEN 'PUMP' WHEN m > p * 1.12::DOUBLE THEN 'DUMP' ELSE 'NEUTRAL' END AS dominant,
+  removals > 0 AND outflow > inflow AS vampire, mintable AND spike > 0 AS time_bomb, timing > 0.7::DOUBLE AND same > 0.7::DOUBLE AND density > 0.75::DOUBLE AS bot_farm, back > 0 AND inflow > outflow AS phoenix FROM z""", "valid", "liquidity_events", "mint_metadata", **_SCORE_VIEWS))
 def fn11_sides(t):
-    return trade_scores(t).select("token", "step", "n", "removals", "thin", "spike", "authorities", *[F.round(c, 6).alias(c) for c in ("liquidity_mad", "p_plus", "p_minus", "risk")], "dominant", "vampire", "time_bomb", "bot_farm", "phoenix")
+    """Scores and signals at the bounds of the rules; halves of the last place go up in both engines."""
+    return trade_scores(t).select("token", "step", "n", "removals", "thin", "spike", "authorities", *[F.round(F.col(c) + 3e-8, 6).alias(c) for c in ("liquidity_mad", "p_plus", "p_minus", "risk")], "dominant", "vampire", "time_bomb", "bot_farm", "phoenix")
 
 
 @query("st14_archetype_changes")
