@@ -180,15 +180,15 @@ CONTROLS, SPACES = re.compile("[\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
 
 
 class Remembered(dict):
-    """A dict that computes a missing value from its key; keys up to LONG_CHUNK characters are kept, REMEMBERED at most."""
+    """A dict that computes a missing value from its key; keys up to LONG_CHUNK characters are kept, most at most."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = REMEMBERED):
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= LONG_CHUNK:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
@@ -198,8 +198,8 @@ class Encoder:
     """Whole texts to ids with a tokenizers file.
 
     If the file's tokenizer parts tokens at white space, a text is cut there. Texts and chunks of printable ASCII and
-    Latin-1 are their own normal form but for letter case, so they are lower-cased, cut by the file's pattern, and each
-    new piece goes straight to the library's BPE model; all other chunks, those that hold the name of an added token, and
+    Latin-1 are their own normal form but for letter case, so they are lower-cased, cut at white space and, where a chunk is
+    new, by the file's pattern, and each new piece goes straight to the library's BPE model; all other chunks, those that hold the name of an added token, and
     the whole texts of other tokenizers go through the whole library. names_as_text: such names are ordinary text.
     """
 
@@ -214,7 +214,7 @@ class Encoder:
         if self.parted:
             self.cut = re.compile(LATIN_PIECES).findall
             self.model = self.own.model
-            self.of_chunk, self.of_piece = Remembered(self._chunk), Remembered(self._piece)
+            self.of_chunk, self.of_low, self.of_piece = Remembered(self._chunk, REMEMBERED // 4), Remembered(self._low), Remembered(self._piece, REMEMBERED // 4)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -228,7 +228,10 @@ class Encoder:
         if SIMPLE.fullmatch(text) is None:
             return None
         low = text.lower()
-        return None if any(x in low for x in self.names) else b"".join(map(self.of_piece.__getitem__, self.cut(low)))
+        return None if any(x in low for x in self.names) else b"".join(map(self.of_low.__getitem__, low.split()))
+
+    def _low(self, chunk: str) -> bytes:
+        return b"".join(map(self.of_piece.__getitem__, self.cut(chunk)))
 
     def _chunk(self, chunk: str) -> bytes:
         ids = self._simple(chunk)
