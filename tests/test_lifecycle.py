@@ -82,3 +82,23 @@ def test_labels_of_wallets(spark):
     y = spark.createDataFrame([(0.9, 4.0, 0.5, 2), (0.9, 4.0, 0.5, 0), (0.75, 9.0, 0.5, 5), (0.9, 40.0, 0.5, 0), (0.1, 40.0, 0.5, 0)], "lead_power double, lead_delay double, overlap_power double, n_shared long")
     y = y.withColumn("suspicion", N.suspicion())
     assert [(r.suspicion, r.x) for r in y.withColumn("x", N.replicable()).collect()] == [("high", "no"), ("high", "partial"), ("high", "partial"), ("medium", "yes"), ("low", "yes")]
+
+
+def test_full_verdicts_by_hand(spark):
+    x = flows(spark, demo_rows(5, 400)).withColumn("token", F.lit("a")).unionByName(flows(spark, demo_rows(6, 40)).withColumn("token", F.lit("b")))
+    moves = [("a", 100, 1, "IGNITION", 1), ("a", 900, 2, "PRESSURE_PEAKING", 7), ("b", 100, 1, "PRESSURE_PEAKING", 5), ("b", 300, 2, "EXHAUSTION_DETECTED", 4)]
+    changes = spark.createDataFrame(moves, "token string, bt long, seq long, to_state string, n long")
+    cohorts = spark.createDataFrame([("a", 0, 10), ("a", 1, 2), ("a", 2, 2)], "token string, wave long, n long")
+    got = {r.token: r for r in V.full_verdicts(x, changes, cohorts).collect()}
+    plain = {r.token: r for r in V.verdict_record(x).collect()}
+    assert set(got) == {"a", "b"} and all((got[t].capital, got[t].silent_share, got[t].exhaustion) == (plain[t].capital, plain[t].silent_share, plain[t].exhaustion) for t in got)
+    # the last wave equals the one before, after a fall from 10 to 2; the peak of pressure of a stands, that of b is over
+    assert (got["a"].trend, got["a"].cliff, got["a"].ghost, got["a"].peak, got["a"].entry, got["a"].entry_buyers) == ("STABLE", False, False, 10, True, 7)
+    assert (got["b"].trend, got["b"].cliff, got["b"].ghost, got["b"].entry, got["b"].entry_buyers) == ("INSUFFICIENT_DATA", False, False, False, None)
+    rows = [(r.wallet, r.bt, r.direction, r.lamports) for r in x.where("token = 'a'").collect()]
+    end, last = max(r[1] for r in rows), {}
+    for w, bt, _, _ in rows:
+        last[w] = max(last.get(w, 0), bt)
+    assert got["a"].silent_share == pytest.approx(sum(end - t > 120 for t in last.values()) / len(last))
+    net = sum(v if d == "buy" else -v for _, _, d, v in rows)
+    assert got["a"].capital == (1 if net > 0 else -1) * (2 if abs(net) / sum(r[3] for r in rows) >= 0.15 else 1)

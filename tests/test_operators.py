@@ -206,3 +206,16 @@ def test_order_of_input_does_not_matter(spark):
     x = flows(spark, rows)
     key = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert key(M.transitions(x)) == key(M.transitions(x.orderBy(F.rand(3))))
+
+
+def test_value_at_an_index(spark):
+    from tidewake.operators import aggregates as A
+
+    rng = random.Random(8)
+    groups = {"hot": [rng.expovariate(1) ** 6 for _ in range(3000)], "ties": [rng.choice([1.0, 1.0, 2.0]) for _ in range(50)], "one": [7.0], None: [rng.random() for _ in range(40)], "odd": [float("inf"), float("-inf"), 1.0, 2.0, float("nan")]}
+    x = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("hot", None), ("none", None)], "k string, v double")
+    for share in (0.0, 0.2, 0.5, 1.0):
+        got = {r.k: r._at for r in A.at_index(x, ("k",), "v", lambda n: F.floor(F.lit(share) * n)).collect()}
+        order = lambda v: (v != v, v)  # noqa: E731  NaN last
+        want = {k: sorted(vs, key=order)[min(int(share * len(vs)), len(vs) - 1)] for k, vs in groups.items()}
+        assert set(got) == set(want) and all(got[k] == want[k] or got[k] != got[k] and want[k] != want[k] for k in want), share

@@ -58,12 +58,29 @@ def wallet_summary(pnl: DataFrame) -> DataFrame:
     )
 
 
+#: Bins of a group's range in at_index().
+BINS = 1024
+
+
 def at_index(rows: DataFrame, keys: tuple[str, ...], value: str, index) -> DataFrame:
-    """keys and _at: the value at index(n), from 0, of the n values of each group in order. Values are counted first, so no list of them is gathered; nulls are left out."""
+    """keys and _at: the value at index(n), from 0, of the n numbers of each group in order. Nulls are left out.
+
+    Values are counted first, so no list of them is gathered. A group's range is cut into BINS; their counts tell in which of
+    them the value lies, and only the values of that one are put in order.
+    """
     x = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    return x.where(F.col("_upto") > F.least(index(F.col("_n")), F.col("_n") - 1)).groupBy(*keys).agg(F.min(value).alias("_at"))
+    number = F.col(value).cast("double")
+    x = _beside(x, x.groupBy(*keys).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.sum("_c").alias("_n")), keys)
+    # the bin never falls as the value grows; where it can't be told (NaN, infinity) it is the last one
+    share = F.when(F.col("_hi") > F.col("_lo"), (number - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS).otherwise(F.lit(0.0))
+    x = x.withColumn("_bin", F.when(F.isnan(share), BINS).otherwise(F.floor(share).cast("int")))
+    bins = x.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_b"), F.max("_n").alias("_n"))
+    before = F.sum("_b").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_b")
+    bins = bins.withColumn("_before", before).withColumn("_index", F.least(index(F.col("_n")), F.col("_n") - 1))
+    bins = bins.where((F.col("_before") <= F.col("_index")) & (F.col("_index") < F.col("_before") + F.col("_b")))
+    x = _beside(x.drop("_n"), bins.select(*keys, F.col("_bin").alias("_wanted"), "_before", "_index"), keys).where(F.col("_bin") == F.col("_wanted"))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("_upto", upto).where(F.col("_upto") > F.col("_index")).groupBy(*keys).agg(F.min(value).alias("_at"))
 
 
 def _beside(x: DataFrame, y: DataFrame, keys: tuple[str, ...]) -> DataFrame:

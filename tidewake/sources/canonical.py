@@ -68,7 +68,7 @@ class Tables:
     def edges(self) -> DataFrame:
         l = self.raw("lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("w")).distinct()  # noqa: E741
         a, b = l.alias("a"), l.alias("b")
-        return a.join(b, "l_orderkey").where("a.w < b.w").groupBy(F.col("a.w").alias("wallet_a"), F.col("b.w").alias("wallet_b")).agg(F.count("*").alias("weight"))
+        return a.join(b.hint("merge"), "l_orderkey").where("a.w < b.w").groupBy(F.col("a.w").alias("wallet_a"), F.col("b.w").alias("wallet_b")).agg(F.count("*").alias("weight"))
 
     @cached_property
     def members(self) -> DataFrame:
