@@ -123,3 +123,24 @@ def test_one_document_looks_at_its_own_rules_only():
         assert counted.seen <= len(d) + 2 * 64 < len(rules)
         at += len(d)
     assert len(token_file.expand_range(symbols, rules, lengths, 5, 0)) == 0
+
+
+def test_chunks_and_pieces_share_what_is_remembered(monkeypatch):
+    """Random simple texts get the ids of the library, with all chunks remembered and with hardly any."""
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_llm import texts_to_encode
+    from tidewake.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    whole, rng = Tokenizer.from_file(path), np.random.default_rng(6)
+    simple = [chr(c) for c in range(32, 127)] + [chr(c) for c in range(0xA1, 0x100)] + [" ", "\n", "'", "'s", "'LL", "ab", "é!"]
+    texts = [*texts_to_encode(), "", " ", "x" * 500, "a <|endoftext|> b", "<|ENDOFTEXT|>", *["".join(rng.choice(simple, rng.integers(0, 60))) for _ in range(400)]]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (token_file.REMEMBERED, 3):
+        monkeypatch.setattr(token_file, "REMEMBERED", most)
+        own = token_file.Encoder(path, names_as_text=False)
+        own.of_low.most = most
+        for _ in range(2):
+            assert [own.encode(t or "").tolist() for t in texts] == want
+    assert own.of_low and max(map(len, own.of_low)) <= token_file.LONG_CHUNK

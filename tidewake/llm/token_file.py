@@ -214,7 +214,7 @@ class Encoder:
         if self.parted:
             self.cut = re.compile(LATIN_PIECES).findall
             self.model = self.own.model
-            self.of_chunk, self.of_low, self.of_piece = Remembered(self._chunk, REMEMBERED // 4), Remembered(self._low), Remembered(self._piece, REMEMBERED // 4)
+            self.of_chunk, self.of_low = Remembered(self._chunk, REMEMBERED // 4), Remembered(self._low)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -231,7 +231,9 @@ class Encoder:
         return None if any(x in low for x in self.names) else b"".join(map(self.of_low.__getitem__, low.split()))
 
     def _low(self, chunk: str) -> bytes:
-        return b"".join(map(self.of_piece.__getitem__, self.cut(chunk)))
+        """Ids of a lower-cased simple chunk: letters alone are one piece, other chunks are put together from theirs."""
+        pieces = [chunk] if chunk.isalpha() else self.cut(chunk)
+        return self._piece(chunk) if len(pieces) == 1 else b"".join(map(self.of_low.__getitem__, pieces))
 
     def _chunk(self, chunk: str) -> bytes:
         ids = self._simple(chunk)
