@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.operators.windows import best
+
 SOL = 1e9
 
 
@@ -60,6 +62,8 @@ def wallet_summary(pnl: DataFrame) -> DataFrame:
 
 #: Bins of a group's range in at_index().
 BINS = 1024
+#: Bins of a doubling in gini().
+OCTAVE = 64
 
 
 def at_index(rows: DataFrame, keys: tuple[str, ...], value: str, index) -> DataFrame:
@@ -251,12 +255,29 @@ def feature_effects(rows: DataFrame, booleans: tuple[str, ...], numbers: tuple[s
 
 
 def gini(balances: DataFrame, keys: tuple[str, ...], value: str = "balance") -> DataFrame:
-    """AGG-21: Gini coefficient of positive balances in each group, from ranks."""
-    x = balances.where(F.col(value) > 0)
-    w = Window.partitionBy(*keys).orderBy(value, "wallet")
-    x = x.withColumn("_i", F.row_number().over(w))
-    n, total = F.count("*"), F.sum(value)
-    return x.groupBy(*keys).agg(n.alias("n"), F.round((2 * F.sum(F.col("_i") * F.col(value)) / (n * total) - (n + 1) / n), 6).alias("gini"))
+    """AGG-21: Gini coefficient of positive balances in each group, from ranks.
+
+    Equal balances are counted first. Ranks start from totals of bins of OCTAVE parts of a doubling, so the balances of a
+    group are put in order bin by bin.
+    """
+    x = balances.where(F.col(value) > 0).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    x = x.withColumn("_bin", F.floor(F.log2(F.col(value)) * OCTAVE))
+    bins = x.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_b"))
+    upto = F.sum("_b").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    x = _beside(x, bins.select(*keys, "_bin", (upto - F.col("_b")).alias("_below")), (*keys, "_bin"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("_below") + F.sum("_c").over(inside) - F.col("_c")
+    # the ranks of equal balances add up to c * first + c * (c + 1) / 2
+    x = x.withColumn("_ranks", F.col("_c") * first + F.expr("_c * (_c + 1) div 2"))
+    n, total = F.sum("_c"), F.sum(F.col("_c") * F.col(value))
+    return x.groupBy(*keys).agg(n.alias("n"), F.round((2 * F.sum(F.col("_ranks") * F.col(value)) / (n * total) - (n + 1) / n), 6).alias("gini"))
+
+
+def busiest_share(counts: DataFrame, k: int = 10) -> DataFrame:
+    """Share of a token's events that its k busiest wallets have; counts: token, wallet, c."""
+    top = best(counts, ["token"], "c", k).groupBy("token").agg(F.sum("c").alias("_top"))
+    x = _beside(counts.groupBy("token").agg(F.sum("c").alias("_all")), top, ("token",))
+    return x.select("token", (F.col("_top") / F.col("_all")).alias("density"))
 
 
 def mean_absolute_deviation(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:

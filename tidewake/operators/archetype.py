@@ -32,10 +32,10 @@ SIDES = ("removals", "liquidity_mad", "thin", "spike", "authorities", "mintable"
 
 def step_size(flows: DataFrame) -> DataFrame:
     """(token, step): 20 seconds where two of at least three flows lie at most 20 seconds apart, at different times, else 60."""
-    from tidewake.operators.windows import _previous_in_token
+    from tidewake.operators.windows import with_previous
 
     gap = F.col("bt") - F.col("_before")
-    x = _previous_in_token(flows, 1920).groupBy("token").agg(F.count("*").alias("_n"), F.min(F.when(gap > 0, gap)).alias("_least"))
+    x = with_previous(flows, ("token",), 1920).groupBy("token").agg(F.count("*").alias("_n"), F.min(F.when(gap > 0, gap)).alias("_least"))
     return x.select("token", F.when((F.col("_n") >= 3) & (F.col("_least") <= 20), 20).otherwise(60).alias("step"))
 
 

@@ -131,8 +131,7 @@ def signal_rows(flows: DataFrame, early: int = 300, back: int = 60, least: int =
 def exhaustion_steps(curve: DataFrame, share: float = 0.6) -> DataFrame:
     """ST-8: times at which the silent share first reaches 60 % and then each further tenth."""
     x = curve.where("n_seen > 0").withColumn("share", F.col("n_silent") / F.col("n_seen")).withColumn("_s", F.floor(F.col("share") * 10))
-    w = Window.partitionBy("token").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_before", F.max("_s").over(w))
+    x = W.prior_maximum(x.withColumns({"bt": F.col("at"), "seq": F.lit(0)}), "_s", 86_400).withColumnRenamed("prior_max", "_before")
     return x.where((F.col("share") >= share) & (F.col("_before").isNull() | (F.col("_before") < 6) | (F.col("_s") > F.col("_before")))).select("token", "at", "share")
 
 

@@ -141,8 +141,14 @@ def episodes(flows: DataFrame, gap: int = 90, keys: tuple[str, ...] = ("wallet",
 
 def activity_gaps(flows: DataFrame, keys: tuple[str, ...] = ("wallet",)) -> DataFrame:
     """WIN-12: seconds since the previous flow of the same keys."""
-    w = Window.partitionBy(*keys).orderBy("bt", "seq")
-    return flows.withColumn("gap", F.col("bt") - F.lag("bt").over(w)).where("gap IS NOT NULL")
+    x = with_previous(flows, keys)
+    return x.withColumn("gap", F.col("bt") - F.col("_before")).where("gap IS NOT NULL").drop("_before")
+
+
+def longest_pauses(flows: DataFrame, keys: tuple[str, ...] = ("token",)) -> DataFrame:
+    """The longest time between two flows in a row of the same keys; 0 where there is one flow."""
+    x = with_previous(flows, keys)
+    return x.groupBy(*keys).agg(F.coalesce(F.max(F.col("bt") - F.col("_before")), F.lit(0)).alias("gap"))
 
 
 def peak_rate(flows: DataFrame, back: int = 10) -> DataFrame:
@@ -202,15 +208,16 @@ def _running_in_chunks(rows: DataFrame, chunk: int, sums: dict[str, str]) -> Dat
     return x.drop("_chunk", "_t", "_c", *[f"_earlier_{c}" for c in sums])
 
 
-def _previous_in_token(flows: DataFrame, chunk: int) -> DataFrame:
-    """flows with _before: the time of the token's flow before, from the chunk or the last one before it."""
+def with_previous(flows: DataFrame, keys: tuple[str, ...] = ("token",), chunk: int = 86_400) -> DataFrame:
+    """flows with _before: the time of the flow before with the same keys (by bt, seq), from the chunk of time or the last one before it; null at the first."""
     x = flows.withColumn("_chunk", F.floor(F.col("bt") / chunk))
-    last = x.groupBy("token", "_chunk").agg(F.max("bt").alias("_last"))
-    earlier = Window.partitionBy("token").orderBy("_chunk")
-    last = last.select(F.col("token").alias("_t"), F.col("_chunk").alias("_c"), F.lag("_last").over(earlier).alias("_last"))
-    x = x.join(last.hint("merge"), (F.col("token") == F.col("_t")) & (F.col("_chunk") == F.col("_c")))
-    within = Window.partitionBy("token", "_chunk").orderBy("bt", "seq")
-    return x.withColumn("_before", F.coalesce(F.lag("bt").over(within), "_last")).drop("_chunk", "_t", "_c", "_last")
+    last = x.groupBy(*keys, "_chunk").agg(F.max("bt").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk")
+    last = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_c"), F.lag("_last").over(earlier).alias("_last"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    x = x.join(last.hint("merge"), [*on, F.col("_chunk") == F.col("_c")])
+    within = Window.partitionBy(*keys, "_chunk").orderBy("bt", "seq")
+    return x.withColumn("_before", F.coalesce(F.lag("bt").over(within), "_last")).drop("_chunk", "_c", "_last", *[f"_k{i}" for i in range(len(keys))])
 
 
 def silence_carried(flows: DataFrame, back: int = 120) -> DataFrame:
@@ -219,7 +226,7 @@ def silence_carried(flows: DataFrame, back: int = 120) -> DataFrame:
     A wallet turns silent once its token is active more than back seconds after its last flow; a buy ends that.
     """
     own = Window.partitionBy(*KEY).orderBy("bt", "seq")
-    x = _previous_in_token(flows, 16 * back)
+    x = with_previous(flows, ("token",), 16 * back)
     turned = (F.col("direction") == "sell") & F.coalesce(F.col("_before") > F.lag("bt").over(own) + back, F.lit(False))
     x = x.withColumn("_turned", turned).withColumn("_island", F.count_if(F.col("direction") == "buy").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     island = Window.partitionBy(*KEY, "_island").orderBy("bt", "seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -284,7 +291,7 @@ def verdict_flips(verdicts: DataFrame) -> DataFrame:
 
 def quiet_markers(events: DataFrame, least: int = 60) -> DataFrame:
     """WIN-29: whole minutes of quiet before an event of a token that follows the one before by more than least seconds."""
-    x = _previous_in_token(events, 3600).withColumn("gap", F.col("bt") - F.col("_before")).where(F.col("gap") > least)
+    x = with_previous(events, ("token",), 3600).withColumn("gap", F.col("bt") - F.col("_before")).where(F.col("gap") > least)
     return x.drop("_before").withColumn("quiet_minutes", F.floor(F.col("gap") / 60).cast("long"))
 
 

@@ -200,15 +200,13 @@ _REASONS = "[" + ", ".join(f"CASE WHEN {key} THEN '{text}' END" for _, key, text
 @query("fn10_archetypes", oracle(f"""SELECT token, coalesce(list_filter({_NAMES}, lambda x: x IS NOT NULL)[1], 'The Ghost') AS archetype, CASE WHEN len(list_filter({_REASONS}, lambda x: x IS NOT NULL)) = 0 THEN 'mixed low-signal state' ELSE array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL)[1:2], '; ') END AS reason FROM signs""", "valid", "mint_metadata", "liquidity_events", signs=_SIGNS))
 def fn10(t):
     """Archetype of each traded token over its whole life, from all seven signals."""
-    from pyspark.sql import Window
-
     from tidewake.operators import aggregates as A
 
     v = t.valid
     x = v.groupBy("token").agg(F.sum(F.when(A.is_in(), F.col("lamports")).otherwise(0)).alias("bought"), F.sum(F.when(A.is_out(), F.col("lamports")).otherwise(0)).alias("sold"), F.max("bt").alias("last"), (F.sum("lamports") / F.count("*")).alias("mean"))
-    gaps = v.withColumn("_gap", F.col("bt") - F.lag("bt").over(Window.partitionBy("token").orderBy("bt"))).groupBy("token").agg(F.coalesce(F.max("_gap"), F.lit(0)).alias("gap"))
+    gaps = W.longest_pauses(v)
     per = v.groupBy("token", "wallet").agg(F.count("*").alias("c"), F.sum(F.when(A.is_in(), F.col("units")).otherwise(-F.col("units"))).alias("balance"))
-    busy = per.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("c"), "wallet"))).groupBy("token").agg((F.sum(F.when(F.col("_r") <= 10, F.col("c"))) / F.sum("c")).alias("density"))
+    busy = A.busiest_share(per.select("token", "wallet", "c"))
     removed = t.liquidity_events.where("action = 'remove'").groupBy("token").agg(F.count("*").alias("removed"))
     parts = (A.mean_absolute_deviation(v, ("token",), "lamports"), gaps, busy, A.gini(per, ("token",)).select("token", "gini"), removed, t.mint_metadata, x.groupBy().agg(F.max("last").alias("end")))
     for y in parts[:-1]:
@@ -238,8 +236,8 @@ def fn27(t):
   FROM (SELECT DISTINCT token, bt // 7200 AS wave, min(bt // 7200) OVER (PARTITION BY token) AS w0 FROM flows)""", "flows"))
 def fn27_waves(t):
     """Phases and letters by the number of each token's wave, all states and the alphabet's turn included."""
-    from pyspark.sql import Window
-
-    x = t.flows.select("token", F.floor(F.col("bt") / 7200).alias("wave")).distinct().withColumn("k", F.col("wave") - F.min("wave").over(Window.partitionBy("token")))
+    x = t.flows.select("token", F.floor(F.col("bt") / 7200).alias("wave")).distinct()
+    first = x.groupBy("token").agg(F.min("wave").alias("first"))
+    x = x.join(first.hint("merge"), "token").withColumn("k", F.col("wave") - F.col("first"))
     states = F.array(*[F.lit(s) for s in (*S.PHASES, "OTHER")])
     return x.select("token", "wave", S.phase(F.get(states, (F.col("k") % 10).cast("int"))).alias("phase"), S.cluster_letter(F.col("k") + 1).alias("letter"))
