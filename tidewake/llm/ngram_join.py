@@ -41,6 +41,8 @@ TARGET_RECALL = 0.9999
 #: Signatures that agree less than this are not compared further; at the threshold their share is binomial.
 LIKELY = 0.62
 BLOCK = 512
+#: Shingles of a block of a cluster (of 8 bytes each): long documents make smaller blocks, so that a pair of them fits in a task.
+BLOCK_SHINGLES = 1 << 22
 #: Sample classes whose partners among all classes are looked up to measure the forest's recall.
 QUERIES = 256
 REMEMBERED = 400_000
@@ -312,14 +314,17 @@ def _join_nodes(depth: int):
     return run
 
 
-def blocks_of(members: DataFrame, keys: list[str], block: int, member: str = "key") -> DataFrame:
+def blocks_of(members: DataFrame, keys: list[str], block: int, member: str = "key", weight: str | None = None, most: int = 0) -> DataFrame:
     """members with bi, bj, own: each pair of blocks of a group is a unit of work, and a row goes to all pairs with its block.
 
-    Groups of at most block rows have the one pair (0, 0). Block numbers come from a hash of the id, and a group's number
+    Groups of at most block rows, whose weights add up to at most most where a column tells them, have the one pair (0, 0). Block numbers come from a hash of the id, and a group's number
     of blocks from its size, so no window gathers a group; sizes are stored first, so that AQE may split the join.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    blocks = F.ceil(F.col("_n") / block)
+    if weight:  # more blocks than rows would be of no use
+        blocks = F.greatest(blocks, F.least(F.col("_n"), F.ceil(F.col("_w") / most)))
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("_n"), *([F.sum(weight).alias("_w")] if weight else [])).where("_n > 1")
+    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], blocks.cast("int").alias("_blocks"))
     sizes = stored(sizes, "group-sizes")
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     x = members.join(sizes.hint("merge"), on).withColumn("own", F.pmod(F.xxhash64(F.col(member), F.lit(5)), F.col("_blocks")).cast("int"))
@@ -402,8 +407,8 @@ def profiled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     small_batches(docs.sparkSession)
     own = stored(rows.mapInArrow(_profile, PROFILE_DDL), "ngram-profiles")
     known = own.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("slices").alias("slices"))
-    classes = classes.select("digest", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h"), "copies", "sig", "slices")
+    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("slices").alias("slices"))
+    classes = classes.select("digest", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h"), "copies", "n", "sig", "slices")
     return rows, own, stored(classes.withColumn("key", F.monotonically_increasing_id()), "ngram-classes")
 
 
@@ -422,12 +427,12 @@ def _linked(docs: DataFrame, threshold: float, target: float) -> tuple[DataFrame
 
     # the sets of clustered classes, each from one text, then exact verification within clusters
     clusters = clusters.select(F.col("id").alias("key"), F.col("component").alias("cluster"))
-    within = stored(clusters.join(classes.select("key", "digest", "rep", "rep_h", "copies").hint("merge"), "key"), "ngram-clustered")
+    within = stored(clusters.join(classes.select("key", "digest", "rep", "rep_h", "copies", "n").hint("merge"), "key"), "ngram-clustered")
     same = (F.col("doc_id") == F.col("rep")) & (F.col("h") == F.col("rep_h"))
     texts = rows.where("text IS NOT NULL").join(within.select("rep", "rep_h").hint("merge"), same, "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
     sets = texts.join(within.select("key", "digest", "rep", "rep_h").hint("merge"), same).select("key", "digest", "text")
     sets = stored(sets.mapInArrow(_sets, "key long, shingles binary"), "ngram-sets")
-    placed = stored(blocks_of(within.select("key", "cluster", "copies"), ["cluster"], BLOCK), "ngram-clusters")
+    placed = stored(blocks_of(within.select("key", "cluster", "copies", "n"), ["cluster"], BLOCK, weight="n", most=BLOCK_SHINGLES), "ngram-clusters")
     work = placed.join(sets.hint("merge"), "key").select("cluster", "bi", "bj", "own", "key", "copies", "shingles")
     work = work.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "key")
     seen = stored(work.mapInArrow(_verify(threshold), "key long, links long, b long"), "ngram-verified")
@@ -456,3 +461,15 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def recall_report(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, queries: int = QUERIES) -> DataFrame:
+    """docs (doc_id, text) -> a row for each prefix length 1 .. DEPTH: prefix, pairs (near pairs of the sample classes), recall (share of them that meet at that length), chosen (whether shortening ends there).
+
+    An empty table has no near pair: recall is 1 at every length.
+    """
+    with passing(docs.sparkSession):
+        pairs, recall = forest_recall(profiled(docs)[2], threshold, queries)
+    depth = shortened_depth(pairs, recall, threshold, target)
+    rows = [(k, pairs, recall[k], k == depth) for k in range(1, DEPTH + 1)]
+    return docs.sparkSession.createDataFrame(rows, "prefix int, pairs long, recall double, chosen boolean")
