@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.operators.windows import best
+from tidewake.sources.files import read_ordered, write_ordered
+from tidewake.sources.shared import kept, new_path
 
 SOL = 1e9
 
@@ -162,6 +164,27 @@ def reconstruct(trades: DataFrame) -> DataFrame:
     return x.withColumn("roi", roi).withColumn("status", F.when(F.col("n_sells") > 0, "CLOSED").otherwise("OPEN")).withColumn("sell_before_buy", early).drop("_first_sell")
 
 
+def linear_percentiles(rows: DataFrame, wanted: dict[str, tuple[float, ...]]) -> DataFrame:
+    """One row with a column name_p (p in percent) for each column of rows and share: linear interpolation between closest ranks, null without values.
+
+    The values of all columns are put in order in range partitions with their numbers, so no task and no map holds all of them.
+    """
+    spark = rows.sparkSession
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_m"), F.col(c).cast("double").alias("_v")) for c in wanted])).alias("_x")).select("_x.*").where("_v IS NOT NULL")
+    path = new_path(spark, "percentiles")
+    write_ordered(long, [F.asc("_m"), F.asc("_v")], path)
+    x = read_ordered(spark, path)
+    # a row for each column, and one or two for each percentile
+    n = x.groupBy("_m").agg(F.count("*").alias("_n"), F.min("row_no").alias("_first"))
+    shares = spark.createDataFrame([(c, p, float(p) / 100) for c, ps in wanted.items() for p in ps], "_m string, _p int, _share double")
+    at = n.join(F.broadcast(shares), "_m").withColumn("_pos", (F.col("_n") - 1) * F.col("_share"))
+    at = at.select(F.col("_m").alias("_of"), "_p", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_at"), "_first").withColumn("_wanted", F.col("_first") + F.col("_at"))
+    found = x.join(F.broadcast(at), F.col("row_no") == F.col("_wanted")).groupBy("_of", "_p").agg(F.min(F.struct("_at", "_v")).alias("lo"), F.max(F.struct("_at", "_v")).alias("hi"), F.max("_pos").alias("_pos"))
+    between = (F.col("hi._at") - F.col("_pos")) * F.col("lo._v") + (F.col("_pos") - F.col("lo._at")) * F.col("hi._v")
+    found = found.withColumn("_value", F.when(F.col("lo._v") == F.col("hi._v"), F.col("lo._v")).otherwise(between))
+    return found.groupBy().agg(*[F.max(F.when((F.col("_of") == c) & (F.col("_p") == p), F.col("_value"))).alias(f"{c}_{p}") for c, ps in wanted.items() for p in ps])
+
+
 #: Percentiles of a distribution, and those of holding times and entries.
 TAILS, SPREAD = (1, 5, 10, 25, 50, 75, 90, 95, 99), (10, 25, 50, 75, 90, 95, 99)
 
@@ -174,11 +197,19 @@ def distribution(closed: DataFrame) -> DataFrame:
     win, loss = F.when(F.col("net") > 0, F.col("net")), F.when(F.col("net") < 0, F.col("net"))
     factor = F.when(F.count(loss) > 0, F.sum(win) / -F.sum(loss)).when(F.count(win) > 0, F.lit(float("inf")))
     factor = F.when((F.count(loss) > 0) & (F.count(win) == 0), F.lit(0.0)).otherwise(factor)
-    at = lambda c, ps, scale, digits: [F.round(linear(c, p / 100) / scale, digits).alias(f"{'entry' if c == 'cost' else c}_p{p}") for p in ps]
-    return closed.groupBy().agg(
+    closed = kept(closed.select("net", "roi", "hold", "cost"), "closed")
+    ranked = closed.select("*", (win / SOL).alias("win"), (loss / SOL).alias("loss"))
+    at_p = linear_percentiles(ranked, {"roi": TAILS, "net": TAILS, "hold": SPREAD, "cost": SPREAD, "win": (50,), "loss": (50,)})
+    at = lambda c, ps, scale, digits: [F.round(F.col(f"{c}_{p}") / scale, digits).alias(f"{'entry' if c == 'cost' else c}_p{p}") for p in ps]
+    x = closed.groupBy().agg(
         F.count("*").alias("n"), F.count(win).alias("n_wins"), F.count(loss).alias("n_losses"), F.round(F.count(win) / F.count("*"), 6).alias("win_rate"), F.round(F.avg(win) / SOL, 4).alias("mean_win"),
-        F.round(F.avg(loss) / SOL, 4).alias("mean_loss"), F.round(F.median(win / SOL), 6).alias("median_win"), F.round(F.median(loss / SOL), 6).alias("median_loss"), F.round(F.sum("net") / F.count("*") / SOL, 4).alias("expectancy"),
-        F.round(factor, 6).alias("profit_factor"), *at("roi", TAILS, 1, 6), *at("net", TAILS, SOL, 7), *at("hold", SPREAD, 1, 2), *at("cost", SPREAD, SOL, 7),
+        F.round(F.avg(loss) / SOL, 4).alias("mean_loss"), F.round(F.sum("net") / F.count("*") / SOL, 4).alias("expectancy"), F.round(factor, 6).alias("profit_factor"),
+    )
+    # a row each
+    x = x.crossJoin(F.broadcast(at_p))
+    return x.select(
+        "n", "n_wins", "n_losses", "win_rate", "mean_win", "mean_loss", F.round("win_50", 6).alias("median_win"), F.round("loss_50", 6).alias("median_loss"), "expectancy", "profit_factor",
+        *at("roi", TAILS, 1, 6), *at("net", TAILS, SOL, 7), *at("hold", SPREAD, 1, 2), *at("cost", SPREAD, SOL, 7),
     )
 
 
