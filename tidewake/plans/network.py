@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewake.operators import joins as J
 from tidewake.operators import windows as W
+from tidewake.operators.pair_blocks import key_figures_in_blocks
+from tidewake.sources.shared import kept
 
 
 def episode_metrics(flows: DataFrame) -> DataFrame:
@@ -56,19 +58,29 @@ def replicable() -> Column:
     return F.when((F.col("suspicion") == "high") & sharp, F.when(F.col("n_shared") >= 2, "no").otherwise("partial")).when(F.col("suspicion") == "high", "partial").otherwise("yes")
 
 
+def lead_metrics(firsts: DataFrame, wallets: DataFrame, least_shared: int = 20, blocks: bool | None = None) -> DataFrame:
+    """pair_metrics() of all pairs of stored first buys. Where nearly all pairs are formed, in blocks, they end there as figures of their wallets; blocks as in sharing_pairs()."""
+    if (blocks or not J.prefix_pays(firsts, least_shared)) and (n := J.blocks_for(firsts, "wallet", "token", blocks)):
+        x = key_figures_in_blocks(firsts, "wallet", "token", "first_buy", least_shared, n).join(wallets.select("wallet").hint("merge"), "wallet", "left_semi")
+        return x.select("wallet", "n_pairs", F.round("power", 6).alias("lead_power"), F.col("delay").alias("lead_delay"), F.round("overlap", 6).alias("overlap_power"))
+    stats = J.pair_stats(firsts, least_shared=least_shared, blocks=blocks)
+    sizes = firsts.groupBy("wallet").agg(F.count("*").alias("n"))
+    na, nb = sizes.select(F.col("wallet").alias("a"), F.col("n").alias("na")), sizes.select(F.col("wallet").alias("b"), F.col("n").alias("nb"))
+    stats = stats.join(na.hint("merge"), "a").join(nb.hint("merge"), "b").withColumn("overlap", F.col("shared") / F.least("na", "nb"))
+    return pair_metrics(stats, wallets, least_shared)
+
+
 def network_report(trades: DataFrame, edges: DataFrame, members: DataFrame, seeds: DataFrame, k: int = 20, least_shared: int = 20) -> DataFrame:
     """One row for each seed: trading metrics, degree, shared groups, lead power, delay and overlap over pairs with at least least_shared tokens in common, and labels.
 
     Pairs are taken among the seeds and the k heaviest neighbours of each.
     """
+    # read twice: neighbours and degrees
+    edges = kept(edges, "edges")
     around = seeds.union(J.neighbours(edges, seeds, k).select(F.col("neighbour").alias("wallet"))).distinct()
-    firsts = J.first_buys(trades.join(around.hint("merge"), "wallet", "left_semi"))
-    stats = J.pair_stats(firsts, least_shared=least_shared)
-    sizes = firsts.groupBy("wallet").agg(F.count("*").alias("n"))
-    na, nb = sizes.select(F.col("wallet").alias("a"), F.col("n").alias("na")), sizes.select(F.col("wallet").alias("b"), F.col("n").alias("nb"))
-    stats = stats.join(na.hint("merge"), "a").join(nb.hint("merge"), "b").withColumn("overlap", F.col("shared") / F.least("na", "nb"))
+    firsts = kept(J.first_buys(trades.join(around.hint("merge"), "wallet", "left_semi")), "pair-firsts")
     own = trades.join(seeds.hint("merge"), "wallet", "left_semi")
     x = seeds.join(seed_metrics(own).hint("merge"), "wallet", "left").join(J.degrees(edges, seeds).hint("merge"), "wallet", "left").join(J.shared_groups(members, seeds).hint("merge"), "wallet", "left")
-    x = x.join(pair_metrics(stats, seeds, least_shared).hint("merge"), "wallet", "left").fillna(0, ["lead_power", "lead_delay", "overlap_power", "n_pairs"])
+    x = x.join(lead_metrics(firsts, seeds, least_shared).hint("merge"), "wallet", "left").fillna(0, ["lead_power", "lead_delay", "overlap_power", "n_pairs"])
     x = x.withColumn("archetype", seed_archetype()).withColumn("suspicion", suspicion())
     return x.withColumn("replicable", replicable())
