@@ -114,7 +114,7 @@ def top9(t):
 
 @query("set1_seeds_and_neighbours", oracle("SELECT wallet FROM seeds UNION SELECT neighbour FROM both_ JOIN seeds USING (wallet)", "valid", "edges", both_=T.BOTH, seeds=T.SEEDS))
 def set1(t):
-    return T.wallets(t).union(J.neighbours(t.edges, T.wallets(t)).select("neighbour")).distinct()
+    return T.wallets(t).union(J.neighbour_wallets(t.edges, T.wallets(t), 2 * t.parts("lineitem"))).distinct()
 
 
 _SHARED = "SELECT a.wallet AS a, b.wallet AS b, count(*) AS n FROM fb a JOIN fb b ON a.token = b.token AND a.wallet < b.wallet GROUP BY ALL"
