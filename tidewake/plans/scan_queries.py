@@ -16,6 +16,7 @@ from tidewake.plans import window_queries as Q
 from tidewake.plans.registry import query
 from tidewake.sources import ingest as I
 from tidewake.sources.canonical import oracle
+from tidewake.sources.shared import kept
 
 CREATORS = "SELECT token, arg_min(wallet, (bt, signature, wallet)) AS creator FROM valid GROUP BY token"
 
@@ -91,10 +92,11 @@ def join20(t):
 
 def funded_rows(t):
     """The first 20 buyers of each token besides its creator, with funding flags and the wallets in between."""
-    tr = t.valid.select(F.col("wallet").alias("src"), ((F.col("line") * 13 + F.col("seq")) % 100 + 1).cast("string").alias("dst"), "bt").distinct()
+    tr = T.repeated_transfers(t.valid)
     cr = V.creators(t.valid)
     x = J.first_buys(t.valid).join(cr.hint("merge"), "token").where("wallet <> creator")
     buyers = R.top(x, ("token",), [F.asc("first_buy"), F.asc("wallet")], 20).select("token", "creator", "wallet")
+    buyers = kept(buyers, "buyers")
     return V.funded_buyers(buyers, J.funding_routes(tr, cr.select(F.col("creator").alias("wallet")).distinct(), buyers.select("wallet")))
 
 
