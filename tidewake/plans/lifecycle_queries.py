@@ -10,6 +10,7 @@ from tidewake.operators.episodes import token_episodes
 from tidewake.plans.registry import query
 from tidewake.sources import ingest as I
 from tidewake.sources.canonical import oracle
+from tidewake.sources.shared import kept
 
 
 @query("st4_transitions")
@@ -88,14 +89,15 @@ _TOKEN_STEPS = """SELECT f.*, seconds, (bt - t0) // seconds AS step, first_bt <=
   SELECT token, step, any_value(seconds) AS seconds, count(*) AS n, sum(CASE WHEN o THEN 0 ELSE lamports END) / 1e9 AS inflow, sum(CASE WHEN o THEN lamports ELSE 0 END) / 1e9 AS outflow, count(DISTINCT wallet) FILTER (early AND new) AS early_entries, count(*) FILTER (early AND o) AS early_exits,
   count(DISTINCT wallet) FILTER (new) AS new_wallets, sum(CASE WHEN top AND o THEN lamports ELSE 0 END) / 1e9 AS top_outflow FROM s GROUP BY token, step)) x""", "valid", widths=_WIDTHS, s=_TOKEN_STEPS))
 def win25_by_token(t):
-    return R.step_features(trade_flows(t), None).drop("pause_mad", "size_mad", "density")
+    return R.step_features(trade_flows(t), None, parts=t.parts("lineitem"), mads=False, density=False)
 
 
 def trade_scores(t, step: int | None = None):
     """Steps of the traded tokens, as long as each token's step size, scored with liquidity, holders and authorities."""
     flows = trade_flows(t)
     pool = t.liquidity_events.withColumn("amount", F.col("amount") / 1e4)
-    x = R.with_sides(R.step_features(flows, step), flows, step, pool, t.holders, t.mint_metadata)
+    span = kept(R.spans(flows, step), "spans")
+    x = R.with_sides(R.step_features(flows, step, span=span, parts=t.parts("lineitem")), flows, step, pool, t.holders, t.mint_metadata, span=span)
     return R.signals(R.scores(x))
 
 
