@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import joins as J
@@ -26,16 +26,35 @@ def pair_metrics(stats: DataFrame, wallets: DataFrame, least_shared: int = 20) -
     return x.groupBy("wallet").agg(F.count("*").alias("n_pairs"), F.round(F.avg("power"), 6).alias("lead_power"), F.median("delay").alias("lead_delay"), F.round(F.avg("overlap"), 6).alias("overlap_power"))
 
 
-def seed_metrics(trades: DataFrame) -> DataFrame:
-    """AGG-13: per wallet: episode lengths, holding time per token, buys per token, share of sold tokens sold more than once, tokens entered per hour."""
-    buy, sell = F.col("flow_direction") == "in", F.col("flow_direction") == "out"
-    per = trades.groupBy("wallet", "token").agg((F.max("bt") - F.min("bt")).alias("hold"), F.count_if(buy).alias("b"), F.count_if(sell).alias("s"))
-    x = per.groupBy("wallet").agg(F.median("hold").alias("median_hold"), F.median(F.when(F.col("b") > 0, F.col("b"))).alias("median_buys"), (F.count_if(F.col("s") >= 2) / F.greatest(F.count_if(F.col("s") > 0), F.lit(1))).alias("partial_exit_rate"), F.count_if(F.col("b") > 0).alias("n_entered"))
-    span = trades.groupBy("wallet").agg(F.greatest(F.max("bt") - F.min("bt"), F.lit(1)).alias("_span"))
-    e = W.episodes(trades.withColumn("direction", F.col("flow_direction")))
-    e = e.groupBy("wallet").agg(F.median("n_flows").alias("attempts_median"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY n_flows)").alias("attempts_p90"))
-    y = x.join(span.hint("merge"), "wallet").join(e.hint("merge"), "wallet")
-    return y.withColumn("per_hour", F.col("n_entered") / (F.col("_span") / 3600.0)).drop("_span")
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """df by keys, in so many partitions or, if None, those of the session."""
+    return df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
+
+
+def episode_lengths(trades: DataFrame, parts: int | None = None) -> DataFrame:
+    """A row for each wallet, token and length of its episodes (n_flows): their number _c, first and last time, and in the row of the shortest ones hold, b and s (time held, buys and sells of the token), else null. Trades are dealt once, by wallet and token."""
+    side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("n_flows")).otherwise(0))
+    x = W.episodes(dealt(trades.where("wallet IS NOT NULL").withColumn("direction", F.col("flow_direction")), parts, "wallet", "token"))
+    x = x.groupBy("wallet", "token", "n_flows").agg(F.count("*").alias("_c"), side("in").alias("_b"), side("out").alias("_s"), F.min("start_bt").alias("_from"), F.max("end_bt").alias("_to"))
+    own = Window.partitionBy("wallet", "token")
+    shortest = F.min("n_flows").over(own) == F.col("n_flows")
+    once = lambda figure, name: F.when(shortest, figure).alias(name)
+    return x.select("wallet", "n_flows", "_c", "_from", "_to", once(F.max("_to").over(own) - F.min("_from").over(own), "hold"), once(F.sum("_b").over(own), "b"), once(F.sum("_s").over(own), "s"))
+
+
+def seed_metrics(trades: DataFrame, parts: int | None = None) -> DataFrame:
+    """AGG-13: per wallet: episode lengths, holding time per token, buys per token, share of sold tokens sold more than once, tokens entered per hour. Rows without a wallet are left out.
+
+    All of it comes from episode_lengths(). parts: how many partitions trades and lengths are dealt to.
+    """
+    w = Window.partitionBy("wallet")
+    x = dealt(episode_lengths(trades, parts), parts, "wallet")
+    x = x.withColumn("_upto", F.sum("_c").over(w.orderBy("n_flows").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    x = x.groupBy("wallet").agg(
+        F.median("hold").alias("median_hold"), F.median(F.when(F.col("b") > 0, F.col("b"))).alias("median_buys"), (F.count_if(F.col("s") >= 2) / F.greatest(F.count_if(F.col("s") > 0), F.lit(1))).alias("partial_exit_rate"), F.count_if(F.col("b") > 0).alias("n_entered"),
+        F.percentile("n_flows", F.lit(0.5), F.col("_c")).alias("attempts_median"), F.min(F.when(F.col("_upto") >= F.ceil(F.col("_n") * 0.9), F.col("n_flows"))).cast("double").alias("attempts_p90"), F.greatest(F.max("_to") - F.min("_from"), F.lit(1)).alias("_span"),
+    )
+    return x.withColumn("per_hour", F.col("n_entered") / (F.col("_span") / 3600.0)).drop("_span")
 
 
 def seed_archetype() -> Column:
@@ -70,17 +89,17 @@ def lead_metrics(firsts: DataFrame, wallets: DataFrame, least_shared: int = 20,
     return pair_metrics(stats, wallets, least_shared)
 
 
-def network_report(trades: DataFrame, edges: DataFrame, members: DataFrame, seeds: DataFrame, k: int = 20, least_shared: int = 20) -> DataFrame:
+def network_report(trades: DataFrame, edges: DataFrame, members: DataFrame, seeds: DataFrame, k: int = 20, least_shared: int = 20, parts: int | None = None) -> DataFrame:
     """One row for each seed: trading metrics, degree, shared groups, lead power, delay and overlap over pairs with at least least_shared tokens in common, and labels.
 
-    Pairs are taken among the seeds and the k heaviest neighbours of each.
+    Pairs are taken among the seeds and the k heaviest neighbours of each. parts as in seed_metrics().
     """
     # read twice: neighbours and degrees
     edges = kept(edges, "edges")
     around = seeds.union(J.neighbours(edges, seeds, k).select(F.col("neighbour").alias("wallet"))).distinct()
     firsts = kept(J.first_buys(trades.join(around.hint("merge"), "wallet", "left_semi")), "pair-firsts")
     own = trades.join(seeds.hint("merge"), "wallet", "left_semi")
-    x = seeds.join(seed_metrics(own).hint("merge"), "wallet", "left").join(J.degrees(edges, seeds).hint("merge"), "wallet", "left").join(J.shared_groups(members, seeds).hint("merge"), "wallet", "left")
+    x = seeds.join(seed_metrics(own, parts).hint("merge"), "wallet", "left").join(J.degrees(edges, seeds).hint("merge"), "wallet", "left").join(J.shared_groups(members, seeds).hint("merge"), "wallet", "left")
     x = x.join(lead_metrics(firsts, seeds, least_shared).hint("merge"), "wallet", "left").fillna(0, ["lead_power", "lead_delay", "overlap_power", "n_pairs"])
     x = x.withColumn("archetype", seed_archetype()).withColumn("suspicion", suspicion())
     return x.withColumn("replicable", replicable())

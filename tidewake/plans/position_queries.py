@@ -241,4 +241,4 @@ def fn17(t):
     """Composition of the network report; its parts have oracles of their own."""
     from tidewake.plans.network import network_report
 
-    return network_report(t.valid, t.edges, t.members, T.wallets(t))
+    return network_report(t.valid, t.edges, t.members, T.wallets(t), parts=t.parts("lineitem"))

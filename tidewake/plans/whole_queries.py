@@ -8,4 +8,4 @@ from tidewake.plans.registry import query
 
 @query("agg13_seed_metrics_all")
 def agg13(t):
-    return seed_metrics(t.valid)
+    return seed_metrics(t.valid, t.parts("lineitem"))
