@@ -86,3 +86,10 @@ def test_many_trades_of_a_wallet_leave_few_rows(spark):
     x = spark.range(30_000).select(F.lit("w").alias("wallet"), (F.col("id") % 3).cast("string").alias("token"), (F.col("id") * 50).alias("bt"), F.lit("in").alias("flow_direction"), F.col("id").alias("seq"), F.lit(1).alias("lamports"))
     assert [tuple(r) for r in N.episode_lengths(x).select("wallet", "n_flows", "_c", "b", "s").collect()] == [("w", 1, 10_000, 10_000, 0)] * 3
     assert [tuple(r)[1:-1] for r in N.seed_metrics(x, 5).collect()] == [(29_997 * 50.0, 10_000.0, 0.0, 3, 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["win11_episodes", "agg13_seed_metrics"])
+def test_episodes_in_bounded_tasks(spark, sf_dir, name):
+    """The step that they share with the metrics of all wallets is dealt by a number of rows as well."""
+    text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [wallet#" in text and "direction#" in text.split("RepartitionByExpression")[1].split("]")[0]

@@ -131,8 +131,9 @@ def persistence(flows: DataFrame, least: int = 2, gap: int = 300, bucket: int =
     return x.where((F.col("n_minutes") >= least) & (F.col({"gap": "max_gap", "span": "span", "expiry": "min_gap"}[mode]) <= gap)).drop("min_gap")
 
 
-def episodes(flows: DataFrame, gap: int = 90, keys: tuple[str, ...] = ("wallet", "token", "direction")) -> DataFrame:
-    """WIN-11: runs of flows with no pause longer than gap: start, end, length."""
+def episodes(flows: DataFrame, gap: int = 90, keys: tuple[str, ...] = ("wallet", "token", "direction"), parts: int | None = None) -> DataFrame:
+    """WIN-11: runs of flows with no pause longer than gap: start, end, length. parts: how many partitions the keys are dealt to; None: as the flows are, or those of the session."""
+    flows = flows if parts is None else flows.repartition(parts, *keys)
     w = Window.partitionBy(*keys).orderBy("bt", "seq")
     new = (F.col("bt") - F.lag("bt").over(w) > gap).cast("int")
     x = flows.withColumn("_new", F.coalesce(new, F.lit(1))).withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -11,9 +11,9 @@ from tidewake.operators.pair_blocks import key_figures_in_blocks
 from tidewake.sources.shared import kept
 
 
-def episode_metrics(flows: DataFrame) -> DataFrame:
-    """AGG-13 part: flows per episode of each wallet, median and nearest-rank p90."""
-    e = W.episodes(flows)
+def episode_metrics(flows: DataFrame, parts: int | None = None) -> DataFrame:
+    """AGG-13 part: flows per episode of each wallet, median and nearest-rank p90. parts as in episodes()."""
+    e = W.episodes(flows, parts=parts)
     return e.groupBy("wallet").agg(F.median("n_flows").alias("attempts_median"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY n_flows)").alias("attempts_p90"), F.count("*").alias("n_episodes"))
 
 

@@ -233,7 +233,7 @@ def top6(t):
 def agg13(t):
     from tidewake.plans.network import episode_metrics
 
-    return episode_metrics(t.flows)
+    return episode_metrics(t.flows, t.parts("events"))
 
 
 @query("fn17_seed_verdicts")

@@ -121,7 +121,7 @@ def win10_span(t):
   SELECT *, sum(CASE WHEN prev IS NULL OR bt - prev > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY wallet, token, direction ORDER BY bt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode
   FROM (SELECT *, lag(bt) OVER (PARTITION BY wallet, token, direction ORDER BY bt, seq) AS prev FROM flows)) GROUP BY ALL""", "flows"))
 def win11(t):
-    return W.episodes(t.flows)
+    return W.episodes(t.flows, parts=t.parts("events"))
 
 
 @query("win12_activity_gaps", oracle("SELECT wallet, count(gap) AS n_gaps, max(gap) AS max_gap, median(gap) AS median_gap FROM (SELECT wallet, bt - lag(bt) OVER (PARTITION BY wallet ORDER BY bt, seq) AS gap FROM flows) WHERE gap IS NOT NULL GROUP BY wallet", "flows"))
