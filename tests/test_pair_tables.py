@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_pair_blocks import naive
 from tidewake.operators import joins as J
 from tidewake.operators import pair_blocks as B
+from tidewake.plans.record_queries import in_order
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,12 @@ def test_dense_sets_are_not_ranked(spark, monkeypatch):
     monkeypatch.setattr(J, "_ranked", lambda *a: pytest.fail("ranked"))
     x = spark.range(400 * 100).select((F.col("id") % 400).alias("wallet"), F.floor(F.col("id") / 400).alias("token"), F.col("id").alias("first_buy")).localCheckpoint()
     assert not J.prefix_pays(x, 20) and J.pair_stats(x, least_shared=20).count() == 400 * 399 // 2
+
+
+def test_reports_in_order_by_rows(spark):
+    """A report of pairs is put in order in tasks of a bounded number of rows."""
+    x = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v")).localCheckpoint()
+    y = in_order(x, "some", F.asc("v"), rows=50)
+    assert [tuple(r) for r in y.orderBy("row_no").collect()] == [(i, i + 1) for i in range(1000)]
+    parts = spark.read.parquet(y.inputFiles()[0].rsplit("/", 1)[0]).groupBy("_part").count().collect()
+    assert len(parts) >= 15 and max(r["count"] for r in parts) <= 150
