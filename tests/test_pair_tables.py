@@ -69,3 +69,33 @@ def test_reports_in_order_by_rows(spark):
     assert [tuple(r) for r in y.orderBy("row_no").collect()] == [(i, i + 1) for i in range(1000)]
     parts = spark.read.parquet(y.inputFiles()[0].rsplit("/", 1)[0]).groupBy("_part").count().collect()
     assert len(parts) >= 15 and max(r["count"] for r in parts) <= 150
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 40])
+def test_co_buys_in_parts(spark, monkeypatch, wide):
+    rng = random.Random(3)
+    rows = [(f"w{rng.randrange(12)}", f"t{rng.randrange(4)}", rng.choice([None, *[rng.randrange(-300, 300) * wide] * 9])) for _ in range(300)]
+    x = spark.createDataFrame(rows, "wallet string, token string, bt long").localCheckpoint()
+    within, want = 10 * wide, {}
+    for w, t, at in rows:
+        for v, u, other in rows:
+            if w != v and t == u and at is not None and other is not None and abs(at - other) <= within:
+                want.setdefault((w, v), []).append(t)
+    want = {k: (len(set(v)), len(v)) for k, v in want.items()}
+    if wide > 1:
+        # times that don't fit a number beside the items
+        monkeypatch.setattr(B, "_finder", lambda code, at, within, n, whole=B._finder: whole(code, at, within, 1 << 62))
+    for blocks in (1, 3):
+        batches = B._dealt(x, "wallet", "token", "bt", blocks)[0].toArrow().to_batches()
+        for part, held in ((1, 1), (40, 7), (1_000_000, 2_000_000)):
+            monkeypatch.setattr(B, "CO_PART", part)
+            monkeypatch.setattr(B, "HELD", held)
+            got = [tuple(r.values()) for b in B._co_pairs(within)(iter(batches)) for r in b.to_pylist()]
+            assert len(got) == len(want) and {r[:2]: r[2:] for r in got} == want
+
+
+def test_buys_move_as_small_numbers(spark):
+    """80,000 buys in two blocks: 16 bytes a row and block before, and 41 blocks for 123,000,000 rows."""
+    x = spark.range(80_000).select((F.col("id") % 200).alias("wallet"), (F.col("id") % 7).alias("token"), (1_700_000_000 + F.col("id") * 900).alias("bt")).localCheckpoint()
+    assert B._dealt(x, "wallet", "token", "bt", 2)[0].toArrow().nbytes < 80_000 * 2 * 9
+    assert B.co_blocks(123_000_000) == 16 and B.co_blocks(1000) == 8
