@@ -97,7 +97,7 @@ def trade_scores(t, step: int | None = None):
     flows = trade_flows(t)
     pool = t.liquidity_events.withColumn("amount", F.col("amount") / 1e4)
     span = kept(R.spans(flows, step), "spans")
-    x = R.with_sides(R.step_features(flows, step, span=span, parts=t.parts("lineitem")), flows, step, pool, t.holders, t.mint_metadata, span=span)
+    x = R.with_sides(R.step_features(flows, step, span=span, parts=t.parts("lineitem"), quiet=False), flows, step, pool, t.holders, t.mint_metadata, span=span)
     return R.signals(R.scores(x))
 
 
@@ -139,17 +139,17 @@ def fn11_sides(t):
 
 @query("st14_archetype_changes")
 def st14_changes(t):
-    return R.changes(R.evaluated(trade_scores(t)))
+    return R.changes(R.evaluated(trade_scores(t), dealt=True))
 
 
 @query("st14_archetype_flips")
 def st14_flips(t):
-    return R.exemplars(R.evaluated(trade_scores(t)))
+    return R.exemplars(R.evaluated(trade_scores(t), dealt=True))
 
 
 @query("st14_archetype_summary")
 def st14_summary(t):
-    return R.summary(R.evaluated(trade_scores(t)))
+    return R.summary(R.evaluated(trade_scores(t), dealt=True))
 
 
 @query("win25_step_size", oracle("SELECT token, CASE WHEN n >= 3 AND least <= 20 THEN 20 ELSE 60 END AS step FROM (SELECT token, count(*) AS n, min(bt - prev) FILTER (bt > prev) AS least FROM (SELECT *, lag(bt) OVER (PARTITION BY token ORDER BY bt, seq) AS prev FROM flows) GROUP BY token)", "flows"))
